@@ -60,7 +60,7 @@ class Words:
     """The words of a chunk of texts: `array` (binary, words of all texts in
     order), `bounds` (text i has words bounds[i]:bounds[i + 1])."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = False):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -77,6 +77,8 @@ class Words:
         self.bounds = np.searchsorted(starts, at)
         self.bounds[-1] = len(starts)
         packed = data[solid]
+        if lower:  # A-Z only
+            packed = packed + ((packed >= 65) & (packed <= 90)).astype(np.uint8) * np.uint8(32)
         before = np.cumsum(solid, dtype=np.int64)[starts] - 1 if len(starts) else np.zeros(0, np.int64)
         self.offsets = np.append(before, len(packed))
         self.array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(self.offsets), pa.py_buffer(packed)])
@@ -103,6 +105,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def word_hashes(words: Words) -> np.ndarray:
+    codes, distinct = words.coded()
+    return hashed(distinct)[codes]
+
+
+def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """The hash of each run of k values: out[i] is of h[i : i + k]."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    odd = mixed(np.arange(1, k + 1, dtype=np.uint64) + np.uint64(1000 * (k + 100 * salt))) | np.uint64(1)
+    out = np.full(n, odd[-1], np.uint64)
+    for j in range(k):
+        out += h[j : j + n] * odd[j]
+    return mixed(out)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of text each; a longer
     text is a slice of its own."""

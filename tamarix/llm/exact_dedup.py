@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from . import common
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Without preallocation a state partition takes the disk of its rows alone.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str) -> Column:
@@ -55,8 +59,9 @@ class ExactDedup:
     def _streamed(self, files_per_batch: int) -> DataFrame:
         """The state after the stream has read all landed files."""
         spark, at = self.spark, common.shared_path(self.spark, "exact-state")
-        before = spark.conf.get(PROVIDER, None)
-        spark.conf.set(PROVIDER, ROCKSDB)
+        before = {k: spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         try:
             arrivals = spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files_per_batch).parquet(self.path)
             first = F.struct(F.col(self.id_col).isNull().alias("no_id"), F.col(self.id_col).alias("id"), F.col(self.row).alias("locator"))
@@ -65,7 +70,8 @@ class ExactDedup:
                 .writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
             )
         finally:
-            spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         key_col, value_col = "key", "value"
         held = spark.read.format("statestore").load(at)
         values = held.schema[value_col].dataType.names

@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, packing
+from . import exact_dedup, language_id, mixing, ngram_join, packing
 from .common import documents
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.NgramJaccardJoin(documents(spark, sf_dir)).components()
     return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -34,6 +41,32 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id
 """
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.Mixture(documents(spark, sf_dir).select("doc_id", "text", "source")).taken()
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           substr(md5(doc_id::VARCHAR || '|mix-1'), 1, 12) AS key FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
+), w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s
+), l AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+    FROM w WINDOW b AS (ORDER BY cap::DOUBLE / weight::DOUBLE, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (SELECT source, source_size, least(cap::DOUBLE, weight::DOUBLE * max(level) OVER ()) AS target FROM l
+), o AS (
+    SELECT d.*, source_size, target, (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (SELECT coalesce(sum(greatest(0, least(size, floor(target)::BIGINT - (e * source_size + before)))), 0)::BIGINT FROM range(3) AS r(e)) AS taken
+FROM o
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
@@ -58,8 +91,10 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_mixing": op5_mixing,
     "op7_packing": op7_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}

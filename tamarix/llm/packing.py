@@ -88,7 +88,7 @@ class WordIds:
     """Token ids of words, kept per Python worker. White space never gets into a
     token of a tokenizer that drops it, so a text's ids are its words' ids."""
 
-    MOST = 1_000_000
+    MOST = 1_500_000
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,18 +101,30 @@ class WordIds:
         self.index: dict[bytes, int] = {}
         self.flat, self.bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
+    def _encoded(self, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word): words go to the tokenizer in lines
+        of several, and a token's place in its line tells its word."""
+        lines = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
+        found = self.tokenizer.encode_batch(lines, add_special_tokens=False)
+        counts = np.fromiter((len(e) for e in found), np.int64, len(found))
+        total = int(counts.sum())
+        ids = np.fromiter((i for e in found for i in e.ids), np.uint32, total)
+        places = np.fromiter((o[0] for e in found for o in e.offsets), np.int64, total)
+        begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
+        word = np.searchsorted(ends, places + np.repeat(begins, counts), side="right")
+        return ids, np.bincount(word, minlength=len(words))
+
     def encode(self, words: common.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds by text)."""
         codes, distinct = words.coded()
         if len(self.index) > self.MOST:
             self.clear()
         new = [w for w in distinct if w not in self.index]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
+        for lo in range(0, len(new), 12_800):
+            part = new[lo : lo + 12_800]
+            flat, sizes = self._encoded([w.decode() for w in part])
             n, at = len(self.index), int(self.bounds[len(self.index)])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
             while at + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(part) + 1 > len(self.bounds):
@@ -130,7 +142,7 @@ class WordIds:
 _LOADED: dict[str, WordIds] = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, group_tokens: int = 4_000_000, chunk_bytes: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, group_tokens: int = 4_000_000, chunk_bytes: int = 8_000_000) -> DataFrame:
     """Pieces: document_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset. The tokenizer (a JSON file of `tokenizers`
     whose pre-tokenizer drops white space) is read here and sent with the task."""

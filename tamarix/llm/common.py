@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words everywhere here: space and \x09-\x0D.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows with whole texts or sets go to Python in batches of so many bytes.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -38,9 +40,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def landed(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written to the shared folder and read back: the lineage is cut and
     lost executors don't bring recomputation with other results."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -80,6 +88,7 @@ class Words:
         if lower:  # A-Z only
             packed = packed + ((packed >= 65) & (packed <= 90)).astype(np.uint8) * np.uint8(32)
         before = np.cumsum(solid, dtype=np.int64)[starts] - 1 if len(starts) else np.zeros(0, np.int64)
+        self.packed = packed
         self.offsets = np.append(before, len(packed))
         self.array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(self.offsets), pa.py_buffer(packed)])
         self.n = len(starts)
@@ -93,11 +102,6 @@ class Words:
         return np.diff(self.bounds)
 
 
-def hashed(words: list[bytes], seed: int = 0) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in words), dtype=np.uint64, count=len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser over unsigned 64-bit values."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
@@ -105,9 +109,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_BLOCK = 1 << 22
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: list[np.ndarray] = []
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[starts[i]:ends[i]] (both ascending): a
+    polynomial over random values of the bytes, from prefix sums over blocks."""
+    if not _POWERS:
+        p = np.full(_BLOCK + 1, _ODD)
+        p[0] = 1
+        _POWERS.append(np.multiply.accumulate(p))
+    power, value = _POWERS[0], mixed(np.arange(1, 257, dtype=np.uint64) + np.uint64(1000 * seed))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + _BLOCK, side="right"))
+        if j <= i:  # longer than a block
+            out[i] = xxhash.xxh3_64_intdigest(data[base : int(ends[i])].tobytes(), seed)
+            i += 1
+            continue
+        part = value[data[base : int(ends[j - 1])]]
+        part *= power[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (sums[e] - sums[s]) * power[_BLOCK - s] + (e - s).astype(np.uint64)
+        i = j
+    return mixed(out)
+
+
 def word_hashes(words: Words) -> np.ndarray:
-    codes, distinct = words.coded()
-    return hashed(distinct)[codes]
+    return span_hashes(words.packed, words.offsets[:-1], words.offsets[1:])
 
 
 def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -136,6 +171,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
             base = total[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(total, base + most, side="right")))
             yield b.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()
             lo = hi
 
 

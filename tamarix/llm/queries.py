@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing
+from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup
 from .common import documents
 
 
@@ -78,6 +78,30 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select(F.col("document_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select(F.col("document_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), k AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), m AS (SELECT g, min(doc_id) AS low FROM k GROUP BY g HAVING min(doc_id) <> max(doc_id)
+), c AS (
+    SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i, unnest(range(13)) AS j FROM k JOIN m USING (g) WHERE low < doc_id)
+), p AS (
+    SELECT w.doc_id, i, ws[i] AS word, c.pos IS NOT NULL AS gone
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) AS w LEFT JOIN c ON c.doc_id = w.doc_id AND c.pos = w.i
+), r AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM p GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.ExactDedup(documents(spark, sf_dir).select("doc_id", "text")).rows()
     return found.select(F.col("document_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -95,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_mixing": op5_mixing,
     "op7_packing": op7_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op5_mixing": OP5_SQL, "op9_substring_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}

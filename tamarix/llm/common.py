@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,23 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="tamarix-")) / "tamarix.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(name))
+    _SHIPPED.add(sc.applicationId)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -66,9 +85,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 class Words:
     """The words of a chunk of texts: `array` (binary, words of all texts in
-    order), `bounds` (text i has words bounds[i]:bounds[i + 1])."""
+    order), `bounds` (text i has words bounds[i]:bounds[i + 1]). `solid`: the
+    bytes that words are made of, if not all but white space."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, solid: np.ndarray | None = None):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -76,7 +96,8 @@ class Words:
         lo, hi = int(off[0]), int(off[-1])
         data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
         at = off - lo
-        solid = ~_WS[data]
+        self.data, self.at = data, at
+        solid = ~_WS[data] if solid is None else solid[data]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         begins = at[:-1][at[:-1] < len(data)]

@@ -126,6 +126,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(t[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
+    common.ship(rows.sparkSession)
     train = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sums = common.landed(train.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "lang-counts")
     languages = [r["lang"] for r in sums.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()]
@@ -139,6 +140,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", chunk_bytes: int = 4_000_000) -> DataFrame:
     """docs with the two columns added."""
+    common.ship(docs.sparkSession)
     lang_out, score_out = common.fresh(docs, lang_out), common.fresh(docs, score_out)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_languages * buckets numbers

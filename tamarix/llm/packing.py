@@ -146,6 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
     """Pieces: document_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset. The tokenizer (a JSON file of `tokenizers`
     whose pre-tokenizer drops white space) is read here and sent with the task."""
+    common.ship(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
     if len(model) > 64_000_000:

@@ -7,10 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.LineDedup(documents(spark, sf_dir)).documents()
+    return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), l AS (SELECT doc_id, pos, ls[pos] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM s)
+), g AS (
+    SELECT doc_id, pos, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l
+), k AS (SELECT doc_id, pos, concat_ws(' ', len(ws), ws[1], ws[2], ws[3]) AS leaf, ws, array_to_string(ws, ' ') AS general FROM g WHERE len(ws) >= 5
+), seen AS (SELECT leaf, general, any_value(ws) AS ws, min(doc_id) AS low, max(doc_id) AS high FROM k GROUP BY leaf, general
+), many AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS lines FROM seen
+), w AS (SELECT leaf, general, lines, i, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM many WHERE lines > 1)
+), f AS (SELECT *, count(*) OVER (PARTITION BY leaf, i, word) >= lines * 0.5 AND word <> '<*>' AS fixed FROM w
+), m AS (
+    SELECT leaf, general, string_agg(CASE WHEN fixed THEN word ELSE '<*>' END, ' ' ORDER BY i) AS template FROM f
+    GROUP BY leaf, general HAVING count(*) FILTER (fixed) >= count(*) * 0.6
+), t AS (
+    SELECT leaf, general, min(low) OVER (PARTITION BY leaf, coalesce(template, general)) AS first FROM seen LEFT JOIN m USING (leaf, general)
+), d AS (SELECT doc_id, pos FROM k JOIN t USING (leaf, general) WHERE first < doc_id
+), r AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '') AS kept
+    FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.pos = l.pos GROUP BY l.doc_id
+)
+SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM s LEFT JOIN r USING (doc_id)
+"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.filter(~language_id.held_out()))
@@ -18,6 +48,47 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH d AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)
+), rep AS (
+    SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(3)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id
+), b AS (
+    SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+           len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    FROM d LEFT JOIN rep USING (doc_id)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+), v AS (
+    SELECT doc_id, lang, source, base_failed, unnest(['length', 'symbols', 'lines', 'repeats']) AS rate,
+           unnest([word_chars * 1000 // greatest(n_words, 1), n_symbols * 1000000 // greatest(word_chars, 1), n_dup_lines * 1000 // greatest(n_lines, 1), n_repeat_words * 1000 // greatest(n_words, 1)]) AS v FROM f
+), s AS (
+    SELECT lang, source, rate, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS value, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL
+), q AS (
+    SELECT k, CASE WHEN k < 2 THEN lang END AS lang, CASE WHEN k < 1 THEN source END AS source, rate, value, sum(n) AS n FROM s, range(3) AS r(k) GROUP BY ALL
+), c AS (
+    SELECT *, sum(n) OVER (PARTITION BY k, lang, source, rate ORDER BY value) AS upto, sum(n) OVER (PARTITION BY k, lang, source, rate) AS total FROM q
+), h AS (
+    SELECT k, lang, source, rate, max(total) AS total, min(value) FILTER (4 * upto >= total) AS q1, min(value) FILTER (4 * upto >= 3 * total) AS q3 FROM c GROUP BY k, lang, source, rate
+), p AS (
+    SELECT o.lang, o.source, o.rate, CASE WHEN o.total >= 200 THEN o.q1 WHEN l.total >= 200 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN o.total >= 200 THEN o.q3 WHEN l.total >= 200 THEN l.q3 ELSE e.q3 END AS q3
+    FROM h AS o JOIN h AS l ON o.k = 0 AND l.k = 1 AND l.rate = o.rate AND l.lang IS NOT DISTINCT FROM o.lang JOIN h AS e ON e.k = 2 AND e.rate = o.rate
+), t AS (
+    SELECT *, 3.0 * greatest(q3 - q1, CASE rate WHEN 'length' THEN 400 WHEN 'symbols' THEN 20000 ELSE 100 END) AS room FROM p
+), bad AS (
+    SELECT DISTINCT doc_id FROM v JOIN t ON t.rate = v.rate AND t.lang IS NOT DISTINCT FROM v.lang AND t.source IS NOT DISTINCT FROM v.source
+    WHERE v.v > q3 + room OR (v.rate = 'length' AND v.v < q1 - room)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+"""
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.NgramJaccardJoin(documents(spark, sf_dir)).components()
     return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -67,6 +138,11 @@ FROM o
 """
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.KdShards(documents(spark, sf_dir)).assigned()
+    return found.select(F.col("id").alias("doc_id"), "size", F.col("crc32").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
@@ -78,6 +154,12 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select(F.col("document_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.fit(docs, labels, ["quality", "toxic"])
+    return toxicity.score(docs, chain).select(F.col("id").alias("doc_id"), "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return found.select(F.col("document_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -115,11 +197,22 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op5_mixing": OP5_SQL, "op9_substring_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op3_quality_rules": OP3_SQL,
+    "op4_ngram_jaccard_join": OP4_SQL,
+    "op5_mixing": OP5_SQL,
+    "op9_substring_dedup": OP9_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}

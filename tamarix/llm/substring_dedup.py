@@ -128,6 +128,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """document_id, n_words, n_removed, kept (the words that stay, joined by one
     space), removed (runs of removed words: first, words)."""
     spark = docs.sparkSession
+    common.ship(spark)
     total = common.text_bytes(docs, text_col)
     width = (2 * window - mini + 2) / (window - mini + 2)  # words sent a window, nearly
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * width) // BUCKET_BYTES + 1)

@@ -157,7 +157,7 @@ def packed(docs: DataFrame) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.fit(docs, labels, ["quality", "toxic"])
-    return toxicity.score(docs, chain).select(F.col("id").alias("doc_id"), "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return toxicity.score(docs, chain).select(F.col("id").alias("doc_id"), "p_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

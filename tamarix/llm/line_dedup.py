@@ -2,7 +2,7 @@
 
 A line goes down a tree of fixed depth: its number of words, then its leading
 words, where a word with a digit counts as a field `<*>`. Within a leaf a word
-is fixed at its position if at least `share` of the leaf's different lines have
+is fixed at its position if more than `share` of the leaf's different lines have
 it there; other words are fields too. A line with at least `similar` fixed words
 belongs to the template of its fixed words and fields, any other line is its own
 template. A template that an earlier document (smaller identifier) has is
@@ -20,7 +20,7 @@ identifier and text share their result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,47 +28,55 @@ from . import common
 FIELD = "<*>"
 
 
+#: Lines with these have a field or irregular spaces.
+_ODD = r"[0-9\x09-\x0D]|^\x20|\x20\x20|\x20$"
+
+
 class LineDedup:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6):
         self.depth, self.least, self.share, self.similar = depth, least, share, similar
-        text = F.col(text_col)
-        self.docs = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("text", "id", F.lit(7)))
 
-    def _keyed(self) -> DataFrame:
-        return self.docs.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(7)).alias("k2"))
+    def _lines(self, docs: DataFrame) -> DataFrame:
+        """id, k1, k2, pos, leaf, line, general of lines with enough words; a
+        general line has fields for words with digits and single spaces."""
+        e = docs.select("id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        odd = F.trim(F.regexp_replace(F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD), common.SPACES, " "))
+        e = e.withColumn("general", F.when(F.col("line").rlike(_ODD), odd).otherwise(F.col("line"))).drop("line")
+        words = F.length("general") - F.length(F.replace("general", F.lit(" "), F.lit(""))) + 1
+        e = e.withColumn("words", words).filter(F.col("words") >= self.least)
+        return e.select("id", "k1", "k2", "pos", F.xxhash64("words", F.substring_index("general", " ", self.depth)).alias("leaf"), F.xxhash64("general").alias("line"), "general")
 
-    def _lines(self) -> DataFrame:
-        """k1, k2, id, pos, leaf, general of lines with enough words."""
-        e = self._keyed().select("id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        general = F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)
-        e = e.withColumn("general", F.when(F.col("line").rlike("[0-9]"), general).otherwise(F.col("line")))
-        e = e.withColumn("words", F.split(F.trim(F.regexp_replace("general", common.SPACES, " ")), " "))
-        e = e.filter(F.size("words") >= self.least)
-        return e.select("id", "k1", "k2", "pos", F.concat_ws(" ", F.size("words").cast("string"), F.slice("words", 1, self.depth)).alias("leaf"), F.concat_ws(" ", "words").alias("general"))
+    def _consensus(self, seen: DataFrame) -> DataFrame:
+        """leaf, line, template of the lines that belong to a template."""
+        leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+        several = common.landed(seen.join(leaves, "leaf").select("leaf", "line", "lines", "rep.k1", "rep.k2"), "line-several")
+        texts = self.docs.join(several.select("k1", "k2").distinct().hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        found = self._lines(texts).select("k1", "k2", "leaf", "line", "general").join(several, ["k1", "k2", "leaf", "line"])
+        found = common.landed(found.dropDuplicates(["k1", "k2", "leaf", "line"]).select("leaf", "line", "lines", "general"), "line-general")
+        hashed = F.transform(F.split("general", " "), lambda w: F.xxhash64(w))
+        each = found.select("leaf", "lines", F.posexplode(hashed).alias("at", "word"))
+        fixed = each.groupBy("leaf", "lines", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > F.col("lines") * self.share) & (F.col("word") != F.xxhash64(F.lit(FIELD))))
+        agreed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("agreed"))
+        at = found.select("leaf", "line", hashed.alias("words")).join(agreed, "leaf")
+        at = at.withColumn("held", F.transform("words", lambda w, i: F.when(F.col("agreed")[i] == w, w).otherwise(F.lit(0).cast("long"))))
+        enough = F.size(F.filter("held", lambda w: w != 0)) >= F.size("held") * self.similar
+        return at.filter(enough).select("leaf", "line", F.xxhash64("held").alias("template"))
 
-    def _templates(self) -> DataFrame:
-        """leaf_key, line_key, first: the earliest document of the template of
-        each recurring line."""
-        seen = self._lines().groupBy("leaf", "general").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        seen = common.landed(seen.select(F.xxhash64("leaf").alias("leaf"), F.xxhash64("general").alias("line"), "general", "low", "high"), "line-seen")
-        size = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-        many = common.landed(seen.join(size, "leaf").select("leaf", "line", "lines", "general"), "line-many")
-        word = many.select("leaf", "line", "lines", F.posexplode(F.split("general", " ")).alias("at", "word"))
-        fixed = word.groupBy("leaf", "lines", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= F.col("lines") * self.share) & (F.col("word") != FIELD))
-        held = word.join(fixed.select("leaf", "at", "word", F.lit(True).alias("fixed")), ["leaf", "at", "word"], "left")
-        part = F.struct("at", F.when(F.col("fixed"), F.col("word")).otherwise(F.lit(FIELD)).alias("word"))
-        made = held.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count("fixed").alias("n_fixed"))
-        made = made.filter(F.col("n_fixed") >= F.size("parts") * self.similar).select("leaf", "line", F.concat_ws(" ", F.col("parts.word")).alias("template"))
-        of = seen.join(made, ["leaf", "line"], "left").select("leaf", "line", "low", "high", F.xxhash64(F.coalesce("template", "general")).alias("template"))
+    def _recurring(self, lines: DataFrame) -> DataFrame:
+        """leaf, line, first (the earliest document of its template), for lines
+        of templates that a later document has too."""
+        seen = lines.groupBy("leaf", "line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("rep"), F.max("id").alias("high"))
+        seen = common.landed(seen, "line-seen")
+        of = seen.join(self._consensus(seen), ["leaf", "line"], "left").select("leaf", "line", F.col("rep.id").alias("low"), "high", F.coalesce("template", "line").alias("template"))
         first = of.groupBy("leaf", "template").agg(F.min("low").alias("first"))
         return of.join(first, ["leaf", "template"]).filter("first < high").select("leaf", "line", "first")
 
     def documents(self) -> DataFrame:
         """id, text, kept (the text without its recurring lines), n_lines, n_dropped."""
-        recurring = self._templates()
-        lines = self._lines().select("id", "k1", "k2", "pos", F.xxhash64("leaf").alias("leaf"), F.xxhash64("general").alias("line"))
-        gone = lines.join(recurring, ["leaf", "line"]).filter("first < id").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
-        rows = self._keyed().join(gone, ["k1", "k2"], "left")
+        lines = common.landed(self._lines(self.docs).drop("general"), "line-places")
+        gone = lines.join(self._recurring(lines), ["leaf", "line"]).filter("first < id").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+        rows = self.docs.join(common.landed(gone, "line-gone").hint("merge"), ["k1", "k2"], "left")
         split = F.split("text", "\n", -1)
-        stays: Column = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
+        stays = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
         return rows.select("id", "text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(stays).alias("kept"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"))

@@ -25,7 +25,7 @@ WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), seen AS (SELECT leaf, general, any_value(ws) AS ws, min(doc_id) AS low, max(doc_id) AS high FROM k GROUP BY leaf, general
 ), many AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS lines FROM seen
 ), w AS (SELECT leaf, general, lines, i, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM many WHERE lines > 1)
-), f AS (SELECT *, count(*) OVER (PARTITION BY leaf, i, word) >= lines * 0.5 AND word <> '<*>' AS fixed FROM w
+), f AS (SELECT *, count(*) OVER (PARTITION BY leaf, i, word) > lines * 0.5 AND word <> '<*>' AS fixed FROM w
 ), m AS (
     SELECT leaf, general, string_agg(CASE WHEN fixed THEN word ELSE '<*>' END, ' ' ORDER BY i) AS template FROM f
     GROUP BY leaf, general HAVING count(*) FILTER (fixed) >= count(*) * 0.6

@@ -18,11 +18,15 @@ documents end here: too few of their members are shared.
 Order 3, descending hash. A candidate must also share a member of the d + 1
 last ones before its sets are compared in full.
 
-Candidates meet at members kept under order 2. Rounds compare every set of a
+Candidates meet at members kept under order 2. Each set has a sketch of 1024
+bits, the parities of its members by hash; two sets differ in at least as many
+members as their sketches in bits, so a pair whose sketches differ by more than
+a link allows goes no further. Rounds compare every set of a
 member with one leader of it and merge what is linked; at last all sets of a
 member that are still in different components are compared. So a group of
-thousands of near copies needs about one comparison a set, and no link between
-components is lost. Components come from alternating large-star and small-star
+thousands of near copies needs few comparisons a set, and no link between
+components is lost. A pair that meets at many members goes out at the first of
+them only (as far as eight of each set's members tell). Components come from alternating large-star and small-star
 steps over tables in the shared folder.
 
 Defined results: null texts and texts without words have the empty set and are
@@ -39,12 +43,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-TOKENS_A_BUCKET = 1_500_000
+TOKENS_A_BUCKET = 1_000_000
+THINNED, FIRST = 8, 8
+SKETCH = [f"s{i}" for i in range(16)]
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -68,6 +74,12 @@ def key_of(members: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(members.tobytes())
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """The sketch, as 16 longs."""
+    odd = np.bincount((members >> np.uint64(7)).astype(np.int64) & 1023, minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Bounds:
     """How many members count, for sets of n (numpy arrays); percent = 100 t."""
 
@@ -81,8 +93,9 @@ class Bounds:
 
 
 class NgramJaccardJoin:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2, chunk_bytes: int = 6_000_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2, chunk_bytes: int = 4_000_000):
         self.spark, self.k, self.percent, self.rounds, self.chunk_bytes = docs.sparkSession, k, percent, rounds, chunk_bytes
+        common.ship(self.spark)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sets(self) -> DataFrame:
@@ -170,18 +183,20 @@ class NgramJaccardJoin:
         shared = self._scattered(buckets).groupBy("part").applyInArrow(counted, "chunk long, a binary, b binary, c binary")
         return shared.groupBy("chunk").applyInArrow(chosen, "key binary, n int, members array<long>")
 
-    def _full(self, sets: DataFrame, survivors: DataFrame) -> DataFrame:
-        """key and all members of the surviving sets."""
+    def _full(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+        """key, all members and the sketch of the wanted sets."""
         k, size = self.k, self.chunk_bytes
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.chunks(batches, size):
                 found = {key_of(s): s for s in shingle_sets(b.column(0), k)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["key", "whole"])
+                sketch = np.stack([parities(s) for s in found.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary()), *(pa.array(x) for x in sketch.T.copy())], names=["key", "whole", *SKETCH])
 
-        reps = sets.join(survivors.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep")).select("rep").distinct()
-        texts = self.docs.join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-        found = texts.mapInArrow(full, "key binary, whole binary").join(survivors.select("key"), "key", "left_semi")
+        reps = sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep")).select("rep").distinct()
+        # reps grow with the documents: a shuffle at every size
+        texts = self.docs.join(reps.hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+        found = texts.mapInArrow(full, "key binary, whole binary, " + ", ".join(f"{c} long" for c in SKETCH)).join(wanted, "key", "left_semi")
         return common.landed(found.dropDuplicates(["key"]), "join-full")
 
     def _linked(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -213,9 +228,11 @@ class NgramJaccardJoin:
         survivors = common.landed(self._survivors(buckets).dropDuplicates(["key"]), "join-survivors")
         posts = self._posts(survivors)
         full = self._full(sets, posts.select("key").distinct())
+        first = posts.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(place())), 1, FIRST).alias("first"))
+        posts = common.landed(posts.join(full.drop("whole"), "key").join(first, "key"), "join-sketched")
         links, tested, roots = None, None, None
-        for last in [False] * self.rounds + [True]:
-            pairs = self._pairs(posts, roots, last)
+        for nth, last in enumerate([False] * self.rounds + [True]):
+            pairs = self._pairs(posts, roots, nth, last)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = common.landed(pairs, "join-pairs")
@@ -236,7 +253,7 @@ class NgramJaccardJoin:
         one = lists.groupBy("sets", "p", "q").agg(F.min("member").alias("member")).select("member")
         return common.landed(all_posts.join(one, "member"), "join-posts")
 
-    def _pairs(self, posts: DataFrame, roots: DataFrame | None, last: bool) -> DataFrame:
+    def _pairs(self, posts: DataFrame, roots: DataFrame | None, nth: int, last: bool) -> DataFrame:
         """Distinct pairs a < b of sets in different components that meet at a
         member: each with its member's leaders, or all with all."""
         if roots is None:
@@ -245,16 +262,30 @@ class NgramJaccardJoin:
             of = posts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
             mixed = of.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("member")
             of = of.join(mixed, "member", "left_semi")
+        there = {c: f"{c}_2" for c in ("key", "n", "root", "first", *SKETCH)}
         if last:
-            others = of.select("member", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            met = of.join(others, "member").filter("key < key2 and root <> root2")
+            others = of.withColumnsRenamed(there)
+            apart = F.col("key") < F.col("key_2")
         else:
-            lead = F.struct("root", "key", "n")
-            leads = of.groupBy("member").agg(F.array_distinct(F.array(F.min(lead), F.max(lead))).alias("leads"))
-            leads = leads.select("member", F.explode("leads").alias("lead")).select("member", F.col("lead.key").alias("key2"), F.col("lead.n").alias("n2"), F.col("lead.root").alias("root2"))
-            met = of.join(leads, "member").filter("key <> key2 and root <> root2")
-        near = met.filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * self.percent)
-        return near.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+            # each member has leaders of its own; a round takes some of the members
+            of = of.filter(F.pmod(F.xxhash64("member", F.lit(nth)), F.lit(THINNED)) == 0) if nth else of
+            by = F.xxhash64("member", "key") if nth else F.col("key")
+            lead = F.struct("root", "key", "n", "first", *SKETCH)
+            others = of.groupBy("member").agg(F.array_distinct(F.array(F.min_by(lead, by), F.max_by(lead, by))).alias("leads"))
+            others = others.select("member", F.explode("leads").alias("lead")).select("member", "lead.*").withColumnsRenamed(there)
+            apart = F.col("key") != F.col("key_2")
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"{SKETCH[0]}_2"))))
+        near = (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * self.percent) & (differ * (100 + self.percent) <= (F.col("n") + F.col("n_2")) * (100 - self.percent))
+        met = apart & (F.col("root") != F.col("root_2")) & near
+        if last:  # a pair goes out where it meets first, as far as `first` tells
+            met = met & (F.coalesce(F.array_min(F.array_intersect("first", "first_2")), place()) >= place())
+        met = of.join(others, "member").filter(met)
+        return met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b")).distinct()
+
+
+def place() -> Column:
+    """An order of the members at which pairs meet."""
+    return F.xxhash64("member", F.lit(-1))
 
 
 def connected(links: DataFrame, most: int = 60) -> DataFrame:

@@ -28,22 +28,23 @@ from . import common
 FIELD = "<*>"
 
 
-#: Lines with these have a field or irregular spaces.
-_ODD = r"[0-9\x09-\x0D]|^\x20|\x20\x20|\x20$"
+#: Lines with these may have a field, or white space that is no space.
+_ODD = r"[0-9\x09-\x0D]"
 
 
 class LineDedup:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6):
         self.depth, self.least, self.share, self.similar = depth, least, share, similar
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("text", "id", F.lit(7)))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("id", F.lit(7)))
 
     def _lines(self, docs: DataFrame) -> DataFrame:
         """id, k1, k2, pos, leaf, line, general of lines with enough words; a
         general line has fields for words with digits and single spaces."""
         e = docs.select("id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         odd = F.trim(F.regexp_replace(F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD), common.SPACES, " "))
-        e = e.withColumn("general", F.when(F.col("line").rlike(_ODD), odd).otherwise(F.col("line"))).drop("line")
-        words = F.length("general") - F.length(F.replace("general", F.lit(" "), F.lit(""))) + 1
+        uneven = F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" ")) | F.contains("line", F.lit("  "))
+        e = e.withColumn("general", F.when(uneven | F.col("line").rlike(_ODD), odd).otherwise(F.col("line"))).drop("line")
+        words = F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "), F.lit(""))) + 1
         e = e.withColumn("words", words).filter(F.col("words") >= self.least)
         return e.select("id", "k1", "k2", "pos", F.xxhash64("words", F.substring_index("general", " ", self.depth)).alias("leaf"), F.xxhash64("general").alias("line"), "general")
 
@@ -51,7 +52,7 @@ class LineDedup:
         """leaf, line, template of the lines that belong to a template."""
         leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
         several = common.landed(seen.join(leaves, "leaf").select("leaf", "line", "lines", "rep.k1", "rep.k2"), "line-several")
-        texts = self.docs.join(several.select("k1", "k2").distinct().hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        texts = self.docs.join(several.select("k1", "k2").distinct().hint("merge"), ["k1", "k2"], "left_semi")
         found = self._lines(texts).select("k1", "k2", "leaf", "line", "general").join(several, ["k1", "k2", "leaf", "line"])
         found = common.landed(found.dropDuplicates(["k1", "k2", "leaf", "line"]).select("leaf", "line", "lines", "general"), "line-general")
         hashed = F.transform(F.split("general", " "), lambda w: F.xxhash64(w))

@@ -37,7 +37,8 @@ def local_time(value: Column | str) -> Column:
 
 
 def days_since(value: Column | str, now: Column) -> Column:
-    return F.coalesce(F.greatest(F.datediff(now, local_time(value)), F.lit(0)), F.lit(99))
+    days = F.datediff(now, local_time(value))
+    return F.when(days.isNull(), 99).otherwise(F.greatest(days, F.lit(0)))
 
 
 def days_until(value: Column | str, now: Column) -> Column:

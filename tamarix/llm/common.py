@@ -206,7 +206,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(starts, dtype=np.int64) - ends + lengths, lengths) + np.arange(total, dtype=np.int64)
 
 
-def squeeze(data: bytes, level: int = 1) -> bytes:
+def squeeze(data: bytes, level: int = 3) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
 

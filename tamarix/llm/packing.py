@@ -120,19 +120,23 @@ class WordIds:
         codes, distinct = words.coded()
         if len(self.index) > self.MOST:
             self.clear()
-        new = [w for w in distinct if w not in self.index]
+        get = self.index.get
+        at = np.fromiter((get(w, -1) for w in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
+        new = [distinct[i] for i in missing.tolist()]
+        at[missing] = len(self.index) + np.arange(len(new))
         for lo in range(0, len(new), 12_800):
             part = new[lo : lo + 12_800]
             flat, sizes = self._encoded([w.decode() for w in part])
-            n, at = len(self.index), int(self.bounds[len(self.index)])
-            while at + len(flat) > len(self.flat):
+            n = len(self.index)
+            end = int(self.bounds[n])
+            while end + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(part) + 1 > len(self.bounds):
                 self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            self.flat[at : at + len(flat)] = flat
-            self.bounds[n + 1 : n + 1 + len(part)] = at + np.cumsum(sizes)
+            self.flat[end : end + len(flat)] = flat
+            self.bounds[n + 1 : n + 1 + len(part)] = end + np.cumsum(sizes)
             self.index.update(zip(part, range(n, n + len(part)), strict=True))
-        at = np.fromiter((self.index[w] for w in distinct), np.int64, len(distinct))
         starts, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         per_word = sizes[codes]
         ids = self.flat[common.ragged(starts[codes], per_word)]

@@ -1,0 +1,100 @@
+"""The pipeline's stages against plain versions, on odd rows and on none; the
+queries' SQL on the smallest tables."""
+
+import os
+from collections import Counter, defaultdict
+
+import brute
+import corpus_pipeline as pipeline
+import duckdb
+import pytest
+from odd import EDGE
+from test_operators import check_pieces, last
+
+from tamarix.llm import common, language_id, queries
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def near_kept(rows):
+    return [(d, t) for (d, t), (_, _, c) in zip(rows, brute.components(rows), strict=True) if d is None or d == c]
+
+
+def first_of_each(rows):
+    got, seen = [], set()
+    for d, t in sorted(rows, key=lambda x: (x[0] is None, x[0])):
+        key = brute.re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        if key not in seen:
+            seen.add(key)
+            got.append((d, t))
+    return got
+
+
+def step(spark, name, docs):
+    return common.landed(dict(pipeline.STAGES)[name](spark, docs, ""), f"test-{name}")
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_stages(spark, data, edge, which):
+    docs = common.documents(spark, data) if which == "small" else edge
+    columns = docs.columns
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    named = language_id.predict(docs, model, lang_out="zz_pred").filter("zz_pred <> 'und'")
+    one = step(spark, "language_id", docs)
+    assert one.columns == columns and sorted(map(last, rows_of(one))) == sorted(map(last, rows_of(named)))
+    two = step(spark, "exact_dedup", one)
+    assert two.columns == columns
+    want = first_of_each(rows_of(one))
+    norm = lambda rows: Counter((d, brute.re.sub(r"\s+", " ", t or "")) for d, t in rows)
+    assert norm(rows_of(two)) == norm(want)
+    three = step(spark, "ngram_jaccard_join", two)
+    if which == "small":  # ids are unique
+        assert three.columns == columns and sorted(rows_of(three)) == sorted(near_kept(rows_of(two)))
+    four = step(spark, "mixing", three)
+    assert four.columns == columns
+    have, size = defaultdict(int), defaultdict(int)
+    for r in three.collect():
+        size[r["source"]] += len(brute.words(r["text"]))
+    for r in four.collect():
+        have[r["source"]] += len(brute.words(r["text"]))
+    assert abs(sum(have.values()) - sum(size.values())) <= len(size) and all(have[s] <= 3 * n for s, n in size.items())
+    texts = {(r["doc_id"], r["text"]) for r in three.collect()}
+    assert all((r["doc_id"], r["text"]) in texts or any(d == r["doc_id"] and brute.words(t)[: len(brute.words(r["text"]))] == brute.words(r["text"]) for d, t in texts) for r in four.collect())
+    five = step(spark, "packing", four)
+    check_pieces(five.withColumnRenamed("doc_id", "document_id").collect(), rows_of(four))
+
+
+def test_no_documents(spark, empty):
+    docs = empty
+    for name, _ in pipeline.STAGES:
+        docs = step(spark, name, docs)
+    assert docs.count() == 0
+
+
+def test_run(spark, data):
+    got = pipeline.run(spark, data)
+    assert got.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"] and got.count() > 100
+    assert [n for n, _ in pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "mixing", "packing"] and len(EDGE) > 10
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_sql(spark, data, name):
+    c = duckdb.connect()
+    for f in os.listdir(data):
+        c.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{data}/{f}')")
+    a, b = queries.QUERIES[name](spark, data).toPandas(), c.sql(queries.ORACLES[name]).df()
+    cols = sorted(a.columns)
+    assert cols == sorted(b.columns)
+    assert sorted(map(tuple, a[cols].astype(str).values.tolist())) == sorted(map(tuple, b[cols].astype(str).values.tolist()))
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLES])
+def test_rows(spark, data, name):
+    df = queries.QUERIES[name](spark, data)
+    n = common.documents(spark, data).count()
+    assert df.columns[0] == "doc_id" and df.select("doc_id").distinct().count() == n
+    assert name == "op7_packing" or df.count() == n

@@ -73,7 +73,7 @@ def phrase_contains(spark, sf):
 
 @query(f"WITH {D.JOBS_SQL} SELECT uuid, {D.role_sql('listing_title')} AS role FROM jobs")
 def listing_role(spark, sf):
-    return D.jobs(spark, sf).select("uuid", text.listing_role("listing_title").alias("role"))
+    return text.with_listing_role(D.jobs(spark, sf), "listing_title", "role").select("uuid", "role")
 
 
 @query(f"WITH {D.JOBS_SQL}, {D.EVIDENCE_SQL} SELECT uuid, field_ord, field, value, weight, norm_value FROM evidence")
@@ -358,7 +358,7 @@ def merge_max(spark, sf):
 def after(spark, sf, change: Callable[[Column], Column]) -> DataFrame:
     """uuid, profession_id of the candidates that a policy leaves."""
     j, found = candidates(spark, sf)
-    rows = j.join(matching.sorted_matches(found), "uuid")
+    rows = policy.with_role(j).join(matching.sorted_matches(found), "uuid")
     return rows.select("uuid", F.explode(change(F.col("matches"))).alias("m")).select("uuid", "m.profession_id")
 
 
@@ -368,8 +368,7 @@ def _left(condition: str) -> str:
 
 def _overridden(markers, pid):
     def change(m):
-        role = text.norm(F.concat_ws(" ", text.text("job_name"), text.text("grade"), text.listing_role("listing_title")))
-        return F.coalesce(policy.override(m, role, markers, pid), m)
+        return F.coalesce(policy.override(m, F.col("po_whole"), markers, pid), m)
 
     return change
 
@@ -394,12 +393,12 @@ _POLICY_FROM_FLAG = D.INDEX_SQL.replace("FROM flag WHERE NOT academic AND NOT tr
 
 @query(f"WITH {_POLICY_FROM_FLAG} SELECT uuid, pid AS profession_id FROM tech")
 def technician_policy(spark, sf):
-    return after(spark, sf, lambda m: policy.technician_semantics(m, text.text("job_name"), text.text("grade"), F.col("specialties")))
+    return after(spark, sf, lambda m: policy.technician_semantics(m, policy.ids(m), F.col("po_role"), F.col("po_tracks")))
 
 
 @query(f"WITH {D.CANDIDATES_SQL} SELECT uuid, pid AS profession_id FROM merged l WHERE NOT EXISTS (SELECT 1 FROM merged o JOIN (VALUES {D._pairs(V.DOMINANCE)}) AS d(a, b) ON d.a = o.pid WHERE o.uuid = l.uuid AND d.b = l.pid)")
 def dominance_prune(spark, sf):
-    return after(spark, sf, lambda m: policy.without(m, policy.dominated(m)))
+    return after(spark, sf, lambda m: policy.without(m, policy.dominated(policy.ids(m))))
 
 
 @query(f"""WITH {D.CANDIDATES_SQL}, worded AS (SELECT *, {D.norm_sql('value')} AS title, list_distinct({D.tokens_sql(D.norm_sql('term'))}) AS words FROM merged)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
@@ -11,9 +11,9 @@ from .text import clean, text
 FRENCH = r"(?i)(\d{1,2})\s+([A-Za-zÀ-ÿ]+)\s+(\d{4})(?:\s*-\s*(\d{1,2}):(\d{2}))?"
 
 
-def french_datetime(value: Column | str, end_of_day: bool = False) -> Column:
+def french_datetime(value: Column | str, end_of_day: bool = False, cleaned: bool = False) -> Column:
     """A timestamp, or null. Without a time: 23:59 if end_of_day, else 0:00."""
-    v = clean(value)
+    v = value if cleaned else clean(value)
     part = lambda i: F.regexp_extract(v, FRENCH, i)
     month = F.create_map(*[F.lit(x) for kv in V.MONTHS.items() for x in kv])[F.lower(part(2))]
     timed = part(4) != ""
@@ -22,6 +22,16 @@ def french_datetime(value: Column | str, end_of_day: bool = False) -> Column:
     return F.try_make_timestamp_ntz(part(3).try_cast("int"), month, part(1).try_cast("int"), hour, minute, F.lit(0))
 
 
+def with_french_datetimes(df: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
+    """df with a timestamp `out` and a flag `out`_wrong for each out: (text
+    column, end of day)."""
+    names = {o: f"{o}_parts" for o in columns}
+    df = df.withColumns({names[o]: clean(c) for o, (c, _) in columns.items()})
+    df = df.withColumns({o: french_datetime(F.col(names[o]), e, cleaned=True) for o, (_, e) in columns.items()})
+    known = {f"{o}_wrong": F.col(o).isNull() & F.lower(F.regexp_extract(names[o], FRENCH, 2)).isin(*V.MONTHS) for o in columns}
+    return df.withColumns(known).drop(*names.values())
+
+
 def french_date_is_wrong(value: Column | str) -> Column:
     """A known month with a day or time that the calendar doesn't have."""
     v = clean(value)

@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,13 @@ def development_track(normalised: Column) -> Column:
     return out
 
 
+def once(value: Column) -> Column:
+    """value, as a column that the optimizer neither copies into filters nor
+    moves: what is costly is worked out once a row. The condition always holds,
+    which the optimizer doesn't know."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def if_any(*values: Column) -> Column:
     """The first value that is neither null nor empty."""
     return F.coalesce(*[F.when(v != "", v) for v in values])
@@ -109,21 +116,24 @@ def if_any(*values: Column) -> Column:
 _EDGES = " -–:()[]"
 
 
-def listing_role(title: Column | str) -> Column:
-    """The advertised role in a listing's title, "" if there is none."""
-    whole = clean(title)
-    found = []
-    for opening in ("d['’]?u?n?e?", "de"):
-        hit = F.regexp_extract(whole, rf"(?iU)\brecrutement {opening}\s+(.+?)(?:\s+annonce\b|$)", 1)
-        role = without_employer(F.btrim(hit, F.lit(_EDGES)))
-        found.append(F.when((norm(role) != "") & (norm(role) != norm(whole)), role))
-    return F.coalesce(*found, F.lit(""))
-
-
-def without_employer(role: Column) -> Column:
-    """A role up to its pay scale, or else up to its employer."""
-    value = clean(role)
-    scale = r"(?iU)^(.*?\b(?:echelle|échelle)\s*\d+)\b.*$"
-    employer = rf"(?iU)\s+(?:{'|'.join(V.EMPLOYER_WORDS)})\b.*$"
-    cut = F.when(value.rlike(scale), F.regexp_extract(value, scale, 1)).otherwise(F.regexp_replace(value, employer, ""))
-    return F.btrim(cut, F.lit(_EDGES))
+_SCALE = r"(?iU)^(.*?\b(?:echelle|échelle)\s*\d+)\b.*$"
+_EMPLOYER = rf"(?iU)\s+(?:{'|'.join(V.EMPLOYER_WORDS)})\b.*$"
+_OPENINGS = ("d['’]?u?n?e?", "de")
+
+
+def with_listing_role(df: DataFrame, title: str, out: str) -> DataFrame:
+    """df with the advertised role in a listing's title, "" if there is none: up
+    to its pay scale, or else up to its employer. Each step is a column, so it is
+    worked out once."""
+    steps = [f"{out}_{x}" for x in ("whole", "plain", "a0", "a1", "b0", "b1", "n0", "n1")]
+    whole, plain, *rest = steps
+    df = df.withColumn(whole, clean(title))
+    hits = {rest[i]: clean(F.btrim(F.regexp_extract(whole, rf"(?iU)\brecrutement {o}\s+(.+?)(?:\s+annonce\b|$)", 1), F.lit(_EDGES))) for i, o in enumerate(_OPENINGS)}
+    df = df.withColumns(hits | {plain: norm(whole)})
+    scaled = {rest[2 + i]: F.regexp_extract(rest[i], _SCALE, 1) for i in (0, 1)}
+    df = df.withColumns(scaled)
+    roles = {rest[i]: F.btrim(F.when(F.col(rest[2 + i]) != "", F.col(rest[2 + i])).otherwise(F.regexp_replace(rest[i], _EMPLOYER, "")), F.lit(_EDGES)) for i in (0, 1)}
+    df = df.withColumns(roles)
+    df = df.withColumns({rest[4 + i]: norm(rest[i]) for i in (0, 1)})
+    found = [F.when((F.col(rest[4 + i]) != "") & (F.col(rest[4 + i]) != F.col(plain)), F.col(rest[i])) for i in (0, 1)]
+    return df.withColumn(out, F.coalesce(*found, F.lit(""))).drop(*steps)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.dates import french_date_is_wrong, french_datetime
-from ..functions.text import clean, text
+from ..functions.dates import with_french_datetimes
+from ..functions.text import text
 from ..sources import html as H
 
 BASE_URL = "https://jobs.example"
@@ -23,7 +23,7 @@ def detail_links(links: Column, base_url: str = BASE_URL) -> Column:
     """struct(url, title) of each link to a detail page, in order."""
     absolute = r"^[A-Za-z][A-Za-z0-9+.-]*:"
     inside = lambda h: F.when(h.rlike(absolute), F.regexp_replace(F.regexp_replace(h, rf"{absolute}(//[^/?#]*)?", ""), r"[?#;].*$", "")).otherwise(F.regexp_replace(h, r"(?s)\?.*$", ""))
-    found = F.transform(links, lambda x: F.struct(inside(x["href"]).alias("path"), clean(x["text"]).alias("title")))
+    found = F.transform(links, lambda x: F.struct(inside(x["href"]).alias("path"), x["text"].alias("title")))
     kept = F.filter(found, lambda x: x["path"].rlike(V.DETAIL_PATH))
     return F.transform(kept, lambda x: F.struct(F.concat(F.lit(base_url), x["path"]).alias("url"), x["title"].alias("title")))
 
@@ -38,63 +38,18 @@ def listing(raw: DataFrame, base_url: str = BASE_URL) -> DataFrame:
     return p.withColumn("urls", urls).withColumn("titles", F.map_from_entries(last)).drop("p", "found")
 
 
-def heading(blocks: Column, label: str) -> Column:
-    """What follows a label in the first block that starts with it."""
-    hit = F.try_element_at(F.filter(F.transform(blocks, lambda b: clean(b["text"])), lambda t: F.startswith(F.lower(t), F.lit(label.lower()))), F.lit(1))
-    return F.coalesce(clean(F.substring(hit, F.lit(len(label) + 1), F.length(hit))), F.lit(""))
-
-
-def item_fields(items: Column) -> Column:
-    """struct(key, values) of the labelled list items, in order."""
-    bullet = lambda x: F.regexp_replace(clean(x), "^[-• ]+", "")
-    lines = F.transform(items, lambda li: F.filter(F.transform(F.flatten(F.transform(li, lambda s: F.split(s, "[\n\r]"))), bullet), lambda x: x != ""))
-    named = F.create_map(*[F.lit(x) for kv in V.DETAIL_LABELS.items() for x in kv])
-    first = lambda li: F.try_element_at(li, F.lit(1))
-    keyed = F.transform(
-        F.filter(lines, lambda li: (F.size(li) > 0) & F.contains(first(li), F.lit(":"))),
-        lambda li: F.struct(
-            named[F.lower(clean(F.regexp_extract(first(li), r"(?s)^([^:]*):", 1)))].alias("key"),
-            F.filter(F.concat(F.array(bullet(F.regexp_extract(first(li), r"(?s)^[^:]*:(.*)$", 1))), F.slice(li, 2, F.greatest(F.size(li), F.lit(1)))), lambda x: x != "").alias("values"),
-        ),
-    )
-    return F.filter(keyed, lambda f: f["key"].isNotNull())
-
-
-def field(fields: Column, key: str) -> Column:
-    """The values of the last item with this key; null if there is none."""
-    return F.try_element_at(F.filter(fields, lambda f: f["key"] == key), F.lit(-1))["values"]
-
-
-def joined(fields: Column, key: str) -> Column:
-    return F.coalesce(clean(F.array_join(field(fields, key), " ")), F.lit(""))
-
-
 def details(raw: DataFrame) -> DataFrame:
     """raw_detail (url, scope, title, html) as announcements, with `error`: the
     first rule that a page breaks, null for a valid one."""
-    d = raw.withColumn("p", H.page(H.before("html", H.SIMILAR)))
-    d = d.withColumn("fields", item_fields(F.col("p.items")))
-    head = lambda label: heading(F.col("p.blocks"), label)
-    d = d.withColumn("administration", head("Administration qui recrute")).withColumn("published", head("Date de publication"))
-    d = d.withColumn("until", head("Délai de dépôt des candidatures")).withColumn("held", head("Date du concours"))
+    d = raw.withColumn("p", H.detail(H.before("html", H.SIMILAR)))
+    d = d.withColumns({c: F.col(f"p.{c}") for c in ("administration", "published", "until", "held")})
+    d = with_french_datetimes(d, {"publication_at": ("published", False), "deadline_at": ("until", True), "contest_at": ("held", False)})
     path = F.try_parse_url("url", F.lit("PATH"))
-    parts = F.filter(F.flatten(F.transform(field(F.col("fields"), "specialties"), lambda v: F.split(v, r"(?U)\s+-\s+"))), lambda v: clean(v) != "")
-    d = d.withColumns(
-        {
-            "uuid": F.lower(F.regexp_extract(path, V.DETAIL_PATH, 1)),
-            "publication_at": french_datetime("published"),
-            "deadline_at": french_datetime("until", end_of_day=True),
-            "contest_at": french_datetime("held"),
-            "specialties": F.coalesce(F.array_distinct(F.transform(parts, clean)), F.array().cast("array<string>")),
-            "positions": F.regexp_extract(F.array_join(field(F.col("fields"), "positions"), " "), r"\d+", 0).try_cast("int"),
-            "application_site": F.coalesce(F.when(joined(F.col("fields"), "application_site") != "", joined(F.col("fields"), "application_site")), F.col("p.deposit_link"), F.lit("")),
-        }
-        | {k: joined(F.col("fields"), k) for k in ("job_name", "grade", "recruitment_type", "application_type", "contest_code")}
-    )
-    wrong = lambda c: french_date_is_wrong(c)
+    d = d.withColumns({"uuid": F.lower(F.regexp_extract(path, V.DETAIL_PATH, 1)), "positions": F.regexp_extract("p.positions", r"\d+", 0).try_cast("int")})
+    d = d.withColumns({c: F.col(f"p.{c}") for c in ("specialties", "application_site", "job_name", "grade", "recruitment_type", "application_type", "contest_code")})
     error = (
         F.when(F.coalesce(F.col("uuid"), F.lit("")) == "", "not_a_detail_url")
-        .when(wrong("published") | wrong("until") | wrong("held"), "invalid_calendar_date")
+        .when(F.col("publication_at_wrong") | F.col("deadline_at_wrong") | F.col("contest_at_wrong"), "invalid_calendar_date")
         .when(F.col("administration") == "", "missing_administration")
         .when(F.col("publication_at").isNull(), "missing_publication_date")
         .when(F.col("deadline_at").isNull(), "missing_deadline")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import has_any_phrase, has_phrase, listing_role, norm, text, tokens
+from ..functions.text import has_any_phrase, has_phrase, norm, text, tokens, with_listing_role
 from ..sources.files import MARKET, OFFICIAL
 from .taxonomy import by_id, terms
 
@@ -22,9 +22,10 @@ def evidence(jobs: DataFrame) -> DataFrame:
     """uuid, field_ord, field, value, weight, norm_value of each non-empty field."""
     one = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"), F.lit(V.FIELD_WEIGHTS[name]).alias("weight"))
     specialties = F.transform(F.coalesce("specialties", F.array().cast("array<string>")), lambda s: one("specialty", text(s)))
+    jobs = with_listing_role(jobs, "listing_title", "role_found")
     parts = F.concat(
         F.array(one("job_name", text("job_name"))), specialties,
-        F.array(one("listing_role", listing_role("listing_title")), one("listing_title", text("listing_title")), one("grade", text("grade"))),
+        F.array(one("listing_role", F.col("role_found")), one("listing_title", text("listing_title")), one("grade", text("grade"))),
     )
     rows = jobs.select("uuid", F.posexplode(F.filter(parts, lambda f: f["value"] != "")).alias("field_ord", "f")).select("uuid", "field_ord", "f.*")
     return rows.withColumn("norm_value", norm("value"))
@@ -93,8 +94,9 @@ def _phrases(given):
 def context_matches(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES) -> DataFrame:
     """uuid and a match for each rule that holds. Rules are a few literals, so
     this is a projection and a join with the professions."""
-    name, grade = norm("job_name"), norm("grade")
-    specialties = F.transform(F.coalesce("specialties", F.array().cast("array<string>")), norm)
+    given = F.transform(F.coalesce("specialties", F.array().cast("array<string>")), norm)
+    jobs = jobs.select("uuid", norm("job_name").alias("name"), norm("grade").alias("grade"), given.alias("specialties"))
+    name, grade, specialties = F.col("name"), F.col("grade"), F.col("specialties")
     held = []
     for r in rules:
         on = F.lit(True)

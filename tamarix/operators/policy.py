@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import development_track, has_any_phrase, listing_role, norm, text, tokens
+from ..functions.text import development_track, has_any_phrase, norm, once, text, tokens, with_listing_role
 from . import matching
 
 MOST_MATCHES = 8
@@ -38,42 +38,59 @@ def title_authority(matches: Column, job_name: Column) -> Column:
     return F.when(decided, F.filter(matches, lambda m: by(m, "job_name") | by(m, "context_rule"))).otherwise(matches)
 
 
-def technician_semantics(matches: Column, job_name: Column, grade: Column, specialties: Column) -> Column:
-    role = norm(F.concat_ws(" ", job_name, grade))
-    present = ids(matches)
+def technician_semantics(matches: Column, present: Column, role: Column, tracks: Column) -> Column:
+    """present: the ids of matches; role, tracks: normalised name and grade, and
+    specialties."""
     has = lambda i: F.array_contains(present, i)
-    plain = F.transform(F.coalesce(specialties, F.array().cast("array<string>")), norm)
-    independent = F.exists(plain, lambda s: F.contains(s, F.lit("informatique")) & ~development_track(s))
+    independent = F.exists(tracks, lambda s: F.contains(s, F.lit("informatique")) & ~development_track(s))
     pairs = [F.when(has(a), F.lit(b)) for a, b in V.TECHNICIAN_REPLACES] + [F.when(has(V.DEVELOPER_TECHNICIAN) & ~independent, F.lit(V.IT_TECHNICIAN))]
     dropped = F.when(F.contains(role, F.lit("technicien")), F.array_compact(F.array(*pairs))).otherwise(F.array(*map(F.lit, V.TECHNICIAN_ONLY)))
     return without(matches, dropped)
 
 
-def dominated(matches: Column) -> Column:
-    """ids that a more specific profession of the job replaces."""
-    present = ids(matches)
+def dominated(present: Column) -> Column:
+    """Of these ids the ones that a more specific profession replaces."""
     return F.array_compact(F.array(*[F.when(F.array_contains(present, s), F.lit(g)) for s, g in V.DOMINANCE]))
 
 
 def narrower_titles(matches: Column) -> Column:
     """ids matched by a term whose words are a part of another's, for the same
     title and with no higher score."""
+    return _narrower(title_rows(matches))
+
+
+def title_rows(matches: Column) -> Column:
+    """id, title, words and score of the matches by title."""
     own = lambda m: F.array_distinct(tokens(norm(m["evidence"]["matched_term"])))
     titled = F.filter(matches, lambda m: m["evidence"]["field"] == "job_name")
-    rows = F.transform(titled, lambda m: F.struct(m["profession_id"].alias("id"), norm(m["evidence"]["value"]).alias("title"), own(m).alias("words"), m["score"].alias("score")))
+    return F.transform(titled, lambda m: F.struct(m["profession_id"].alias("id"), norm(m["evidence"]["value"]).alias("title"), own(m).alias("words"), m["score"].alias("score")))
+
+
+def _narrower(rows: Column) -> Column:
     wider = lambda a, b: (a["title"] == b["title"]) & (F.size(a["words"]) > 0) & (F.size(a["words"]) < F.size(b["words"])) & (F.size(F.array_except(a["words"], b["words"])) == 0) & (b["score"] >= a["score"])
     return F.transform(F.filter(rows, lambda a: F.exists(rows, lambda b: wider(a, b))), lambda a: a["id"])
 
 
-def pruned(matches: Column) -> Column:
-    return without(matches, F.array_union(dominated(matches), narrower_titles(matches)))
+def with_role(jobs: DataFrame) -> DataFrame:
+    """jobs with what the policies look at: po_whole (name, grade and listing
+    role), po_role (name and grade), po_tracks (specialties), all normalised."""
+    j = with_listing_role(jobs, "listing_title", "po_listing")
+    tracks = F.transform(F.coalesce("specialties", F.array().cast("array<string>")), norm)
+    return j.withColumns({"po_whole": norm(F.concat_ws(" ", text("job_name"), text("grade"), "po_listing")), "po_role": norm(F.concat_ws(" ", text("job_name"), text("grade"))), "po_tracks": tracks}).drop("po_listing")
 
 
-def decided(matches: Column) -> Column:
-    """All policies, over the columns of a job."""
-    role = norm(F.concat_ws(" ", text("job_name"), text("grade"), listing_role("listing_title")))
-    rest = pruned(technician_semantics(title_authority(matches, text("job_name")), text("job_name"), text("grade"), F.col("specialties")))
-    return F.coalesce(override(matches, role, V.ACADEMIC_MARKERS, V.ACADEMIC_ID), override(matches, role, V.TRAINER_MARKERS, V.TRAINER_ID), rest)
+def decided(jobs: DataFrame) -> DataFrame:
+    """jobs whose `matches` are what all policies leave. Each policy is a column
+    of its own, so that it is worked out once."""
+    m, whole = F.col("matches"), F.col("po_whole")
+    j = with_role(jobs).withColumn("po_first", F.coalesce(override(m, whole, V.ACADEMIC_MARKERS, V.ACADEMIC_ID), override(m, whole, V.TRAINER_MARKERS, V.TRAINER_ID)))
+    j = j.withColumn("po_left", title_authority(m, text("job_name")))
+    j = j.withColumn("po_ids", ids(F.col("po_left")))
+    j = j.withColumn("po_left", technician_semantics(F.col("po_left"), F.col("po_ids"), F.col("po_role"), F.col("po_tracks")))
+    j = j.withColumn("po_ids", ids(F.col("po_left"))).withColumn("po_titles", title_rows(F.col("po_left")))
+    j = j.withColumn("po_gone", F.array_union(dominated(F.col("po_ids")), _narrower(F.col("po_titles"))))
+    out = F.coalesce("po_first", without(F.col("po_left"), F.col("po_gone")))
+    return j.withColumn("matches", out).drop(*[f"po_{x}" for x in ("whole", "role", "tracks", "first", "left", "ids", "titles", "gone")])
 
 
 def classify_jobs(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES, most: int = MOST_MATCHES) -> DataFrame:
@@ -86,8 +103,8 @@ def classify_jobs(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES
     official = matching.sorted_matches(matching.classify(rest, matching.official_terms(professions), matching.strict_score(), V.OFFICIAL_MINIMUM))
     none = F.array().cast(own.schema["matches"].dataType)
     j = jobs.join(own, "uuid", "left").join(official.withColumnRenamed("matches", "official_matches"), "uuid", "left")
-    kept = F.when(F.col("matches").isNotNull(), decided(F.col("matches"))).otherwise(F.coalesce("official_matches", none))
-    return j.withColumn("profession_matches", F.slice(kept, 1, most)).drop("matches", "official_matches")
+    kept = F.coalesce("matches", "official_matches", none)  # policies leave null null
+    return decided(j).withColumn("profession_matches", once(F.slice(kept, 1, most))).drop("matches", "official_matches")
 
 
 def related_hints(jobs: DataFrame, professions: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
@@ -97,6 +114,6 @@ def related_hints(jobs: DataFrame, professions: DataFrame, most: int = MOST_MATC
     none = F.array().cast(hints.schema["matches"].dataType)
     j = jobs.join(hints, "uuid", "left")
     left = without(F.coalesce("matches", none), ids(F.col("profession_matches")))
-    return j.withColumn("related_profession_matches", F.slice(left, 1, most)).drop("matches")
+    return j.withColumn("related_profession_matches", once(F.slice(left, 1, most))).drop("matches")
 
 

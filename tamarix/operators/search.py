@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_since, days_until
-from ..functions.text import if_any, text
+from ..functions.text import if_any, once, text
 
 DEFAULT_TITLE = "Offre"
 
@@ -37,8 +37,8 @@ def rank(match: Column, publication: Column | str, deadline: Column | str, now:
 def search(index: DataFrame, profession_id: str, now: Column, limit: int = 20) -> DataFrame:
     """The best `limit` announcements of a profession, best first."""
     own = F.try_element_at(F.filter("profession_matches", lambda m: m["profession_id"] == profession_id), F.lit(1))
-    hit = index.filter(F.exists("profession_matches", lambda m: m["profession_id"] == profession_id)).withColumn("m", own)
-    hit = hit.withColumn("score", rank(F.col("m"), "publication_date", "deadline", now)).filter("score >= 0")
+    hit = index.filter(F.exists("profession_matches", lambda m: m["profession_id"] == profession_id)).withColumn("m", once(own))
+    hit = hit.withColumn("score", once(rank(F.col("m"), "publication_date", "deadline", now))).filter("score >= 0")
     titles = {f"shown_{k}": v for k, v in result_titles(F.col("m")).items()}
     rows = hit.withColumns(titles).select(
         "score", F.col("m").alias("profession_match"), "uuid", F.col("shown_title").alias("title"), F.col("shown_source_title").alias("source_title"), F.col("shown_search_title").alias("search_title"),

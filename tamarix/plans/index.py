@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.text import once
 from ..operators import policy, quality, search
 from ..sources.schemas import as_jobs
 
@@ -16,7 +17,7 @@ def build_index(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES)
     """jobs with search_title, profession_matches, profession_ids and
     related_profession_matches; one row a uuid is expected."""
     found = policy.classify_jobs(as_jobs(jobs), professions, rules)
-    found = policy.related_hints(found, professions).withColumn("search_title", search.display_title())
+    found = policy.related_hints(found, professions).withColumn("search_title", once(search.display_title()))
     return found.withColumn("profession_ids", policy.ids(F.col("profession_matches")))
 
 

@@ -3,6 +3,7 @@ rest is expressions over it."""
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import fixed_values as V
 from ..functions.text import text
 
 _S = T.StringType()
@@ -56,20 +58,60 @@ class _Page(HTMLParser):
         self.strings.append(data)
 
 
+_SPACE = re.compile(r"\s+")
+
+
+def _clean(s: str) -> str:
+    return _SPACE.sub(" ", s).strip()
+
+
 def _read(html: str | None) -> tuple:
     page = _Page()
     page.feed(html or "")
     page.close()
     strings = page.strings
     held = lambda n: [s.strip() for s in strings[n[1] : n[2] if n[2] is not None else len(strings)] if s.strip()]
-    links = [{"href": n[3], "text": " ".join(held(n))} for n in page.nodes if n[0] == "a" and n[3] is not None]
-    blocks = [{"tag": n[0], "text": " ".join(held(n))} for n in page.nodes if n[0] in _BLOCKS]
-    items = [held(n) for n in page.nodes if n[0] == "li"]
+    links = [{"href": n[3], "text": _clean(" ".join(held(n)))} for n in page.nodes if n[0] == "a" and n[3] is not None]
+    blocks = [{"tag": n[0], "text": _clean(" ".join(held(n)))} for n in page.nodes if n[0] in _BLOCKS]
+    items = [[y for x in held(n) for z in x.splitlines() if (y := _clean(z).lstrip("-• "))] for n in page.nodes if n[0] == "li"]
     site = next((i for i, s in enumerate(strings) if "site de dépôt" in s.lower() and ":" in s.lower().split("site de dépôt", 1)[1][:40]), None)
     link = None if site is None else next((n[3] for n in page.nodes if n[0] == "a" and n[3] is not None and n[1] > site), None)
     return " ".join(s.strip() for s in strings if s.strip()), links, blocks, items, link
 
 
+#: column of a detail page and the label its block starts with
+_HEADINGS = {"administration": "Administration qui recrute", "published": "Date de publication", "until": "Délai de dépôt des candidatures", "held": "Date du concours"}
+_PLAIN = ("positions", "job_name", "grade", "recruitment_type", "application_type", "application_site", "contest_code")
+DETAIL = T.StructType([*[T.StructField(c, _S) for c in (*_HEADINGS, *_PLAIN)], T.StructField("specialties", T.ArrayType(_S))])
+_DASH = re.compile(r"\s+-\s+")
+
+
+def _detail(html: str | None) -> dict:
+    """A detail page's headings (what follows a label in the first block that
+    starts with it) and labelled list items (the last one of a label counts)."""
+    _, _, blocks, items, link = _read(html)
+    row: dict = {}
+    for column, label in _HEADINGS.items():
+        hit = next((b["text"] for b in blocks if b["text"].lower().startswith(label.lower())), "")
+        row[column] = hit[len(label) :].strip()
+    found: dict[str, list[str]] = {}
+    for lines in items:
+        label, colon, rest = lines[0].partition(":") if lines else ("", "", "")
+        key = V.DETAIL_LABELS.get(_clean(label).lower()) if colon else None
+        if key:
+            found[key] = [v for v in (_clean(rest).lstrip("-• "), *lines[1:]) if v]
+    row |= {c: " ".join(found.get(c, [])) for c in _PLAIN}
+    row["application_site"] = row["application_site"] or link or ""
+    parts = [_clean(p) for v in found.get("specialties", []) for p in _DASH.split(v)]
+    row["specialties"] = list(dict.fromkeys(p for p in parts if p))
+    return row
+
+
+@F.pandas_udf(DETAIL)
+def detail(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_detail(h) for h in html], columns=DETAIL.names)
+
+
 @F.pandas_udf(PAGE)
 def page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read(h) for h in html], columns=["text", "links", "blocks", "items", "deposit_link"])

@@ -85,7 +85,7 @@ def test_listing_roles(spark):
         "Recrutement des agents": "", "": "", "Avis de recrutement": "",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
-    assert {r["t"]: r["r"] for r in df.select("t", text.listing_role("t").alias("r")).collect()} == cases
+    assert {r["t"]: r["r"] for r in text.with_listing_role(df, "t", "r").collect()} == cases
 
 
 def test_redirects(spark):

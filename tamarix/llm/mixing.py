@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_A_RANGE = 50_000
+ROWS_A_RANGE = 10_000
 
 
 class Mixture:

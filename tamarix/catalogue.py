@@ -207,8 +207,9 @@ def boundary_truncate(spark, sf):
 
 
 def detail_pages(spark, sf):
-    """A detail page for each order, some broken."""
-    k, t = F.col("k"), french_texts(spark, sf)
+    """A detail page for each order, some broken; dealt out while rows are narrow,
+    as landed pages would be."""
+    k, t = F.col("k"), french_texts(spark, sf).repartition(spark.sparkContext.defaultParallelism)
     until = F.when(k % 11 == 0, "31 février 2001").otherwise(F.col("t"))
     head = lambda label, value: F.concat(F.lit(f"<h3>{label} "), value, F.lit("</h3>"))
     html = F.concat(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.dates import with_french_datetimes
-from ..functions.text import text
+from ..functions.text import once, text
 from ..sources import html as H
 
 BASE_URL = "https://jobs.example"
@@ -59,7 +59,7 @@ def details(raw: DataFrame) -> DataFrame:
     iso = lambda c: F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss")
     return d.select(
         "uuid", "url", "scope", text("title").alias("listing_title"), "administration", iso("publication_at").alias("publication_date"), iso("deadline_at").alias("deadline"),
-        iso("contest_at").alias("contest_date"), "job_name", "grade", "specialties", "positions", "recruitment_type", "application_type", "application_site", "contest_code", error.alias("error"),
+        iso("contest_at").alias("contest_date"), "job_name", "grade", "specialties", "positions", "recruitment_type", "application_type", "application_site", "contest_code", once(error).alias("error"),
     )
 
 

@@ -12,8 +12,10 @@ Counts are combined in each task before they are sent, so a very common line
 is one row a task; only different lines of leaves with two or more are taken
 apart into words.
 
-Defined results: lines end at \\n; lines with fewer than `least` words always
-stay; a null text has no lines and stays null; a null identifier is later than
+Defined results: lines end at \\n; lines with fewer than `least` words stay, but
+with `short=True` those with a word are dropped like templates when an earlier
+document has the same words (no fields: a number is no boilerplate); lines
+without a word always stay; a null text has no lines and stays null; a null identifier is later than
 none and its lines stay; repeats inside one document stay; rows with equal
 identifier and text share their result; other columns are not read.
 """
@@ -33,19 +35,25 @@ _ODD = r"[0-9\x09-\x0D]"
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6):
-        self.depth, self.least, self.share, self.similar = depth, least, share, similar
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6, short: bool = False):
+        self.depth, self.least, self.share, self.similar, self.short = depth, least, share, similar, short
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("id", F.lit(7)))
 
     def _lines(self, docs: DataFrame) -> DataFrame:
         """id, k1, k2, pos, leaf, line, general of lines with enough words; a
         general line has fields for words with digits and single spaces."""
         e = docs.select("id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        odd = F.trim(F.regexp_replace(F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD), common.SPACES, " "))
+        even = lambda c: F.trim(F.regexp_replace(c, common.SPACES, " "))
+        odd = even(F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD))
         uneven = F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" ")) | F.contains("line", F.lit("  "))
-        e = e.withColumn("general", F.when(uneven | F.col("line").rlike(_ODD), odd).otherwise(F.col("line"))).drop("line")
+        e = e.withColumn("general", F.when(uneven | F.col("line").rlike(_ODD), odd).otherwise(F.col("line")))
         words = F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "), F.lit(""))) + 1
-        e = e.withColumn("words", words).filter(F.col("words") >= self.least)
+        e = e.withColumn("words", words)
+        if self.short:  # each in a leaf of its own
+            few = F.col("words") < self.least
+            e = e.withColumn("general", F.when(few, even("line")).otherwise(F.col("general"))).filter("general <> ''")
+            return e.select("id", "k1", "k2", "pos", F.xxhash64("words", F.when(few, F.col("general")).otherwise(F.substring_index("general", " ", self.depth))).alias("leaf"), F.xxhash64("general").alias("line"), "general")
+        e = e.filter(F.col("words") >= self.least)
         return e.select("id", "k1", "k2", "pos", F.xxhash64("words", F.substring_index("general", " ", self.depth)).alias("leaf"), F.xxhash64("general").alias("line"), "general")
 
     def _consensus(self, seen: DataFrame) -> DataFrame:

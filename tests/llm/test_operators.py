@@ -316,6 +316,14 @@ def test_templates(spark):
         assert "logged in" not in got[i][0] and "was lost" not in got[i][0] and got[i][0].endswith("short line")
 
 
+def test_short_lines(spark):
+    rows = [(1, "All rights reserved.\nLes.\n\n7\nnot here"), (2, " All  rights reserved.\nLes.\n\n8\nbut here"), (3, None), (4, "Les.\nLes.\n \n7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["kept"], r["n_dropped"]) for r in line_dedup.LineDedup(df, short=True).documents().collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n8\nbut here", 2), 3: (None, 0), 4: (" ", 3)}
+    assert {r["n_dropped"] for r in line_dedup.LineDedup(df).documents().collect()} == {0}
+
+
 # --- toxicity ---
 
 

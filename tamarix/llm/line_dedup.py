@@ -5,7 +5,10 @@ words, where a word with a digit counts as a field `<*>`. Within a leaf a word
 is fixed at its position if more than `share` of the leaf's different lines have
 it there; other words are fields too. A line with at least `similar` fixed words
 belongs to the template of its fixed words and fields, any other line is its own
-template. A template that an earlier document (smaller identifier) has is
+template; with `several=True` only after what is left of the leaf was tried
+again and then divided by its most frequent word (two lines at least) that not
+all have, until nothing is left to divide, so a leaf holds any number of
+templates. A template that an earlier document (smaller identifier) has is
 recurring: its lines are dropped from later documents.
 
 Counts are combined in each task before they are sent, so a very common line
@@ -15,13 +18,16 @@ apart into words.
 Defined results: lines end at \\n; lines with fewer than `least` words stay, but
 with `short=True` those with a word are dropped like templates when an earlier
 document has the same words (no fields: a number is no boilerplate); lines
-without a word always stay; a null text has no lines and stays null; a null identifier is later than
-none and its lines stay; repeats inside one document stay; rows with equal
-identifier and text share their result; other columns are not read.
+without a word always stay; a null text has no lines and stays null; a null
+identifier is later than none and its lines stay; repeats inside one document
+stay; rows with equal identifier and text share their result; other columns are
+not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +41,8 @@ _ODD = r"[0-9\x09-\x0D]"
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6, short: bool = False):
-        self.depth, self.least, self.share, self.similar, self.short = depth, least, share, similar, short
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6, short: bool = False, several: bool = False):
+        self.depth, self.least, self.share, self.similar, self.short, self.several = depth, least, share, similar, short, several
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("id", F.lit(7)))
 
     def _lines(self, docs: DataFrame) -> DataFrame:
@@ -64,6 +70,8 @@ class LineDedup:
         found = self._lines(texts).select("k1", "k2", "leaf", "line", "general").join(several, ["k1", "k2", "leaf", "line"])
         found = common.landed(found.dropDuplicates(["k1", "k2", "leaf", "line"]).select("leaf", "line", "lines", "general"), "line-general")
         hashed = F.transform(F.split("general", " "), lambda w: F.xxhash64(w))
+        if self.several:
+            return self._templates(found.select("leaf", "line", F.col("leaf").alias("part"), hashed.alias("words")))
         each = found.select("leaf", "lines", F.posexplode(hashed).alias("at", "word"))
         fixed = each.groupBy("leaf", "lines", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > F.col("lines") * self.share) & (F.col("word") != F.xxhash64(F.lit(FIELD))))
         agreed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("agreed"))
@@ -72,6 +80,33 @@ class LineDedup:
         enough = F.size(F.filter("held", lambda w: w != 0)) >= F.size("held") * self.similar
         return at.filter(enough).select("leaf", "line", F.xxhash64("held").alias("template"))
 
+    def _templates(self, left: DataFrame) -> DataFrame:
+        """leaf, line, template of the lines (leaf, line, part, words) that
+        belong to one of the templates of their leaf. In each round a part gives
+        the lines that its majority words fix; if it gave none it is divided, so
+        each round has fewer lines or smaller parts."""
+        given, field = [], F.xxhash64(F.lit(FIELD))
+        while True:
+            each = left.select("part", F.posexplode("words").alias("at", "word"))
+            sizes = left.groupBy("part").agg(F.count(F.lit(1)).alias("lines"))
+            n = each.filter(F.col("word") != field).groupBy("part", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            n = common.landed(n.join(sizes.filter("lines > 1"), "part"), "line-counts")
+            agreed = n.filter(F.col("n") > F.col("lines") * self.share).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("agreed"))
+            at = left.join(agreed, "part", "left")
+            at = at.withColumn("held", F.transform("words", lambda w, i: F.when(F.col("agreed")[i] == w, w).otherwise(F.lit(0).cast("long"))))
+            enough = F.size(F.filter("held", lambda w: w != 0)) >= F.size("held") * self.similar
+            at = common.landed(at.select("leaf", "line", "part", "words", F.when(enough, F.xxhash64("held")).alias("template")), "line-round")
+            given.append(at.filter("template IS NOT NULL").select("leaf", "line", "template"))
+            gave = at.filter("template IS NOT NULL").select("part").distinct()
+            rest = at.filter("template IS NULL").drop("template")
+            again = rest.join(gave, "part", "left_semi")
+            words = rest.join(gave, "part", "left_anti").select("leaf", "line", "part", "words", F.posexplode("words").alias("at", "word"))
+            split = words.join(n.filter("n < lines"), ["part", "at", "word"]).groupBy("leaf", "line", "part").agg(F.max(F.struct("n", -F.col("at"), "word")).alias("most"), F.first("words").alias("words"))
+            left = again.unionByName(split.select("leaf", "line", F.xxhash64("part", F.col("most")).alias("part"), "words"))
+            left = common.landed(left, "line-left")
+            if left.isEmpty():
+                return reduce(DataFrame.unionByName, given)
+
     def _recurring(self, lines: DataFrame) -> DataFrame:
         """leaf, line, first (the earliest document of its template), for lines
         of templates that a later document has too."""

@@ -324,6 +324,18 @@ def test_short_lines(spark):
     assert {r["n_dropped"] for r in line_dedup.LineDedup(df).documents().collect()} == {0}
 
 
+@pytest.mark.parametrize("second", [4, 3])
+def test_several_templates_in_a_leaf(spark, second):
+    """Lines of eight words that begin alike: two templates and unrelated ones."""
+    names = ["ann", "bob", "cas", "dot", "eva", "fay", "gus", "hal"]
+    lines = [f"posted by user on board {n} in spring" for n in names[:4]] + [f"posted by user from town {n} last night" for n in names[4 : 4 + second]]
+    other = ["posted by user " + " ".join(f"{n}{c}" for c in "vwxyz") for n in names]
+    rows = list(enumerate(lines + other))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["n_dropped"] for r in line_dedup.LineDedup(df, several=True).documents().collect()}
+    assert got == {i: int(i not in (0, 4) and i < len(lines)) for i, _ in rows}
+
+
 # --- toxicity ---
 
 

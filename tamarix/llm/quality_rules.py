@@ -7,7 +7,10 @@ most. Sketches merge by adding counts; a group with fewer than `least` rows
 takes its thresholds from the merged sketch of its language, and that from the
 merged sketch of all. A rate may lie outside the quartiles by `reach` times
 their distance (or the rate's `floor`, if larger); the thresholds are joined to
-the documents, which are kept or not.
+the documents, which are kept or not. With `floors=False` the sketches alone
+decide: where the quartiles coincide, the distance is that from the median to
+the 95th percentile (the 5th on the low side), and a limit is given no more than
+the sketch's resolution beyond that.
 
 Defined results: a null text has no words and fails the base rules; a null
 language or source is a group of its own; repeated rows are judged alike;
@@ -96,34 +99,39 @@ def sketches(figures: DataFrame) -> DataFrame:
     return each.withColumn("value", F.expr(f"shiftleft(shiftright(v, {spare}), {spare})")).groupBy("lang", "source", "rate", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, least: int, reach: float) -> DataFrame:
+def thresholds(sketch: DataFrame, least: int, reach: float, floors: bool = True) -> DataFrame:
     """lang, source, rate, lo, hi of every group that has a sketch."""
 
     def quartiles(s: DataFrame, keys: list[str], tag: str) -> DataFrame:
         s = s.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "rate")
         s = s.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
-        return s.groupBy(*keys, "rate").agg(
-            F.max("all").alias(f"n_{tag}"), F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("value"))).alias(f"q1_{tag}"), F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("value"))).alias(f"q3_{tag}")
-        )
+        reached = lambda of, part: F.min(F.when(F.col("upto") * of >= F.col("all") * part, F.col("value")))
+        points = [("q1", 4, 1), ("q3", 4, 3)] + [("q05", 20, 1), ("q50", 2, 1), ("q95", 20, 19)] * (not floors)
+        return s.groupBy(*keys, "rate").agg(F.max("all").alias(f"n_{tag}"), *[reached(of, part).alias(f"{q}_{tag}") for q, of, part in points])
 
     own, lang, every = quartiles(sketch, ["lang", "source"], "own"), quartiles(sketch, ["lang"], "lang"), quartiles(sketch, [], "all")
     lang = lang.withColumnsRenamed({"lang": "lang_of", "rate": "rate_of"})
     t = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_of")) & (F.col("rate") == F.col("rate_of"))).join(every, "rate")
     pick = lambda q: F.when(F.col("n_own") >= least, F.col(f"{q}_own")).when(F.col("n_lang") >= least, F.col(f"{q}_lang")).otherwise(F.col(f"{q}_all"))
     t = t.withColumn("q1", pick("q1")).withColumn("q3", pick("q3"))
-    floor = F.create_map(*[F.lit(x) for k, (_, f, _) in RATES.items() for x in (k, f)])[F.col("rate")]
     low = F.create_map(*[F.lit(x) for k, (_, _, both) in RATES.items() for x in (k, both)])[F.col("rate")]
-    room = F.greatest(F.col("q3") - F.col("q1"), floor) * reach
-    return t.select("lang", "source", "rate", F.when(low, F.col("q1") - room).alias("lo"), (F.col("q3") + room).alias("hi"))
+    if floors:
+        floor = F.create_map(*[F.lit(x) for k, (_, f, _) in RATES.items() for x in (k, f)])[F.col("rate")]
+        below = above = F.greatest(F.col("q3") - F.col("q1"), floor) * reach
+    else:
+        between, fine = F.col("q3") - F.col("q1"), lambda q: F.floor(F.col(q) / 32)
+        above = F.when(between > 0, between).otherwise(pick("q95") - pick("q50")) * reach + fine("q3")
+        below = F.when(between > 0, between).otherwise(pick("q50") - pick("q05")) * reach + fine("q1")
+    return t.select("lang", "source", "rate", F.when(low, F.col("q1") - below).alias("lo"), (F.col("q3") + above).alias("hi"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200, reach: float = 3.0) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200, reach: float = 3.0, floors: bool = True) -> DataFrame:
     """id, lang, source, the base figures, base_failed, kept."""
     figures = base_figures(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     figures = common.landed(figures.withColumn("base_failed", failed), "quality-figures")
-    limits = thresholds(sketches(figures.filter("not base_failed")), least, reach)
+    limits = thresholds(sketches(figures.filter("not base_failed")), least, reach, floors)
     wide = limits.groupBy("lang", "source").agg(*[f(F.when(F.col("rate") == k, F.col(c))).alias(f"{c}_{k}") for k in RATES for c, f in (("lo", F.max), ("hi", F.max))])
     wide = wide.withColumnsRenamed({"lang": "lang_of", "source": "source_of"})
     rows = figures.join(wide, figures["lang"].eqNullSafe(wide["lang_of"]) & figures["source"].eqNullSafe(wide["source_of"]), "left")

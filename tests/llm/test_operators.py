@@ -297,6 +297,16 @@ def test_quality_thresholds_follow_the_data(spark):
     assert quality_rules.judge(every).filter("kept").count() == 300  # where all have symbols they are no reason
 
 
+def test_quality_thresholds_without_floors(spark):
+    """A tenth of the lines repeated, where none are usual: within the floor."""
+    text = lambda i, again: "\n".join(" ".join(f"word{(i * 7 + j * 9 + k) % 900}" for k in range(9)) for j in [*range(10 - again), *range(again)])
+    rows = [(i, text(i, int(i >= 300)), "en", "a") for i in range(310)] + [(1000 + i, text(i, i % 3), "de", "b") for i in range(310)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = lambda **how: {r["id"] for r in quality_rules.judge(df, **how).filter("kept").collect()}
+    assert kept() == {r[0] for r in rows}
+    assert kept(floors=False) == {r[0] for r in rows} - set(range(300, 310))
+
+
 # --- lines ---
 
 

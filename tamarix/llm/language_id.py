@@ -6,6 +6,11 @@ word comes from one language, and expectation-maximisation estimates the
 proportions from the words' likelihoods. Of the sets of the 1, 2, .. most
 present languages the one with the best penalised likelihood is selected; the
 prediction is its most present language, the score that language's proportion.
+A text's fit is the mean over its words of their log likelihood a trigram, in the
+best of the selected languages, above what the languages' own trigrams have, at
+the upper end of its uncertainty (`sure` deviations over the root of its words);
+so one long code or key among few words is one word; worst_fit() is the limit that the fits
+of texts with a known language set.
 
 Defined results: `und` and 0 for a null text, a text without letters, and when
 there are no training rows; ties go to the language first by code point;
@@ -44,8 +49,10 @@ def trigrams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    def __init__(self, languages: list[str], log_p: np.ndarray, penalty: float = 3.0, most: int = 3, steps: int = 10):
-        self.languages, self.log_p, self.penalty, self.most, self.steps = languages, log_p, penalty, most, steps
+    def __init__(self, languages: list[str], log_p: np.ndarray, penalty: float = 3.0, most: int = 3, steps: int = 10, sure: float = 3.0):
+        self.languages, self.log_p, self.penalty, self.most, self.steps, self.sure = languages, log_p, penalty, most, steps, sure
+        self.usual = np.array([np.exp(x) @ x for x in log_p])
+        self.spread = np.sqrt(np.maximum(np.array([np.exp(x) @ (x * x) for x in log_p]) - self.usual**2, 0))
 
     def _em(self, like: np.ndarray, top: np.ndarray, times: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """(proportions, log likelihood) by document; like: entries x languages."""
@@ -58,18 +65,19 @@ class LanguageModel:
         norm = np.maximum((like * np.repeat(p, sizes, axis=0)).sum(1), 1e-300)
         return p, np.add.reduceat(times * (np.log(norm) + top), starts)
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(name, score, fit; nan for `und`) of each text."""
         n_texts, n_lang = len(texts), len(self.languages)
-        names, scores = ["und"] * n_texts, np.zeros(n_texts)
+        names, scores, fits = ["und"] * n_texts, np.zeros(n_texts), np.full(n_texts, np.nan)
         words = common.Words(texts)
         if not words.n or not n_lang:
-            return names, scores
+            return names, scores, fits
         codes, distinct = words.coded()
         grams, count = trigrams(distinct, self.log_p.shape[1])
         of_word = np.zeros((len(distinct), n_lang))
         some = count > 0
         if not some.any():
-            return names, scores
+            return names, scores, fits
         begins = (np.cumsum(count) - count)[some]
         of_word[some] = np.stack([np.add.reduceat(row[grams], begins) for row in self.log_p], axis=1)
         # one entry for each distinct word with letters of each text
@@ -78,7 +86,7 @@ class LanguageModel:
         pair, times = np.unique(pair, return_counts=True)
         doc, code = pair // len(distinct), pair % len(distinct)
         if not len(doc):
-            return names, scores
+            return names, scores, fits
         starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         sizes = np.diff(np.append(starts, len(doc)))
         log_like = of_word[code]
@@ -101,10 +109,12 @@ class LanguageModel:
             better = value > best_value[going]
             best[going[better]], best_value[going[better]] = q[better], value[better]
             going = going[better]
+        of_best = np.where(np.repeat(best > 0, sizes, axis=0), log_like, -np.inf).max(1) / count[code]
+        fits[doc[starts]] = np.add.reduceat(times * of_best, starts) / n - best @ self.usual + self.sure * (best @ self.spread) / np.sqrt(n)
         chosen = np.argmax(best, axis=1)
         for d, i, s in zip(doc[starts].tolist(), chosen.tolist(), np.clip(best.max(1), 0, 1).tolist(), strict=True):
             names[d], scores[d] = self.languages[i], s
-        return names, scores
+        return names, scores, fits
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 16, most_languages: int = 400, chunk_bytes: int = 4_000_000) -> LanguageModel:
@@ -138,22 +148,35 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
     return LanguageModel(languages, np.log(counts / counts.sum(1, keepdims=True)))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", chunk_bytes: int = 4_000_000) -> DataFrame:
-    """docs with the two columns added."""
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", chunk_bytes: int = 4_000_000, fit_out: str | None = None) -> DataFrame:
+    """docs with the two columns added, and the fit if it is given a name."""
     common.ship(docs.sparkSession)
     lang_out, score_out = common.fresh(docs, lang_out), common.fresh(docs, score_out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in [fit_out] if c]])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_languages * buckets numbers
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in common.chunks(batches, chunk_bytes, text_col):
-            names, scores = own.predict(b.column(b.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, lang_out, score_out])
+            names, scores, fits = own.predict(b.column(b.schema.get_field_index(text_col)))
+            more = [pa.array(fits, from_pandas=True)] * bool(fit_out)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores), *more], names=[*b.schema.names, lang_out, score_out, *[fit_out] * bool(fit_out)])
 
     return docs.mapInArrow(predicted, schema)
 
 
+def worst_fit(fits: DataFrame, fit_col: str, least: int = 100, reach: int = 8) -> float | None:
+    """The fit below which a text is in none of the languages: `reach` times as
+    far below the median of fits as their first percentile is, from counts by
+    50ths. None for fewer than `least` fits, which don't tell a percentile."""
+    counts = fits.filter(F.col(fit_col).isNotNull()).groupBy(F.floor(F.col(fit_col) * 50).alias("v")).count().orderBy("v").collect()
+    upto = np.cumsum([r["count"] for r in counts])
+    if not len(upto) or upto[-1] < least:
+        return None
+    low, mid = (counts[int(np.searchsorted(upto, q * upto[-1]))]["v"] / 50 for q in (0.01, 0.5))
+    return mid - reach * max(mid - low, 0.02)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that are not learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -3,6 +3,7 @@ packed blobs that travel between a chunk of documents and its buckets."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,15 +48,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests) a
-    temporary folder is made and set."""
+    """A new path under spark.checkpoint.dir. Where that is unset, a local
+    session (tests) gets a temporary folder; a cluster has no folder that all
+    its machines see, so there the operators refuse to run."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         base = "file://" + tempfile.mkdtemp(prefix="tamarix-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that landed() wrote and nobody has removed, in order.
+_LANDED: list[str] = []
+
+
 def landed(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written to the shared folder and read back: the lineage is cut and
     lost executors don't bring recomputation with other results."""
@@ -63,11 +71,40 @@ def landed(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = shared_path(spark, name)
     before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, BATCH_BYTES)
+    _LANDED.append(path)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.landed_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes landed tables that no unfinished result reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "landed_at", None) in _LANDED:
+            _remove(t.sparkSession, t.landed_at)
+
+
+def landed_alone(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df landed; all tables landed since the mark `since` (marked()), which df
+    was made from, are removed."""
+    out = landed(df, name)
+    for path in _LANDED[since:-1]:
+        _remove(out.sparkSession, path)
+    return out
+
+
+def marked() -> int:
+    return len(_LANDED)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    _LANDED.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -113,11 +150,18 @@ class Words:
         self.offsets = np.append(before, len(packed))
         self.array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(self.offsets), pa.py_buffer(packed)])
         self.n = len(starts)
+        self._coded: tuple[np.ndarray, list[bytes]] | None = None
 
     def coded(self) -> tuple[np.ndarray, list[bytes]]:
         """(code of each word, the distinct words)."""
-        d = self.array.dictionary_encode()
-        return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+        if self._coded is None:
+            d = self.array.dictionary_encode()
+            self._coded = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+        return self._coded
+
+    def codes(self) -> np.ndarray:
+        """The code of each word."""
+        return self.array.dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
     def lengths(self) -> np.ndarray:
         return np.diff(self.bounds)
@@ -130,52 +174,47 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_BLOCK = 1 << 22
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each data[starts[i]:ends[i]] (both ascending): a
-    polynomial over random values of the bytes, from prefix sums over blocks."""
-    if not _POWERS:
-        p = np.full(_BLOCK + 1, _ODD)
-        p[0] = 1
-        _POWERS.append(np.multiply.accumulate(p))
-    power, value = _POWERS[0], mixed(np.arange(1, 257, dtype=np.uint64) + np.uint64(1000 * seed))
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = int(np.searchsorted(ends, base + _BLOCK, side="right"))
-        if j <= i:  # longer than a block
-            out[i] = xxhash.xxh3_64_intdigest(data[base : int(ends[i])].tobytes(), seed)
-            i += 1
-            continue
-        part = value[data[base : int(ends[j - 1])]]
-        part *= power[: len(part)]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part, out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[e] - sums[s]) * power[_BLOCK - s] + (e - s).astype(np.uint64)
-        i = j
-    return mixed(out)
-
-
-def word_hashes(words: Words) -> np.ndarray:
-    return span_hashes(words.packed, words.offsets[:-1], words.offsets[1:])
+def word_hashes(words: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: XXH3 of each distinct one's bytes."""
+    codes, distinct = words.coded()
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))[codes]
 
 
 def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """The hash of each run of k values: out[i] is of h[i : i + k]."""
+    """The hash of each run of k values, out[i] of h[i : i + k]: each value is
+    added to the finalised hash of those before it."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     odd = mixed(np.arange(1, k + 1, dtype=np.uint64) + np.uint64(1000 * (k + 100 * salt))) | np.uint64(1)
     out = np.full(n, odd[-1], np.uint64)
     for j in range(k):
-        out += h[j : j + n] * odd[j]
-    return mixed(out)
+        out = mixed(out * odd[j] + h[j : j + n])
+    return out
+
+
+def ranks(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """A number for each pair, equal for equal pairs only (values under 2^31)."""
+    key = (major.astype(np.int64) << 32) | minor
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(np.append(False, key[1:] != key[:-1])[: len(by)])
+    return out
+
+
+def run_ranks(codes: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of k codes, equal for equal runs only: runs of 1, 2,
+    4, .. codes are numbered by sorting pairs of shorter ones. No hashes."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    of, width = codes.astype(np.int64), 1
+    while width < k:
+        step = min(width, k - width)
+        of = ranks(of[: len(of) - step], of[step:])
+        width += step
+    return of
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:

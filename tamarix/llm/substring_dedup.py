@@ -3,8 +3,15 @@
 A window is `window` consecutive words; its minimiser is the least hash of the
 `mini`-word sequences in it. Consecutive windows with the same minimiser travel
 as one packed string to the minimiser's bucket. Equal windows have equal
-minimisers, so all of them meet in one bucket, where sorting their 128-bit
-fingerprints finds for each window the smallest document that has it.
+minimisers, so all of them meet in one bucket, where sorting their words (runs
+of 1, 2, 4, .. words are numbered by sorting pairs of shorter ones) finds equal
+windows exactly, and for each the smallest document that has it.
+
+A minimiser of very many windows would make one large bucket. A first pass
+counts the windows of minimisers that are frequent in a chunk; windows of the
+heavy ones are dealt by the pair of their minimiser and their least hash in a
+second, independent order, which equal windows share as well. The counts decide
+on the bucket alone, never on the result.
 
 A chunk of documents sends each of its different strings once, with the
 smallest document that holds it, however many documents of the chunk share it;
@@ -13,9 +20,11 @@ that a smaller document elsewhere has, and the chunk, which finds its strings
 in its texts again in the same order, removes the covered words.
 
 Defined results: a null or empty text has no words and keeps the empty string;
-texts shorter than a window keep all words; documents with equal identifiers
-are one document, none of them smaller; a null identifier is greater than all
-others; a document's own repeats stay.
+texts shorter than a window keep all words; longer ones are read whole, a text
+over `chunk_bytes` as a chunk of its own; identifiers are integers (others are
+cast); documents with equal identifiers are one document, none of them smaller;
+a null identifier is greater than all others; a document's own repeats stay; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +41,9 @@ from . import common
 
 LAST = np.iinfo(np.int64).max
 BUCKET_BYTES = 16_000_000
+#: Windows a chunk must have of a minimiser to report it; the least share of all
+#: windows that can make a minimiser heavy (so at most 1 / HEAVY are sent out).
+SEEN, HEAVY = 64, 1e-6
 
 
 class Packed:
@@ -39,7 +51,7 @@ class Packed:
     word i at word_from[i]:word_to[i]. Distinct strings stand in order of
     bucket, then first appearance; `low` is each one's smallest document."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array, window: int, mini: int, buckets: int):
+    def __init__(self, ids: np.ndarray, texts: pa.Array, window: int, mini: int, buckets: int, heavy: np.ndarray):
         words = common.Words(texts)
         self.bounds, self.n, self.ids = words.bounds, words.n, ids
         lengths = np.diff(words.offsets)
@@ -49,12 +61,13 @@ class Packed:
         joined[np.arange(len(words.packed)) + np.repeat(np.arange(words.n), lengths)] = words.packed
         self.joined = joined.tobytes()
         self.doc = np.repeat(np.arange(len(texts)), words.lengths())
-        least = common.rolled(common.word_hashes(words), mini)
-        n_windows = max(0, words.n - window + 1)
-        m = least[:n_windows].copy()
-        for j in range(1, window - mini + 1):
-            np.minimum(m, least[j : j + n_windows], out=m)
-        valid = self.doc[:n_windows] == self.doc[window - 1 :][:n_windows]
+        m, valid = minimisers(words, self.doc, window, mini)
+        n_windows = len(m)
+        if len(heavy):
+            split = np.isin(m, heavy)
+            if split.any():
+                second, _ = minimisers(words, self.doc, window, mini, 1)
+                m = np.where(split, common.mixed(m + second * np.uint64(3)), m)
         new = valid.copy()
         new[1:] &= ~valid[:-1] | (m[1:] != m[:-1])
         self.at = np.flatnonzero(new)
@@ -79,6 +92,17 @@ class Packed:
         self.cuts = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])), len(by)).tolist() if len(by) else [0]
 
 
+def minimisers(words: common.Words, doc: np.ndarray, window: int, mini: int, order: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The minimiser of the window at each word, and which of these windows lie
+    in one document."""
+    least = common.rolled(common.word_hashes(words, order), mini)
+    n_windows = max(0, words.n - window + 1)
+    m = least[:n_windows].copy()
+    for j in range(1, window - mini + 1):
+        np.minimum(m, least[j : j + n_windows], out=m)
+    return m, doc[:n_windows] == doc[window - 1 :][:n_windows]
+
+
 def numbers(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
@@ -86,32 +110,26 @@ def numbers(ids: pa.Array) -> np.ndarray:
 def lowest(rows: list[tuple[int, bytes, bytes]], window: int) -> Iterator[tuple[int, bytes]]:
     """(chunk, answer) of a bucket's (chunk, strings, low): runs of windows that
     a smaller document has, as (string, first window, windows, that document)."""
-    h1, h2, of, at, low, chunk, base = [], [], [], [], [], [], 0
-    for c, a, b in rows:
-        data = np.frombuffer(b"\n" + common.expand(a) + b"\n", np.uint8)
-        marks = np.flatnonzero((data == 32) | (data == 10))
-        line = np.cumsum(data[marks] == 10)[:-1] - 1
-        s, e = marks[:-1] + 1, marks[1:]
-        n = max(0, len(s) - window + 1)
-        ok = np.flatnonzero(line[:n] == line[window - 1 :][:n])
-        s, e, line = s[ok], e[ok + window - 1], line[ok]
-        h1.append(common.span_hashes(data, s, e, 1))
-        h2.append(common.span_hashes(data, s, e, 2))
-        new = np.append(True, line[1:] != line[:-1])
-        starts = np.flatnonzero(new)
-        at.append(np.arange(len(line)) - np.repeat(starts, np.diff(np.append(starts, len(line)))))
-        of.append(line)
-        low.append(np.frombuffer(b, np.int64)[line])
-        chunk.append(np.full(len(line), base))
-        base += 1
-    h1, h2, of, at, low, chunk = map(np.concatenate, (h1, h2, of, at, low, chunk))
-    by = np.argsort(h1, kind="stable")
-    if ((h1[by][1:] == h1[by][:-1]) & (h2[by][1:] != h2[by][:-1])).any():
-        by = np.lexsort((h2, h1))
-    new = np.append(True, (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1]))
-    least = np.minimum.reduceat(low[by], np.flatnonzero(new))
-    best = np.empty_like(low)
-    best[by] = least[np.cumsum(new) - 1]
+    data = b"\n".join(common.expand(a) for _, a, _ in rows)
+    words = common.Words(pa.array([data], pa.large_binary()))
+    data = np.frombuffer(data, np.uint8)
+    marks = data[(data == 32) | (data == 10)]
+    line = np.append(0, np.cumsum(marks == 10))
+    del data, marks
+    same = words.codes()
+    ok = np.flatnonzero(line[: len(line) - window + 1] == line[window - 1 :])
+    same, line = common.run_ranks(same, window)[ok], line[ok]
+    starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    at = np.arange(len(line)) - np.repeat(starts, np.diff(np.append(starts, len(line))))
+    lows = [np.frombuffer(b, np.int64) for _, _, b in rows]
+    counts = np.array([len(x) for x in lows])
+    base = len(rows)
+    chunk = np.repeat(np.arange(base), counts)[line]
+    of = line - (np.cumsum(counts) - counts)[chunk]
+    low = np.concatenate(lows)[line]
+    least = np.full(int(same.max()) + 1, LAST)
+    np.minimum.at(least, same, low)
+    best = least[same]
     hit = np.flatnonzero(best < low)
     if not len(hit):
         return
@@ -124,6 +142,26 @@ def lowest(rows: list[tuple[int, bytes, bytes]], window: int) -> Iterator[tuple[
         yield rows[i][0], common.squeeze(runs[edges[i] : edges[i + 1]].tobytes())
 
 
+def heavy_minimisers(texts: DataFrame, window: int, mini: int, buckets: int, chunk_bytes: int) -> np.ndarray:
+    """The minimisers that have as many windows as four usual buckets."""
+
+    def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, chunk_bytes):
+            words = common.Words(b.column(0))
+            m, valid = minimisers(words, np.repeat(np.arange(b.num_rows), words.lengths()), window, mini)
+            found, n = np.unique(m[valid], return_counts=True)
+            many = n >= SEEN
+            rows = [None, *found[many].view(np.int64).tolist()], [int(n.sum()), *n[many].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64())], names=["m", "n"])
+
+    counts = common.landed(texts.mapInArrow(reported, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")), "substring-counts")
+    total = counts.filter("m IS NULL").first()
+    least = (total["n"] if total else 0) * max(4 / buckets, HEAVY)
+    found = [r["m"] for r in counts.filter((F.col("n") >= least) & F.col("m").isNotNull()).select("m").collect()]
+    common.discard(counts)
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, mini: int = 3, chunk_bytes: int = 4_000_000) -> DataFrame:
     """document_id, n_words, n_removed, kept (the words that stay, joined by one
     space), removed (runs of removed words: first, words)."""
@@ -134,11 +172,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * width) // BUCKET_BYTES + 1)
     kind = docs.schema[id_col].dataType.simpleString()
     wire = "part long, chunk long, a binary, b binary"
+    heavy = heavy_minimisers(docs.select(F.col(text_col).alias("text")), window, mini, buckets, chunk_bytes)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for b in common.chunks(batches, chunk_bytes):
-            p = Packed(numbers(b.column(0)), b.column(1), window, mini, buckets)
+            p = Packed(numbers(b.column(0)), b.column(1), window, mini, buckets, heavy)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema) as writer:
                 writer.write_batch(b)
@@ -164,7 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         text = rows.pop(next(k for k in rows if k < 0))
         held = pa.ipc.open_stream(common.expand(text)).read_all().combine_chunks()
         ids, texts = (held.column(i).combine_chunks() if held.num_rows else pa.array([], held.schema.types[i]) for i in (0, 1))
-        p = Packed(numbers(ids), texts, window, mini, buckets)
+        p = Packed(numbers(ids), texts, window, mini, buckets, heavy)
         base = np.cumsum(p.count) - p.count
         least = np.repeat(p.low, p.count)
         begin = dict(zip(p.bucket[p.cuts[:-1]].tolist(), p.cuts[:-1], strict=True)) if len(p.bucket) else {}

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +40,20 @@ def present(texts: pa.Array, size: int, wanted: np.ndarray | None = None) -> tup
     """(text, feature) pairs, distinct and in order; which texts have words.
     Features are hashed words and their beginnings of PREFIXES bytes."""
     w = common.Words(texts, lower=True, solid=_SOLID)
+    codes, distinct = w.coded()
+    # the features of each distinct word, then those of each text's distinct words
+    of = [[xxhash.xxh3_64_intdigest(x, 0) % size, *(xxhash.xxh3_64_intdigest(x[:p], p) % size for p in PREFIXES if len(x) > p)] for x in distinct]
+    count = np.fromiter(map(len, of), np.int64, len(of))
+    flat = np.fromiter((f for x in of for f in x), np.int64, int(count.sum()))
+    if wanted is not None:
+        on = wanted[flat]
+        count = np.diff(np.append(0, np.cumsum(on))[np.append(0, np.cumsum(count))])
+        flat = flat[on]
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), w.lengths())
-    starts, ends = w.offsets[:-1], w.offsets[1:]
-    pairs = []
-    for p in (0, *PREFIXES):
-        long = np.flatnonzero(ends - starts > p) if p else slice(None)
-        s = starts[long]
-        code = (common.span_hashes(w.packed, s, s + p if p else ends, p) % np.uint64(size)).astype(np.int64)
-        d = doc[long]
-        if wanted is not None:
-            on = wanted[code]
-            code, d = code[on], d[on]
-        pairs.append(np.unique(d * size + code))
-    pair = np.unique(np.concatenate(pairs))
+    seen = np.unique(doc << 32 | codes)
+    doc, codes = seen >> 32, seen & 0xFFFFFFFF
+    code = flat[common.ragged((np.cumsum(count) - count)[codes], count[codes])]
+    pair = np.unique(np.repeat(doc, count[codes]) * size + code)
     return pair // size, pair % size, w.lengths() > 0
 
 

@@ -1,21 +1,27 @@
 """Quality rules (3): adaptive thresholds from mergeable quantile sketches.
 
-Base figures come from whole texts. Four rates (word length, symbols, repeated
-lines, repeated words) go into sketches for each language and source: counts by
-value, values kept to six significant bits, so a quantile is off by a 32nd at
-most. Sketches merge by adding counts; a group with fewer than `least` rows
-takes its thresholds from the merged sketch of its language, and that from the
-merged sketch of all. A rate may lie outside the quartiles by `reach` times
-their distance (or the rate's `floor`, if larger); the thresholds are joined to
-the documents, which are kept or not. With `floors=False` the sketches alone
-decide: where the quartiles coincide, the distance is that from the median to
-the 95th percentile (the 5th on the low side), and a limit is given no more than
-the sketch's resolution beyond that.
-
-Defined results: a null text has no words and fails the base rules; a null
-language or source is a group of its own; repeated rows are judged alike;
+Base figures come from whole texts; words, lines and windows are compared by
+their bytes. Four rates (word length, symbols, repeated lines, repeated words)
+go into sketches for each language and source: counts by value, values kept to
+six significant bits, so a quantile is off by a 32nd at most. Sketches merge by
+adding counts, first to those of a language, then to that of all rows.
+
+Each group has thresholds of its own at every size: its quantile q over n rows
+moves towards the quantile p of the level above as if `prior` more rows had it,
+(n q + prior p) div (n + prior), where p has moved towards the level above it
+alike. A rate may lie above the upper quartile by `reach` times the larger of
+the distances between the quartiles and from the median to the 95th percentile,
+plus the sketch's resolution there; word length may lie below the lower quartile
+by as much, with the 5th percentile. No cutoff is fixed. The thresholds are
+joined to the documents, which are kept or not.
+
+Defined results: a null or empty text has no words and fails the base rules; a
+text of any length is measured whole; a null language or source is a group of
+its own; repeated rows are judged alike; a rate equal to its threshold is
+inside, and of equal values the quantile takes the first that reaches its share;
 groups without documents that pass the base rules get no thresholds and need
-none; other columns are not read.
+none; an empty table gives no rows; other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -31,24 +37,26 @@ from . import common
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-#: rate: (expression over the base figures, in integers; floor; low side too)
+#: rate: (expression over the base figures, in integers; low side too)
 RATES = {
-    "length": ("word_chars * 1000 div greatest(n_words, 1)", 400, True),
-    "symbols": ("n_symbols * 1000000 div greatest(word_chars, 1)", 20_000, False),
-    "lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 100, False),
-    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100, False),
+    "length": ("word_chars * 1000 div greatest(n_words, 1)", True),
+    "symbols": ("n_symbols * 1000000 div greatest(word_chars, 1)", False),
+    "lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", False),
+    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", False),
 }
+#: name: (at least this share of the rows is no greater)
+QUANTILES = {"q05": (1, 20), "q1": (1, 4), "q50": (1, 2), "q3": (3, 4), "q95": (19, 20)}
 
 
 def repeated_words(words: common.Words, k: int = 3) -> np.ndarray:
     """Of each text: words in k-word windows found twice or more in it."""
     doc = np.repeat(np.arange(len(words.bounds) - 1), words.lengths())
-    h = common.rolled(common.word_hashes(words), k)
-    at = np.flatnonzero(doc[: len(h)] == doc[k - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
-    key = common.mixed(h[at] ^ (doc[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    window = common.run_ranks(words.coded()[0], k)
+    at = np.flatnonzero(doc[: len(window)] == doc[k - 1 :][: len(window)]) if len(window) else np.zeros(0, np.int64)
+    key = doc[at] << 32 | window[at]
     by = np.argsort(key, kind="stable")
-    same = (key[by][1:] == key[by][:-1]) & (doc[at[by]][1:] == doc[at[by]][:-1])
-    twice = at[by[np.append(False, same) | np.append(same, False)]] if len(at) else at
+    again = key[by][1:] == key[by][:-1]
+    twice = at[by[np.append(False, again) | np.append(again, False)]] if len(at) else at
     change = np.bincount(twice, minlength=words.n + k + 1).astype(np.int64)
     change[k:] -= np.bincount(twice, minlength=words.n + k + 1)[:-k]
     covered = np.cumsum(change)[: words.n] > 0
@@ -58,19 +66,19 @@ def repeated_words(words: common.Words, k: int = 3) -> np.ndarray:
 def repeated_lines(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     """(lines with a word, those equal to an earlier one) of each text."""
     data, at, n = words.data, words.at, len(words.at) - 1
-    feed = np.flatnonzero(data == 10)
-    starts = np.unique(np.concatenate([at[:-1], feed + 1]))
+    starts = np.unique(np.concatenate([at[:-1], np.flatnonzero(data == 10) + 1]))
     starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
+    edges = np.append(starts, len(data))
     doc = np.searchsorted(at, starts, side="right") - 1
-    full = np.append(0, np.cumsum(~common._WS[data]))
-    some = full[ends] > full[starts]
-    starts, ends, doc = starts[some], ends[some], doc[some]
-    ends = ends - (data[ends - 1] == 10)
-    h1, h2 = common.span_hashes(data, starts, ends, 1), common.span_hashes(data, starts, ends, 2)
-    by = np.lexsort((h2, h1, doc))
-    same = (doc[by][1:] == doc[by][:-1]) & (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
-    return np.bincount(doc, minlength=n), np.bincount(doc[by][1:][same], minlength=n)
+    full = np.append(0, np.cumsum(~common._WS[data]))[edges]
+    some = full[1:] > full[:-1]
+    inside = data != 10
+    offsets = np.append(0, np.cumsum(inside))[edges]
+    lines = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    code = lines.filter(pa.array(some)).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = doc[some]
+    total = np.bincount(doc, minlength=n)
+    return total, total - np.bincount(np.unique(doc << 32 | code) >> 32, minlength=n)
 
 
 def base_figures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chunk_bytes: int = 4_000_000) -> DataFrame:
@@ -94,48 +102,43 @@ def base_figures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sou
 def sketches(figures: DataFrame) -> DataFrame:
     """lang, source, rate, value (to six significant bits), n."""
     spare = "greatest(0, length(bin(v)) - 6)"
-    rates = F.array(*[F.struct(F.lit(k).alias("rate"), F.expr(e).alias("v")) for k, (e, _, _) in RATES.items()])
+    rates = F.array(*[F.struct(F.lit(k).alias("rate"), F.expr(e).alias("v")) for k, (e, _) in RATES.items()])
     each = figures.select("lang", "source", F.explode(rates).alias("r")).select("lang", "source", "r.rate", "r.v")
     return each.withColumn("value", F.expr(f"shiftleft(shiftright(v, {spare}), {spare})")).groupBy("lang", "source", "rate", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, least: int, reach: float, floors: bool = True) -> DataFrame:
+def thresholds(sketch: DataFrame, prior: int, reach: float) -> DataFrame:
     """lang, source, rate, lo, hi of every group that has a sketch."""
 
-    def quartiles(s: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    def quantiles(s: DataFrame, keys: list[str], tag: str) -> DataFrame:
         s = s.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "rate")
         s = s.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
-        reached = lambda of, part: F.min(F.when(F.col("upto") * of >= F.col("all") * part, F.col("value")))
-        points = [("q1", 4, 1), ("q3", 4, 3)] + [("q05", 20, 1), ("q50", 2, 1), ("q95", 20, 19)] * (not floors)
-        return s.groupBy(*keys, "rate").agg(F.max("all").alias(f"n_{tag}"), *[reached(of, part).alias(f"{q}_{tag}") for q, of, part in points])
+        reached = lambda part, of: F.min(F.when(F.col("upto") * of >= F.col("all") * part, F.col("value")))
+        return s.groupBy(*keys, "rate").agg(F.max("all").alias(f"n_{tag}"), *[reached(*share).alias(f"{q}_{tag}") for q, share in QUANTILES.items()])
 
-    own, lang, every = quartiles(sketch, ["lang", "source"], "own"), quartiles(sketch, ["lang"], "lang"), quartiles(sketch, [], "all")
+    own, lang, every = quantiles(sketch, ["lang", "source"], "own"), quantiles(sketch, ["lang"], "lang"), quantiles(sketch, [], "all")
     lang = lang.withColumnsRenamed({"lang": "lang_of", "rate": "rate_of"})
     t = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_of")) & (F.col("rate") == F.col("rate_of"))).join(every, "rate")
-    pick = lambda q: F.when(F.col("n_own") >= least, F.col(f"{q}_own")).when(F.col("n_lang") >= least, F.col(f"{q}_lang")).otherwise(F.col(f"{q}_all"))
-    t = t.withColumn("q1", pick("q1")).withColumn("q3", pick("q3"))
-    low = F.create_map(*[F.lit(x) for k, (_, _, both) in RATES.items() for x in (k, both)])[F.col("rate")]
-    if floors:
-        floor = F.create_map(*[F.lit(x) for k, (_, f, _) in RATES.items() for x in (k, f)])[F.col("rate")]
-        below = above = F.greatest(F.col("q3") - F.col("q1"), floor) * reach
-    else:
-        between, fine = F.col("q3") - F.col("q1"), lambda q: F.floor(F.col(q) / 32)
-        above = F.when(between > 0, between).otherwise(pick("q95") - pick("q50")) * reach + fine("q3")
-        below = F.when(between > 0, between).otherwise(pick("q50") - pick("q05")) * reach + fine("q1")
+    for q in QUANTILES:
+        t = t.withColumn(f"{q}_lang", F.expr(f"(n_lang * {q}_lang + {prior} * {q}_all) div (n_lang + {prior})"))
+        t = t.withColumn(q, F.expr(f"(n_own * {q}_own + {prior} * {q}_lang) div (n_own + {prior})"))
+    low = F.create_map(*[F.lit(x) for k, (_, both) in RATES.items() for x in (k, both)])[F.col("rate")]
+    above = F.greatest(F.expr("q3 - q1"), F.expr("q95 - q50")) * reach + F.expr("q3 div 32")
+    below = F.greatest(F.expr("q3 - q1"), F.expr("q50 - q05")) * reach + F.expr("q1 div 32")
     return t.select("lang", "source", "rate", F.when(low, F.col("q1") - below).alias("lo"), (F.col("q3") + above).alias("hi"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200, reach: float = 3.0, floors: bool = True) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: int = 50, reach: float = 3.0) -> DataFrame:
     """id, lang, source, the base figures, base_failed, kept."""
     figures = base_figures(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     figures = common.landed(figures.withColumn("base_failed", failed), "quality-figures")
-    limits = thresholds(sketches(figures.filter("not base_failed")), least, reach, floors)
+    limits = thresholds(sketches(figures.filter("not base_failed")), prior, reach)
     wide = limits.groupBy("lang", "source").agg(*[f(F.when(F.col("rate") == k, F.col(c))).alias(f"{c}_{k}") for k in RATES for c, f in (("lo", F.max), ("hi", F.max))])
     wide = wide.withColumnsRenamed({"lang": "lang_of", "source": "source_of"})
     rows = figures.join(wide, figures["lang"].eqNullSafe(wide["lang_of"]) & figures["source"].eqNullSafe(wide["source_of"]), "left")
     inside = F.lit(True)
-    for k, (e, _, _) in RATES.items():
+    for k, (e, _) in RATES.items():
         inside = inside & F.coalesce(F.expr(e) >= F.col(f"lo_{k}"), F.lit(True)) & F.coalesce(F.expr(e) <= F.col(f"hi_{k}"), F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & inside).select(*figures.columns, "kept")

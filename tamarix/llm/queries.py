@@ -75,15 +75,19 @@ WITH d AS (
 ), c AS (
     SELECT *, sum(n) OVER (PARTITION BY k, lang, source, rate ORDER BY value) AS upto, sum(n) OVER (PARTITION BY k, lang, source, rate) AS total FROM q
 ), h AS (
-    SELECT k, lang, source, rate, max(total) AS total, min(value) FILTER (4 * upto >= total) AS q1, min(value) FILTER (4 * upto >= 3 * total) AS q3 FROM c GROUP BY k, lang, source, rate
+    SELECT k, lang, source, rate, max(total) AS total, min(value) FILTER (20 * upto >= total) AS q05, min(value) FILTER (4 * upto >= total) AS q1, min(value) FILTER (2 * upto >= total) AS q50, min(value) FILTER (4 * upto >= 3 * total) AS q3, min(value) FILTER (20 * upto >= 19 * total) AS q95
+    FROM c GROUP BY k, lang, source, rate
+), m AS (
+    SELECT l.lang, l.rate, (l.total * l.q05 + 50 * e.q05) // (l.total + 50) AS q05, (l.total * l.q1 + 50 * e.q1) // (l.total + 50) AS q1, (l.total * l.q50 + 50 * e.q50) // (l.total + 50) AS q50, (l.total * l.q3 + 50 * e.q3) // (l.total + 50) AS q3, (l.total * l.q95 + 50 * e.q95) // (l.total + 50) AS q95
+    FROM h AS l JOIN h AS e ON l.k = 1 AND e.k = 2 AND e.rate = l.rate
 ), p AS (
-    SELECT o.lang, o.source, o.rate, CASE WHEN o.total >= 200 THEN o.q1 WHEN l.total >= 200 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN o.total >= 200 THEN o.q3 WHEN l.total >= 200 THEN l.q3 ELSE e.q3 END AS q3
-    FROM h AS o JOIN h AS l ON o.k = 0 AND l.k = 1 AND l.rate = o.rate AND l.lang IS NOT DISTINCT FROM o.lang JOIN h AS e ON e.k = 2 AND e.rate = o.rate
+    SELECT o.lang, o.source, o.rate, (o.total * o.q05 + 50 * m.q05) // (o.total + 50) AS q05, (o.total * o.q1 + 50 * m.q1) // (o.total + 50) AS q1, (o.total * o.q50 + 50 * m.q50) // (o.total + 50) AS q50, (o.total * o.q3 + 50 * m.q3) // (o.total + 50) AS q3, (o.total * o.q95 + 50 * m.q95) // (o.total + 50) AS q95
+    FROM h AS o JOIN m ON o.k = 0 AND m.rate = o.rate AND m.lang IS NOT DISTINCT FROM o.lang
 ), t AS (
-    SELECT *, 3.0 * greatest(q3 - q1, CASE rate WHEN 'length' THEN 400 WHEN 'symbols' THEN 20000 ELSE 100 END) AS room FROM p
+    SELECT *, q3 + 3.0 * greatest(q3 - q1, q95 - q50) + q3 // 32 AS hi, CASE rate WHEN 'length' THEN q1 - 3.0 * greatest(q3 - q1, q50 - q05) - q1 // 32 END AS lo FROM p
 ), bad AS (
     SELECT DISTINCT doc_id FROM v JOIN t ON t.rate = v.rate AND t.lang IS NOT DISTINCT FROM v.lang AND t.source IS NOT DISTINCT FROM v.source
-    WHERE v.v > q3 + room OR (v.rate = 'length' AND v.v < q1 - room)
+    WHERE v.v > hi OR v.v < lo
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
 """
@@ -120,21 +124,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-           substr(md5(doc_id::VARCHAR || '|mix-1'), 1, 12) AS key FROM documents
+           substr(md5(concat_ws('|', doc_id::VARCHAR, md5(coalesce(text, '')), 'mix-1')), 1, 16) AS key FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
 ), w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s
 ), l AS (
     SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
     FROM w WINDOW b AS (ORDER BY cap::DOUBLE / weight::DOUBLE, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), t AS (SELECT source, source_size, least(cap::DOUBLE, weight::DOUBLE * max(level) OVER ()) AS target FROM l
+), t AS (SELECT rank, source, source_size, least(cap::DOUBLE, weight::DOUBLE * max(level) OVER ()) AS target FROM l
 ), o AS (
-    SELECT d.*, source_size, target, (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
+    SELECT d.*, rank, source_size, target, (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (SELECT doc_id, rank, size, target, e * source_size + before + size AS ending FROM o, range(3) AS r(e) WHERE size > 0 AND target > 0
+), q AS (
+    SELECT doc_id, size, coalesce(sum(size) OVER (ORDER BY ending::DOUBLE / target, rank, ending ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before FROM c
+), k AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT sum(size) FROM d) - words_before)))::BIGINT AS taken FROM q GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target,
-       (SELECT coalesce(sum(greatest(0, least(size, floor(target)::BIGINT - (e * source_size + before)))), 0)::BIGINT FROM range(3) AS r(e)) AS taken
-FROM o
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM o LEFT JOIN k USING (doc_id)
 """
 
 

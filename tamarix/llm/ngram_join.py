@@ -1,38 +1,46 @@
 """N-gram Jaccard join (4): multiple-global-order filtering.
 
 Documents whose sets of word shingles have a Jaccard similarity of t or more
-are linked; the result is exact. A set is known by the 128-bit digest of its
-sorted 64-bit shingle hashes, so copies are one set from the start.
+are linked; the result is exact. A shingle travels as a 64-bit hash made from
+XXH3 hashes of its words; a set is known by the 128-bit digest of two such
+hashes of each of its shingles, so copies are one set from the start. Whether
+two sets are linked is decided on the words of a text of each.
 
 Order 1, ascending hash. With d = n - ceil(t n), two linked sets share at least
 min(d + 1 of either) members of their 2 d + 1 first ones. Only these members
 travel: each chunk of documents sends one packed blob to each bucket of
-shingles, which counts in how many documents of all chunks a member occurs and
-sends the shared ones back to the chunk.
+shingles, a member once with its count however many sets of the chunk have it;
+the bucket sums in how many documents of all chunks a member occurs and tells
+the chunk which are shared.
 
 Order 2, ascending document frequency. Of its members under order 1 a document
 keeps those that come first by frequency, as many as the number that must be
 shared leaves necessary; members in one document only are never sent on. Most
-documents end here: too few of their members are shared.
+documents end here: too few of their members are shared. Candidates meet at the
+members kept.
+
+Each set has a sketch of 1024 bits, the parities of its members by hash; two
+sets differ in at least as many members as their sketches in bits, so a pair
+whose sketches differ by more than a link allows goes no further.
 
 Order 3, descending hash. A candidate must also share a member of the d + 1
-last ones before its sets are compared in full.
-
-Candidates meet at members kept under order 2. Each set has a sketch of 1024
-bits, the parities of its members by hash; two sets differ in at least as many
-members as their sketches in bits, so a pair whose sketches differ by more than
-a link allows goes no further. Rounds compare every set of a
-member with one leader of it and merge what is linked; at last all sets of a
-member that are still in different components are compared. So a group of
-thousands of near copies needs few comparisons a set, and no link between
-components is lost. A pair that meets at many members goes out at the first of
-them only (as far as eight of each set's members tell). Components come from alternating large-star and small-star
-steps over tables in the shared folder.
+last ones; only what passes this is joined with the texts and compared.
+
+Rounds compare every set of a member with two leaders of it and merge what is
+linked; at last all sets of a member that are still in different components are
+compared, in blocks. A member with many sets is dealt over tasks in all these
+joins, by the order of its document frequency. So a group of thousands of near
+copies needs few comparisons a set, and no link between components is lost. A
+pair that meets at many members goes out at the first of them only (as far as
+eight of each set's members tell). Components come from alternating large-star
+and small-star steps over the links between the components known so far.
 
 Defined results: null texts and texts without words have the empty set and are
-linked with nothing; texts with fewer words than a shingle are one shingle; a
-null identifier is no label (a component of null identifiers only has none);
-rows may repeat; other columns are not read.
+linked with nothing; texts with fewer words than a shingle are one shingle;
+texts of any length take part whole; a null identifier is no label (a component
+of null identifiers only has none); rows may repeat, those with the same
+identifier are documents of their own; a similarity of exactly t links; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,27 +59,30 @@ from . import common
 TOKENS_A_BUCKET = 1_000_000
 THINNED, FIRST = 8, 8
 SKETCH = [f"s{i}" for i in range(16)]
+#: Sets of a member that one task takes at once.
+BLOCK = 512
 
 
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: pa.Array, k: int) -> tuple[list[np.ndarray], list[bytes], common.Words]:
+    """The sorted distinct shingle hashes of each text, the sets' digests, and
+    the words."""
     words = common.Words(texts, lower=True)
-    h = common.word_hashes(words)
-    of = common.rolled(h, k)
-    out = []
+    own, other = common.word_hashes(words), common.word_hashes(words, 1)
+    of, check = common.rolled(own, k), common.rolled(other, k, salt=2)
+    sets, keys = [], []
     bounds = words.bounds.tolist()
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         n = hi - lo
         if n >= k:
-            s = np.sort(of[lo : hi - k + 1])
-            out.append(s[np.append(True, s[1:] != s[:-1])])
+            h, c = of[lo : hi - k + 1], check[lo : hi - k + 1]
         else:
-            out.append(common.rolled(h[lo:hi], n, salt=1) if n else np.zeros(0, np.uint64))
-    return out
-
-
-def key_of(members: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(members.tobytes())
+            h, c = (common.rolled(own[lo:hi], n, salt=1), common.rolled(other[lo:hi], n, salt=3)) if n else (own[:0], other[:0])
+        by = np.argsort(h, kind="stable")
+        h = h[by]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        sets.append(h[new])
+        keys.append(xxhash.xxh3_128_digest(sets[-1].tobytes() + c[by][new].tobytes()))
+    return sets, keys, words
 
 
 def parities(members: np.ndarray) -> np.ndarray:
@@ -105,120 +116,131 @@ class NgramJaccardJoin:
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.chunks(batches, size):
-                found = shingle_sets(b.column(1), k)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array([key_of(s) for s in found], pa.binary())], names=["id", "n", "key"])
+                found, keys, _ = shingle_sets(b.column(1), k)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(keys, pa.binary())], names=["id", "n", "key"])
 
         return common.landed(self.docs.mapInArrow(keyed, f"id {id_type}, n int, key binary"), "join-sets")
 
     def _scattered(self, buckets: int) -> DataFrame:
-        """Rows (part, chunk, a, b). part >= 0: a bucket's members and their
-        documents' places in the chunk. part < 0: the chunk's keys and sizes."""
+        """Rows (part, chunk, a, b, c). part >= 0: a bucket's members of the
+        chunk, their counts, and the place of the only set that has one, or where
+        in the chunk's list the sets of a member with several begin. part < 0:
+        the chunk's keys, sizes and that list."""
         k, size, percent = self.k, self.chunk_bytes, self.percent
 
         def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk = TaskContext.get().partitionId() << 32
             for b in common.chunks(batches, size):
-                found = {key_of(s): s for s in shingle_sets(b.column(0), k) if len(s)}
+                sets, keys, _ = shingle_sets(b.column(0), k)
+                found = {key: s for key, s in zip(keys, sets, strict=True) if len(s)}
                 sets = list(found.values())
                 n = np.array([len(s) for s in sets], np.int64)
                 first = Bounds(n, percent).first
                 members = np.concatenate([s[:q] for s, q in zip(sets, first.tolist(), strict=True)]) if sets else np.zeros(0, np.uint64)
                 places = np.repeat(np.arange(len(sets), dtype=np.uint32), first)
+                by = np.lexsort((members, members % np.uint64(buckets)))
+                members, places = members[by], places[by]
+                new = np.flatnonzero(np.append(True, members[1:] != members[:-1])[: len(members)])
+                counts = np.diff(np.append(new, len(members)))
+                many = counts > 1
+                held = places[np.repeat(many, counts)]
+                at = np.where(many, np.cumsum(np.where(many, counts, 0)) - counts, places[new]).astype(np.uint32)
+                members, counts = members[new], counts.astype(np.uint32)
                 part = (members % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                members, places, part = members[by], places[by], part[by]
-                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []
-                rows = [(-1 - chunk, chunk, b"".join(found), n.astype(np.uint32).tobytes())]
-                rows += [(int(part[lo]), chunk, members[lo:hi].tobytes(), places[lo:hi].tobytes()) for lo, hi in zip(cut, [*cut[1:], len(part)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "a", "b"])
+                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
+                rows = [(-1 - chunk, chunk, b"".join(found), n.astype(np.uint32).tobytes(), held.tobytes())]
+                rows += [(int(part[lo]), chunk, members[lo:hi].tobytes(), counts[lo:hi].tobytes(), at[lo:hi].tobytes()) for lo, hi in zip(cut, [*cut[1:], len(part)], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "a", "b", "c"])
                 chunk += 1
 
-        return self.docs.select("text").mapInArrow(scatter, "part long, chunk long, a binary, b binary")
+        return self.docs.select("text").mapInArrow(scatter, "part long, chunk long, a binary, b binary, c binary")
 
     def _survivors(self, buckets: int) -> DataFrame:
-        """key, n, members: what a set must be compared by, for sets that share
-        enough members with others."""
+        """key, n, members, grades: what a set must be compared by, for sets that
+        share enough members with others. A grade is 4 log2 of a frequency."""
         percent = self.percent
 
         def counted(t: pa.Table) -> pa.Table:
+            wire = ("chunk", "a", "b", "c", "d")
             if t.column("part")[0].as_py() < 0:
-                return pa.table({"chunk": t.column("chunk"), "a": t.column("a"), "b": t.column("b"), "c": pa.nulls(t.num_rows, pa.binary())})
-            a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+                return pa.table([t.column("chunk"), t.column("a"), t.column("b"), t.column("c"), pa.nulls(t.num_rows, pa.binary())], names=wire)
+            a, b, c = (t.column(x).to_pylist() for x in "abc")
             members = np.concatenate([np.frombuffer(x, np.uint64) for x in a])
-            order = np.argsort(members, kind="stable")
-            new = np.append(True, members[order][1:] != members[order][:-1])
-            counts = np.diff(np.append(np.flatnonzero(new), len(members)))
+            by = np.argsort(members, kind="stable")
+            new = np.append(True, members[by][1:] != members[by][:-1])
+            total = np.add.reduceat(np.concatenate([np.frombuffer(x, np.uint32) for x in b])[by].astype(np.int64), np.flatnonzero(new))
             of = np.empty(len(members), np.int64)
-            of[order] = counts[np.cumsum(new) - 1]
+            of[by] = total[np.cumsum(new) - 1]
             grade = np.minimum(255, 4 * np.log2(of)).astype(np.uint8)
             out, at = [], 0
-            for chunk, x, y in zip(t.column("chunk").to_pylist(), a, b, strict=True):
-                n = len(x) // 8
-                s = slice(at, at + n)
-                common_ones = of[s] > 1
-                if common_ones.any():
-                    out.append((chunk, members[s][common_ones].tobytes(), np.frombuffer(y, np.uint32)[common_ones].tobytes(), grade[s][common_ones].tobytes()))
-                at += n
-            cols = zip(*out, strict=True) if out else ([], [], [], [])
-            return pa.table([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "a", "b", "c"])
+            for chunk, x, y, z in zip(t.column("chunk").to_pylist(), a, b, c, strict=True):
+                s = slice(at, at + len(x) // 8)
+                shared = of[s] > 1
+                if shared.any():
+                    out.append((chunk, members[s][shared].tobytes(), np.frombuffer(y, np.uint32)[shared].tobytes(), np.frombuffer(z, np.uint32)[shared].tobytes(), grade[s][shared].tobytes()))
+                at = s.stop
+            cols = zip(*out, strict=True) if out else ([],) * 5
+            return pa.table([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=wire)
 
         def chosen(t: pa.Table) -> pa.Table:
-            rows = list(zip(*(t.column(c).to_pylist() for c in "abc"), strict=True))
-            keys, sizes = next((x, y) for x, y, z in rows if z is None)
-            n = np.frombuffer(sizes, np.uint32).astype(np.int64)
+            rows = list(zip(*(t.column(c).to_pylist() for c in "abcd"), strict=True))
+            keys, sizes, held = next(x[:3] for x in rows if x[3] is None)
+            n, held = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(held, np.uint32)
             limit = Bounds(n, percent)
-            rows = [x for x in rows if x[2] is not None]
-            members, places, grade = (np.concatenate([np.frombuffer(x[i], kind) for x in rows]) if rows else np.zeros(0, kind) for i, kind in enumerate((np.uint64, np.uint32, np.uint8)))
+            rows = [x for x in rows if x[3] is not None]
+            members, counts, at, grade = (np.concatenate([np.frombuffer(x[i], kind) for x in rows]) if rows else np.zeros(0, kind) for i, kind in enumerate((np.uint64, np.uint32, np.uint32, np.uint8)))
+            places = np.repeat(at, counts)
+            many = np.repeat(counts > 1, counts)
+            places[many] = held[common.ragged(at[counts > 1], counts[counts > 1])]
+            members, grade = np.repeat(members, counts), np.repeat(grade, counts)
             by = np.lexsort((members, grade, places))
-            members, places = members[by], places[by]
+            members, places, grade = members[by], places[by], grade[by]
             met = np.bincount(places, minlength=len(n))
             take = np.where(met >= limit.shared, limit.kept - (limit.first - met), 0)
             take = np.clip(take, 0, met)
             starts = np.cumsum(met) - met
             rows_of = np.flatnonzero(take)
-            picked = members[common.ragged(starts[rows_of], take[rows_of])].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take[rows_of])), pa.int32()), pa.array(picked))
-            return pa.table([pa.array([keys[16 * i : 16 * i + 16] for i in rows_of.tolist()], pa.binary()), pa.array(n[rows_of], pa.int32()), lists], names=["key", "n", "members"])
+            picked = common.ragged(starts[rows_of], take[rows_of])
+            cut = pa.array(np.append(0, np.cumsum(take[rows_of])), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (members[picked].view(np.int64), grade[picked].astype(np.int32))]
+            return pa.table([pa.array([keys[16 * i : 16 * i + 16] for i in rows_of.tolist()], pa.binary()), pa.array(n[rows_of], pa.int32()), *lists], names=["key", "n", "members", "grades"])
 
-        shared = self._scattered(buckets).groupBy("part").applyInArrow(counted, "chunk long, a binary, b binary, c binary")
-        return shared.groupBy("chunk").applyInArrow(chosen, "key binary, n int, members array<long>")
+        shared = self._scattered(buckets).groupBy("part").applyInArrow(counted, "chunk long, a binary, b binary, c binary, d binary")
+        return shared.groupBy("chunk").applyInArrow(chosen, "key binary, n int, members array<long>, grades array<int>")
 
     def _full(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-        """key, all members and the sketch of the wanted sets."""
-        k, size = self.k, self.chunk_bytes
+        """key, the words of a text, the last members and the sketch of the
+        wanted sets."""
+        k, size, percent = self.k, self.chunk_bytes, self.percent
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.chunks(batches, size):
-                found = {key_of(s): s for s in shingle_sets(b.column(0), k)}
-                sketch = np.stack([parities(s) for s in found.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary()), *(pa.array(x) for x in sketch.T.copy())], names=["key", "whole", *SKETCH])
+                found, keys, words = shingle_sets(b.column(0), k)
+                sketch = np.stack([parities(s) for s in found])
+                texts = [squeezed(words, lo, hi) for lo, hi in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
+                ends = [s[len(s) - 1 - (len(s) - -(-len(s) * percent // 100)) :].view(np.int64) for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary()), pa.array(ends, pa.list_(pa.int64())), *(pa.array(x) for x in sketch.T.copy())], names=["key", "whole", "last", *SKETCH])
 
         reps = sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep")).select("rep").distinct()
         # reps grow with the documents: a shuffle at every size
         texts = self.docs.join(reps.hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-        found = texts.mapInArrow(full, "key binary, whole binary, " + ", ".join(f"{c} long" for c in SKETCH)).join(wanted, "key", "left_semi")
+        found = texts.mapInArrow(full, "key binary, whole binary, last array<long>, " + ", ".join(f"{c} long" for c in SKETCH)).join(wanted, "key", "left_semi")
         return common.landed(found.dropDuplicates(["key"]), "join-full")
 
     def _linked(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
-        percent = self.percent
+        """The pairs (a, b, root_a, root_b) that are linked, as (a, b) of the
+        components they join."""
+        percent, k = self.percent, self.k
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = []
-                for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    last = [s[len(s) - (len(s) - -(-len(s) * percent // 100)) - 1 :] for s in (x, y)]
-                    if not len(np.intersect1d(*last, assume_unique=True)):
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
-                yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-        both = pairs.join(full.select(F.col("key").alias("b"), F.col("whole").alias("whole_b")), "b")
-        both = both.join(full.select(F.col("key").alias("a"), F.col("whole").alias("whole_a")), "a")
-        return both.select("a", "b", "whole_a", "whole_b").mapInArrow(linked, "a binary, b binary")
+                yield b.select([0, 1]).take(pa.array(similar(b.column(2), b.column(3), k, percent)))
+
+        side = lambda c, x: full.select(F.col("key").alias(x), F.col(c).alias(f"{c}_{x}"))
+        near = pairs.join(side("last", "b"), "b").join(side("last", "a"), "a").filter(F.arrays_overlap("last_a", "last_b")).drop("last_a", "last_b")
+        both = near.join(side("whole", "b"), "b").join(side("whole", "a"), "a")
+        found = both.select("root_a", "root_b", "whole_a", "whole_b").mapInArrow(linked, "root_a binary, root_b binary")
+        return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
 
     def components(self) -> DataFrame:
         """id, n, component: one row per document."""
@@ -226,20 +248,26 @@ class NgramJaccardJoin:
         total = sets.filter("n > 0").agg(F.sum(F.col("n") * 2 * (100 - self.percent) / 100 + 1).alias("s")).first()["s"] or 0
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total) // TOKENS_A_BUCKET + 1)
         survivors = common.landed(self._survivors(buckets).dropDuplicates(["key"]), "join-survivors")
-        posts = self._posts(survivors)
-        full = self._full(sets, posts.select("key").distinct())
-        first = posts.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(place())), 1, FIRST).alias("first"))
-        posts = common.landed(posts.join(full.drop("whole"), "key").join(first, "key"), "join-sketched")
-        links, tested, roots = None, None, None
+        met = self._posts(survivors)
+        full = self._full(sets, met.select("key").distinct())
+        first = met.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(place())), 1, FIRST).alias("first"))
+        posts = common.landed(met.join(full.drop("whole", "last"), "key").join(first, "key"), "join-sketched")
+        common.discard(survivors, met)
+        roots = None  # of the sets that are linked: key, root
         for nth, last in enumerate([False] * self.rounds + [True]):
-            pairs = self._pairs(posts, roots, nth, last)
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = common.landed(pairs, "join-pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = common.landed(self._linked(pairs, full), "join-links")
-            links = found if links is None else roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(found)
-            roots = connected(links)
+            pairs = common.landed(self._pairs(posts, roots, nth, last), "join-pairs")
+            links = common.landed(self._linked(pairs, full), "join-links")
+            merged = connected(links)
+            common.discard(pairs, links)
+            if roots is None:
+                roots = merged
+                continue
+            higher = merged.select(F.col("key").alias("root"), F.col("root").alias("top"))
+            moved = roots.join(higher, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+            both = common.landed(moved.unionByName(merged.join(roots.select("key"), "key", "left_anti")), "join-roots")
+            common.discard(roots, merged)
+            roots = both
+        common.discard(posts, full)
         lowest = sets.filter("n > 0").groupBy("key").agg(F.min("id").alias("low")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         lowest = common.landed(lowest, "join-lowest")
         named = lowest.join(lowest.groupBy("root").agg(F.min("low").alias("component")), "root").select("key", "component")
@@ -247,40 +275,49 @@ class NgramJaccardJoin:
         return grouped.unionByName(sets.filter("n = 0").select("id", "n", F.col("id").alias("component")))
 
     def _posts(self, survivors: DataFrame) -> DataFrame:
-        """member, key, n; of members with the same sets, one is enough."""
-        all_posts = survivors.select("key", "n", F.explode("members").alias("member"))
-        lists = all_posts.groupBy("member").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("p"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("q")).filter("sets > 1")
-        one = lists.groupBy("sets", "p", "q").agg(F.min("member").alias("member")).select("member")
-        return common.landed(all_posts.join(one, "member"), "join-posts")
+        """member, blocks, block, key, n; of members with the same sets, one is
+        enough. A member's sets are dealt over blocks, as many as its frequency
+        tells."""
+        each = survivors.select("key", "n", F.explode(F.arrays_zip("members", "grades")).alias("of")).select("key", "n", F.col("of.members").alias("member"), F.ceil(F.pow(F.lit(2.0), F.col("of.grades") / 4) / BLOCK).cast("int").alias("blocks"))
+        each = each.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
+        of_key = F.xxhash64("key").cast("decimal(38,0)")
+        lists = each.groupBy("member").agg(F.count(F.lit(1)).alias("sets"), F.max("blocks").alias("blocks"), F.sum(of_key).alias("p"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("q")).filter("sets > 1")
+        one = lists.groupBy("sets", "p", "q").agg(F.min(F.struct("member", "blocks")).alias("of")).select("of.member", F.explode(F.sequence(F.lit(0), F.col("of.blocks") - 1)).alias("block"))
+        return common.landed(each.join(one, ["member", "block"]), "join-posts")
 
     def _pairs(self, posts: DataFrame, roots: DataFrame | None, nth: int, last: bool) -> DataFrame:
-        """Distinct pairs a < b of sets in different components that meet at a
-        member: each with its member's leaders, or all with all."""
-        if roots is None:
-            of = posts.withColumn("root", F.col("key"))
-        else:
-            of = posts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            mixed = of.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("member")
-            of = of.join(mixed, "member", "left_semi")
+        """Distinct pairs a < b, with their components, of sets in different
+        components that meet at a member: each with its member's leaders, or all
+        with all."""
+        of = posts.withColumn("root", F.col("key")) if roots is None else posts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         there = {c: f"{c}_2" for c in ("key", "n", "root", "first", *SKETCH)}
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         if last:
-            others = of.withColumnsRenamed(there)
-            apart = F.col("key") < F.col("key_2")
+            # no pair has both sets in the member's least component: all sets meet those outside of it, in cells
+            sizes = of.groupBy("member", "root").agg(F.count(F.lit(1)).alias("of_root"), F.max("blocks").alias("blocks"))
+            sizes = sizes.groupBy("member").agg(F.min("root").alias("lo"), F.max("blocks").alias("blocks"), F.sum("of_root").alias("sets"), F.min_by("of_root", "root").alias("of_lo")).filter("sets > of_lo")
+            sizes = sizes.select("member", "lo", F.ceil(F.col("sets") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("sets") - F.col("of_lo")) / BLOCK).cast("int").alias("cols"), upto("blocks").alias("block"))
+            open_ = of.join(sizes, ["member", "block"])
+            dealt = lambda c: F.pmod(F.xxhash64("key", F.lit(3)), F.col(c)).cast("int")
+            left = open_.withColumn("row", dealt("rows")).withColumn("col", upto("cols")).select("member", "row", "col", "lo", "key", "n", "root", "first", *SKETCH)
+            right = open_.filter("root <> lo").withColumn("col", dealt("cols")).withColumn("row", upto("rows")).select("member", "row", "col", *there).withColumnsRenamed(there)
+            met, apart = left.join(right, ["member", "row", "col"]), (F.col("root") == F.col("lo")) | (F.col("key") < F.col("key_2"))
         else:
-            # each member has leaders of its own; a round takes some of the members
+            # each member has leaders of its own; a later round takes some of the members
             of = of.filter(F.pmod(F.xxhash64("member", F.lit(nth)), F.lit(THINNED)) == 0) if nth else of
             by = F.xxhash64("member", "key") if nth else F.col("key")
             lead = F.struct("root", "key", "n", "first", *SKETCH)
-            others = of.groupBy("member").agg(F.array_distinct(F.array(F.min_by(lead, by), F.max_by(lead, by))).alias("leads"))
-            others = others.select("member", F.explode("leads").alias("lead")).select("member", "lead.*").withColumnsRenamed(there)
-            apart = F.col("key") != F.col("key_2")
+            leads = of.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("blocks").alias("blocks"), F.array_distinct(F.array(F.min_by(lead, by), F.max_by(lead, by))).alias("leads")).filter("lo <> hi")
+            others = leads.select("member", upto("blocks").alias("block"), "leads").select("member", "block", F.explode("leads").alias("lead")).select("member", "block", "lead.*").withColumnsRenamed(there)
+            met, apart = of.join(others, ["member", "block"]), F.col("key") != F.col("key_2")
         differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"{SKETCH[0]}_2"))))
         near = (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * self.percent) & (differ * (100 + self.percent) <= (F.col("n") + F.col("n_2")) * (100 - self.percent))
-        met = apart & (F.col("root") != F.col("root_2")) & near
+        good = apart & (F.col("root") != F.col("root_2")) & near
         if last:  # a pair goes out where it meets first, as far as `first` tells
-            met = met & (F.coalesce(F.array_min(F.array_intersect("first", "first_2")), place()) >= place())
-        met = of.join(others, "member").filter(met)
-        return met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b")).distinct()
+            good = good & (F.coalesce(F.array_min(F.array_intersect("first", "first_2")), place()) >= place())
+        a, b = F.struct(F.col("key").alias("key"), F.col("root").alias("root")), F.struct(F.col("key_2").alias("key"), F.col("root_2").alias("root"))
+        two = met.filter(good).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        return two.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("root_a"), F.col("b.root").alias("root_b")).distinct()
 
 
 def place() -> Column:
@@ -288,21 +325,57 @@ def place() -> Column:
     return F.xxhash64("member", F.lit(-1))
 
 
-def connected(links: DataFrame, most: int = 60) -> DataFrame:
-    """key, root (the smallest key of its component) of all ends of the links
-    (a, b), by large-star and small-star steps until nothing changes."""
-    seen = None
-    for _ in range(most):
-        ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+def squeezed(words: common.Words, lo: int, hi: int) -> bytes:
+    """Words lo .. hi - 1, joined by one space."""
+    data, at = words.packed, words.offsets[lo : hi + 1]
+    return b" ".join(data[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def similar(a: pa.Array, b: pa.Array, k: int, percent: int) -> np.ndarray:
+    """Which of the pairs of texts (words joined by one space) are linked, by the
+    words themselves."""
+    # a text often is in many pairs
+    texts = pa.concat_arrays([a, b]).dictionary_encode()
+    which = texts.indices.to_numpy(zero_copy_only=False)
+    words = common.Words(texts.dictionary)
+    doc = np.repeat(np.arange(len(words.bounds) - 1), words.lengths())
+    runs = common.run_ranks(words.coded()[0], k)
+    short = words.lengths() < k
+    at = np.flatnonzero((doc[: len(runs)] == doc[k - 1 :][: len(runs)])) if len(runs) else np.zeros(0, np.int64)
+    key = np.unique(doc[at] << 32 | runs[at])
+    edges = np.searchsorted(key >> 32, np.arange(len(words.bounds)))
+    sizes = np.where(short, 1, np.diff(edges))
+    x, y = which[: len(a)].astype(np.int64), which[len(a) :].astype(np.int64)
+    # the members of x's sets, looked up among y's
+    counts = np.diff(edges)[x]
+    pair = np.repeat(np.arange(len(x)), counts)
+    wanted = y[pair] << 32 | (key[common.ragged(edges[x], counts)] & 0xFFFFFFFF)
+    found = np.searchsorted(key, wanted)
+    hit = np.append(key, -1)[found] == wanted
+    both = np.bincount(pair[hit], minlength=len(x))
+    both = np.where(short[x] | short[y], x == y, both)
+    return np.flatnonzero(100 * both >= percent * (sizes[x] + sizes[y] - both))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """key, root (the smallest key of its component) of all ends of the landed
+    links (a, b), by large-star and small-star steps until every key has one
+    link, to a root."""
+    now = links
+    while True:
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ends.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.landed(ends.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "join-large")
         # now u > v always
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        links = common.landed(small.filter("a <> b").distinct(), "join-star")
-        now = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if now == seen:
-            roots = links.select(F.col("a").alias("key"), F.col("b").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
-        seen = now
-    raise RuntimeError("the components did not settle")
+        star = common.landed(small.filter("a <> b").distinct(), "join-star")
+        common.discard(large, now if now is not links else None)
+        now = star
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("up")), F.struct(F.col("b").alias("u"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        # a key with two links up, or with links both ways
+        if ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).filter("ups > 1 or ups = 1 and least = 0").isEmpty():
+            roots = now.select(F.col("a").alias("key"), F.col("b").alias("root"))
+            roots = common.landed(roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct()), "join-merged")
+            common.discard(now)
+            return roots

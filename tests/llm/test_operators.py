@@ -33,12 +33,53 @@ def test_words(texts):
     assert [got[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)] == [brute.words(t) for t in texts]
 
 
-def test_span_hashes_do_not_depend_on_place():
-    text = b"one two one " + b"x" * 70
-    data = np.frombuffer(text * 3, np.uint8)
-    at = np.array([0, 8, len(text), len(text) + 8])
-    h = common.span_hashes(data, at, at + 3)
-    assert len(set(h.tolist())) == 1 and common.span_hashes(data, at[:1], at[:1] + 4)[0] != h[0]
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 13))
+def test_run_ranks_tell_runs_apart(codes, k):
+    got = common.run_ranks(np.array(codes, np.int64), k).tolist()
+    want = [tuple(codes[i : i + k]) for i in range(len(codes) - k + 1)]
+    assert len(got) == len(want) and [got.index(x) for x in got] == [want.index(x) for x in want]
+
+
+def thue_morse():
+    """Two different words that any polynomial hash modulo 2^64 takes for equal."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_two_words_are_taken_for_equal(spark):
+    x, y = thue_morse()
+    w = common.Words(pa.array([x, y]))
+    assert len(set(common.word_hashes(w).tolist())) == 2
+    kinds = "doc_id long, text string, lang string, source string"
+    lines = spark.createDataFrame([(1, f"{x}\n{y}\n{x}", "en", "a")], kinds)
+    assert [(r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.judge(lines).collect()] == [(1, 0)]
+    sets = spark.createDataFrame([(1, f"p q r s {x}", "en", "a"), (2, f"p q r s {y}", "en", "a"), (3, x, "en", "a"), (4, y, "en", "a")], kinds)
+    assert {r["component"] for r in ngram_join.NgramJaccardJoin(sets).components().collect()} == {1, 2, 3, 4}
+    twelve = " ".join("abcdefghijkl")
+    windows = spark.createDataFrame([(1, f"{twelve} {x}", "en", "a"), (2, f"{twelve} {y}", "en", "a"), (3, f"{twelve} {x}", "en", "a")], kinds)
+    assert {r["document_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(windows).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_landed_tables_can_be_removed(spark):
+    mark = common.marked()
+    one = common.landed(spark.range(3).toDF("x"), "test-one")
+    two = common.landed_alone(one.filter("x > 0"), "test-two", mark)
+    assert two.count() == 2 and common.marked() == mark + 1
+    common.discard(two, None, spark.range(1))
+    assert common.marked() == mark
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_path(Unset, "x")
 
 
 # --- exact dedup ---
@@ -197,7 +238,10 @@ def test_mixing(edge, empty, spark):
     by = defaultdict(int)
     for r in taken:
         by[r["source"]] += r["taken"]
-    assert all(abs(by[r["source"]] - r["target"]) <= 1 for r in taken)
+    longest = defaultdict(int)
+    for r in taken:
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    assert all(abs(by[r["source"]] - r["target"]) <= longest[r["source"]] for r in taken) and sum(by.values()) == sum(sizes)
     mixed = m.documents()
     assert mixed.columns == edge.columns
     assert sum(len(brute.words(r["text"])) for r in mixed.collect()) == sum(by.values())
@@ -208,6 +252,34 @@ def test_mixing(edge, empty, spark):
     assert order == sorted(order)
 
 
+def test_mixing_by_finish_times(spark):
+    """Against a queue served one word after another by hand."""
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.randrange(0, 40), rng.choice(["a", "b", "c", None])) for i in range(150)]
+    m = mixing.Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    order, target = defaultdict(list), {}
+    for r in m.ordered().join(m.sized, ["place", "size"]).select("place", "size", "before", "source", "target").collect():
+        order[r["source"]].append((r["before"], r["place"], r["size"]))
+        target[r["source"]] = r["target"]
+    copies = []
+    for rank, source in enumerate(sorted(order, key=lambda x: (x is None, x))):
+        at = 0
+        for copy in range(3):
+            for before, place, size in sorted(order[source], key=lambda x: (x[0], x[2])):
+                assert size == 0 or before == at - copy * sum(x[2] for x in order[source])
+                at += size
+                if size:
+                    copies.append((at / target[source], rank, at, place, copy, size))
+    left, want = sum(len(t.split()) for _, t, _ in rows), {}
+    for _, _, _, place, copy, size in sorted(copies):
+        if left > 0:
+            want[place, copy] = min(size, left)
+            left -= want[place, copy]
+    entries = m.entries().collect()
+    assert {(r["place"], r["copy"]): r["words"] for r in entries} == want and len(entries) == len(want)
+    assert any(words < size for (_, _, _, place, copy, size) in copies for words in [want.get((place, copy), size)]) or left == 0
+
+
 def test_targets_are_capped(spark):
     rows = [(1, "w " * 10, "a"), (2, "w " * 1000, "b"), (3, "w " * 20, "c"), (4, None, "d"), (5, "w " * 7, None)]
     m = mixing.Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"))
@@ -254,6 +326,7 @@ def test_language(edge, empty, spark, data):
     got = language_id.predict(docs, model).filter(language_id.held_out() & F.col("lang_pred").isin(model.languages))
     right = got.filter("lang = lang_pred").count() / got.count()
     assert right > 0.98
+    print("held-out accuracy", right)
     odd = language_id.predict(edge, model)
     assert odd.columns == [*edge.columns, "lang_pred_", "score_"]
     for r in odd.collect():
@@ -273,6 +346,50 @@ def test_mixtures_are_found(spark):
     assert got[1][0] == "fr" and 0.5 < got[1][1] < 0.95 and got[2] == ("fr", pytest.approx(1.0, abs=0.02))
 
 
+def plain_mixture(model, text):
+    """(value, proportions) of the best set among those of the 1, 2, .. most
+    present languages, word by word, all sizes tried."""
+    words = [w for w in brute.words(text) if any(c.isalpha() for c in w)]
+    like = np.array([[sum(model.log_p[i][g] for g in language_id.trigrams([w.encode()], model.log_p.shape[1])[0]) for i in range(len(model.languages))] for w in words])
+    top = like.max(1)
+    shares = np.exp(like - top[:, None])
+
+    def em(allowed):
+        p = allowed / allowed.sum()
+        for _ in range(model.steps):
+            each = shares * p
+            p = (each / each.sum(1, keepdims=True)).mean(0)
+        return p, (np.log((shares * p).sum(1)) + top).sum()
+
+    every, _ = em(np.ones(len(model.languages)))
+    by = np.argsort(-every, kind="stable")
+    found = []
+    for k in range(1, len(by) + 1):
+        allowed = np.isin(np.arange(len(by)), by[:k]).astype(float)
+        p, value = em(allowed)
+        found.append((value - k * model.penalty * np.log(len(words) + 1), p))
+    return max(found, key=lambda x: x[0])
+
+
+def test_mixture_is_the_best_of_all_sizes(spark):
+    """Texts of one to four languages and words of none, against all sizes."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    model = language_id.fit(docs)
+    own = {r["lang"]: r["text"].split() for r in docs.filter("n_chars between 1500 and 4000").select("lang", "text").collect()}
+    rng, texts = random.Random(2), []
+    for _ in range(40):
+        langs = rng.sample(sorted(own), rng.randrange(1, len(own) + 1))
+        texts.append(" ".join(w for la in langs for w in own[la][: rng.randrange(5, 200)]) + " xq zzk" * rng.randrange(3))
+    names, scores, _, mixtures = model.predict(pa.array(texts))
+    several = 0
+    for text, name, score, mixture in zip(texts, names, scores, mixtures, strict=True):
+        _, p = plain_mixture(model, text)
+        assert name == model.languages[int(np.argmax(p))] and score == pytest.approx(p.max(), abs=1e-6)
+        assert {m["lang"]: pytest.approx(m["share"], abs=1e-6) for m in mixture} == {la: x for la, x in zip(model.languages, p.tolist(), strict=True) if x > 0}
+        several += len(mixture) > 3
+    assert several
+
+
 # --- quality ---
 
 
@@ -297,14 +414,29 @@ def test_quality_thresholds_follow_the_data(spark):
     assert quality_rules.judge(every).filter("kept").count() == 300  # where all have symbols they are no reason
 
 
-def test_quality_thresholds_without_floors(spark):
-    """A tenth of the lines repeated, where none are usual: within the floor."""
+def test_quality_thresholds_move_towards_the_level_above(spark):
+    """A large group keeps its own, a small one is near its language's, and that
+    of a rare language near those of all."""
+    text = lambda i, n: " ".join(f"{'w' * n}{(i * 7 + j * 3) % 900}" for j in range(80))
+    groups = [("en", "a", 4, 2000), ("en", "b", 9, 2000), ("en", "c", 20, 5), ("de", "a", 15, 3)]
+    rows = [(g * 10_000 + i, text(i, n), la, so) for g, (la, so, n, m) in enumerate(groups) for i in range(m)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    figures = quality_rules.base_figures(df, "doc_id", "text", "lang", "source")
+    sketch = quality_rules.sketches(figures)
+    t = {(r["lang"], r["source"]): r["hi"] for r in quality_rules.thresholds(sketch, 50, 3.0).filter("rate = 'length'").collect()}
+    assert t["en", "a"] < 9000 < t["en", "b"] < 13_500  # of their own words, not those of the other
+    own = {(r["lang"], r["source"]): r["hi"] for r in quality_rules.thresholds(sketch, 0, 3.0).filter("rate = 'length'").collect()}
+    assert own["en", "c"] > 22_000 and own["de", "a"] > 17_000  # without a prior: their own words only
+    assert t["en", "c"] != own["en", "c"] and t["de", "a"] != own["de", "a"] and t["en", "c"] != t["de", "a"]
+
+
+def test_quality_has_no_fixed_cutoff(spark):
+    """A tenth of the lines repeated: junk where none are usual, usual elsewhere."""
     text = lambda i, again: "\n".join(" ".join(f"word{(i * 7 + j * 9 + k) % 900}" for k in range(9)) for j in [*range(10 - again), *range(again)])
     rows = [(i, text(i, int(i >= 300)), "en", "a") for i in range(310)] + [(1000 + i, text(i, i % 3), "de", "b") for i in range(310)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    kept = lambda **how: {r["id"] for r in quality_rules.judge(df, **how).filter("kept").collect()}
-    assert kept() == {r[0] for r in rows}
-    assert kept(floors=False) == {r[0] for r in rows} - set(range(300, 310))
+    kept = {r["id"] for r in quality_rules.judge(df, prior=1).filter("kept").collect()}
+    assert kept == {r[0] for r in rows} - set(range(300, 310))
 
 
 # --- lines ---

@@ -6,9 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship
+
 #: White space that separates words everywhere here: space and \x09-\x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows with whole texts or sets go to Python in batches of so many bytes.
@@ -26,23 +26,6 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="tamarix-")) / "tamarix.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(name))
-    _SHIPPED.add(sc.applicationId)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -174,10 +157,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(words: Words, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word: XXH3 of each distinct one's bytes."""
-    codes, distinct = words.coded()
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))[codes]
+#: Masks of the first 0 .. 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def word_hashes(words: Words, order: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, in one of two independent families: a mix of
+    its length and its bytes, eight at a time; XXH3 for over 16 bytes."""
+    size, at, odd = np.diff(words.offsets), words.offsets[:-1], _ODD[order]
+    data = np.concatenate([words.packed, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # those from each byte on
+    out = mixed((eight[at] & _FIRST[np.minimum(size, 8)]) ^ mixed(size.astype(np.uint64) + odd))
+    more = np.flatnonzero(size > 8)
+    out[more] = mixed(out[more] * odd + (eight[at[more] + 8] & _FIRST[np.minimum(size[more] - 8, 8)]))
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(words.packed[at[i] : at[i] + size[i]].tobytes(), order)
+    return out
 
 
 def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -196,7 +192,7 @@ def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
 def ranks(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
     """A number for each pair, equal for equal pairs only (values under 2^31)."""
     key = (major.astype(np.int64) << 32) | minor
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     key = key[by]
     out = np.empty(len(by), np.int64)
     out[by] = np.cumsum(np.append(False, key[1:] != key[:-1])[: len(by)])

@@ -63,6 +63,11 @@ SKETCH = [f"s{i}" for i in range(16)]
 BLOCK = 512
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def shingle_sets(texts: pa.Array, k: int) -> tuple[list[np.ndarray], list[bytes], common.Words]:
     """The sorted distinct shingle hashes of each text, the sets' digests, and
     the words."""
@@ -77,11 +82,8 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[list[np.ndarray], list[bytes]
             h, c = of[lo : hi - k + 1], check[lo : hi - k + 1]
         else:
             h, c = (common.rolled(own[lo:hi], n, salt=1), common.rolled(other[lo:hi], n, salt=3)) if n else (own[:0], other[:0])
-        by = np.argsort(h, kind="stable")
-        h = h[by]
-        new = np.append(True, h[1:] != h[:-1])[: len(h)]
-        sets.append(h[new])
-        keys.append(xxhash.xxh3_128_digest(sets[-1].tobytes() + c[by][new].tobytes()))
+        sets.append(distinct(h))
+        keys.append(xxhash.xxh3_128_digest(sets[-1].tobytes() + distinct(c).tobytes()))
     return sets, keys, words
 
 

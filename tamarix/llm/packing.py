@@ -4,12 +4,21 @@ Each task tokenises the documents it reads and packs them in groups of at most
 `group_tokens` tokens, without a shuffle: overlong documents are first cut into
 full windows, then the remainders go, longest first, to the open window with the
 least room that still takes them. A segment tree over the remaining capacities
-finds that window in log2(window) steps. A group's memory is bounded; its last
-windows are the only ones left with room.
-
-Defined results: a null or empty text is the end token alone; a null identifier
-stays null; repeated rows are packed as often as they occur; an empty table
-gives no pieces.
+finds that window in log2(window) steps. A group's memory is bounded, but for a
+single longer document, which is a group of its own.
+
+Windows of a group that keep more than a 256th of room are opened again: of
+their pieces only number and length are shuffled, into groups of `group_tokens`
+again, packed alike, and joined back. So the fill doesn't depend on how the
+table is divided; the last windows of these larger groups are the only ones left
+with much room.
+
+Defined results: a null or empty text is the end token alone; a text of any
+length is tokenised whole and cut into as many windows as it takes; identifiers
+are integers (others are cast), a null one stays null; repeated rows are packed
+as often as they occur; of equal lengths the piece read first goes first, of
+equally tight windows the one opened last; an empty table gives no pieces; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
+#: Windows with more room than window // OPEN are packed again.
+OPEN = 256
+#: Sequences that are packed again are numbered from here.
+AGAIN = 1 << 62
 SCHEMA = "document_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -85,16 +99,22 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
 
 
 class WordIds:
-    """Token ids of words, kept per Python worker. White space never gets into a
-    token of a tokenizer that drops it, so a text's ids are its words' ids."""
+    """Token ids of words, kept per Python worker. A text's ids are its words'
+    ids if the tokenizer drops white space and joins no words; that is tried."""
 
     MOST = 1_500_000
+    PROBES = ("one two", " one\n\ntwo\tthree  4,five ", "a\r\nb\x0bc\x0cd", "x\n", "né — 12 345 z’y\n#tag", "")
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        for probe in self.PROBES:
+            words = pa.array([probe.encode()], pa.large_binary())
+            if ids(probe) != [i for w in common.Words(words).array.to_pylist() for i in ids(w.decode())]:
+                raise ValueError("the tokenizer's ids of a text are not those of its words")
         self.clear()
 
     def clear(self) -> None:
@@ -150,11 +170,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
     """Pieces: document_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset. The tokenizer (a JSON file of `tokenizers`
     whose pre-tokenizer drops white space) is read here and sent with the task."""
-    common.ship(docs.sparkSession)
+    spark = docs.sparkSession
+    common.ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
     if len(model) > 64_000_000:
         raise ValueError("the tokenizer file is too large to send with the tasks")
+    WordIds(model)  # raises if it doesn't serve
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _LOADED:
@@ -182,12 +204,31 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
         flat, lengths = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
         begins = np.cumsum(lengths) - lengths
         item, start, length, seq, offset = best_fit(lengths, window)
+        again = (window - np.bincount(seq, weights=length) > window // OPEN)[seq]
         for lo in range(0, len(item), 2000):
             s = slice(lo, lo + 2000)
             part = flat[common.ragged(begins[item[s]] + start[s], length[s])].astype("<u4")
             cut = (np.append(0, np.cumsum(length[s])) * 4).astype(np.int32)
             ids = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(part)])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(item[s])), pa.array(start[s]), pa.array(length[s]), ids, pa.array(lengths[item[s]]), pa.array(seq[s] + base), pa.array(offset[s])], names=["document_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-        return base + int(seq.max()) + 1
-
-    return docs.selectExpr(f"cast(`{id_col}` as long) as document_id", f"`{text_col}` as text").mapInArrow(packed, SCHEMA)
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(item[s])), *map(pa.array, (start[s], length[s])), ids, *map(pa.array, (lengths[item[s]], seq[s] + base, offset[s], np.arange(base + lo, base + lo + len(cut) - 1), again[s]))],
+                names=["document_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "piece", "again"],
+            )
+        return base + len(item)
+
+    def repacked(t: pa.Table) -> pa.Table:
+        piece = t.column("piece").to_numpy()
+        by = np.argsort(piece)
+        piece = piece[by]
+        item, _, _, seq, offset = best_fit(t.column("length").to_numpy()[by], window)
+        first = AGAIN + (t.column("part")[0].as_py() << 32)
+        return pa.table([pa.array(piece[item]), pa.array(seq + first), pa.array(offset)], names=["piece", "sequence_id", "offset"])
+
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) as document_id", f"`{text_col}` as text")
+    pieces = common.landed(rows.mapInArrow(packed, f"{SCHEMA}, piece long, again boolean"), "pack-pieces")
+    out = ["document_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    opened = pieces.filter("again")
+    parts = (opened.agg(F.sum("length").alias("n")).first()["n"] or 0) // group_tokens + 1
+    dealt = opened.select("piece", "length", F.pmod(F.xxhash64("piece"), F.lit(parts)).alias("part"))
+    found = dealt.groupBy("part").applyInArrow(repacked, "piece long, sequence_id long, offset long")
+    return pieces.filter("not again").select(*out).unionByName(opened.drop("sequence_id", "offset").join(found, "piece").select(*out))

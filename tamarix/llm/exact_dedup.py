@@ -6,13 +6,19 @@ Structured Streaming query reads the landed files; its keyed state, in RocksDB
 and without expiry, retains per digest the smallest stable identifier, that
 row's locator and the number of rows. Rows of one digest are combined in each
 task before they are sent to the state, so a hot group costs one row a task.
-Digests met more than once are hits: their full texts are fetched and grouped
-by all bytes, so texts that only share a digest stay apart.
 
-Defined results: a null text counts as empty; a null identifier sorts after
-all others; of rows with equal text and equal identifier, the first landed one
-stays; an empty table gives an empty result; other columns are left alone,
-whatever their names.
+Digests met more than once are hits: all bytes of their texts are grouped, and a
+digest with two texts is taken apart by them, so texts that only share a digest
+stay apart. The row at the locator of its group's first stays.
+
+A digest with a `HOT`-th of all rows or more is hot. There are `HOT` of them at
+most, so they are broadcast: a hot group's texts are combined in each task and
+none of its rows is sent to one place.
+
+Defined results: a null text counts as empty; texts of any length are compared
+whole; a null identifier sorts after all others; of rows with equal text and
+equal identifier, the first landed one stays; an empty table gives an empty
+result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Hot digests are broadcast; so many can there be, of so many rows at least.
+HOT, HOT_ROWS = 10_000, 1000
 #: Without preallocation a state partition takes the disk of its rows alone.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -54,7 +62,7 @@ class ExactDedup:
         held.write.option("compression", "zstd").parquet(self.path)
         self.schema = held.schema
         self.landed = self.spark.read.schema(self.schema).parquet(self.path)
-        self.state = self._streamed(files_per_batch)
+        self.state = common.landed(self._streamed(files_per_batch), "exact-digests")
 
     def _streamed(self, files_per_batch: int) -> DataFrame:
         """The state after the stream has read all landed files."""
@@ -83,16 +91,27 @@ class ExactDedup:
         )
 
     def rows(self) -> DataFrame:
+        total = self.state.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+        bar = max(HOT_ROWS, total // HOT + 1)
+        hot = F.broadcast(self.state.filter(F.col("group_size") >= bar))  # HOT rows at most
+        cold = self.state.filter(F.col("group_size") < bar)
         held = self.landed.select(F.col(self.id_col).alias("document_id"), F.col(self.row).alias("locator"), F.col(self.dig).alias("digest"))
+        of = held.join(hot, "digest").unionByName(held.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
+        texts = self._texts()
+        # hot texts are combined before they are sent, others after the one exchange by digest
+        met = [texts.join(hot, "digest"), texts.join(hot.select("digest"), "digest", "left_anti").join(cold.filter("group_size > 1"), "digest")]
+        several = [x.groupBy("digest", normalised("text").alias("bytes")).agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("texts")).filter("texts > 1").select("digest") for x in met]
+        split = common.landed(several[0].unionByName(several[1]), "exact-split")
         out = ("document_id", "locator", "first", "group_size", "digest")
-        singles = held.join(self.state.filter("group_size = 1"), "digest").select(*out)
-        hits = self.state.filter("group_size > 1").select("digest")
-        texts = self.landed.select(F.col(self.id_col).alias("document_id"), F.col(self.row).alias("locator"), F.col(self.dig).alias("digest"), normalised(self.text_col).alias("bytes"))
-        checked = common.landed(texts.join(hits, "digest"), "exact-hits")
-        first = F.struct(F.col("document_id").isNull().alias("no_id"), F.col("document_id").alias("id"), F.col("locator"))
-        classes = checked.groupBy("digest", "bytes").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        copies = checked.join(classes, ["digest", "bytes"]).select(*out)
-        return singles.unionByName(copies).select("document_id", "locator", F.col("first.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), "digest")
+        if not split.isEmpty():  # a digest with several texts
+            checked = common.landed(texts.join(split, "digest").withColumn("bytes", normalised("text")).drop("text"), "exact-checked")
+            first = F.struct(F.col("document_id").isNull().alias("no_id"), F.col("document_id").alias("id"), F.col("locator"))
+            classes = checked.groupBy("digest", "bytes").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
+            of = of.join(split, "digest", "left_anti").select(*out).unionByName(checked.join(classes, ["digest", "bytes"]).select(*out))
+        return of.select("document_id", "locator", F.col("first.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), "digest")
+
+    def _texts(self) -> DataFrame:
+        return self.landed.select(F.col(self.id_col).alias("document_id"), F.col(self.row).alias("locator"), F.col(self.dig).alias("digest"), F.col(self.text_col).alias("text"))
 
     def kept_documents(self) -> DataFrame:
         dropped = self.rows().filter("not kept").select(F.col("locator").alias(self.row))

@@ -8,13 +8,19 @@ words and beginnings of words: the `most_words` of them that separate its
 category best, by at least `least_z` standard deviations.
 
 The models are fit on at most `most_rows` labelled rows, the first by the hash
-of their identifier; only their hashed words come to the driver. All documents
+of their identifier, and at most `most_features` hashed words of each, the least
+ones; only these come to the driver (four bytes each). Rows with the same words
+are in the same fold, so no copy of a row tells its probability. All documents
 are scored, in whole texts.
 
-Defined results: a null text or one without words has probability 0 in every
-category; labelled rows without identifier, text or any label are not learned
-from; several labels of an identifier count by the largest; a category whose
-labels are all equal is predicted at that rate; repeated rows score alike.
+Defined results: a null or empty text or one without words has probability 0 in
+every category; a text of any length is scored whole; labelled rows without
+identifier, text or any label are not learned from; several labels of an
+identifier count by the largest, of several texts any one is learned from; of
+equally telling words those with the least hash come first, and a probability
+equal to the threshold calls the category; a category whose labels are all equal
+is predicted at that rate; repeated rows score alike; an empty table gives no
+rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -142,7 +148,7 @@ class Chain:
         return np.where(has[:, None], out, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000, size: int = 1 << 20, most_words: int = 300, ridge: float = 0.3, least_z: float = 4.0, folds: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000, most_features: int = 4000, size: int = 1 << 20, most_words: int = 300, ridge: float = 0.3, least_z: float = 4.0, folds: int = 5) -> Chain:
     common.ship(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)])
     known = known.na.drop().orderBy(F.xxhash64("id"), "id").limit(most_rows)
@@ -153,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         for b in common.chunks(batches, 4_000_000):
             doc, code, _ = present(b.column(0), size)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            blobs = [code[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+            blobs = [code[lo : min(hi, lo + most_features)].astype(np.int32).tobytes() for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), *b.columns[1:]], names=["words", "id", *ys])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -163,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     n = len(lists)
     doc, code = np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int64)
     chain, early = Chain(categories, size), np.zeros((n, 0))
-    fold = np.arange(n) % folds
+    fold = np.array([xxhash.xxh3_64_intdigest(r["words"]) % folds for r in got], np.int64)
     for y_col in ys:
         y = np.array([r[y_col] for r in got], float)
         chain.models.append(fit_linear(doc, code, n, y, logit(early), size, most_words, ridge, least_z))

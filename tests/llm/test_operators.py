@@ -1,6 +1,7 @@
 """Each operator against a plain version, on odd rows and on none."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -41,6 +42,15 @@ def test_run_ranks_tell_runs_apart(codes, k):
     assert len(got) == len(want) and [got.index(x) for x in got] == [want.index(x) for x in want]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=20).filter(lambda b: not set(b) & {9, 10, 11, 12, 13, 32}), min_size=1, max_size=20))
+def test_word_hashes_tell_words_apart(words):
+    w = common.Words(pa.array([b" ".join(words), b"zzz " + b"  ".join(words[::-1])], pa.large_binary()))
+    for order in (0, 1):
+        got = common.word_hashes(w, order).tolist()
+        assert got[: len(words)] == got[len(words) + 1 :][::-1] and len(set(got)) == len({*words, b"zzz"})
+
+
 def thue_morse():
     """Two different words that any polynomial hash modulo 2^64 takes for equal."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
@@ -98,6 +108,18 @@ def test_exact_dedup_checks_full_bytes(edge):
     same([(r["document_id"], r["keep_id"], r["group_size"]) for r in rows], brute.exact(PAIRS))
 
 
+def test_exact_dedup_of_hot_groups(spark, monkeypatch):
+    """Hot groups, one of them of two texts with one digest, take the other way."""
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    rows = [(i, f"text {'a' if i % 2 else 'b  '}") for i in range(60)] + [(100 + i, f"own {i}") for i in range(30)] + [(200 + i, "pair") for i in range(2)]
+    weak = lambda norm: F.when(F.startswith(norm, F.lit("text")), F.lpad(F.lit("7"), 64, "0")).otherwise(F.sha2(norm, 256))
+    for digest in (exact_dedup.sha256, weak):
+        got = exact_dedup.ExactDedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=digest).rows().collect()
+        same([(r["document_id"], r["keep_id"], r["group_size"]) for r in got], brute.exact(rows))
+        assert sum(r["kept"] for r in got) == 33
+
+
 def test_exact_dedup_keeps_columns(edge, empty):
     kept = exact_dedup.ExactDedup(edge).kept_documents()
     assert kept.columns == edge.columns and kept.count() == len({brute.re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in PAIRS})
@@ -226,6 +248,51 @@ def test_tightest_window():
     assert sum(length) == 38 and len(set(window.tolist())) == 5 and sorted(zip(item.tolist(), start.tolist(), strict=True))[:3] == [(0, 0), (0, 8), (0, 16)]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=40))
+def test_best_fit_decreasing(lengths):
+    """Against looking through all open windows for each item."""
+    window, room, ids, plain = 16, [], [], []
+    for i, n in enumerate(lengths):
+        for k in range(n // window):
+            plain.append((i, k * window, window, len(room), 0))
+            room.append(0)
+    for i, n in sorted(enumerate(lengths), key=lambda x: -(x[1] % window)):
+        n, at = n % window, n // window * window
+        fits = [w for w in range(len(room)) if room[w] >= n]
+        if n and not fits:
+            room.append(window)
+            fits = [len(room) - 1]
+        if n:
+            least = min(room[w] for w in fits)
+            plain.append((i, at, n, least, window - least))
+            # of equally tight windows, the one that got this room last
+            w = next(w for w in reversed(ids) if room[w] == least) if any(room[w] == least for w in ids) else fits[-1]
+            room[w] -= n
+            ids = [x for x in ids if x != w] + [w]
+    item, start, length, seq, offset = packing.best_fit(np.array(lengths, np.int64), window)
+    got = list(zip(item.tolist(), start.tolist(), length.tolist(), offset.tolist(), strict=True))
+    assert sorted(got) == sorted((i, a, n, o) for i, a, n, _, o in plain)
+    assert len(set(seq.tolist())) == len(room)
+
+
+def test_fill_does_not_depend_on_partitions(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.1").select("doc_id", "text")
+    fill = []
+    for parts in (8, 211):
+        n, windows = packing.pack(docs.repartition(parts, "doc_id"), public_tokenizers.path("word_bpe_49k.json"), 2).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+        fill.append(n / (4096 * windows))
+    assert min(fill) > 0.995 and abs(fill[0] - fill[1]) < 0.005
+
+
+def test_a_tokenizer_that_joins_words_is_refused():
+    from tokenizers import Tokenizer, models
+
+    whole = Tokenizer(models.WordLevel({"one two": 0, "?": 1}, unk_token="?"))
+    with pytest.raises(ValueError, match="words"):
+        packing.WordIds(whole.to_str())
+
+
 # --- mixing ---
 
 
@@ -317,6 +384,31 @@ def test_sharding(edge, empty, spark, data):
         sharding.KdShards(edge, shards=12)
 
 
+def test_splits_against_a_plain_tree(spark):
+    """Each node is cut along its widest dimension, nearest to the half of its
+    bytes that a cut between two of its points can be (within the tolerance)."""
+    rng = random.Random(8)
+    rows = [(i * 3, "x" * rng.randrange(1, 4000) + str(i), rng.choice(["en", "de"]), f"s{rng.randrange(4)}") for i in range(500)] + [(9000 + i, "copy", "en", "s1") for i in range(40)]
+    k = sharding.KdShards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=8, tolerance=0.0)
+    leaf = {r["point"]: r["node"] for r in k.build().collect()}
+    points = [r.asDict() for r in k.points.collect()]
+    assert len(points) == 501 and sum(p["w"] for p in points) == sum(len(r[1]) + 1 for r in rows)
+    root = {d: max(1, max(p[d] for p in points) - min(p[d] for p in points)) for d in sharding.DIMENSIONS}
+    at = {p["point"]: 0 for p in points}
+    for level in range(3):
+        for node in range(2**level):
+            own = [p for p in points if at[p["point"]] == node and leaf[p["point"]] >> (3 - level) == node]
+            wide = {d: (max(p[d] for p in own) - min(p[d] for p in own)) / root[d] for d in sharding.DIMENSIONS}
+            dim, _ = k.tree[level][node]
+            assert wide[dim] == max(wide.values())
+            left = [p for p in own if leaf[p["point"]] >> (2 - level) == 2 * node]
+            right = [p for p in own if leaf[p["point"]] >> (2 - level) == 2 * node + 1]
+            assert len(left) + len(right) == len(own) and max(p[dim] for p in left) <= min(p[dim] for p in right)
+            total, lw = sum(p["w"] for p in own), sum(p["w"] for p in left)
+            assert abs(2 * lw - total) <= max(p["w"] for p in own)
+        at = {p["point"]: leaf[p["point"]] >> (2 - level) for p in points}
+
+
 # --- language ---
 
 
@@ -458,6 +550,15 @@ def test_templates(spark):
         assert "logged in" not in got[i][0] and "was lost" not in got[i][0] and got[i][0].endswith("short line")
 
 
+def test_very_many_lines(spark):
+    """Linear in the lines, however many are dropped."""
+    text = "\n".join(f"this is the line number {i} of a long text x{i}y" for i in range(160_000)) + "\nan own last line of text"
+    df = spark.createDataFrame([(1, text), (2, text.replace("an own last", "another very last")), (3, "short")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.LineDedup(df).documents().collect()}
+    assert got[1] == (160_001, 0) and got[2][0] == 160_001 and got[2][1] >= 160_000 and time.perf_counter() - began < 30
+
+
 def test_short_lines(spark):
     rows = [(1, "All rights reserved.\nLes.\n\n7\nnot here"), (2, " All  rights reserved.\nLes.\n\n8\nbut here"), (3, None), (4, "Les.\nLes.\n \n7")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -498,6 +599,36 @@ def test_toxicity(edge, empty, spark):
     assert {r["is_toxic"] for r in toxicity.score(edge, none).collect()} == {False}
 
 
+def test_copies_share_a_fold_and_ties_have_an_order(spark):
+    """Every text is there twice: with copies in other folds the random labels
+    would be told from them."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(200)]
+    labels = [rng.randrange(2) for _ in texts]
+    docs = [(i, texts[i % 200]) for i in range(400)]
+    kinds = "doc_id long, text string"
+    chain = toxicity.fit(spark.createDataFrame(docs, kinds), spark.createDataFrame([(i, labels[i % 200]) for i in range(400)], "doc_id long, a int"), ["a"], least_z=0.5)
+    same_again = toxicity.fit(spark.createDataFrame(docs[::-1], kinds).repartition(3), spark.createDataFrame([(i, labels[i % 200]) for i in range(400)], "doc_id long, a int"), ["a"], least_z=0.5)
+    assert chain.models[0].words.tolist() == same_again.models[0].words.tolist() and chain.thresholds == same_again.thresholds
+    p = np.array([0.2, 0.7, 0.7, 0.7, 0.1])
+    assert toxicity.best_threshold(p, np.array([0, 1, 1, 0, 0])) == pytest.approx(0.45)
+
+
+def test_linear_model_against_plain_descent():
+    """The ridge solution has no slope left, by sums over all rows and words."""
+    rng = np.random.default_rng(3)
+    n, size = 120, 40
+    x = (rng.random((n, size)) < 0.2).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.random(n) > 0.9).astype(float)
+    doc, code = np.nonzero(x)
+    m = toxicity.fit_linear(doc, code, n, y, np.zeros((n, 0)), size, 300, 0.3, 0.0)
+    for i, w in enumerate(m.words.tolist()):
+        slope = sum(x[r, w] * (y[r] - 1 / (1 + np.exp(-(m.intercept + sum(m.weights[j] for j, v in enumerate(m.words.tolist()) if x[r, v]))))) for r in range(n))
+        assert slope == pytest.approx(0.3 * m.weights[i], abs=1e-3)
+    chain = toxicity.Chain(["a"], size, [m], [0.5])
+    assert m.raw(doc, code, n, np.zeros((n, 0)), size)[0] == pytest.approx(m.intercept + sum(m.weights[j] for j, v in enumerate(m.words.tolist()) if x[0, v])) and chain.size == size
+
+
 def test_chain_feeds_earlier_categories(spark):
     """The second category is the first one's; only its probability tells."""
     rng = random.Random(1)

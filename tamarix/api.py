@@ -42,15 +42,15 @@ def job_frame(spark: SparkSession, jobs: list[dict]) -> DataFrame:
 
 
 class Taxonomy:
-    """A directory with market_professions.json, official_professions.json and,
-    optionally, context_rules.json."""
+    """A directory with the market's professions, the national nomenclature and,
+    optionally, the conjunctive rules (without that file there are none)."""
 
     def __init__(self, spark: SparkSession, directory: str, rules=None):
         self.spark = spark
-        market = files.read_market(spark, f"{directory}/market_professions.json")
-        official = files.read_official(spark, f"{directory}/official_professions.json")
+        market = files.read_market(spark, f"{directory}/{V.MARKET_FILE}")
+        official = files.read_official(spark, f"{directory}/{V.OFFICIAL_FILE}")
         self.professions = market.unionByName(official).cache()
-        self.rules = V.CONTEXT_RULES if rules is None else rules
+        self.rules = files.read_rules(spark, f"{directory}/{V.RULES_FILE}") if rules is None else rules
 
     def _asked(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([(query,)], "query string")
@@ -147,13 +147,27 @@ def evaluate_classifiable_coverage(index: DataFrame, minimum_coverage_pct: float
     return row | {n: rows_of(d) for n, d in zip(names, quality.coverage_rows(index), strict=True)}
 
 
-def run_golden_audit(taxonomy: Taxonomy, cases: list[dict]) -> dict:
+def run_golden_audit(taxonomy: Taxonomy, cases=V.GOLDEN_CASES) -> dict:
     """cases: name, job, must_include, must_exclude and, optionally, allowed_ids."""
     found = taxonomy.classify_jobs([c["job"] for c in cases])
     rows = [(c["name"], [m["profession_id"] for m in ms], c["must_include"], c["must_exclude"], c.get("allowed_ids") or [], [m["confidence"] for m in ms]) for c, ms in zip(cases, found, strict=True)]
     kinds = "name string, actual array<string>, must_include array<string>, must_exclude array<string>, allowed_ids array<string>, confidences array<string>"
     done = rows_of(quality.golden_audit(taxonomy.spark.createDataFrame(rows, kinds)))
-    return {"cases": done, "passed": sum(r["pass"] for r in done), "failed": sum(not r["pass"] for r in done)}
+    passed = sum(r["pass"] for r in done)
+    return {"cases": done, "passed": passed, "failed": len(done) - passed, "precision_pct": round(passed / len(done) * 100, 2) if done else 100.0}
+
+
+def run_suggestion_audit(taxonomy: Taxonomy, cases=V.SUGGESTION_CASES, required=V.SUGGESTION_REQUIRED, order=V.SUGGESTION_ORDER, limit: int = 50) -> dict:
+    """What suggestions must begin with, must not have, must have, and which of
+    them must come before another."""
+    spark = taxonomy.spark
+    kinds = "query string, top string, forbidden array<string>, label_prefix string, label_part string, required array<string>, first array<string>, then string"
+    rows = [(c["query"], c.get("top"), c.get("forbidden"), c.get("top_label_prefix"), c.get("top_label_contains"), None, None, None) for c in cases]
+    rows += [(q, None, None, None, None, list(ids), None, None) for q, ids in required] + [(q, None, None, None, None, None, list(ids), then) for q, ids, then in order]
+    expected = spark.createDataFrame(rows, kinds)
+    found = suggest.suggest(expected.select("query"), taxonomy.professions, limit)
+    done = rows_of(quality.suggestion_audit(found, expected).select("query", "first_id", "first_label", "got", "pass"))
+    return {"cases": done, "failures": sum(not r["pass"] for r in done)}
 
 
 def audit_index(index: DataFrame) -> dict:

@@ -194,7 +194,7 @@ def page_link_titles(spark, sf):
 
 
 @query(f"""WITH l AS (SELECT n_regionkey::VARCHAR AS scope, n_nationkey AS page, pos, CASE pos WHEN 0 THEN {_uuid_sql('n_nationkey')} ELSE {_uuid_sql('(n_nationkey % 5)')} END AS u FROM nation, (VALUES (0), (1)) AS v(pos)),
-n AS (SELECT scope, 'https://jobs.example/fr/concours/details/' || u AS url, row_number() OVER (PARTITION BY scope ORDER BY page, pos) AS position FROM (SELECT *, row_number() OVER (PARTITION BY scope, page, u ORDER BY pos) AS rn FROM l) WHERE rn = 1)
+n AS (SELECT scope, 'https://jobs.example/fr/concours/details/' || u AS url, row_number() OVER (PARTITION BY scope ORDER BY page, pos) AS position FROM (SELECT *, row_number() OVER (PARTITION BY scope, u ORDER BY page, pos) AS rn FROM l) WHERE rn = 1)
 SELECT scope, position::BIGINT AS position, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY scope, position) AS rn FROM n) WHERE rn = 1""")
 def link_dedup_scope(spark, sf):
     found = extraction.numbered(extraction.listing(listing_pages(spark, sf)))
@@ -254,6 +254,25 @@ def redirect_class(spark, sf):
     return fetched(spark, sf).select("k", extraction.retired_target(F.col("url"), F.col("hops"), F.col("final_url"), _SITE).alias("target"))
 
 
+def outcome_pages(spark, sf):
+    """detail_pages as they are landed: some weren't read, some were retired."""
+    k, none = F.col("k"), F.array().cast("array<struct<status:int,url:string>>")
+    gone, away = k % 17 == 3, k % 19 == 5
+    hop = F.array(F.struct(F.lit(302).alias("status"), F.col("url").alias("url")))
+    return detail_pages(spark, sf).select(
+        "url", "scope", "title", F.when(~gone, 200).alias("status"), F.when(away, hop).otherwise(none).alias("hops"), F.when(away, f"{_SITE}/fr/concours-liste").otherwise(F.col("url")).alias("final_url"),
+        F.when(~gone, F.col("html")).alias("html"), F.when(gone, "TimeoutError: timed out").alias("error"),
+    )
+
+
+@query(f"""{DETAIL_SQL} SELECT url, CASE WHEN k % 17 = 3 THEN 'failed' WHEN k % 19 = 5 THEN 'retired' WHEN error IS NULL THEN 'job' ELSE 'failed' END AS outcome,
+    CASE WHEN k % 17 = 3 THEN 'TimeoutError: timed out' WHEN k % 19 = 5 THEN '{_SITE}/fr/concours-liste' ELSE coalesce(error, '') END AS detail FROM e""")
+def detail_outcomes(spark, sf):
+    jobs, failures, retired = extraction.outcomes(outcome_pages(spark, sf), _SITE)
+    rows = jobs.select("url", F.lit("job").alias("outcome"), F.lit("").alias("detail")).unionByName(failures.select("url", F.lit("failed").alias("outcome"), F.col("message").alias("detail")))
+    return rows.unionByName(retired.select("url", F.lit("retired").alias("outcome"), F.col("target").alias("detail")))
+
+
 # --- crawl reconciliation -----------------------------------------------------
 
 
@@ -291,6 +310,36 @@ def scope_audit(spark, sf):
     return a.select("scope", *[long(c).alias(c) for c in ("official_before", "official_after", "discovered", "target_pages", "missing_count", "extra_count")], "listing_coverage_pct", "complete")
 
 
+def scanned_pages(spark, sf):
+    """Landed scans: a nation is a scope, a customer an announcement, its number
+    tells the page. Some scopes fail at page 7 or have a moving counter, and are
+    scanned again."""
+    c = D.table(spark, sf, "customer").select(F.col("c_nationkey").alias("s"), (F.col("c_custkey") % 30 + 1).cast("int").alias("page"), F.col("c_custkey").alias("k"))
+    n = c.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    link = F.concat(F.lit('<a href="/fr/concours/details/'), _uuid(F.col("k")), F.lit('">t</a>'))
+    first = n.select("s", F.lit(1).alias("page"), F.lit("").alias("link"))
+    pages = c.select("s", "page", link.alias("link")).unionByName(first).groupBy("s", "page").agg(F.array_join(F.array_sort(F.collect_list("link")), "").alias("links")).join(n, "s")
+    s, late, again = F.col("s"), F.col("snapshot") == "final", F.col("attempt") == 2
+    fails = s % 3 == 0
+    pages = pages.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2)))).filter(~again | fails | (s % 5 == 1) | (s % 7 == 2))
+    pages = pages.withColumn("snapshot", F.explode(F.when(F.col("page") == 1, F.array(F.lit("first"), F.lit("final"))).otherwise(F.array(F.lit("body")))))
+    official = F.col("n") + F.when(late & ~again & (s % 5 == 1), 1).otherwise(0) + F.when(late & (s % 7 == 2), 2).otherwise(0)
+    broken = fails & ~again & (F.col("page") == 7)
+    html = F.concat(F.lit("<div>"), official.cast("string"), F.lit(" Résultats</div>"), "links")
+    return pages.select(s.cast("string").alias("scope"), "page", "snapshot", F.when(~broken, html).alias("html"), "attempt", F.when(broken, "HTTPError: 500").alias("error"))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS s, c_custkey % 30 + 1 AS page FROM customer), n AS (SELECT s, count(*) AS n, count(*) FILTER (page = 7) AS n7, count(DISTINCT page) FILTER (page > 1) AS p FROM c GROUP BY s),
+a AS (SELECT s, attempt, n AS official_before, n + CASE WHEN attempt = 1 AND s % 5 = 1 THEN 1 ELSE 0 END + CASE WHEN s % 7 = 2 THEN 2 ELSE 0 END AS official_after, n - CASE WHEN attempt = 1 AND s % 3 = 0 THEN n7 ELSE 0 END AS discovered,
+    CASE WHEN attempt = 1 AND s % 3 = 0 AND n7 > 0 THEN 1 ELSE 0 END AS errors, p + 1 AS pages_requested FROM n, (VALUES (1), (2)) AS v(attempt) WHERE attempt = 1 OR s % 3 = 0 OR s % 5 = 1 OR s % 7 = 2),
+b AS (SELECT *, official_before = official_after AND discovered = official_after AND errors = 0 AS complete FROM a)
+SELECT s::VARCHAR AS scope, attempt::BIGINT AS attempt, official_before::BIGINT AS official_before, official_after::BIGINT AS official_after, discovered, errors::BIGINT AS errors, pages_requested, complete
+FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY complete DESC, CASE WHEN complete THEN 0 ELSE discovered / greatest(official_after, 1) END DESC, CASE WHEN complete THEN 0 ELSE errors END, CASE WHEN complete THEN 0 ELSE discovered END DESC, attempt) AS rn FROM b) WHERE rn = 1""")
+def listing_scan(spark, sf):
+    _, best = crawl_audit.scanned(scanned_pages(spark, sf), _SITE)
+    return best.select("scope", *[long(c).alias(c) for c in ("attempt", "official_before", "official_after", "discovered", "errors", "pages_requested")], "complete")
+
+
 def url_sets(spark, sf):
     o, k = D.table(spark, sf, "orders"), F.col("o_orderkey")
     of = lambda on: o.filter(on).select(F.concat(F.lit("u"), k.cast("string")).alias("url"))
@@ -412,6 +461,10 @@ def built(spark, sf):
     return index_plan.build_index(D.jobs(spark, sf), D.taxonomy(spark), D.RULES)
 
 
+def classified(spark, sf):
+    return index_plan.classified(D.jobs(spark, sf), D.taxonomy(spark), D.RULES)
+
+
 @query(f"WITH {D.INDEX_SQL} SELECT uuid, pid AS profession_id, rank::BIGINT AS rank, score, {D.confidence_sql('weighted')} AS confidence, field, term AS matched_term, source FROM final")
 def classify_topk(spark, sf):
     c = policy.classify_jobs(D.jobs(spark, sf), D.taxonomy(spark), D.RULES).select("uuid", F.posexplode("profession_matches").alias("rank", "m"))
@@ -426,71 +479,92 @@ def related_hints(spark, sf):
 
 @query(f"WITH {D.INDEX_SQL} SELECT j.uuid, {TITLE_SQL} AS search_title, coalesce((SELECT string_agg(pid, ',' ORDER BY rank) FROM final f WHERE f.uuid = j.uuid), '') AS profession_ids FROM jobs j")
 def search_index(spark, sf):
-    return built(spark, sf).select("uuid", "search_title", F.array_join("profession_ids", ",").alias("profession_ids"))
+    return classified(spark, sf).select("uuid", "search_title", F.array_join("profession_ids", ",").alias("profession_ids"))
 
 
 # --- lookups and suggestions --------------------------------------------------
 
-ASKED = ("Blue Bolt", "informatique", "old anvil", "red", "plate", "nothing", "new rod", "Cold", "ring", "hot gear", "anvil", "economy hot gear", "Widget", "")
-TYPED = ("esthéticien rin", "comptablee", "old anvill", "redwidget", "blue bolt")
-
+_ASKED_SQL = f"asked AS (SELECT *, {D.norm_sql('query')} AS q FROM ({D.ASKED_QUERY_SQL}))"
+_TYPED_SQL = f"asked AS (SELECT *, {D.norm_sql('query')} AS q FROM ({D.TYPED_QUERY_SQL}))"
+_DIPLOMAS_SQL = "(SELECT DISTINCT unnest(['licence', 'DIPLOME ' || p_name, p_type]) AS query FROM part)"
+_IDS_SQL = "(SELECT DISTINCT unnest(['hcp.2', 'part.' || replace(p_name, ' ', '_') || '_' || lower(p_type), p_name]) AS id FROM part)"
 
-def asked(spark, words=ASKED):
-    return spark.createDataFrame([(w,) for w in words], "query string")
 
+def taxonomy(spark, sf):
+    return D.catalogue_taxonomy(spark, sf)
 
-_ASKED_SQL = "asked AS (SELECT *, " + D.norm_sql("query") + " AS q FROM (VALUES " + ", ".join(f"({D._q(w)})" for w in ASKED) + ") AS v(query))"
 
-
-@query(f"""WITH {D.TAXONOMY_SQL}, {D.TERMS_SQL}, {_ASKED_SQL}, h AS (SELECT DISTINCT query, id, source FROM asked JOIN terms ON q = norm_term)
+@query(f"""WITH {D.CATALOGUE_TAXONOMY_SQL}, {D.TERMS_SQL}, {_ASKED_SQL}, h AS (SELECT DISTINCT query, id, source FROM asked JOIN terms ON q = norm_term AND q <> '')
 SELECT query, array_to_string(list_sort(list(id)), ',') AS ids FROM h WHERE source = '{MARKET}' OR query NOT IN (SELECT query FROM h WHERE source = '{MARKET}') GROUP BY query""")
 def exact_lookup(spark, sf):
-    return tax.exact_ids(D.taxonomy(spark), asked(spark)).select("query", F.array_join("ids", ",").alias("ids"))
+    return tax.exact_ids(taxonomy(spark, sf), D.asked(spark, sf)).select("query", F.array_join("ids", ",").alias("ids"))
 
 
-@query(f"WITH {D.TAXONOMY_SQL} SELECT q.query, id, label FROM (SELECT *, unnest(diplomas) AS d FROM tax WHERE source = '{MARKET}') t JOIN (VALUES ('licence'), ('DIPLOME bolt'), ('x')) AS q(query) ON {D.norm_sql('d')} = {D.norm_sql('q.query')}")
+@query(f"WITH {D.CATALOGUE_TAXONOMY_SQL} SELECT q.query, id, label FROM (SELECT *, unnest(diplomas) AS d FROM tax WHERE source = '{MARKET}') t JOIN {_DIPLOMAS_SQL} AS q ON {D.norm_sql('d')} = {D.norm_sql('q.query')}")
 def diploma_lookup(spark, sf):
-    return tax.by_diploma(D.taxonomy(spark), asked(spark, ("licence", "DIPLOME bolt", "x"))).select("query", "id", "label")
+    asked = D.table(spark, sf, "part").select(F.explode(F.array(F.lit("licence"), F.concat(F.lit("DIPLOME "), "p_name"), "p_type")).alias("query")).distinct()
+    return tax.by_diploma(taxonomy(spark, sf), asked).select("query", "id", "label")
 
 
-@query(f"WITH {D.TAXONOMY_SQL} SELECT id, label FROM tax WHERE id IN ('hcp.2', 'it.cybersecurite')")
+@query(f"WITH {D.CATALOGUE_TAXONOMY_SQL} SELECT id, label FROM tax JOIN {_IDS_SQL} AS q USING (id)")
 def point_lookup(spark, sf):
-    return tax.profession(D.taxonomy(spark), asked(spark, ("hcp.2", "it.cybersecurite", "none")).withColumnRenamed("query", "id")).select("id", "label")
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    ids = D.table(spark, sf, "part").select(F.explode(F.array(F.lit("hcp.2"), F.concat(F.lit("part."), name, F.lit("_"), F.lower("p_type")), "p_name")).alias("id")).distinct()
+    return tax.profession(taxonomy(spark, sf), ids).select("id", "label")
 
 
-@query(f"WITH {D.TAXONOMY_SQL} SELECT id AS profession_id, label, array_to_string(aliases, '|') AS aliases, source FROM tax")
+@query(f"WITH {D.CATALOGUE_TAXONOMY_SQL} SELECT id AS profession_id, label, array_to_string(aliases, '|') AS aliases, source FROM tax")
 def autocomplete_payload(spark, sf):
-    return tax.autocomplete_export(D.taxonomy(spark)).select("profession_id", "label", F.array_join("aliases", "|").alias("aliases"), "source")
+    return tax.autocomplete_export(taxonomy(spark, sf)).select("profession_id", "label", F.array_join("aliases", "|").alias("aliases"), "source")
 
 
 _WORD_STARTS = "len(list_filter(string_split(norm_term, ' '), lambda w: starts_with(w, q))) > 0"
 SCORE_SQL = f"""CASE WHEN q = norm_term THEN 1000.0 WHEN starts_with(norm_term, q) THEN 920.0 WHEN {_WORD_STARTS} THEN 860.0 WHEN {D.phrase_sql('norm_term', 'q')} THEN 820.0
     WHEN len(qt) > 0 AND list_has_all(term_tokens, qt) THEN 780.0 + least(len(qt), 5) ELSE -1.0 END::DOUBLE"""
-SUGGEST_SQL = f"""{D.TAXONOMY_SQL}, {D.TERMS_SQL}, {_ASKED_SQL}, met AS (SELECT *, {SCORE_SQL} AS s FROM (SELECT *, list_distinct({D.tokens_sql('q')}) AS qt FROM asked WHERE q <> ''), terms),
-best AS (SELECT query, id, label, source, ord, term, s, max(CASE WHEN term_ord = 0 THEN s END) OVER (PARTITION BY query, id) AS ls, row_number() OVER (PARTITION BY query, id ORDER BY s DESC, term_ord) AS rn FROM met),
-cut AS (SELECT *, s - CASE WHEN contains({D.norm_sql('label')}, 'n c a') THEN 90 ELSE 0 END AS score, ls - CASE WHEN contains({D.norm_sql('label')}, 'n c a') THEN 90 ELSE 0 END AS label_score FROM best WHERE rn = 1 AND s >= 0),
+#: The longest common block of a range of two strings, as [letters, -from, -from]: the first of equal ones.
+_BLOCK_SQL = "list_sort(flatten(list_transform(range(g.alo, g.ahi), lambda i: list_transform(range(g.blo, g.bhi), lambda j: [len(list_filter(range(1, least(g.ahi - i, g.bhi - j) + 1), lambda k: q[i:i + k - 1] = t[j:j + k - 1])), -i, -j]))), 'DESC')[1]"
+#: ratio: q, t and twice the letters in common blocks (the longest, then those before and after it) by all letters.
+RATIO_SQL = f"""blocks AS (
+    SELECT DISTINCT q, norm_term AS t, {{'alo': 1::BIGINT, 'ahi': length(q) + 1, 'blo': 1::BIGINT, 'bhi': length(norm_term) + 1}} AS g FROM met WHERE s < 0 AND 2 * least(length(q), length(norm_term)) / (length(q) + length(norm_term)) >= {V.FUZZY_RATIO}
+    UNION ALL SELECT q, t, unnest([{{'alo': g.alo, 'ahi': -m[2], 'blo': g.blo, 'bhi': -m[3]}}, {{'alo': m[1] - m[2], 'ahi': g.ahi, 'blo': m[1] - m[3], 'bhi': g.bhi}}]) AS g FROM (SELECT *, {_BLOCK_SQL} AS m FROM blocks) WHERE m[1] > 0),
+ratio AS (SELECT q, t AS norm_term, 2.0::DOUBLE * sum(coalesce(({_BLOCK_SQL})[1], 0)) / (length(q) + length(t)) AS r FROM blocks GROUP BY q, t)"""
+
+
+def _suggest_sql(asked: str, fuzzy: bool) -> str:
+    ruled = f"SELECT *, {SCORE_SQL} AS s FROM (SELECT *, list_distinct({D.tokens_sql('q')}) AS qt FROM asked WHERE q <> ''), terms"
+    scored = f"met AS ({ruled}), {RATIO_SQL}, every AS (SELECT met.* REPLACE (CASE WHEN s < 0 AND r >= {V.FUZZY_RATIO} THEN 500 + 100 * r ELSE s END AS s) FROM met LEFT JOIN ratio USING (q, norm_term))" if fuzzy else f"every AS ({ruled})"
+    charged = f"CASE WHEN contains({D.norm_sql('label')}, 'n c a') THEN 90 ELSE 0 END"
+    return f"""{D.CATALOGUE_TAXONOMY_SQL}, {D.TERMS_SQL}, {asked}, {scored},
+best AS (SELECT query, id, label, source, term, s, max(CASE WHEN term_ord = 0 THEN s END) OVER (PARTITION BY query, id) AS ls, row_number() OVER (PARTITION BY query, id ORDER BY s DESC, term_ord) AS rn FROM every),
+cut AS (SELECT *, round(s - {charged}, 2) AS score, ls - {charged} AS label_score FROM best WHERE rn = 1 AND s >= 0),
 tiered AS (SELECT *, CASE WHEN source = '{MARKET}' THEN 0 ELSE 2 END + CASE WHEN score >= 800 THEN 0 ELSE 1 END AS tier FROM cut WHERE score >= 585),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, CASE WHEN label_score >= 800 THEN 0 ELSE 1 END, label_score DESC, lower(label), ord) AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY query) AS first FROM tiered) WHERE tier = first)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, CASE WHEN label_score >= 800 THEN 0 ELSE 1 END, label_score DESC, lower(label), starts_with(id, 'part.')) AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY query) AS first FROM tiered) WHERE tier = first)"""
+
 
+SUGGEST_SQL, FUZZY_SQL = _suggest_sql(_ASKED_SQL, False), _suggest_sql(_TYPED_SQL, True)
 
-@query(f"WITH {SUGGEST_SQL} SELECT query, id AS profession_id, term, s AS score FROM met")
+
+@query(f"WITH {SUGGEST_SQL} SELECT query, id AS profession_id, term, s AS score FROM every WHERE s >= 0")
 def suggest_structured(spark, sf):
-    return suggest.term_scores(asked(spark), D.taxonomy(spark), fuzzy=False).select("query", F.col("id").alias("profession_id"), "term", "score")
+    return suggest.term_scores(D.asked(spark, sf), taxonomy(spark, sf), fuzzy=False).select("query", F.col("id").alias("profession_id"), "term", "score")
 
 
 @query(f"WITH {SUGGEST_SQL} SELECT query, rank::BIGINT AS rank, id AS profession_id, term AS matched_term, score FROM ranked WHERE rank <= 10")
 def suggest_tiered(spark, sf):
-    return suggest.suggest(asked(spark), D.taxonomy(spark), fuzzy=False).select("query", long("rank").alias("rank"), "profession_id", "matched_term", "score")
+    return suggest.suggest(D.asked(spark, sf), taxonomy(spark, sf), fuzzy=False).select("query", long("rank").alias("rank"), "profession_id", "matched_term", "score")
 
 
-@query()
+@query(f"WITH RECURSIVE {FUZZY_SQL} SELECT query, rank::BIGINT AS rank, id AS profession_id, term AS matched_term, score FROM ranked WHERE rank <= 10")
 def suggest_fuzzy(spark, sf):
-    return suggest.suggest(asked(spark, TYPED), D.taxonomy(spark)).select("query", long("rank").alias("rank"), "profession_id", "matched_term", "score")
+    return suggest.suggest(D.typed(spark, sf), taxonomy(spark, sf)).select("query", long("rank").alias("rank"), "profession_id", "matched_term", "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FUZZY_SQL}, h AS (SELECT DISTINCT query, id, source FROM asked JOIN terms ON q = norm_term AND q <> ''),
+m AS (SELECT query, min(id) AS id FROM h WHERE source = '{MARKET}' OR query NOT IN (SELECT query FROM h WHERE source = '{MARKET}') GROUP BY query HAVING count(*) = 1),
+o AS (SELECT query, min(id) AS id FROM ranked WHERE rank <= 8 GROUP BY query HAVING count(*) = 1 AND min(score) >= {V.AUTOSELECT_MINIMUM})
+SELECT query, coalesce(tax.id, m.id, o.id) AS profession_id FROM asked LEFT JOIN tax ON tax.id = query LEFT JOIN m USING (query) LEFT JOIN o USING (query)""")
 def resolve_query(spark, sf):
-    return suggest.resolve(asked(spark, (*ASKED, *TYPED, "hcp.3")), D.taxonomy(spark))
+    return suggest.resolve(D.typed(spark, sf), taxonomy(spark, sf))
 
 
 # --- search -------------------------------------------------------------------
@@ -500,7 +574,7 @@ RANK_SQL = f"round(least(score * 0.82 + greatest(10.0::DOUBLE - least(greatest(d
 
 @query(f"WITH {D.INDEX_SQL} SELECT j.uuid, f.pid AS profession_id, {RANK_SQL} AS score FROM final f JOIN jobs j USING (uuid)")
 def rank_score(spark, sf):
-    i = built(spark, sf).select("uuid", "publication_date", "deadline", F.explode("profession_matches").alias("m"))
+    i = classified(spark, sf).select("uuid", "publication_date", "deadline", F.explode("profession_matches").alias("m"))
     return i.select("uuid", "m.profession_id", search.rank(F.col("m"), "publication_date", "deadline", D.now()).alias("score"))
 
 
@@ -509,13 +583,13 @@ _SHOWN_SQL = f"coalesce(nullif(trim(job_name), ''), CASE WHEN f.field = 'context
 
 @query(f"WITH {D.INDEX_SQL} SELECT j.uuid, f.pid AS profession_id, {_SHOWN_SQL} AS title, trim(listing_title) AS source_title, trim({TITLE_SQL}) AS search_title FROM final f JOIN jobs j USING (uuid)")
 def result_titles(spark, sf):
-    i = built(spark, sf).select("*", F.explode("profession_matches").alias("m"))
+    i = classified(spark, sf).select("*", F.explode("profession_matches").alias("m"))
     return i.select("uuid", F.col("m.profession_id").alias("profession_id"), *[c.alias(k) for k, c in search.result_titles(F.col("m")).items()])
 
 
 @query(f"WITH {D.INDEX_SQL} SELECT score, uuid, title, matched_profession_label, positions::BIGINT AS positions FROM (SELECT j.uuid, {RANK_SQL} AS score, {_SHOWN_SQL} AS title, f.label AS matched_profession_label, publication_date, positions FROM final f JOIN jobs j USING (uuid) WHERE f.pid = 'edu.prof_universitaire') ORDER BY score DESC, publication_date DESC, uuid LIMIT 20")
 def search_topk(spark, sf):
-    return search.search(built(spark, sf), "edu.prof_universitaire", D.now()).select("score", "uuid", "title", "matched_profession_label", long("positions").alias("positions"))
+    return search.search(classified(spark, sf), "edu.prof_universitaire", D.now()).select("score", "uuid", "title", "matched_profession_label", long("positions").alias("positions"))
 
 
 # --- quality ------------------------------------------------------------------
@@ -536,7 +610,7 @@ SELECT count(*) AS jobs, count(*) FILTER (m) AS classified_jobs, count(*) FILTER
     round_even(count(*) FILTER (m) / count(*) * 100, 2) AS raw_classification_coverage_pct, round_even(count(*) FILTER (NOT a AND m) / count(*) FILTER (NOT a) * 100, 2) AS classifiable_coverage_pct,
     round_even(count(*) FILTER (NOT a AND m) / count(*) FILTER (NOT a) * 100, 2) >= 90 AND count(*) FILTER (a AND m) = 0 AS gate FROM s""")
 def coverage(spark, sf):
-    return quality.coverage(built(spark, sf)).select("jobs", "classified_jobs", "structurally_ambiguous_jobs", "classified_classifiable_jobs", "unexplained_unclassified_jobs", "ambiguous_classified_jobs", "raw_classification_coverage_pct", "classifiable_coverage_pct", "gate")
+    return quality.coverage(classified(spark, sf)).select("jobs", "classified_jobs", "structurally_ambiguous_jobs", "classified_classifiable_jobs", "unexplained_unclassified_jobs", "ambiguous_classified_jobs", "raw_classification_coverage_pct", "classifiable_coverage_pct", "gate")
 
 
 @query(f"""WITH {D.INDEX_SQL}, s AS (SELECT j.uuid, positions, count(f.pid) AS n, bool_or(f.weighted >= 98) AS ex, bool_or(f.source = '{MARKET}') AS mk, (SELECT count(*) FROM hints h WHERE h.uuid = j.uuid) AS nh FROM jobs j LEFT JOIN final f USING (uuid) GROUP BY ALL)
@@ -559,14 +633,14 @@ def expected(spark, sf):
 SELECT uuid, array_to_string(list_sort(list_filter(required, lambda x: NOT list_contains(got, x))), ',') AS missing, array_to_string(list_sort(list_filter(forbidden, lambda x: list_contains(got, x))), ',') AS leaked,
     len(list_filter(required, lambda x: NOT list_contains(got, x))) + len(list_filter(forbidden, lambda x: list_contains(got, x))) = 0 AS pass FROM h""")
 def expectation_audit(spark, sf):
-    return quality.expectation_audit(built(spark, sf), expected(spark, sf)).select("uuid", F.array_join("missing", ",").alias("missing"), F.array_join("leaked", ",").alias("leaked"), "pass")
+    return quality.expectation_audit(classified(spark, sf), expected(spark, sf)).select("uuid", F.array_join("missing", ",").alias("missing"), F.array_join("leaked", ",").alias("leaked"), "pass")
 
 
 @query(f"""WITH {D.INDEX_SQL}, {EXPECTED_SQL}, h AS (SELECT e.uuid, required, forbidden, list_filter(list(f.pid), lambda x: x IS NOT NULL) AS got FROM e LEFT JOIN final f USING (uuid) GROUP BY ALL)
 SELECT uuid, array_to_string(list_sort(list_filter(required, lambda x: NOT list_contains(got, x))), ',') AS missing, array_to_string(list_sort(list_filter(got, lambda x: NOT list_contains(required, x))), ',') AS unexpected,
     len(list_filter(required, lambda x: NOT list_contains(got, x))) + len(list_filter(got, lambda x: NOT list_contains(required, x))) + len(list_filter(got, lambda x: list_contains(forbidden, x))) = 0 AS pass FROM h""")
 def golden_diff(spark, sf):
-    i = built(spark, sf).select("uuid", policy.ids(F.col("profession_matches")).alias("actual"), F.transform("profession_matches", lambda m: m["confidence"]).alias("confidences"))
+    i = classified(spark, sf).select("uuid", policy.ids(F.col("profession_matches")).alias("actual"), F.transform("profession_matches", lambda m: m["confidence"]).alias("confidences"))
     cases = expected(spark, sf).join(i, "uuid").withColumnsRenamed({"required": "must_include", "forbidden": "must_exclude"}).withColumn("allowed_ids", F.array().cast("array<string>"))
     return quality.golden_audit(cases).select("uuid", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"), "pass")
 
@@ -611,12 +685,15 @@ def specificity_failures(spark, sf):
     return quality.specificity_failures(j.join(matching.sorted_matches(found).withColumnRenamed("matches", "profession_matches"), "uuid"))
 
 
-@query(f"""WITH {SUGGEST_SQL}, x AS (SELECT * FROM (VALUES ('Blue Bolt', 'it.developpeur_logiciel', 'sales.marketing'), ('Blue Bolt', 'it.technicien_developpement_informatique', 'none'), ('anvil', NULL, 'hcp.3'), ('nothing', 'hcp.1', 'none'), ('Widget', 'it.responsable_si', 'hcp.1')) AS v(query, top, forbidden))
-SELECT x.query, coalesce(top, '') AS top, forbidden, (top IS NULL OR coalesce((SELECT id FROM ranked r WHERE r.query = x.query AND rank = 1) = top, false)) AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.query = x.query AND rank <= 50 AND id = forbidden) AS pass FROM x""")
-def suggest_audit(spark, sf):
-    rows = [("Blue Bolt", "it.developpeur_logiciel", ["sales.marketing"]), ("Blue Bolt", "it.technicien_developpement_informatique", ["none"]), ("anvil", None, ["hcp.3"]), ("nothing", "hcp.1", ["none"]), ("Widget", "it.responsable_si", ["hcp.1"])]
-    e = spark.createDataFrame(rows, "query string, top string, forbidden array<string>").withColumn("label_prefix", F.lit(None).cast("string")).withColumn("label_part", F.lit(None).cast("string"))
-    got = suggest.suggest(asked(spark), D.taxonomy(spark), limit=50, fuzzy=False)
-    return quality.suggestion_audit(got, e).select("query", F.coalesce("top", F.lit("")).alias("top"), F.col("forbidden")[0].alias("forbidden"), "pass")
+_EXPECTED_SQL = "x AS (SELECT DISTINCT p_name AS query, 'part.' || replace(p_name, ' ', '_') || '_' || lower(p_type) AS top, 'it.cybersecurite' AS forbidden FROM part)"
 
 
+@query(f"""WITH {SUGGEST_SQL}, {_EXPECTED_SQL}
+SELECT x.query, top, forbidden, coalesce((SELECT id FROM ranked r WHERE r.query = x.query AND rank = 1) = top, false) AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.query = x.query AND rank <= 50 AND id = forbidden) AS pass FROM x""")
+def suggest_audit(spark, sf):
+    top = F.concat(F.lit("part."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.lower("p_type"))
+    e = D.table(spark, sf, "part").select(F.col("p_name").alias("query"), top.alias("top")).distinct()
+    none = F.lit(None).cast("string")
+    e = e.withColumns({"forbidden": F.array(F.lit("it.cybersecurite")), "label_prefix": none, "label_part": none})
+    got = suggest.suggest(D.asked(spark, sf), taxonomy(spark, sf), limit=50, fuzzy=False)
+    return quality.suggestion_audit(got, e).select("query", "top", F.col("forbidden")[0].alias("forbidden"), "pass")

@@ -52,6 +52,37 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, PROFESSION)
 
 
+def catalogue_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The taxonomy and an official profession for each name and type of part."""
+    label = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    kinds = table(spark, sf_dir, "part").select(label.alias("label"), F.concat(F.lit("Diplôme "), F.initcap("p_name")).alias("diploma"), F.upper("p_name").alias("alias")).distinct()
+    name = F.replace("label", F.lit(" "), F.lit("_"))
+    own = kinds.select(
+        (F.crc32("label") + 1000).cast("long").alias("ord"), F.concat(F.lit("part."), name).alias("id"), "label", F.lit("part").alias("sector"), F.lit("family").alias("family"), F.array(F.lit("0")).alias("hcp_codes"),
+        F.array("alias").alias("aliases"), F.array("diploma").alias("diplomas"), F.when(F.contains("label", F.lit("o")), OFFICIAL).otherwise(MARKET).alias("source"),
+    )
+    return taxonomy(spark).unionByName(own)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: names of parts and their beginnings, two of their words, and the
+    beginnings of documents."""
+    p, d = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents")
+    k = F.col("p_partkey")
+    words = F.split("p_name", " ")
+    of = p.select(F.explode(F.array("p_name", F.upper(F.substring(F.col("p_name"), F.lit(1), (k % 8 + 1).cast("int"))), F.concat_ws(" ", F.lower("p_type"), F.get(words, F.lit(1))), F.concat_ws(" ", "p_name", F.lower("p_type")))).alias("query"))
+    return of.unionByName(d.select(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 9 + 3).cast("int")).alias("query"))).distinct()
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with a letter twice or left out."""
+    k = (F.col("p_partkey") % 3 + 2).cast("int")
+    n = F.col("p_name")
+    twice = F.concat(F.substring(n, F.lit(1), k), F.substring(n, k, F.lit(99)))
+    out = F.concat(F.substring(n, F.lit(1), k), F.substring(n, k + 2, F.lit(99)), F.lit(" "), F.lower("p_type"))
+    return table(spark, sf_dir, "part").select(F.explode(F.array(twice, out)).alias("query")).distinct()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,6 +121,12 @@ _q = lambda s: "'" + s.replace("'", "''") + "'"
 _list = lambda xs: "[" + ", ".join(map(_q, xs)) + "]::VARCHAR[]"
 TAXONOMY_SQL = "tax(ord, id, label, aliases, diplomas, source) AS (VALUES " + ", ".join(f"({i}, {_q(p)}, {_q(lb)}, {_list(al)}, {_list(di)}, {_q(so)})" for i, (p, lb, al, di, so) in enumerate(TAXONOMY)) + ")"
 
+CATALOGUE_TAXONOMY_SQL = TAXONOMY_SQL.replace("tax(", "few(", 1) + f""", kinds AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS label, 'Diplôme ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS diploma, upper(p_name) AS alias FROM part
+), tax AS (SELECT * FROM few UNION ALL SELECT NULL, 'part.' || replace(label, ' ', '_'), label, [alias], [diploma], CASE WHEN contains(label, 'o') THEN '{OFFICIAL}' ELSE '{MARKET}' END FROM kinds)"""
+ASKED_QUERY_SQL = """SELECT DISTINCT unnest([p_name, upper(substr(p_name, 1, p_partkey % 8 + 1)), lower(p_type) || coalesce(' ' || string_split(p_name, ' ')[2], ''), p_name || ' ' || lower(p_type)]) AS query FROM part
+    UNION SELECT substr(text, 1, doc_id % 9 + 3) FROM documents"""
+TYPED_QUERY_SQL = "SELECT DISTINCT unnest([substr(p_name, 1, p_partkey % 3 + 2) || substr(p_name, p_partkey % 3 + 2, 99), substr(p_name, 1, p_partkey % 3 + 2) || substr(p_name, p_partkey % 3 + 4, 99) || ' ' || lower(p_type)]) AS query FROM part"
+
 
 def fold_sql(x: str) -> str:
     return f"replace(lower(strip_accents(coalesce({x}, ''))), 'ß', 'ss')"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 from .text import clean, text
 
-FRENCH = r"(?i)(\d{1,2})\s+([A-Za-zÀ-ÿ]+)\s+(\d{4})(?:\s*-\s*(\d{1,2}):(\d{2}))?"
+FRENCH = f"(?i){V.FRENCH_DATETIME}"
 
 
 def french_datetime(value: Column | str, end_of_day: bool = False, cleaned: bool = False) -> Column:
@@ -56,7 +56,10 @@ def days_until(value: Column | str, now: Column) -> Column:
 
 
 def freshness(publication: Column | str, deadline: Column | str, now: Column) -> Column:
-    """accepted, or why not."""
+    """accepted, or why not; a date that is missing or can't be read is a reason."""
     published, until = local_time(publication), local_time(deadline)
     age = F.datediff(now, published)
-    return F.when(age < 0, "publication_in_future").when(age > V.MAXIMUM_AGE_DAYS, f"older_than_{V.MAXIMUM_AGE_DAYS}_days").when(until < now, "deadline_expired").otherwise("accepted")
+    return (
+        F.when(published.isNull(), "unreadable_publication_date").when(until.isNull(), "unreadable_deadline")
+        .when(age < 0, "publication_in_future").when(age > V.MAXIMUM_AGE_DAYS, f"older_than_{V.MAXIMUM_AGE_DAYS}_days").when(until < now, "deadline_expired").otherwise("accepted")
+    )

@@ -1,12 +1,16 @@
 """Text as columns: normalisers, tokens and whole-phrase tests.
 
-Accents go by a translation table made from Unicode's decompositions of the
-Latin range, so the usual path stays in generated code; norm_exact() is the
-Arrow path that decomposes every code point.
+Letters are folded by a translation table made from Unicode's decompositions and
+case folding, so this stays in generated code; plain ASCII is only put into
+lower case. Characters that become several go through a map, in the rows that
+have any. norm_exact() is the Arrow path by Unicode's own functions; it differs
+in Hangul syllables alone, which it takes apart.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from . import fixed_values as V
 
 
@@ -22,8 +27,26 @@ def _base(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-_FROM = "".join(c for c in map(chr, range(0xA0, 0x250)) if len(_base(c)) == 1 and _base(c) != c)
-_TO = "".join(map(_base, _FROM))
+def _table() -> tuple[str, str, dict[str, str]]:
+    """(characters that become one other or none, what they become, characters
+    that become several), from those that F.lower alone leaves wrong."""
+    one, none, several = {}, [], {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xE000, 0x20000))):  # no Hangul syllables, no surrogates
+        to = _base(c).casefold()
+        if to != c.lower():
+            if len(to) == 1:
+                one[c] = to
+            elif to:
+                several[c] = to
+            else:
+                none.append(c)
+    return "".join(one) + "".join(none), "".join(one.values()), several
+
+
+_FROM, _TO, _SEVERAL = _table()
+#: The usual ones of these are replaced at once.
+_USUAL = {c: _SEVERAL.pop(c) for c in "ß…"}
+_ANY_SEVERAL = "[" + "".join(map(re.escape, _SEVERAL)) + "]"
 
 
 def text(c: Column | str) -> Column:
@@ -33,7 +56,12 @@ def text(c: Column | str) -> Column:
 
 def folded(c: Column | str) -> Column:
     """Lower case without accents."""
-    return F.replace(F.lower(F.regexp_replace(F.translate(text(c), _FROM, _TO), r"\p{M}+", "")), F.lit("ß"), F.lit("ss"))
+    v = text(c)
+    several = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")  # a constant once planned
+    plain = F.when(v.rlike(_ANY_SEVERAL), F.array_join(F.transform(F.split(v, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")).otherwise(v)
+    for one, to in _USUAL.items():
+        plain = F.replace(plain, F.lit(one), F.lit(to))
+    return F.when(F.octet_length(v) == F.length(v), F.lower(v)).otherwise(F.lower(F.translate(plain, _FROM, _TO)))
 
 
 def norm(c: Column | str) -> Column:
@@ -42,13 +70,18 @@ def norm(c: Column | str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def norm_exact(values: pd.Series) -> pd.Series:
+def _norm_exact(values: pd.Series) -> pd.Series:
     import regex
 
     other = regex.compile(r"[^\p{L}\p{N}+#]+")
     return values.map(lambda v: other.sub(" ", _base(v or "").casefold()).strip())
 
 
+def norm_exact(c: Column | str) -> Column:
+    ship()
+    return _norm_exact(c)
+
+
 def classifiability_norm(c: Column | str) -> Column:
     """Folded, with its punctuation."""
     return clean(F.replace(folded(c), F.lit("’"), F.lit("'")))
@@ -118,7 +151,8 @@ _EDGES = " -–:()[]"
 
 _SCALE = r"(?iU)^(.*?\b(?:echelle|échelle)\s*\d+)\b.*$"
 _EMPLOYER = rf"(?iU)\s+(?:{'|'.join(V.EMPLOYER_WORDS)})\b.*$"
-_OPENINGS = ("d['’]?u?n?e?", "de")
+#: Java names a group without the P.
+_ROLES = [f"(?iU){p.replace('(?P<', '(?<')}" for p in V.LISTING_ROLES]
 
 
 def with_listing_role(df: DataFrame, title: str, out: str) -> DataFrame:
@@ -128,7 +162,7 @@ def with_listing_role(df: DataFrame, title: str, out: str) -> DataFrame:
     steps = [f"{out}_{x}" for x in ("whole", "plain", "a0", "a1", "b0", "b1", "n0", "n1")]
     whole, plain, *rest = steps
     df = df.withColumn(whole, clean(title))
-    hits = {rest[i]: clean(F.btrim(F.regexp_extract(whole, rf"(?iU)\brecrutement {o}\s+(.+?)(?:\s+annonce\b|$)", 1), F.lit(_EDGES))) for i, o in enumerate(_OPENINGS)}
+    hits = {rest[i]: clean(F.btrim(F.regexp_extract(whole, p, 1), F.lit(_EDGES))) for i, p in enumerate(_ROLES)}
     df = df.withColumns(hits | {plain: norm(whole)})
     scaled = {rest[2 + i]: F.regexp_extract(rest[i], _SCALE, 1) for i in (0, 1)}
     df = df.withColumns(scaled)

@@ -7,25 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.dates import freshness, local_time
+from . import extraction
 
 
-def scope_state(listings: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One row a scope of parsed listings (scope, page, snapshot first / body /
-    final, official, urls): counters, distinct urls, and whether it is complete:
-    the counter is stable, every url is there, and no page failed."""
+def scope_state(listings: DataFrame, errors: DataFrame | None = None, keys: tuple[str, ...] = ("scope",)) -> DataFrame:
+    """One row a scope (or scan, by `keys`) of parsed listings (scope, page,
+    snapshot first / body / final, official, urls): counters, distinct urls, and
+    whether it is complete: the counter is stable, every url is there, and no
+    page failed. errors: a row for each page that failed, with the keys."""
     u = listings.select("*", F.explode_outer("urls").alias("url"))
-    s = u.groupBy("scope").agg(
+    s = u.groupBy(*keys).agg(
         F.max(F.when(F.col("snapshot") == "first", F.col("official"))).alias("official_before"), F.max(F.when(F.col("snapshot") == "final", F.col("official"))).alias("official_after"),
         F.count_distinct("url").alias("discovered"), F.count_distinct(F.when(F.col("snapshot") != "final", F.col("page"))).alias("pages_successful"),
     )
     s = s.withColumn("target_pages", F.greatest(F.lit(1), F.ceil(F.col("official_before") / V.PAGE_SIZE) + V.GUARD_PAGES))
-    failed = errors.groupBy("scope").agg(F.count(F.lit(1)).alias("errors")) if errors is not None else s.select("scope", F.lit(0).cast("long").alias("errors"))
-    s = s.join(failed, "scope", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+    failed = errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("errors")) if errors is not None else s.select(*keys, F.lit(0).cast("long").alias("errors"))
+    s = s.join(failed, list(keys), "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+    s = s.withColumn("pages_requested", F.col("pages_successful") + F.col("errors"))
     s = s.withColumn("stable_counter", F.coalesce(F.col("official_before") == F.col("official_after"), F.lit(False)))
     sane = F.col("official_before").between(0, V.MOST_OFFICIAL)
     return s.withColumn("complete", F.coalesce(F.col("stable_counter") & sane & (F.col("discovered") == F.col("official_after")) & (F.col("errors") == 0), F.lit(False)))
 
 
+def scanned(pages: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
+    """(parsed listings, states by scope) of landed listing pages with attempts
+    and errors: of each scope its best attempt."""
+    listings = extraction.listing(pages.filter("error is null"), base_url)
+    states = scope_state(listings, pages.filter("error is not null"), ("scope", "attempt")).withColumn("found", F.col("discovered"))
+    best = best_attempt(states).drop("found")
+    return listings.join(best.select("scope", "attempt"), ["scope", "attempt"], "left_semi"), best
+
+
 def best_attempt(attempts: DataFrame) -> DataFrame:
     """Of a scope's attempts (scope, attempt, complete, official_after,
     discovered, errors, found): the first complete one, else the one that found the most."""

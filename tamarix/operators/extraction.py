@@ -15,7 +15,7 @@ BASE_URL = "https://jobs.example"
 
 def official_count(visible: Column) -> Column:
     """The last counter of results in the visible text; null if there is none."""
-    hit = F.try_element_at(F.regexp_extract_all(visible, F.lit(r"(?iU)([\d.\s]+)\s+Résultats?"), 1), F.lit(-1))
+    hit = F.try_element_at(F.regexp_extract_all(visible, F.lit(f"(?iU){V.RESULTS}"), 1), F.lit(-1))
     return F.regexp_replace(hit, r"\D", "").try_cast("int")
 
 
@@ -87,10 +87,13 @@ def first_scope(found: DataFrame, scopes: tuple[str, ...] = V.SCOPES) -> DataFra
 
 
 def outcomes(raw: DataFrame, base_url: str = BASE_URL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs, failures, retired) of landed detail pages."""
-    r = raw.withColumn("target", retired_target(F.col("url"), F.col("hops"), F.col("final_url"), base_url))
-    d = details(r.filter("target is null"))
-    return d.filter("error is null").drop("error"), d.filter("error is not null").select("url", F.col("error").alias("message")), r.filter("target is not null").select("url", "target")
+    """(jobs, failures, retired) of landed detail pages; pages that couldn't be
+    read (with an `error`) are failures."""
+    r = raw if "error" in raw.columns else raw.withColumn("error", F.lit(None).cast("string"))
+    r = r.withColumnRenamed("error", "unread").withColumn("target", retired_target(F.col("url"), F.col("hops"), F.col("final_url"), base_url))
+    d = details(r.filter("unread is null and target is null"))
+    failures = d.filter("error is not null").select("url", F.col("error").alias("message")).unionByName(r.filter("unread is not null").select("url", F.col("unread").alias("message")))
+    return d.filter("error is null").drop("error"), failures, r.filter("unread is null and target is not null").select("url", "target")
 
 
 def newest_first(jobs: DataFrame) -> DataFrame:
@@ -98,6 +101,13 @@ def newest_first(jobs: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Links of listing pages in first-seen order: (scope, position, url, title)."""
-    rows = found.select("scope", "page", F.posexplode("urls").alias("at", "url"), "titles").withColumn("title", F.col("titles")[F.col("url")])
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("scope").orderBy("page", "at"))).select("scope", "position", "url", "title")
+    """Links of listing pages in first-seen order: (scope, position, url, title).
+    Links that only the final reading has come first, the last of them foremost;
+    a url's title is the last one given."""
+    rows = found.select("scope", "page", (F.col("snapshot") == "final").alias("late"), F.posexplode("urls").alias("at", "url"), "titles").withColumn("title", F.col("titles")[F.col("url")])
+    place = F.struct("page", "at")
+    urls = rows.groupBy("scope", "url").agg(
+        F.min(F.when(~F.col("late"), place)).alias("seen"), F.min(F.when(F.col("late"), F.col("at"))).alias("late_at"), F.max_by("title", F.struct("late", "page", "at")).alias("title")
+    )
+    order = [F.col("seen").isNotNull(), F.when(F.col("seen").isNull(), -F.col("late_at")), F.col("seen.page"), F.col("seen.at")]
+    return urls.withColumn("position", F.row_number().over(Window.partitionBy("scope").orderBy(*order))).select("scope", "position", "url", "title")

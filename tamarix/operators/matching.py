@@ -1,10 +1,12 @@
 """Linking announcements to professions.
 
-A job's evidence is a few short strings. Equal strings of all jobs are matched
-once: equal terms by an equi-join on the normalised string, all others by
-dividing both sides into tokens and counting shared ones, since every other
-score needs two of them. The taxonomy side is small; the session's broadcast
-threshold decides whether it is sent to all tasks or joined by shuffles.
+A job's evidence is a few short strings. A term of the taxonomy is found by keys:
+the whole normalised string, for equal ones, and its tokens but for the most
+frequent one, since every other score needs two shared tokens and so one of
+these. Both strings of a pair that meets are compared where it meets, at the
+first key that they share, so nothing is counted by a shuffle; the first shuffle
+is that of the matches by announcement. The taxonomy side is small; the session's
+broadcast threshold decides whether it is sent to all tasks or joined by shuffles.
 """
 
 from __future__ import annotations
@@ -31,16 +33,31 @@ def evidence(jobs: DataFrame) -> DataFrame:
     return rows.withColumn("norm_value", norm("value"))
 
 
-def pairs(values: DataFrame, term_rows: DataFrame) -> DataFrame:
-    """norm_value, norm_term, equal, shared (tokens), n_value, n_term for all
-    pairs that are equal or share two tokens."""
-    v = values.select("norm_value").distinct().withColumn("value_tokens", F.array_distinct(tokens(F.col("norm_value"))))
+def keyed(term_rows: DataFrame) -> DataFrame:
+    """key, norm_term, term_tokens (the rarest first) of each different term."""
     t = term_rows.select("norm_term", "term_tokens").distinct()
-    by_token = v.select("norm_value", F.size("value_tokens").alias("n_value"), F.explode("value_tokens").alias("token")).join(t.select("norm_term", F.size("term_tokens").alias("n_term"), F.explode("term_tokens").alias("token")), "token")
-    counted = by_token.groupBy("norm_value", "norm_term").agg(F.count(F.lit(1)).alias("shared"), F.first("n_value").alias("n_value"), F.first("n_term").alias("n_term")).filter("shared >= 2")
-    counted = counted.filter("norm_value <> norm_term").withColumn("equal", F.lit(False))
-    same = v.join(t, v["norm_value"] == t["norm_term"]).select("norm_value", "norm_term", F.size("term_tokens").cast("long").alias("shared"), F.size("value_tokens").alias("n_value"), F.size("term_tokens").alias("n_term"), F.lit(True).alias("equal"))
-    return same.unionByName(counted)
+    each = t.select("norm_term", F.explode("term_tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(often, "token").groupBy("norm_term").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("rarest"))
+    t = t.join(ordered, "norm_term", "left").select("norm_term", F.coalesce("rarest", "term_tokens").alias("term_tokens"))
+    rare = F.slice("term_tokens", 1, F.greatest(F.size("term_tokens") - 1, F.lit(0)))
+    return t.select("norm_term", "term_tokens", F.explode(F.concat(F.array(whole("norm_term")), rare)).alias("key"))
+
+
+def whole(c: str) -> Column:
+    """The key of a whole string; no token begins like this."""
+    return F.concat(F.lit("="), F.col(c))
+
+
+def met(field_rows: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """field_rows with norm_term, equal, shared (tokens), n_value, n_term for all
+    terms that are equal or share two tokens."""
+    f = field_rows.withColumn("value_tokens", F.array_distinct(tokens(F.col("norm_value"))))
+    f = f.withColumn("key", F.explode(F.concat(F.array(whole("norm_value")), "value_tokens")))
+    m = f.join(keyed(term_rows), "key").withColumn("common", F.array_intersect("term_tokens", "value_tokens"))
+    m = m.withColumn("equal", F.startswith("key", F.lit("=")))
+    m = m.filter(F.col("equal") | ((F.size("common") >= 2) & (F.get("common", F.lit(0)) == F.col("key")) & (F.col("norm_value") != F.col("norm_term"))))
+    return m.select(*field_rows.columns, "norm_term", "equal", F.size("common").alias("shared"), F.size("value_tokens").alias("n_value"), F.size("term_tokens").alias("n_term"))
 
 
 def strict_score() -> Column:
@@ -65,17 +82,35 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 98, "EXACT").when(score >= V.STRICT_MINIMUM, "STRONG").when(score >= V.RELATED_MINIMUM, "RELATED").otherwise("NONE")
 
 
+_WHAT = ("label", "sector", "family", "hcp_codes", "source", "field", "value", "term")
+
+
+def best(field_rows: DataFrame, term_rows: DataFrame, **scores: Column) -> DataFrame:
+    """uuid, profession_id and, for each score, a struct of the best match by it
+    (null if there is none). Of equal best scores the first term's first field
+    counts."""
+    hit = met(field_rows, term_rows).withColumns(scores)
+    some = F.greatest(*map(F.col, scores), F.lit(0.0)) > 0
+    hit = hit.filter(some).join(term_rows, "norm_term")
+    found = []
+    for name in scores:
+        weighted = F.col(name) * F.col("weight")
+        order = F.when(F.col(name) > 0, F.struct(weighted, -F.col("term_ord"), -F.col("field_ord")))
+        found.append(F.max_by(F.struct(*_WHAT, weighted.alias("weighted"), F.col(name).alias("raw")), order).alias(name))
+    return hit.groupBy("uuid", F.col("id").alias("profession_id")).agg(*found)
+
+
+def as_match(b: Column, searchable: bool = True) -> Column:
+    return match(b, b["weighted"], b["raw"], F.lit(searchable), b["field"], b["value"], b["term"])
+
+
 def classify(field_rows: DataFrame, term_rows: DataFrame, score: Column, least: float, most: float | None = None, searchable: bool = True) -> DataFrame:
-    """uuid and a match for each profession whose best score is in the band. Of
-    equal best scores the first term's first field counts."""
-    scored = pairs(field_rows, term_rows).withColumn("raw", score).filter("raw > 0").select("norm_value", "norm_term", "raw")
-    hit = field_rows.join(scored, "norm_value").join(term_rows, "norm_term").withColumn("weighted", F.col("raw") * F.col("weight"))
-    what = F.struct("label", "sector", "family", "hcp_codes", "source", "field", "value", "term", "weighted", "raw")
-    best = hit.groupBy("uuid", F.col("id").alias("profession_id")).agg(F.max_by(what, F.struct("weighted", -F.col("term_ord"), -F.col("field_ord"))).alias("b"))
+    """uuid and a match for each profession whose best score is in the band."""
+    found = best(field_rows, term_rows, b=score)
     band = F.col("b.weighted") >= least
     if most is not None:
         band = band & (F.col("b.weighted") <= most)
-    return best.filter(band).select("uuid", match(F.col("b"), F.col("b.weighted"), F.col("b.raw"), F.lit(searchable), F.col("b.field"), F.col("b.value"), F.col("b.term")).alias("match"))
+    return found.filter(band).select("uuid", as_match(F.col("b"), searchable).alias("match"))
 
 
 def match(row: Column, score: Column, raw: Column, searchable: Column, field: Column, value: Column, term: Column) -> Column:
@@ -92,13 +127,14 @@ def _phrases(given):
 
 
 def context_matches(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES) -> DataFrame:
-    """uuid and a match for each rule that holds. Rules are a few literals, so
-    this is a projection and a join with the professions."""
+    """uuid and a match for each profession with a rule that holds: its highest,
+    of equal ones the first. Rules are a few literals, so this is a projection and
+    a join with the professions."""
     given = F.transform(F.coalesce("specialties", F.array().cast("array<string>")), norm)
     jobs = jobs.select("uuid", norm("job_name").alias("name"), norm("grade").alias("grade"), given.alias("specialties"))
     name, grade, specialties = F.col("name"), F.col("grade"), F.col("specialties")
     held = []
-    for r in rules:
+    for at, r in enumerate(rules):
         on = F.lit(True)
         if r.get("job_name_any"):
             on = on & has_any_phrase(name, r["job_name_any"])
@@ -106,13 +142,13 @@ def context_matches(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RUL
             on = on & has_any_phrase(grade, r["grade_any"])
         if r.get("specialty_any"):
             on = on & F.exists(specialties, _phrases(r["specialty_any"]))
-        held.append(F.when(on, F.struct(F.lit(r["profession_id"]).alias("profession_id"), F.lit(r["id"]).alias("rule"), F.lit(float(r.get("score") or 99.0)).alias("raw"))))
+        held.append(F.when(on, F.struct(F.lit(r["profession_id"]).alias("profession_id"), F.lit(r["id"]).alias("rule"), F.lit(float(r.get("score") or 99.0)).alias("raw"), F.lit(-at).alias("place"))))
     if not held:
-        held = [F.lit(None).cast("struct<profession_id:string,rule:string,raw:double>")]
+        held = [F.lit(None).cast("struct<profession_id:string,rule:string,raw:double,place:int>")]
     hit = jobs.select("uuid", F.explode(F.array_compact(F.array(*held))).alias("h")).select("uuid", "h.*")
     market = by_id(professions).filter(F.col("source") == MARKET).select(F.col("id").alias("profession_id"), F.struct("label", "sector", "family", "hcp_codes", "source").alias("p"))
     hit = hit.join(market, "profession_id")
-    best = hit.groupBy("uuid", "profession_id").agg(F.max_by(F.struct("p", "rule", "raw"), "raw").alias("b"))
+    best = hit.groupBy("uuid", "profession_id").agg(F.max_by(F.struct("p", "rule", "raw"), F.struct("raw", "place")).alias("b"))
     return best.select("uuid", match(F.col("b.p"), F.col("b.raw"), F.col("b.raw"), F.lit(True), F.lit("context_rule"), F.col("b.rule"), F.col("b.rule")).alias("match"))
 
 
@@ -122,10 +158,15 @@ def merged(context: DataFrame, market: DataFrame) -> DataFrame:
     return both.groupBy("uuid", "match.profession_id").agg(F.max_by("match", F.struct("match.score", "first")).alias("match")).select("uuid", "match")
 
 
+def in_order(matches: Column) -> Column:
+    """By falling score, market first, then label."""
+    key = lambda m: F.struct((-m["score"]).alias("s"), (m["source"] != MARKET).alias("o"), F.lower(m["label"]).alias("l"), m.alias("match"))
+    return F.transform(F.array_sort(F.transform(matches, key)), lambda x: x["match"])
+
+
 def sorted_matches(rows: DataFrame) -> DataFrame:
-    """uuid, matches: by falling score, market first, then label."""
-    key = F.struct((-F.col("match.score")).alias("s"), (F.col("match.source") != MARKET).alias("o"), F.lower("match.label").alias("l"), "match")
-    return rows.groupBy("uuid").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["match"]).alias("matches"))
+    """uuid, matches, in order."""
+    return rows.groupBy("uuid").agg(in_order(F.collect_list("match")).alias("matches"))
 
 
 def market_terms(professions: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import development_track, has_any_phrase, norm, once, text, tokens, with_listing_role
+from ..sources.files import MARKET
 from . import matching
+from .taxonomy import terms
 
 MOST_MATCHES = 8
 
@@ -93,18 +95,50 @@ def decided(jobs: DataFrame) -> DataFrame:
     return j.withColumn("matches", out).drop(*[f"po_{x}" for x in ("whole", "role", "tracks", "first", "left", "ids", "titles", "gone")])
 
 
-def classify_jobs(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES, most: int = MOST_MATCHES) -> DataFrame:
-    """jobs with profession_matches. The official nomenclature counts for jobs
-    without any market candidate, whatever the policies leave."""
-    fields = matching.evidence(jobs)
-    found = matching.merged(matching.context_matches(jobs, professions, rules), matching.classify(fields, matching.market_terms(professions), matching.strict_score(), V.STRICT_MINIMUM))
-    own = matching.sorted_matches(found)
-    rest = fields.join(own.select("uuid"), "uuid", "left_anti")
-    official = matching.sorted_matches(matching.classify(rest, matching.official_terms(professions), matching.strict_score(), V.OFFICIAL_MINIMUM))
-    none = F.array().cast(own.schema["matches"].dataType)
-    j = jobs.join(own, "uuid", "left").join(official.withColumnRenamed("matches", "official_matches"), "uuid", "left")
+def found_matches(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES, hints: bool = False) -> DataFrame:
+    """jobs with `matches` of the rules and the market, else null, then
+    `official_matches`, if there are no such, and with hints `related`. All are
+    found in one pass over the evidence and come together by one shuffle."""
+    scores = {"strict": matching.strict_score()} | ({"related": matching.related_score()} if hints else {})
+    best = matching.best(matching.evidence(jobs), terms(professions), **scores)
+    s, market = F.col("strict"), F.lit(MARKET)
+    kinds = {
+        "market": (s["source"] == market) & (s["weighted"] >= V.STRICT_MINIMUM), "official": (s["source"] != market) & (s["weighted"] >= V.OFFICIAL_MINIMUM),
+    }
+    of = [F.when(on, F.struct(F.lit(k).alias("kind"), matching.as_match(s).alias("match"))) for k, on in kinds.items()]
+    if hints:
+        r = F.col("related")
+        near = (r["source"] == market) & r["weighted"].between(V.RELATED_MINIMUM, V.RELATED_MAXIMUM)
+        of.append(F.when(near, F.struct(F.lit("related").alias("kind"), matching.as_match(r, False).alias("match"))))
+    rows = best.select("uuid", F.explode(F.array_compact(F.array(*of))).alias("of"))
+    ruled = matching.context_matches(jobs, professions, rules).select("uuid", F.struct(F.lit("rule").alias("kind"), "match").alias("of"))
+    every = rows.unionByName(ruled).groupBy("uuid").agg(F.collect_list("of").alias("of"))
+    j = jobs.join(every, "uuid", "left").withColumn("of", F.coalesce("of", F.array().cast(every.schema["of"].dataType)))
+    kind = lambda k: F.transform(F.filter("of", lambda x: x["kind"] == k), lambda x: x["match"])
+    j = j.withColumns({f"of_{k}": kind(k) for k in ("rule", "market", "official", *["related"] * hints)})
+    same = lambda a, b: a["profession_id"] == b["profession_id"]
+    # of each profession the higher score, the rule's on a tie
+    by_rule = F.filter("of_rule", lambda a: ~F.exists("of_market", lambda b: same(a, b) & (b["score"] > a["score"])))
+    by_term = F.filter("of_market", lambda a: ~F.exists("of_rule", lambda b: same(a, b) & (b["score"] >= a["score"])))
+    j = j.withColumn("matches", matching.in_order(F.concat(by_rule, by_term)))
+    j = j.withColumn("official_matches", F.when(F.size("matches") == 0, matching.in_order(F.col("of_official")))).withColumn("matches", F.when(F.size("matches") > 0, F.col("matches")))
+    if hints:
+        j = j.withColumn("related", matching.in_order(F.col("of_related")))
+    return j.drop("of", "of_rule", "of_market", "of_official", "of_related")
+
+
+def classify_jobs(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES, most: int = MOST_MATCHES, hints: bool = False) -> DataFrame:
+    """jobs with profession_matches and, with hints, related_profession_matches.
+    The official nomenclature counts for jobs without any market candidate,
+    whatever the policies leave."""
+    j = found_matches(jobs, professions, rules, hints)
+    none = F.array().cast(j.schema["matches"].dataType)
     kept = F.coalesce("matches", "official_matches", none)  # policies leave null null
-    return decided(j).withColumn("profession_matches", once(F.slice(kept, 1, most))).drop("matches", "official_matches")
+    j = decided(j).withColumn("profession_matches", once(F.slice(kept, 1, most)))
+    if hints:
+        left = without(F.col("related"), ids(F.col("profession_matches")))
+        j = j.withColumn("related_profession_matches", once(F.slice(left, 1, most)))
+    return j.drop("matches", "official_matches", "related")
 
 
 def related_hints(jobs: DataFrame, professions: DataFrame, most: int = MOST_MATCHES) -> DataFrame:

@@ -157,10 +157,25 @@ def expectation_audit(index: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def suggestion_audit(suggestions: DataFrame, expected: DataFrame) -> DataFrame:
-    """expected (query, top, forbidden, label_prefix, label_part) with `pass`."""
-    got = suggestions.groupBy("query").agg(F.min_by("profession_id", "rank").alias("first_id"), F.min_by("label", "rank").alias("first_label"), F.collect_set("profession_id").alias("got"))
-    e = expected.join(got, "query", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
+    """expected (query, top, forbidden, label_prefix, label_part and, optionally,
+    required, and first, which must come before `then` if that is there) with
+    `pass`."""
+    none = F.array().cast("array<string>")
+    row = F.struct("rank", "profession_id")
+    got = suggestions.groupBy("query").agg(F.min_by("profession_id", "rank").alias("first_id"), F.min_by("label", "rank").alias("first_label"), F.transform(F.array_sort(F.collect_list(row)), lambda x: x["profession_id"]).alias("got"))
+    kinds = {"required": "array<string>", "first": "array<string>", "then": "string"}
+    e = expected.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in expected.columns})
+    e = e.join(got, "query", "left").withColumn("got", F.coalesce("got", none))
     label = audit_norm("first_label")
-    ok = (F.col("top").isNull() | F.coalesce(F.col("first_id") == F.col("top"), F.lit(False))) & (F.size(F.array_intersect("got", F.coalesce("forbidden", F.array().cast("array<string>")))) == 0)
+    ok = (F.col("top").isNull() | F.coalesce(F.col("first_id") == F.col("top"), F.lit(False))) & (F.size(F.array_intersect("got", F.coalesce("forbidden", none))) == 0)
     ok = ok & (F.col("label_prefix").isNull() | F.startswith(label, F.col("label_prefix"))) & (F.col("label_part").isNull() | F.contains(label, F.col("label_part")))
-    return e.withColumn("pass", ok)
+    ok = ok & (F.size(F.array_except(F.coalesce("required", none), "got")) == 0)
+    late = F.array_position("got", F.col("then"))
+    early = F.forall(F.coalesce("first", none), lambda x: (F.array_position("got", x) > 0) & (F.array_position("got", x) < late))
+    return e.withColumn("pass", F.coalesce(ok & (F.coalesce(late == 0, F.lit(True)) | early), F.lit(False)))
+
+
+def expectation_report(audited: DataFrame) -> DataFrame:
+    """One row: how many expectations there are, were met, and the gate."""
+    row = audited.agg(F.count(F.lit(1)).alias("cases"), F.count_if("present").alias("present"), F.count_if(~F.col("pass")).alias("failures"))
+    return row.withColumn("gate", F.col("failures") == 0)

@@ -1,8 +1,13 @@
 """Autocomplete and query resolution.
 
-Queries are scored against terms in generated code; only pairs that no rule
-scores go to the Arrow function for the similarity ratio, and of those only the
-ones whose lengths allow the least ratio.
+A query meets the terms that an index gives for it. Whatever scores by the first
+rules has the query at the beginning of one of its words, so terms are found by
+the beginnings of what follows each word's start; a query of several of a term's
+words by one of its words. Only the rest is compared by similarity, in the Arrow
+function, and of it only pairs that can reach the least ratio r: with L letters
+in both, at least r L / 2 are in common blocks, which at most L - r L others
+divide, so (3 r / 2 - 1) L - 1 pairs of neighbours are in both. Terms are found
+by as few of the query's rarest pairs as this leaves, then the pairs are counted.
 """
 
 from __future__ import annotations
@@ -16,15 +21,21 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.text import has_phrase, norm, tokens
+from ..shipping import ship
 from ..sources.files import MARKET
 from .taxonomy import exact_ids, terms
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity(query: pd.Series, term: pd.Series) -> pd.Series:
+def _ratio(query: pd.Series, term: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, q, t).ratio() for q, t in zip(query, term, strict=True)], dtype=float)
 
 
+def similarity(query: Column, term: Column) -> Column:
+    ship()
+    return _ratio(query, term)
+
+
 def structured_score(q: Column, q_tokens: Column, t: Column, t_tokens: Column) -> Column:
     """The score by rules, null if none holds."""
     subset = (F.size(q_tokens) > 0) & (F.size(F.array_except(q_tokens, t_tokens)) == 0)
@@ -37,19 +48,57 @@ def structured_score(q: Column, q_tokens: Column, t: Column, t_tokens: Column) -
     )
 
 
-def term_scores(queries: DataFrame, professions: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """query and the columns of terms with score (-1: no match). Queries are few
-    and terms a dimension; each meets each."""
-    q = queries.select("query").distinct().withColumn("q", norm("query")).filter("q <> ''").withColumn("q_tokens", F.array_distinct(tokens(F.col("q"))))
-    met = q.join(terms(professions), how="cross").withColumn("ruled", structured_score(F.col("q"), F.col("q_tokens"), F.col("norm_term"), F.col("term_tokens")))
-    if not fuzzy:
-        return met.withColumn("score", F.coalesce("ruled", F.lit(-1.0))).drop("ruled")
-    # a ratio is at most 2 min / (a + b)
+def beginnings(norm_term: Column) -> Column:
+    """What a query may be that some word of the term begins with, or goes on to."""
+    words = F.split(norm_term, " ")
+    tails = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.size(words)), " "))
+    return F.array_distinct(F.flatten(F.transform(tails, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substring(t, 1, n)))))
+
+
+def neighbours(value: Column) -> Column:
+    """The pairs of neighbouring letters, each with how often it came before."""
+    grams = F.when(F.length(value) > 1, F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, 2))).otherwise(F.array().cast("array<string>"))
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g)).cast("string")))
+
+
+def least_shared(a: Column, b: Column) -> Column:
+    """Pairs of neighbours that strings of these lengths share at the least ratio."""
+    return F.greatest(F.ceil((1.5 * V.FUZZY_RATIO - 1) * (a + b) - 1 - 1e-9), F.lit(1)).cast("int")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query").distinct().withColumn("q", norm("query")).filter("q <> ''").withColumn("q_tokens", F.array_distinct(tokens(F.col("q"))))
+
+
+def _similar(q: DataFrame, t: DataFrame) -> DataFrame:
+    """Pairs without a score by rules whose ratio is high enough."""
+    strings = t.select("norm_term").distinct().withColumn("term_pairs", neighbours(F.col("norm_term")))
+    each = strings.select("norm_term", "term_pairs", F.explode("term_pairs").alias("pair"))
+    often = each.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    pairs = q.select("q", "q_tokens").distinct().withColumn("q_pairs", neighbours(F.col("q")))
+    # a pair that no term has is no key, but takes a place among the rarest
+    rare = pairs.select("q", F.explode("q_pairs").alias("pair")).join(often, "pair", "left").groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))), lambda x: x["pair"]).alias("rarest"))
+    shortest = F.ceil(F.length("q") * V.FUZZY_RATIO / (2 - V.FUZZY_RATIO) - 1e-9)
+    keys = F.slice("rarest", 1, F.greatest(F.size("rarest") - least_shared(F.length("q"), shortest) + 1, F.lit(1)))
+    asked = pairs.join(rare, "q").withColumn("keys", keys)
+    found = asked.select("q", "q_tokens", "q_pairs", "keys", F.explode("keys").alias("pair")).join(each, "pair")
     lengths = 2 * F.least(F.length("q"), F.length("norm_term")) / (F.length("q") + F.length("norm_term"))
-    near = met.filter(F.col("ruled").isNull() & (lengths >= V.FUZZY_RATIO)).withColumn("ratio", similarity("q", "norm_term"))
-    near = near.withColumn("score", F.when(F.col("ratio") >= V.FUZZY_RATIO, 500 + 100 * F.col("ratio")).otherwise(-1.0)).drop("ratio", "ruled")
-    rest = met.filter(F.col("ruled").isNotNull() | (lengths < V.FUZZY_RATIO)).withColumn("score", F.coalesce("ruled", F.lit(-1.0))).drop("ruled")
-    return near.unionByName(rest)
+    shared = F.size(F.array_intersect("q_pairs", "term_pairs")) >= least_shared(F.length("q"), F.length("norm_term"))
+    first = F.get(F.array_intersect("keys", "term_pairs"), F.lit(0)) == F.col("pair")  # where they meet first
+    near = found.filter(first & (lengths >= V.FUZZY_RATIO) & shared).select("q", "norm_term").withColumn("ratio", similarity(F.col("q"), F.col("norm_term"))).filter(F.col("ratio") >= V.FUZZY_RATIO)
+    met = q.join(near, "q").join(t, "norm_term")
+    return met.filter(structured_score(F.col("q"), F.col("q_tokens"), F.col("norm_term"), F.col("term_tokens")).isNull()).withColumn("score", 500 + 100 * F.col("ratio")).drop("ratio")
+
+
+def term_scores(queries: DataFrame, professions: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """query and the columns of terms with score, for all pairs that have one."""
+    q, t = _asked(queries), terms(professions)
+    ruled = structured_score(F.col("q"), F.col("q_tokens"), F.col("norm_term"), F.col("term_tokens"))
+    begun = q.join(t.withColumn("key", F.explode(beginnings(F.col("norm_term")))), F.col("q") == F.col("key")).drop("key").withColumn("score", ruled)
+    worded = q.withColumn("key", F.array_min("q_tokens")).join(t.withColumn("key", F.explode("term_tokens")), "key").drop("key").withColumn("score", ruled)
+    # what the first rules score is among those begun already
+    found = begun.filter("score >= 0").unionByName(worded.filter(F.col("score") < 800))
+    return found.unionByName(_similar(q, t)) if fuzzy else found
 
 
 def suggest(queries: DataFrame, professions: DataFrame, limit: int = 10, fuzzy: bool = True) -> DataFrame:
@@ -57,7 +106,6 @@ def suggest(queries: DataFrame, professions: DataFrame, limit: int = 10, fuzzy:
     s = term_scores(queries, professions, fuzzy)
     what = F.struct("label", "sector", "family", "hcp_codes", "source", "term", "score", "ord")
     best = s.groupBy("query", F.col("id").alias("profession_id")).agg(F.max_by(what, F.struct("score", -F.col("term_ord"))).alias("b"), F.max(F.when(F.col("term_ord") == 0, F.col("score"))).alias("label_score"))
-    best = best.filter("b.score >= 0")
     charge = F.when(F.contains(norm("b.label"), F.lit("n c a")), 90.0).otherwise(0.0)
     best = best.select("query", "profession_id", "b.label", "b.sector", "b.family", "b.hcp_codes", "b.source", F.col("b.term").alias("matched_term"), F.round(F.col("b.score") - charge, 2).alias("score"), (F.coalesce("label_score", F.lit(-1.0)) - charge).alias("label_score"), "b.ord")
     official = F.when(F.col("source") == MARKET, 0).otherwise(2)

@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import crawl_audit, extraction
+from ..sources import crawl
 
 
-def audit(raw_listing: DataFrame, raw_detail: DataFrame, now: Column, errors: DataFrame | None = None, robots_allowed: bool = True, base_url: str = extraction.BASE_URL) -> dict[str, DataFrame]:
+def verified(listings: DataFrame, states: DataFrame, outcomes: tuple[DataFrame, DataFrame, DataFrame], now: Column, robots_allowed: bool = True) -> dict[str, DataFrame]:
     """jobs, accepted, rejected, failures, retired, scopes, decisions, audit."""
-    listings = extraction.listing(raw_listing, base_url)
     expected = extraction.first_scope(extraction.numbered(listings))
-    jobs, failures, retired = extraction.outcomes(raw_detail, base_url)
-    states = crawl_audit.scope_state(listings, errors)
+    jobs, failures, retired = outcomes
     decided = crawl_audit.decisions(jobs, now)
     gate = crawl_audit.detail_gate(expected, jobs, retired, failures)
     return {
-        "jobs": extraction.newest_first(jobs), "accepted": decided.filter("decision = 'accepted'").drop("decision"), "rejected": decided.filter("decision <> 'accepted'").select("uuid", "url", "decision"),
-        "failures": failures, "retired": retired, "scopes": crawl_audit.scope_audit(states), "decisions": crawl_audit.decision_counts(decided), "audit": crawl_audit.audit_row(states, gate, decided, now, robots_allowed),
+        "jobs": extraction.newest_first(jobs), "accepted": extraction.newest_first(decided.filter("decision = 'accepted'").drop("decision")),
+        "rejected": decided.filter("decision <> 'accepted'").select("uuid", "url", F.col("decision").alias("reason")), "failures": failures, "retired": retired,
+        "scopes": crawl_audit.scope_audit(states), "decisions": crawl_audit.decision_counts(decided), "audit": crawl_audit.audit_row(states, gate, decided, now, robots_allowed),
     }
+
+
+def audit(raw_listing: DataFrame, raw_detail: DataFrame, now: Column, errors: DataFrame | None = None, robots_allowed: bool = True, base_url: str = extraction.BASE_URL) -> dict[str, DataFrame]:
+    """verified() of pages that are landed already."""
+    listings = extraction.listing(raw_listing, base_url)
+    return verified(listings, crawl_audit.scope_state(listings, errors), extraction.outcomes(raw_detail, base_url), now, robots_allowed)
+
+
+def tasks(listings: DataFrame) -> DataFrame:
+    """url, scope, title of the detail pages to read: each url once."""
+    return extraction.first_scope(extraction.numbered(listings)).select("url", "scope", "title")
+
+
+def crawl_site(spark: SparkSession, base_url: str, path: str, scopes: tuple[str, ...] | None = None, parallel: int = 8, rest: float = 0.4, **how) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """(listings, states, (jobs, failures, retired)) of the site, whose pages are
+    landed under `path`. Details are read by `parallel` tasks; those that fail
+    are read once more, one after another."""
+    spark.dataSource.register(crawl.ListingSource)
+    options = {"base_url": base_url} | {k: str(v) for k, v in how.items()} | ({"scopes": ",".join(scopes)} if scopes else {})
+
+    def land(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    pages = land(spark.read.format("listing_pages").options(**options).load(), "raw_listing")
+    listings, states = crawl_audit.scanned(pages, base_url)
+    wanted = land(tasks(listings).repartition(parallel, "url"), "detail_tasks")
+    first = land(crawl.detail_pages(wanted, **how), "raw_detail")
+    jobs, failures, retired = extraction.outcomes(first, base_url)
+    again = land(crawl.detail_pages(wanted.join(failures.select("url"), "url", "left_semi").coalesce(1), rest, **how), "raw_detail_again")
+    later, failures, more = extraction.outcomes(again, base_url)
+    return listings, states, (jobs.unionByName(later), failures, retired.unionByName(more))

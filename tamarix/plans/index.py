@@ -13,12 +13,19 @@ from ..sources.schemas import as_jobs
 POLICY = "exact_and_strong_only"
 
 
+def classified(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES) -> DataFrame:
+    """jobs with search_title, profession_matches and profession_ids; one row a
+    uuid is expected."""
+    return _titled(policy.classify_jobs(as_jobs(jobs), professions, rules))
+
+
 def build_index(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES) -> DataFrame:
-    """jobs with search_title, profession_matches, profession_ids and
-    related_profession_matches; one row a uuid is expected."""
-    found = policy.classify_jobs(as_jobs(jobs), professions, rules)
-    found = policy.related_hints(found, professions).withColumn("search_title", once(search.display_title()))
-    return found.withColumn("profession_ids", policy.ids(F.col("profession_matches")))
+    """classified() with related_profession_matches, from the same pass."""
+    return _titled(policy.classify_jobs(as_jobs(jobs), professions, rules, hints=True))
+
+
+def _titled(found: DataFrame) -> DataFrame:
+    return found.withColumn("search_title", once(search.display_title())).withColumn("profession_ids", policy.ids(F.col("profession_matches")))
 
 
 def index_report(index: DataFrame, professions: DataFrame, minimum: float = 0.0) -> DataFrame:

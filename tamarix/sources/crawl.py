@@ -1,21 +1,39 @@
 """The crawl's edge: politeness, page descriptors, and landed pages.
 
 Fetching is not a query; pages are landed as raw_listing (scope, page, snapshot,
-html) and raw_detail (url, scope, title, status, hops, final_url, html), and the
-operators start there. A 404 for robots.txt allows, as is the convention.
+html, attempt, error) and raw_detail (url, scope, title, status, hops, final_url,
+html, error), and the operators start there. A 404 for robots.txt allows, as is
+the convention.
+
+A scope's listing is read in order, since each page tells whether to go on: page
+1 (snapshot `first`) gives the official count and with it the last page to ask
+for; reading stops when all links are seen or after pages in a row without a new
+one (a page that fails is one); page 1 is read again at the end (`final`). A scan
+that isn't complete is made once more. Scopes are read side by side. Detail pages
+are read by as many tasks as the table of urls has partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib import robotparser
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from email.utils import parsedate_to_datetime
+from urllib import error, parse, request, robotparser
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import fixed_values as V
+from ..shipping import ship
+from . import html as H
 
 RAW_LISTING = "scope string, page int, snapshot string, html string"
+LISTING_PAGES = f"{RAW_LISTING}, attempt int, error string"
 RAW_DETAIL = "url string, scope string, title string, status int, hops array<struct<status:int,url:string>>, final_url string, html string"
+DETAIL_PAGES = f"{RAW_DETAIL}, error string"
+AGAIN = (429, 500, 502, 503, 504)
 
 
 def robots_allow(robots_text: str | None, base_url: str, agent: str = "*", status: int = 200) -> tuple[bool, str]:
@@ -24,63 +42,175 @@ def robots_allow(robots_text: str | None, base_url: str, agent: str = "*", statu
     try:
         rules = robotparser.RobotFileParser()
         rules.parse((robots_text or "").splitlines())
-        paths = (V.LIST_PATH, "/fr/concours/details/00000000-0000-0000-0000-000000000000")
-        return all(rules.can_fetch(agent, base_url + p) for p in paths), "robots.txt parsed"
+        return all(rules.can_fetch(agent, base_url + p) for p in V.ROBOTS_PATHS), "robots.txt parsed"
     except Exception as e:  # a policy that can't be read denies
         return False, f"robots check failed: {e}"
 
 
 def listing_params(scope: str, page: int) -> dict[str, str | int]:
-    return {"corps": "0", "datePicker": "", "date_from": "", "date_to": "", "key_word": "", "procedure": "avis", "region": "0", "stat": scope, "page": page}
+    return V.LISTING_PARAMS | {"stat": scope, "page": page}
 
 
 def target_pages(official: int) -> int:
+    """The last page to ask for; a count that can't be is refused."""
+    if not 0 <= official <= V.MOST_OFFICIAL:
+        raise ValueError(f"an official count of {official}")
     return max(1, -(-official // V.PAGE_SIZE) + V.GUARD_PAGES)
 
 
-class _Listing(InputPartition):
-    def __init__(self, scope: str, page: int):
-        self.scope, self.page = scope, page
+@dataclass
+class Fetched:
+    status: int
+    final_url: str
+    text: str
+    hops: list[tuple[int, str]]
+
+
+class _Redirects(request.HTTPRedirectHandler):
+    def __init__(self) -> None:
+        self.hops: list[tuple[int, str]] = []
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        self.hops.append((code, req.full_url))
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def waiting(header: str | None, attempt: int, backoff: float) -> float:
+    """Seconds to wait before the next attempt: what the server says (seconds or
+    a date), else twice as long each time."""
+    if header:
+        try:
+            return max(0.0, float(header))
+        except ValueError:
+            pass
+        try:
+            return max(0.0, parsedate_to_datetime(header).timestamp() - time.time())
+        except ValueError:
+            pass
+    return backoff * 2**attempt
+
+
+def fetch(url: str, agent: str = "tamarix", timeout: float = 30, retries: int = 5, backoff: float = 0.8, pause: float = 0.05) -> Fetched:
+    """A page, with its redirects; errors of the network and answers that ask for
+    it are tried again."""
+    import random
+
+    for attempt in range(retries + 1):
+        time.sleep(random.uniform(pause, 3.6 * pause))
+        redirects = _Redirects()
+        try:
+            with request.build_opener(redirects).open(request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+                return Fetched(r.status, r.url, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), redirects.hops)
+        except error.HTTPError as e:
+            if e.code not in AGAIN or attempt == retries:
+                raise
+            header = e.headers.get("Retry-After")
+        except (error.URLError, TimeoutError, ConnectionError):
+            if attempt == retries:
+                raise
+            header = None
+        time.sleep(waiting(header, attempt, backoff))
+    raise AssertionError
+
+
+def told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def scan(read: Callable[[int], str], attempt: int) -> Iterator[tuple]:
+    """(page, snapshot, html, attempt, error) of one scan of a listing; its last
+    row has the error "incomplete" and no page, if it isn't complete."""
+    html = read(1)
+    yield 1, "first", html, attempt, None
+    official, links = H.listing_facts(html)
+    last, seen, stagnant, failed, page = target_pages(official), set(links), 0, False, 2
+    while len(seen) < official and page <= last and stagnant < V.STAGNANT_PAGES:
+        before = len(seen)
+        try:
+            html = read(page)
+            yield page, "body", html, attempt, None
+            seen.update(H.listing_links(html))
+        except (OSError, ValueError) as e:
+            failed = True
+            yield page, "body", None, attempt, told(e)
+        stagnant = stagnant + 1 if len(seen) == before else 0
+        page += 1
+    html = read(1)
+    yield 1, "final", html, attempt, None
+    after, links = H.listing_facts(html)
+    seen.update(links)
+    return official == after == len(seen) and not failed
+
+
+class _Scope(InputPartition):
+    def __init__(self, scope: str):
+        self.scope = scope
 
 
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.options = options
+        self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        scopes = self.options.get("scopes", ",".join(V.SCOPES)).split(",")
-        return [_Listing(s, p) for s in scopes for p in range(1, int(self.options.get("pages", "1")) + 1)]
-
-    def read(self, part: _Listing) -> Iterator[tuple]:
-        import random
-        import time
-        import urllib.error
-        import urllib.parse
-        import urllib.request
-
-        url = f"{self.options['base_url']}{V.LIST_PATH}?{urllib.parse.urlencode(listing_params(part.scope, part.page))}"
-        for attempt in range(6):
-            time.sleep(random.uniform(0.05, 0.18))
-            try:
-                with urllib.request.urlopen(url, timeout=30) as r:
-                    yield part.scope, part.page, "body", r.read().decode("utf-8", "replace")
-                return
-            except urllib.error.HTTPError as e:
-                if e.code not in (429, 500, 502, 503, 504) or attempt == 5:
-                    raise
-                time.sleep(float(e.headers.get("Retry-After") or 0.8 * 2**attempt))
+        return [_Scope(s) for s in self.options.get("scopes", ",".join(V.SCOPES)).split(",")]
+
+    def read(self, part: _Scope) -> Iterator[tuple]:
+        how = {k: float(self.options[k]) for k in ("backoff", "pause", "timeout") if k in self.options}
+
+        def page(n: int) -> str:
+            return fetch(f"{self.options['base_url']}{V.LIST_PATH}?{parse.urlencode(listing_params(part.scope, n))}", **how).text
+
+        def rows(attempt: int):
+            found = scan(page, attempt)
+            while True:
+                try:
+                    yield part.scope, *next(found)
+                except StopIteration as end:
+                    return end.value
+
+        if not (yield from rows(1)):
+            time.sleep(float(self.options.get("rest", "1")))
+            yield from rows(2)
 
 
 class ListingSource(DataSource):
-    """spark.read.format("listing_pages") with options base_url, scopes, pages:
-    one partition a scope and page, with retries."""
+    """spark.read.format("listing_pages") with options base_url and, if need be,
+    scopes, pause, backoff, timeout, rest: a partition a scope."""
 
     @classmethod
     def name(cls) -> str:
         return "listing_pages"
 
     def schema(self) -> str:
-        return RAW_LISTING
+        return LISTING_PAGES
 
     def reader(self, schema) -> DataSourceReader:
         return ListingReader(self.options)
+
+
+_DETAIL_ARROW = pa.schema(
+    [
+        ("url", pa.string()), ("scope", pa.string()), ("title", pa.string()), ("status", pa.int32()), ("hops", pa.list_(pa.struct([("status", pa.int32()), ("url", pa.string())]))),
+        ("final_url", pa.string()), ("html", pa.string()), ("error", pa.string()),
+    ]
+)
+
+
+def detail_pages(tasks: DataFrame, rest: float = 0.0, **how) -> DataFrame:
+    """tasks (url, scope, title) as raw_detail pages; what can't be read has an
+    error. Land the result before it is used twice."""
+    ship(tasks.sparkSession)
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for task in b.to_pylist():
+                time.sleep(rest)
+                row = dict.fromkeys(_DETAIL_ARROW.names) | task
+                try:
+                    got = fetch(task["url"], **how)
+                    row |= {"status": got.status, "hops": [{"status": s, "url": u} for s, u in got.hops], "final_url": got.final_url, "html": got.text}
+                except (OSError, ValueError) as e:
+                    row |= {"hops": [], "error": told(e)}
+                yield pa.RecordBatch.from_pylist([row], schema=_DETAIL_ARROW)
+
+    return tasks.select("url", "scope", "title").mapInArrow(fetched, DETAIL_PAGES)

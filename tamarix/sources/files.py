@@ -1,7 +1,11 @@
-"""Readers and writers: JSON announcements, taxonomy files, exports."""
+"""Readers and writers: JSON announcements, taxonomy files, exports. Tables are
+written as folders of JSON lines (or Parquet), reports of one row as one file."""
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +17,31 @@ _OFFICIAL = "records array<struct<code:string,label:string,major_group_label:str
 MARKET, OFFICIAL = "market", "official"
 
 
+_RULE = "rules array<struct<id:string,profession_id:string,job_name_any:array<string>,grade_any:array<string>,specialty_any:array<string>,score:double>>"
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _file(spark, path)
+    return system.exists(at)
+
+
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of announcements."""
-    return spark.read.schema(JOB).json(path, multiLine=True)
+    """Announcements: a file with a JSON array, or a folder of JSON lines."""
+    at, system = _file(spark, path)
+    return spark.read.schema(JOB).json(path, multiLine=not (system.exists(at) and system.getFileStatus(at).isDirectory()))
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[dict[str, Any], ...]:
+    """A taxonomy's conjunctive rules (a few); none if there is no such file."""
+    if not exists(spark, path):
+        return ()
+    rows = spark.read.schema(_RULE).json(path, multiLine=True).select(F.inline("rules")).collect()
+    return tuple({k: v for k, v in r.asDict().items() if v is not None} for r in rows)
 
 
 def read_market(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +66,27 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """The search index, by publication day so that searches prune."""
+def write_report(spark: SparkSession, report: Any, path: str) -> None:
+    """A report as one readable JSON file."""
+    at, system = _file(spark, path)
+    out = system.create(at, True)
+    try:
+        out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2, default=str), "utf-8"))
+    finally:
+        out.close()
+
+
+def write_index(index: DataFrame, path: str, batch: int = -1) -> None:
+    """The search index by batch of the stream (-1: not from a stream), then by
+    publication day. A batch that comes again replaces itself."""
     day = F.substring("publication_date", 1, 10)
-    index.withColumn("publication_day", day).write.mode("overwrite").partitionBy("publication_day").parquet(path)
+    index.withColumn("publication_day", day).write.mode("overwrite").partitionBy("publication_day").parquet(f"{path}/batch={batch}")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("publication_day")
+def read_index(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """The index; with `since` (a day, as 2026-08-05) only the folders of that
+    publication day and later are read."""
+    index = spark.read.parquet(path)
+    if since is not None:
+        index = index.filter(F.col("publication_day") >= F.lit(since).cast(index.schema["publication_day"].dataType))
+    return index.drop("publication_day", "batch")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib import parse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +14,9 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.text import text
+from ..shipping import ship
 
+LAST_CHANCE, SIMILAR = "Dernière chance pour postuler", "Concours similaires"
 _S = T.StringType()
 PAGE = T.StructType(
     [
@@ -73,12 +76,33 @@ def _read(html: str | None) -> tuple:
     held = lambda n: [s.strip() for s in strings[n[1] : n[2] if n[2] is not None else len(strings)] if s.strip()]
     links = [{"href": n[3], "text": _clean(" ".join(held(n)))} for n in page.nodes if n[0] == "a" and n[3] is not None]
     blocks = [{"tag": n[0], "text": _clean(" ".join(held(n)))} for n in page.nodes if n[0] in _BLOCKS]
-    items = [[y for x in held(n) for z in x.splitlines() if (y := _clean(z).lstrip("-• "))] for n in page.nodes if n[0] == "li"]
+    items = [[_clean(z).lstrip("-• ") for x in held(n) for z in x.splitlines() if _clean(z)] for n in page.nodes if n[0] == "li"]
     site = next((i for i, s in enumerate(strings) if "site de dépôt" in s.lower() and ":" in s.lower().split("site de dépôt", 1)[1][:40]), None)
     link = None if site is None else next((n[3] for n in page.nodes if n[0] == "a" and n[3] is not None and n[1] > site), None)
     return " ".join(s.strip() for s in strings if s.strip()), links, blocks, items, link
 
 
+def _head(html: str) -> tuple:
+    return _read(re.split(LAST_CHANCE.replace(" ", r"\s+"), html or "", maxsplit=1, flags=re.IGNORECASE)[0])
+
+
+def listing_links(html: str) -> list[str]:
+    """The paths of a listing page's links to detail pages, each once, in order;
+    for the reader, which must know when to stop."""
+    paths = [parse.urlsplit(link["href"]).path for link in _head(html)[1]]
+    return list(dict.fromkeys(p for p in paths if re.match(V.DETAIL_PATH, p)))
+
+
+def listing_facts(html: str) -> tuple[int, list[str]]:
+    """(official count, links) of a listing page; a page without a counter is
+    refused."""
+    counts = re.findall(V.RESULTS, _head(html)[0], re.IGNORECASE)
+    digits = re.sub(r"\D", "", counts[-1]) if counts else ""
+    if not digits:
+        raise ValueError("the page has no counter of results")
+    return int(digits), listing_links(html)
+
+
 #: column of a detail page and the label its block starts with
 _HEADINGS = {"administration": "Administration qui recrute", "published": "Date de publication", "until": "Délai de dépôt des candidatures", "held": "Date du concours"}
 _PLAIN = ("positions", "job_name", "grade", "recruitment_type", "application_type", "application_site", "contest_code")
@@ -108,19 +132,28 @@ def _detail(html: str | None) -> dict:
 
 
 @F.pandas_udf(DETAIL)
-def detail(html: pd.Series) -> pd.DataFrame:
+def _detail_of(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_detail(h) for h in html], columns=DETAIL.names)
 
 
 @F.pandas_udf(PAGE)
-def page(html: pd.Series) -> pd.DataFrame:
+def _page_of(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read(h) for h in html], columns=["text", "links", "blocks", "items", "deposit_link"])
 
 
+def detail(html: Column) -> Column:
+    ship()
+    return _detail_of(html)
+
+
+def page(html: Column) -> Column:
+    ship()
+    return _page_of(html)
+
+
 def before(html: Column | str, mark: str) -> Column:
     """A page up to a mark (its words, however spaced or written)."""
     pattern = r"(?iU)" + mark.replace(" ", r"\s+")
     return F.try_element_at(F.split(text(html), pattern, 2), F.lit(1))
 
 
-LAST_CHANCE, SIMILAR = "Dernière chance pour postuler", "Concours similaires"

@@ -1,18 +1,19 @@
 """New announcements as a stream: an extension of the batch plans.
 
 Announcements are deduplicated by uuid within the retention of 15 days, and each
-micro-batch is classified by the batch plan and appended to the index.
+micro-batch is classified by the batch plan and written to the index under its
+number, so that a batch that is run again after a failure replaces itself.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.dates import local_time
 from ..functions.fixed_values import MAXIMUM_AGE_DAYS
 from ..plans.index import build_index
+from ..sources.files import write_index
 
 
 def new_announcements(jobs: DataFrame) -> DataFrame:
@@ -22,12 +23,11 @@ def new_announcements(jobs: DataFrame) -> DataFrame:
 
 
 def index_stream(jobs: DataFrame, professions: DataFrame, path: str, checkpoint: str, rules=None, once: bool = False) -> StreamingQuery:
-    """Appends the classified announcements to an index at `path`."""
+    """Adds the classified announcements to an index at `path`."""
     kinds = {} if rules is None else {"rules": rules}
 
-    def append(batch: DataFrame, number: int) -> None:
-        index = build_index(batch.drop("published_at"), professions, **kinds)
-        index.withColumn("publication_day", F.substring("publication_date", 1, 10)).write.mode("append").partitionBy("publication_day").parquet(path)
+    def add(batch: DataFrame, number: int) -> None:
+        write_index(build_index(batch.drop("published_at"), professions, **kinds), path, number)
 
-    writer = new_announcements(jobs).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    writer = new_announcements(jobs).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -6,13 +6,15 @@ import pytest
 from professions import market_json, official_json
 
 from tamarix.api import Taxonomy, run_golden_audit
+from tamarix.functions import fixed_values as V
 
 
 @pytest.fixture(scope="module")
 def tax(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("taxonomy")
     (d / "market_professions.json").write_text(json.dumps(market_json(), ensure_ascii=False), encoding="utf-8")
-    (d / "official_professions.json").write_text(json.dumps(official_json(), ensure_ascii=False), encoding="utf-8")
+    (d / "nap2014_professions.json").write_text(json.dumps(official_json(), ensure_ascii=False), encoding="utf-8")
+    (d / "context_rules.json").write_text(json.dumps({"rules": list(V.CONTEXT_RULES)}, ensure_ascii=False), encoding="utf-8")
     return Taxonomy(spark, str(d))
 
 

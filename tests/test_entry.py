@@ -9,6 +9,7 @@ from pathlib import Path
 from professions import market_json, official_json
 
 from tamarix import catalogue, cli
+from tamarix.functions import fixed_values as V
 from tamarix.sources.files import read_index
 from tamarix.sources.schemas import JOB
 from tamarix.streaming.announcements import index_stream
@@ -33,7 +34,8 @@ def test_nothing_else_imports_them():
 
 def taxonomy_dir(d):
     (d / "market_professions.json").write_text(json.dumps(market_json(), ensure_ascii=False), encoding="utf-8")
-    (d / "official_professions.json").write_text(json.dumps(official_json(), ensure_ascii=False), encoding="utf-8")
+    (d / "nap2014_professions.json").write_text(json.dumps(official_json(), ensure_ascii=False), encoding="utf-8")
+    (d / "context_rules.json").write_text(json.dumps({"rules": list(V.CONTEXT_RULES)}, ensure_ascii=False), encoding="utf-8")
     return str(d)
 
 

@@ -1,5 +1,6 @@
 """HTML to records, dates, redirects and the crawl's completeness."""
 
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -68,6 +69,9 @@ def test_fresh_and_open(spark):
     assert ok("2026-08-04T23:00:00", "2026-09-20T12:00:00") == "older_than_15_days"
     assert ok("2026-08-21T00:00:00", "2026-08-01T12:00:00") == "publication_in_future"
     assert ok("2026-08-19T00:00:00+00:00", "2026-08-20T11:59:59") == "deadline_expired"
+    for wrong in (None, "", "bientôt", "2026-13-01T00:00:00"):
+        assert ok(wrong, "2026-08-21T00:00:00") == "unreadable_publication_date"
+        assert ok("2026-08-19T00:00:00", wrong) == "unreadable_deadline"
 
 
 def test_normalisers(spark):
@@ -79,6 +83,21 @@ def test_normalisers(spark):
     assert text.norm_text(rows[0][0]) == "eleve ingenieur d etat bac+5 c#"
 
 
+def test_folding_is_unicodes(spark):
+    """Every letter (but Hangul syllables) and some texts as norm_exact has them."""
+    known = lambda c: "Cn" != unicodedata.ucd_3_2_0.category(chr(c)) == unicodedata.category(chr(c))  # in every version of the tables
+    letters = [chr(c) for c in (*range(0x20, 0xAC00), *range(0xE000, 0xFB50), *range(0x1D400, 0x1D7FF), *range(0x10400, 0x10450)) if known(c)]
+    texts = ["".join(letters[i : i + 40]) for i in range(0, len(letters), 40)] + ["trạm", "ﬁnance", "１２", "Ω ς Σ", "№ 5 ½ ™ …", "ŉ ǰ ΐ"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    wrong = [(r["v"], r["a"], r["b"]) for r in df.select("v", text.norm("v").alias("a"), text.norm_exact("v").alias("b")).collect() if r["a"] != r["b"]]
+    assert not wrong, wrong[:5]
+
+
+def test_an_item_with_an_empty_first_line(spark):
+    page = DETAIL.replace("<h2>Administration qui recrute</h2>", "").replace("<li>Grade : Technicien</li>", "<li>- <br>Grade : Technicien</li>")
+    assert api.parse_detail(spark, page, extraction.BASE_URL + U1, "collec")["grade"] == ""
+
+
 def test_listing_roles(spark):
     cases = {
         "Avis de concours de recrutement de Ingénieur échelle 11 Agence X annonce 1 poste": "Ingénieur échelle 11", "Recrutement d'un Technicien  Université Y": "Technicien", "recrutement de Comptable": "Comptable",
@@ -119,7 +138,10 @@ def test_politeness_and_pages():
     assert not crawl.robots_allow("User-agent: *\nDisallow: /fr/", "https://x")[0]
     assert crawl.target_pages(1571) >= 175 and crawl.target_pages(0) == 12
     assert crawl.listing_params("collec", 3)["stat"] == "collec"
-    assert len(crawl.ListingReader({"scopes": "a,b", "pages": "3"}).partitions()) == 6
+    assert [p.scope for p in crawl.ListingReader({"scopes": "a,b"}).partitions()] == ["a", "b"]
+    for wrong in (-1, 100_001):
+        with pytest.raises(ValueError):
+            crawl.target_pages(wrong)
 
 
 def test_whole_audit(spark):

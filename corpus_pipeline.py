@@ -1,6 +1,7 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate join, mixing
 to target weights, packing. Each stage's result is written as Parquet in the
-shared folder and read again by the next one.
+shared folder and read again by the next one; what a stage wrote beside it is
+removed then.
 
 Defined results: each stage's operator states how it treats nulls, empty and
 long texts, ties, repeated rows and empty tables. Language ID keeps the
@@ -63,5 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.landed(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, mark = docs, common.marked()
+        docs = common.landed_alone(stage(spark, before, sf_dir), f"pipeline-{name}", mark)
+        common.discard(before)
     return docs

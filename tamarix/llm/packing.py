@@ -115,13 +115,15 @@ class WordIds:
             words = pa.array([probe.encode()], pa.large_binary())
             if ids(probe) != [i for w in common.Words(words).array.to_pylist() for i in ids(w.decode())]:
                 raise ValueError("the tokenizer's ids of a text are not those of its words")
+        # a word in ASCII then is looked up in lower case
+        self.one_case = all(ids(c) == ids(c.lower()) for c in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
-    def _encoded(self, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word): words go to the tokenizer in lines
         of several, and a token's place in its line tells its word."""
         lines = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
@@ -136,7 +138,10 @@ class WordIds:
         return ids, np.bincount(word, minlength=len(words))
 
     def encode(self, words: common.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds by text)."""
+        """(ids, bounds by text). The words' letters may be changed."""
+        if self.one_case:
+            data, wide = words.packed, np.append(0, np.cumsum(words.packed >= 128))[words.offsets]
+            data[np.repeat(wide[1:] == wide[:-1], np.diff(words.offsets)) & (data >= 65) & (data <= 90)] += 32
         codes, distinct = words.coded()
         if len(self.index) > self.MOST:
             self.clear()

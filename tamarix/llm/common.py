@@ -84,6 +84,18 @@ def marked() -> int:
     return len(_LANDED)
 
 
+def registered(path: str) -> str:
+    """A path that was written by other means, to be removed like the others."""
+    _LANDED.append(path)
+    return path
+
+
+def remove_landed(spark: SparkSession) -> None:
+    """Removes all tables that are left, once no result is read any more."""
+    for path in list(_LANDED):
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     _LANDED.remove(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

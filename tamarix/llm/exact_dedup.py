@@ -57,7 +57,7 @@ class ExactDedup:
         self.spark, self.columns = docs.sparkSession, docs.columns
         self.row, self.dig = common.fresh(docs, "xd_row"), common.fresh(docs, "xd_digest")
         self.id_col, self.text_col = id_col, text_col
-        self.path = common.shared_path(self.spark, "exact-landed")
+        self.path = common.registered(common.shared_path(self.spark, "exact-landed"))
         held = docs.withColumn(self.dig, digest(normalised(text_col))).withColumn(self.row, F.monotonically_increasing_id())
         held.write.option("compression", "zstd").parquet(self.path)
         self.schema = held.schema
@@ -66,7 +66,7 @@ class ExactDedup:
 
     def _streamed(self, files_per_batch: int) -> DataFrame:
         """The state after the stream has read all landed files."""
-        spark, at = self.spark, common.shared_path(self.spark, "exact-state")
+        spark, at = self.spark, common.registered(common.shared_path(self.spark, "exact-state"))
         before = {k: spark.conf.get(k, None) for k in STATE}
         for k, v in STATE.items():
             spark.conf.set(k, v)

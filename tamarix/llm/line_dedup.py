@@ -4,24 +4,26 @@ A line goes down a tree of fixed depth: its number of words, then its leading
 words, where a word with a digit counts as a field `<*>`. Within a leaf a word
 is fixed at its position if more than `share` of the leaf's different lines have
 it there; other words are fields too. A line with at least `similar` fixed words
-belongs to the template of its fixed words and fields, any other line is its own
-template; with `several=True` only after what is left of the leaf was tried
-again and then divided by its most frequent word (two lines at least) that not
-all have, until nothing is left to divide, so a leaf holds any number of
-templates. A template that an earlier document (smaller identifier) has is
-recurring: its lines are dropped from later documents.
+belongs to the template of its fixed words and fields. Lines that this leaves go
+one level further, to a leaf of the leaf: first by their next word, then, if
+still left, by their last word; each of these gives a template alike, so a leaf
+holds any number of them. A line in none is its own template. A template that an
+earlier document (smaller identifier) has is recurring: its lines are dropped
+from later documents.
+
+Lines with fewer than `least` words are too short for a template: they recur as
+they are (no fields: a number is no boilerplate, a word of it is).
 
 Counts are combined in each task before they are sent, so a very common line
 is one row a task; only different lines of leaves with two or more are taken
 apart into words.
 
-Defined results: lines end at \\n; lines with fewer than `least` words stay, but
-with `short=True` those with a word are dropped like templates when an earlier
-document has the same words (no fields: a number is no boilerplate); lines
-without a word always stay; a null text has no lines and stays null; a null
-identifier is later than none and its lines stay; repeats inside one document
-stay; rows with equal identifier and text share their result; other columns are
-not read.
+Defined results: lines end at \\n; white space in a line counts as one space; lines
+without a word always stay; a null text has no lines and stays null, an empty one
+has one line; texts of any length are read whole, in time linear in their lines;
+a null identifier is later than none and its lines stay; repeats inside one
+document stay; rows with equal identifier and text share their result; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from . import common
 
 FIELD = "<*>"
@@ -38,29 +41,31 @@ FIELD = "<*>"
 
 #: Lines with these may have a field, or white space that is no space.
 _ODD = r"[0-9\x09-\x0D]"
+#: A word with a digit.
+_NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6, short: bool = False, several: bool = False):
-        self.depth, self.least, self.share, self.similar, self.short, self.several = depth, least, share, similar, short, several
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6):
+        self.depth, self.least, self.share, self.similar = depth, least, share, similar
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("id", F.lit(7)))
 
     def _lines(self, docs: DataFrame) -> DataFrame:
-        """id, k1, k2, pos, leaf, line, general of lines with enough words; a
-        general line has fields for words with digits and single spaces."""
+        """id, k1, k2, pos, leaf, line, general of lines with words; a general
+        line has fields for words with digits, unless it is short, and single
+        spaces. A short line is a leaf of its own."""
         e = docs.select("id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         even = lambda c: F.trim(F.regexp_replace(c, common.SPACES, " "))
-        odd = even(F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD))
+        odd = even(F.regexp_replace("line", _NUMBERED, FIELD))
         uneven = F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" ")) | F.contains("line", F.lit("  "))
-        e = e.withColumn("general", F.when(uneven | F.col("line").rlike(_ODD), odd).otherwise(F.col("line")))
-        words = F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "), F.lit(""))) + 1
-        e = e.withColumn("words", words)
-        if self.short:  # each in a leaf of its own
-            few = F.col("words") < self.least
-            e = e.withColumn("general", F.when(few, even("line")).otherwise(F.col("general"))).filter("general <> ''")
-            return e.select("id", "k1", "k2", "pos", F.xxhash64("words", F.when(few, F.col("general")).otherwise(F.substring_index("general", " ", self.depth))).alias("leaf"), F.xxhash64("general").alias("line"), "general")
-        e = e.filter(F.col("words") >= self.least)
-        return e.select("id", "k1", "k2", "pos", F.xxhash64("words", F.substring_index("general", " ", self.depth)).alias("leaf"), F.xxhash64("general").alias("line"), "general")
+        # once: else each use of the line would work it out again
+        e = e.withColumn("general", once(F.when(uneven | F.col("line").rlike(_ODD), odd).otherwise(F.col("line"))))
+        e = e.withColumn("words", once(F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "), F.lit(""))) + 1))
+        head = F.substring_index("general", " ", self.depth)
+        few = F.col("words") < self.least
+        e = e.withColumn("general", once(F.when(few, even("line")).otherwise(F.col("general")))).filter("general <> ''")
+        head = F.when(few, F.col("general")).otherwise(head)
+        return e.select("id", "k1", "k2", "pos", F.xxhash64("words", head).alias("leaf"), F.xxhash64("general").alias("line"), "general")
 
     def _consensus(self, seen: DataFrame) -> DataFrame:
         """leaf, line, template of the lines that belong to a template."""
@@ -69,43 +74,29 @@ class LineDedup:
         texts = self.docs.join(several.select("k1", "k2").distinct().hint("merge"), ["k1", "k2"], "left_semi")
         found = self._lines(texts).select("k1", "k2", "leaf", "line", "general").join(several, ["k1", "k2", "leaf", "line"])
         found = common.landed(found.dropDuplicates(["k1", "k2", "leaf", "line"]).select("leaf", "line", "lines", "general"), "line-general")
-        hashed = F.transform(F.split("general", " "), lambda w: F.xxhash64(w))
-        if self.several:
-            return self._templates(found.select("leaf", "line", F.col("leaf").alias("part"), hashed.alias("words")))
-        each = found.select("leaf", "lines", F.posexplode(hashed).alias("at", "word"))
-        fixed = each.groupBy("leaf", "lines", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > F.col("lines") * self.share) & (F.col("word") != F.xxhash64(F.lit(FIELD))))
-        agreed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("agreed"))
-        at = found.select("leaf", "line", hashed.alias("words")).join(agreed, "leaf")
-        at = at.withColumn("held", F.transform("words", lambda w, i: F.when(F.col("agreed")[i] == w, w).otherwise(F.lit(0).cast("long"))))
-        enough = F.size(F.filter("held", lambda w: w != 0)) >= F.size("held") * self.similar
-        return at.filter(enough).select("leaf", "line", F.xxhash64("held").alias("template"))
-
-    def _templates(self, left: DataFrame) -> DataFrame:
-        """leaf, line, template of the lines (leaf, line, part, words) that
-        belong to one of the templates of their leaf. In each round a part gives
-        the lines that its majority words fix; if it gave none it is divided, so
-        each round has fewer lines or smaller parts."""
-        given, field = [], F.xxhash64(F.lit(FIELD))
-        while True:
-            each = left.select("part", F.posexplode("words").alias("at", "word"))
-            sizes = left.groupBy("part").agg(F.count(F.lit(1)).alias("lines"))
-            n = each.filter(F.col("word") != field).groupBy("part", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            n = common.landed(n.join(sizes.filter("lines > 1"), "part"), "line-counts")
-            agreed = n.filter(F.col("n") > F.col("lines") * self.share).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("agreed"))
-            at = left.join(agreed, "part", "left")
-            at = at.withColumn("held", F.transform("words", lambda w, i: F.when(F.col("agreed")[i] == w, w).otherwise(F.lit(0).cast("long"))))
-            enough = F.size(F.filter("held", lambda w: w != 0)) >= F.size("held") * self.similar
-            at = common.landed(at.select("leaf", "line", "part", "words", F.when(enough, F.xxhash64("held")).alias("template")), "line-round")
-            given.append(at.filter("template IS NOT NULL").select("leaf", "line", "template"))
-            gave = at.filter("template IS NOT NULL").select("part").distinct()
-            rest = at.filter("template IS NULL").drop("template")
-            again = rest.join(gave, "part", "left_semi")
-            words = rest.join(gave, "part", "left_anti").select("leaf", "line", "part", "words", F.posexplode("words").alias("at", "word"))
-            split = words.join(n.filter("n < lines"), ["part", "at", "word"]).groupBy("leaf", "line", "part").agg(F.max(F.struct("n", -F.col("at"), "word")).alias("most"), F.first("words").alias("words"))
-            left = again.unionByName(split.select("leaf", "line", F.xxhash64("part", F.col("most")).alias("part"), "words"))
-            left = common.landed(left, "line-left")
-            if left.isEmpty():
-                return reduce(DataFrame.unionByName, given)
+        words = F.transform(F.split("general", " "), lambda w: F.xxhash64(w))
+        left, given = found.select("leaf", "line", words.alias("words")), []
+        for nth, key in enumerate([F.col("leaf"), F.xxhash64("leaf", F.get("words", F.lit(self.depth))), F.xxhash64("leaf", F.element_at("words", -1), F.lit(1))]):
+            tried = common.landed(self._templates(left.withColumn("part", key)), f"line-level-{nth}")
+            given.append(tried.filter("template IS NOT NULL").select("leaf", "line", "template"))
+            left = tried.filter("template IS NULL").select("leaf", "line", "words")
+        return reduce(DataFrame.unionByName, given)
+
+    def _templates(self, lines: DataFrame) -> DataFrame:
+        """lines (leaf, line, words, part) with the template of their part, null
+        for lines without one. The leading words are the leaf's, so only the
+        others are counted."""
+        field = F.xxhash64(F.lit(FIELD))
+        sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+        some = lines.join(sizes, "part")
+        each = some.select("part", "lines", F.posexplode(F.slice("words", self.depth + 1, F.size("words"))).alias("at", "word"))
+        fixed = each.filter(F.col("word") != field).groupBy("part", "lines", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.col("lines") * self.share)
+        agreed = fixed.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("at") + self.depth, "word"))).alias("agreed"))
+        at = lines.join(sizes, "part", "left").join(agreed, "part", "left")
+        holds = lambda w, i: F.when(i < self.depth, w != field).otherwise(F.coalesce(F.col("agreed")[i] == w, F.lit(False)))
+        at = at.withColumn("held", F.transform("words", lambda w, i: F.when(holds(w, i), w).otherwise(F.lit(0).cast("long"))))
+        enough = F.col("lines").isNotNull() & (F.size(F.filter("held", lambda w: w != 0)) >= F.size("held") * self.similar)
+        return at.select("leaf", "line", "words", F.when(enough, F.xxhash64("held")).alias("template"))
 
     def _recurring(self, lines: DataFrame) -> DataFrame:
         """leaf, line, first (the earliest document of its template), for lines

@@ -16,21 +16,35 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP1_SQL = r"""
+def _level_sql(n: int, lines: str) -> str:
+    """The templates m<n> of lines (part, leaf, general, ws)."""
+    return f"""p{n} AS (SELECT *, count(*) OVER (PARTITION BY part) AS lines FROM ({lines})
+), w{n} AS (SELECT part, leaf, general, lines, i, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM p{n} WHERE lines > 1)
+), f{n} AS (SELECT *, count(*) OVER (PARTITION BY part, i, word) > lines * 0.5 AND word <> '<*>' AS fixed FROM w{n}
+), m{n} AS (
+    SELECT leaf, general, string_agg(CASE WHEN fixed THEN word ELSE '<*>' END, ' ' ORDER BY i) AS template FROM f{n}
+    GROUP BY leaf, general HAVING count(*) FILTER (fixed) >= count(*) * 0.6
+)"""
+
+
+OP1_SQL = rf"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (SELECT doc_id, pos, ls[pos] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM s)
 ), g AS (
-    SELECT doc_id, pos, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l
-), k AS (SELECT doc_id, pos, concat_ws(' ', len(ws), ws[1], ws[2], ws[3]) AS leaf, ws, array_to_string(ws, ' ') AS general FROM g WHERE len(ws) >= 5
+    SELECT doc_id, pos, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS own,
+        list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l
+), k AS (
+    SELECT doc_id, pos, CASE WHEN len(ws) < 5 THEN concat_ws(' ', len(ws), array_to_string(own, ' ')) ELSE concat_ws(' ', len(ws), ws[1], ws[2], ws[3]) END AS leaf,
+        ws, array_to_string(CASE WHEN len(ws) < 5 THEN own ELSE ws END, ' ') AS general FROM g WHERE len(ws) > 0
 ), seen AS (SELECT leaf, general, any_value(ws) AS ws, min(doc_id) AS low, max(doc_id) AS high FROM k GROUP BY leaf, general
-), many AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS lines FROM seen
-), w AS (SELECT leaf, general, lines, i, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM many WHERE lines > 1)
-), f AS (SELECT *, count(*) OVER (PARTITION BY leaf, i, word) > lines * 0.5 AND word <> '<*>' AS fixed FROM w
-), m AS (
-    SELECT leaf, general, string_agg(CASE WHEN fixed THEN word ELSE '<*>' END, ' ' ORDER BY i) AS template FROM f
-    GROUP BY leaf, general HAVING count(*) FILTER (fixed) >= count(*) * 0.6
+), {_level_sql(1, "SELECT leaf AS part, leaf, general, ws FROM seen WHERE len(ws) >= 5")
+}, r1 AS (SELECT leaf, general, ws FROM p1 ANTI JOIN m1 USING (leaf, general)
+), {_level_sql(2, "SELECT leaf || ' ' || ws[4] AS part, * FROM r1")
+}, r2 AS (SELECT leaf, general, ws FROM p2 ANTI JOIN m2 USING (leaf, general)
+), {_level_sql(3, "SELECT leaf || ' ' || ws[-1] AS part, * FROM r2")
+}, m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3
 ), t AS (
-    SELECT leaf, general, min(low) OVER (PARTITION BY leaf, coalesce(template, general)) AS first FROM seen LEFT JOIN m USING (leaf, general)
+    SELECT leaf, general, min(low) OVER (PARTITION BY leaf, coalesce('T' || template, 'G' || general)) AS first FROM seen LEFT JOIN m USING (leaf, general)
 ), d AS (SELECT doc_id, pos FROM k JOIN t USING (leaf, general) WHERE first < doc_id
 ), r AS (
     SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '') AS kept

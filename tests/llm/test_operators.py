@@ -538,16 +538,16 @@ def test_lines(edge, empty, spark):
     rows = line_dedup.LineDedup(edge).documents().collect()
     assert len(rows) == len(EDGE)
     by = {r["id"]: r for r in rows}
-    assert by[3]["kept"] is None and by[13]["n_dropped"] == 0 and by[12]["n_dropped"] == 1 and by[8]["n_dropped"] == 0
+    assert by[3]["kept"] is None and by[13]["n_dropped"] == 0 and by[12]["n_dropped"] == 1 and by[8]["n_dropped"] == 0 and by[7]["n_dropped"] == 0
     assert line_dedup.LineDedup(empty).documents().count() == 0
 
 
 def test_templates(spark):
-    rows = [(i, f"own words of document number {'abcdefgh'[i]} only\nuser {i * 7} logged in from host h{i} today\nconnection to server {'pqrstuvw'[i]} was lost again today\nshort line") for i in range(8)]
+    rows = [(i, f"own words of document number {'abcdefgh'[i]} only\nuser {i * 7} logged in from host h{i} today\nconnection to server {'pqrstuvw'[i]} was lost again today\nshort line\nno {i}") for i in range(8)]
     got = {r["id"]: (r["kept"], r["n_dropped"]) for r in line_dedup.LineDedup(spark.createDataFrame(rows, "doc_id long, text string")).documents().collect()}
     assert got[0] == (rows[0][1], 0)
     for i in range(1, 8):
-        assert "logged in" not in got[i][0] and "was lost" not in got[i][0] and got[i][0].endswith("short line")
+        assert "logged in" not in got[i][0] and "was lost" not in got[i][0] and "short line" not in got[i][0] and got[i][0].endswith(f"no {i}")
 
 
 def test_very_many_lines(spark):
@@ -562,21 +562,67 @@ def test_very_many_lines(spark):
 def test_short_lines(spark):
     rows = [(1, "All rights reserved.\nLes.\n\n7\nnot here"), (2, " All  rights reserved.\nLes.\n\n8\nbut here"), (3, None), (4, "Les.\nLes.\n \n7")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: (r["kept"], r["n_dropped"]) for r in line_dedup.LineDedup(df, short=True).documents().collect()}
+    got = {r["id"]: (r["kept"], r["n_dropped"]) for r in line_dedup.LineDedup(df).documents().collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\n8\nbut here", 2), 3: (None, 0), 4: (" ", 3)}
-    assert {r["n_dropped"] for r in line_dedup.LineDedup(df).documents().collect()} == {0}
 
 
 @pytest.mark.parametrize("second", [4, 3])
 def test_several_templates_in_a_leaf(spark, second):
-    """Lines of eight words that begin alike: two templates and unrelated ones."""
+    """Lines of eight words that begin alike: two templates, two more that only
+    their end tells apart, and unrelated lines."""
     names = ["ann", "bob", "cas", "dot", "eva", "fay", "gus", "hal"]
     lines = [f"posted by user on board {n} in spring" for n in names[:4]] + [f"posted by user from town {n} last night" for n in names[4 : 4 + second]]
+    ends = [f"seen at gate {n} with the red flag" for n in names[:4]] + [f"seen at gate {n} under a blue sky" for n in names[4:]]
     other = ["posted by user " + " ".join(f"{n}{c}" for c in "vwxyz") for n in names]
-    rows = list(enumerate(lines + other))
+    rows = list(enumerate(lines + other + ends))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r["n_dropped"] for r in line_dedup.LineDedup(df, several=True).documents().collect()}
-    assert got == {i: int(i not in (0, 4) and i < len(lines)) for i, _ in rows}
+    got = {r["id"]: r["n_dropped"] for r in line_dedup.LineDedup(df).documents().collect()}
+    first = len(lines + other)
+    kept = {0, 4, *range(len(lines), first), first, first + 4}
+    assert got == {i: int(i not in kept) for i, _ in rows}
+
+
+def plain_lines(rows, depth=3, least=5, share=0.5, similar=0.6):
+    """{doc_id: lines dropped}, leaf by leaf."""
+    seen = defaultdict(lambda: defaultdict(list))
+    for d, t in rows:
+        for line in [] if t is None else t.split("\n"):
+            own = brute.words(line)
+            ws = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in own)
+            if ws:
+                seen[(len(ws), *ws[:depth]) if len(ws) >= least else tuple(own)][ws if len(ws) >= least else tuple(own)].append(d)
+    dropped = Counter()
+    for leaf in seen.values():
+        left, of = [x for x in leaf if len(x) >= least], {x: x for x in leaf}
+        for key in (lambda x: 0, lambda x: x[depth], lambda x: x[-1]):
+            parts = defaultdict(list)
+            for x in left:
+                parts[key(x)].append(x)
+            left = []
+            for part in parts.values():
+                counts = Counter((i, w) for x in part for i, w in enumerate(x))
+                for x in part:
+                    held = tuple(w if w != "<*>" and counts[i, w] > len(part) * share else None for i, w in enumerate(x))
+                    if len(part) > 1 and sum(w is not None for w in held) >= len(x) * similar:
+                        of[x] = ("T", *held)
+                    else:
+                        left.append(x)
+        first = {}
+        for x, ds in leaf.items():
+            first[of[x]] = min(first.get(of[x], float("inf")), *[d for d in ds if d is not None], float("inf"))
+        for x, ds in leaf.items():
+            for d in ds:
+                dropped[d] += d is not None and first[of[x]] < d
+    return dropped
+
+
+def test_lines_against_a_plain_tree(spark):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "x1", "22", "omega"]
+    rows = [(i, "\n".join(" ".join(rng.choice(words[: rng.randrange(2, 8)]) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 9)))) for i in range(120)] + [(None, "alpha alpha"), (500, None)]
+    want = plain_lines(rows)
+    got = {r["id"]: r["n_dropped"] for r in line_dedup.LineDedup(spark.createDataFrame(rows, "doc_id long, text string")).documents().collect()}
+    assert got == {d: want[d] for d, _ in rows} and sum(got.values()) > 100
 
 
 # --- toxicity ---

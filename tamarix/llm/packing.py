@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,13 @@ AGAIN = 1 << 62
 SCHEMA = "document_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+_MARKS = ",.;:!?"
+_MARK, _LETTER, _SMALL = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_MARK[list(_MARKS.encode())] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SMALL[65:91] += 32
+
+
 class CapacityTree:
     """A segment tree over capacities 0..window: which of them open windows have."""
 
@@ -100,7 +109,9 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
 
 class WordIds:
     """Token ids of words, kept per Python worker. A text's ids are its words'
-    ids if the tokenizer drops white space and joins no words; that is tried."""
+    ids if the tokenizer drops white space and joins no words; that is tried.
+    Where the tokenizer doesn't tell them apart, words are looked up without
+    their case and without a mark at their end, so fewer are new."""
 
     MOST = 1_500_000
     PROBES = ("one two", " one\n\ntwo\tthree  4,five ", "a\r\nb\x0bc\x0cd", "x\n", "né — 12 345 z’y\n#tag", "")
@@ -117,6 +128,8 @@ class WordIds:
                 raise ValueError("the tokenizer's ids of a text are not those of its words")
         # a word in ASCII then is looked up in lower case
         self.one_case = all(ids(c) == ids(c.lower()) for c in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        # a mark after an ASCII letter then is a word of its own
+        self.marks_apart = all(ids(f"{w}{m}") == [*ids(w), *ids(m)] for w in ("one", "it's", "X", "a-b", "né") for m in _MARKS)
         self.clear()
 
     def clear(self) -> None:
@@ -130,19 +143,26 @@ class WordIds:
         found = self.tokenizer.encode_batch(lines, add_special_tokens=False)
         counts = np.fromiter((len(e) for e in found), np.int64, len(found))
         total = int(counts.sum())
-        ids = np.fromiter((i for e in found for i in e.ids), np.uint32, total)
-        places = np.fromiter((o[0] for e in found for o in e.offsets), np.int64, total)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, total)
+        places = np.fromiter(map(itemgetter(0), chain.from_iterable(e.offsets for e in found)), np.int64, total)
         begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
         ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
         word = np.searchsorted(ends, places + np.repeat(begins, counts), side="right")
         return ids, np.bincount(word, minlength=len(words))
 
     def encode(self, words: common.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds by text). The words' letters may be changed."""
+        """(ids, bounds by text)."""
+        data, offsets, bounds = words.packed, words.offsets, words.bounds
         if self.one_case:
-            data, wide = words.packed, np.append(0, np.cumsum(words.packed >= 128))[words.offsets]
-            data[np.repeat(wide[1:] == wide[:-1], np.diff(words.offsets)) & (data >= 65) & (data <= 90)] += 32
-        codes, distinct = words.coded()
+            wide = np.append(0, np.cumsum(data >= 128))[offsets]
+            data = np.where(np.repeat(wide[1:] == wide[:-1], np.diff(offsets)), _SMALL[data], data)
+        if self.marks_apart and words.n:
+            last = offsets[1:] - 1
+            cut = (np.diff(offsets) > 1) & _MARK[data[last]] & _LETTER[data[last - 1]]
+            bounds = bounds + np.append(0, np.cumsum(cut))[bounds]
+            offsets = np.sort(np.concatenate([offsets, last[cut]]))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        codes, distinct = parts.indices.to_numpy(zero_copy_only=False), parts.dictionary.to_pylist()
         if len(self.index) > self.MOST:
             self.clear()
         get = self.index.get
@@ -165,7 +185,7 @@ class WordIds:
         starts, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         per_word = sizes[codes]
         ids = self.flat[common.ragged(starts[codes], per_word)]
-        return ids, np.append(0, np.cumsum(per_word))[words.bounds]
+        return ids, np.append(0, np.cumsum(per_word))[bounds]
 
 
 _LOADED: dict[str, WordIds] = {}

@@ -94,12 +94,12 @@ class ExactDedup:
         total = self.state.agg(F.sum("group_size").alias("n")).first()["n"] or 0
         bar = max(HOT_ROWS, total // HOT + 1)
         hot = F.broadcast(self.state.filter(F.col("group_size") >= bar))  # HOT rows at most
-        cold = self.state.filter(F.col("group_size") < bar)
+        cold = self.state.filter(F.col("group_size") < bar).hint("merge")  # grows with the documents: a shuffle at every size
         held = self.landed.select(F.col(self.id_col).alias("document_id"), F.col(self.row).alias("locator"), F.col(self.dig).alias("digest"))
         of = held.join(hot, "digest").unionByName(held.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
         texts = self._texts()
         # hot texts are combined before they are sent, others after the one exchange by digest
-        met = [texts.join(hot, "digest"), texts.join(hot.select("digest"), "digest", "left_anti").join(cold.filter("group_size > 1"), "digest")]
+        met = [texts.join(hot, "digest"), texts.join(hot.select("digest"), "digest", "left_anti").join(cold.filter("group_size > 1").hint("merge"), "digest")]
         several = [x.groupBy("digest", normalised("text").alias("bytes")).agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("texts")).filter("texts > 1").select("digest") for x in met]
         split = common.landed(several[0].unionByName(several[1]), "exact-split")
         out = ("document_id", "locator", "first", "group_size", "digest")

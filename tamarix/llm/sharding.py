@@ -14,9 +14,11 @@ Slots count a shard's documents from 0: row numbers within even hash ranges of
 the identifier plus the sums of the ranges before.
 
 Defined results: a null text weighs 1 byte and is a point with the empty texts;
-null metadata count as 0; a point heavier than a shard makes that shard large,
-since equal texts stay together; repeated rows have slots of their own; an
-empty table gives no rows; the number of shards is a power of two.
+a text of any length is one point; identifiers are integers, and null metadata
+count as 0; a point heavier than a shard makes that shard large, since equal
+texts stay together; of dimensions of one width the first named is split;
+repeated rows have slots of their own; an empty table gives no rows; the number
+of shards is a power of two; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -26,9 +26,10 @@ whose sketches differ by more than a link allows goes no further.
 Order 3, descending hash. A candidate must also share a member of the d + 1
 last ones; only what passes this is joined with the texts and compared.
 
-Rounds compare every set of a member with two leaders of it and merge what is
-linked; at last all sets of a member that are still in different components are
-compared, in blocks. A member with many sets is dealt over tasks in all these
+A first round compares every set of a member with two leaders of it and merges
+what is linked; later ones compare representatives of a member's components, one
+pair for two components a round; at last all sets of a member that are still in
+different components are compared, in blocks. A member with many sets is dealt over tasks in all these
 joins, by the order of its document frequency. So a group of thousands of near
 copies needs few comparisons a set, and no link between components is lost. A
 pair that meets at many members goes out at the first of them only (as far as
@@ -57,7 +58,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENS_A_BUCKET = 1_000_000
-THINNED, FIRST = 8, 8
+FIRST = 8
 SKETCH = [f"s{i}" for i in range(16)]
 #: Sets of a member that one task takes at once.
 BLOCK = 512
@@ -106,7 +107,7 @@ class Bounds:
 
 
 class NgramJaccardJoin:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2, chunk_bytes: int = 4_000_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 3, chunk_bytes: int = 4_000_000):
         self.spark, self.k, self.percent, self.rounds, self.chunk_bytes = docs.sparkSession, k, percent, rounds, chunk_bytes
         common.ship(self.spark)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -305,9 +306,12 @@ class NgramJaccardJoin:
             right = open_.filter("root <> lo").withColumn("col", dealt("cols")).withColumn("row", upto("rows")).select("member", "row", "col", *there).withColumnsRenamed(there)
             met, apart = left.join(right, ["member", "row", "col"]), (F.col("root") == F.col("lo")) | (F.col("key") < F.col("key_2"))
         else:
-            # each member has leaders of its own; a later round takes some of the members
-            of = of.filter(F.pmod(F.xxhash64("member", F.lit(nth)), F.lit(THINNED)) == 0) if nth else of
-            by = F.xxhash64("member", "key") if nth else F.col("key")
+            # each member has leaders of its own, later among its components' representatives
+            by = F.xxhash64("member", "key", F.lit(nth)) if nth else F.col("key")
+            if nth:
+                rep = F.struct("key", "n", "first", *SKETCH)
+                of = of.groupBy("member", "root").agg(F.max("blocks").alias("blocks"), F.min_by(rep, by).alias("rep")).select("member", "root", "blocks", "rep.*")
+                of = of.withColumn("block", F.pmod(F.xxhash64("root", F.lit(2)), F.col("blocks")).cast("int"))
             lead = F.struct("root", "key", "n", "first", *SKETCH)
             leads = of.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("blocks").alias("blocks"), F.array_distinct(F.array(F.min_by(lead, by), F.max_by(lead, by))).alias("leads")).filter("lo <> hi")
             others = leads.select("member", upto("blocks").alias("block"), "leads").select("member", "block", F.explode("leads").alias("lead")).select("member", "block", "lead.*").withColumnsRenamed(there)
@@ -319,6 +323,9 @@ class NgramJaccardJoin:
             good = good & (F.coalesce(F.array_min(F.array_intersect("first", "first_2")), place()) >= place())
         a, b = F.struct(F.col("key").alias("key"), F.col("root").alias("root")), F.struct(F.col("key_2").alias("key"), F.col("root_2").alias("root"))
         two = met.filter(good).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        if nth and not last:  # a pair for two components
+            two = two.withColumn("lo", F.least("a.root", "b.root")).withColumn("hi", F.greatest("a.root", "b.root"))
+            two = two.groupBy("lo", "hi").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a.key", "b.key", F.lit(nth))).alias("ab")).select("ab.*")
         return two.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("root_a"), F.col("b.root").alias("root_b")).distinct()
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from ..functions.text import has_phrase, norm, tokens
+from ..functions.text import has_phrase, norm, once, tokens
 from ..shipping import ship
 from ..sources.files import MARKET
 from .taxonomy import exact_ids, terms
@@ -85,7 +85,7 @@ def _similar(q: DataFrame, t: DataFrame) -> DataFrame:
     lengths = 2 * F.least(F.length("q"), F.length("norm_term")) / (F.length("q") + F.length("norm_term"))
     shared = F.size(F.array_intersect("q_pairs", "term_pairs")) >= least_shared(F.length("q"), F.length("norm_term"))
     first = F.get(F.array_intersect("keys", "term_pairs"), F.lit(0)) == F.col("pair")  # where they meet first
-    near = found.filter(first & (lengths >= V.FUZZY_RATIO) & shared).select("q", "norm_term").withColumn("ratio", similarity(F.col("q"), F.col("norm_term"))).filter(F.col("ratio") >= V.FUZZY_RATIO)
+    near = found.filter(first & (lengths >= V.FUZZY_RATIO) & shared).select("q", "norm_term").withColumn("ratio", once(similarity(F.col("q"), F.col("norm_term")))).filter(F.col("ratio") >= V.FUZZY_RATIO)
     met = q.join(near, "q").join(t, "norm_term")
     return met.filter(structured_score(F.col("q"), F.col("q_tokens"), F.col("norm_term"), F.col("term_tokens")).isNull()).withColumn("score", 500 + 100 * F.col("ratio")).drop("ratio")
 

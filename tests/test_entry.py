@@ -10,7 +10,7 @@ from professions import market_json, official_json
 
 from tamarix import catalogue, cli
 from tamarix.functions import fixed_values as V
-from tamarix.sources.files import read_index
+from tamarix.sources.files import read_index, read_jobs, write_index
 from tamarix.sources.schemas import JOB
 from tamarix.streaming.announcements import index_stream
 
@@ -55,6 +55,53 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("search", "technicien", "--taxonomy", tax, "--index", index) == 3
     assert run("suggest", "compta", "--taxonomy", tax) == 0 and run("diploma", "licence en comptabilité", "--taxonomy", tax) == 0
     assert run("audit-index", "--index", str(tmp_path / "none")) == 2
+    reports = tmp_path / "index-reports"
+    assert json.loads((reports / "taxonomy_audit.json").read_text(encoding="utf-8"))["jobs"] == 3
+    assert read_jobs(spark, str(reports / "unclassified_jobs")).count() == read_jobs(spark, str(reports / "unexplained_unclassified_jobs")).count() == 1
+    assert run("autocomplete", "--taxonomy", tax, "--output", str(tmp_path / "auto.json")) == 0
+    assert json.loads((tmp_path / "auto.json").read_text(encoding="utf-8"))["market_count"] > 50
+    assert run("classifiability", "--index", index, "--min-coverage", "60") == 0 and run("classifiability", "--index", index) == 1
+    (tmp_path / "expected.json").write_text(json.dumps([{"uuid": "0", "required": ["finance.comptable"], "forbidden": []}, {"uuid": "gone", "required": ["x"], "forbidden": []}]), encoding="utf-8")
+    assert run("expectations", "--index", index, "--expected", str(tmp_path / "expected.json")) == 0
+    (tmp_path / "expected.json").write_text(json.dumps([{"uuid": "0", "required": [], "forbidden": ["finance.comptable"]}]), encoding="utf-8")
+    assert run("expectations", "--index", index, "--expected", str(tmp_path / "expected.json")) == 1
+    capsys.readouterr()
+    code = run("precision", "--taxonomy", tax, "--index", index, "--output", str(tmp_path / "precision.json"))
+    report = json.loads(capsys.readouterr().out)
+    assert report == json.loads((tmp_path / "precision.json").read_text(encoding="utf-8"))
+    assert len(report["golden"]["cases"]) == 13 and code == int(report["golden"]["failed"] > 0) and report["golden"]["passed"] >= 12, report
+    code = run("suggestions", "--taxonomy", tax)
+    report = json.loads(capsys.readouterr().out)
+    assert len(report["cases"]) == 11 and code == int(report["failures"] > 0) and report["failures"] <= 3, [c for c in report["cases"] if not c["pass"]]
+
+
+def test_rules_come_from_the_directory(spark, tmp_path):
+    from tamarix.api import Taxonomy
+
+    directory = taxonomy_dir(tmp_path)
+    assert Taxonomy(spark, directory).rules == tuple(V.CONTEXT_RULES)
+    job = {"grade": "Technicien", "specialties": ["Génie civil"]}
+    assert [m["evidence"]["field"] for m in Taxonomy(spark, directory).classify_job(job)] == ["context_rule"]
+    (tmp_path / "context_rules.json").unlink()
+    bare = Taxonomy(spark, directory)
+    assert bare.rules == () and "context_rule" not in [m["evidence"]["field"] for m in bare.classify_job(job)]
+
+
+def test_the_first_of_equal_rules_counts(spark):
+    from tamarix import demo
+    from tamarix.operators import matching
+    from tamarix.sources.schemas import as_jobs
+
+    rules = [{"id": i, "profession_id": "finance.comptable", "grade_any": ["chef"]} for i in ("b", "a", "c")] + [{"id": "d", "profession_id": "finance.comptable", "grade_any": ["chef"], "score": 98.0}]
+    jobs = as_jobs(spark.createDataFrame([("1", "Chef")], "uuid string, grade string"))
+    assert [r["match"]["evidence"]["value"] for r in matching.context_matches(jobs, demo.taxonomy(spark), rules).collect()] == ["b"]
+
+
+def test_days_prune(spark, tmp_path):
+    rows = [("1", "2026-08-01T00:00:00"), ("2", "2026-08-05T00:00:00"), ("3", None)]
+    write_index(spark.createDataFrame(rows, "uuid string, publication_date string"), str(tmp_path / "i"))
+    recent = read_index(spark, str(tmp_path / "i"), since="2026-08-03")
+    assert [r["uuid"] for r in recent.collect()] == ["2"] and "PartitionFilters: [isnotnull(publication_day" in recent._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stream(spark, tmp_path):
@@ -68,5 +115,8 @@ def test_stream(spark, tmp_path):
     go()
     (landed / "2.json").write_text("\n".join(json.dumps(j) for j in [JOBS[1], JOBS[0] | {"uuid": "new"}]), encoding="utf-8")
     go()
+    (tmp_path / "cp" / "commits" / "1").unlink()  # as if the last batch had failed at its end: it is run again
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    go()
     got = sorted((r["uuid"], tuple(r["profession_ids"])) for r in read_index(spark, str(tmp_path / "out")).collect())
     assert got == [("0", ("finance.comptable",)), ("1", ("health.infirmier",)), ("2", ()), ("new", ("finance.comptable",))]

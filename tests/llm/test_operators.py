@@ -629,14 +629,14 @@ def test_lines_against_a_plain_tree(spark):
 
 
 def test_toxicity(edge, empty, spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     chain = toxicity.fit(docs, labels.filter(half), ["quality", "toxic"])
     got = toxicity.score(docs, chain).join(labels.filter(~half), F.col("id") == F.col("doc_id")).collect()
     toxic = [r for r in got if r["toxic"]]
-    assert sum(r["is_toxic"] for r in toxic) >= 0.6 * len(toxic)
-    assert sum(r["is_toxic"] and not r["toxic"] for r in got) <= 0.03 * len(got)
+    assert sum(r["is_toxic"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["is_toxic"] and not r["toxic"] for r in got) <= 0.012 * len(got)
     odd = toxicity.score(edge, chain).collect()
     assert len(odd) == len(EDGE)
     assert all(r["p_toxic"] == 0.0 and not r["is_toxic"] for r in odd if r["id"] in (3, 4, 5))

@@ -523,9 +523,11 @@ SCORE_SQL = f"""CASE WHEN q = norm_term THEN 1000.0 WHEN starts_with(norm_term,
     WHEN len(qt) > 0 AND list_has_all(term_tokens, qt) THEN 780.0 + least(len(qt), 5) ELSE -1.0 END::DOUBLE"""
 #: The longest common block of a range of two strings, as [letters, -from, -from]: the first of equal ones.
 _BLOCK_SQL = "list_sort(flatten(list_transform(range(g.alo, g.ahi), lambda i: list_transform(range(g.blo, g.bhi), lambda j: [len(list_filter(range(1, least(g.ahi - i, g.bhi - j) + 1), lambda k: q[i:i + k - 1] = t[j:j + k - 1])), -i, -j]))), 'DESC')[1]"
+#: Twice the letters that both have, in any order: no pair's blocks have more.
+_LETTERS_SQL = "2 * list_sum(list_transform(list_distinct(string_split(q, '')), lambda c: least(length(q) - length(replace(q, c, '')), length(norm_term) - length(replace(norm_term, c, '')))))"
 #: ratio: q, t and twice the letters in common blocks (the longest, then those before and after it) by all letters.
 RATIO_SQL = f"""blocks AS (
-    SELECT DISTINCT q, norm_term AS t, {{'alo': 1::BIGINT, 'ahi': length(q) + 1, 'blo': 1::BIGINT, 'bhi': length(norm_term) + 1}} AS g FROM met WHERE s < 0 AND 2 * least(length(q), length(norm_term)) / (length(q) + length(norm_term)) >= {V.FUZZY_RATIO}
+    SELECT DISTINCT q, norm_term AS t, {{'alo': 1::BIGINT, 'ahi': length(q) + 1, 'blo': 1::BIGINT, 'bhi': length(norm_term) + 1}} AS g FROM met WHERE s < 0 AND 2 * least(length(q), length(norm_term)) / (length(q) + length(norm_term)) >= {V.FUZZY_RATIO} AND {_LETTERS_SQL} / (length(q) + length(norm_term)) >= {V.FUZZY_RATIO}
     UNION ALL SELECT q, t, unnest([{{'alo': g.alo, 'ahi': -m[2], 'blo': g.blo, 'bhi': -m[3]}}, {{'alo': m[1] - m[2], 'ahi': g.ahi, 'blo': m[1] - m[3], 'bhi': g.bhi}}]) AS g FROM (SELECT *, {_BLOCK_SQL} AS m FROM blocks) WHERE m[1] > 0),
 ratio AS (SELECT q, t AS norm_term, 2.0::DOUBLE * sum(coalesce(({_BLOCK_SQL})[1], 0)) / (length(q) + length(t)) AS r FROM blocks GROUP BY q, t)"""
 

@@ -88,11 +88,12 @@ class LineDedup:
         others are counted."""
         field = F.xxhash64(F.lit(FIELD))
         sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-        some = lines.join(sizes, "part")
+        # once: not known as the part that the join dealt by, so a large part is counted by its words
+        some = lines.join(sizes, "part").select("lines", "words", once(F.col("part")).alias("part"))
         each = some.select("part", "lines", F.posexplode(F.slice("words", self.depth + 1, F.size("words"))).alias("at", "word"))
         fixed = each.filter(F.col("word") != field).groupBy("part", "lines", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.col("lines") * self.share)
         agreed = fixed.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("at") + self.depth, "word"))).alias("agreed"))
-        at = lines.join(sizes, "part", "left").join(agreed, "part", "left")
+        at = lines.join(sizes.join(agreed, "part", "left"), "part", "left")
         holds = lambda w, i: F.when(i < self.depth, w != field).otherwise(F.coalesce(F.col("agreed")[i] == w, F.lit(False)))
         at = at.withColumn("held", F.transform("words", lambda w, i: F.when(holds(w, i), w).otherwise(F.lit(0).cast("long"))))
         enough = F.col("lines").isNotNull() & (F.size(F.filter("held", lambda w: w != 0)) >= F.size("held") * self.similar)

@@ -159,6 +159,33 @@ def test_join_on_families(spark, seed):
     same(got, brute.components(rows))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(["a", "b", "cc", "d"]), min_size=1, max_size=14)] * 2), min_size=1, max_size=6))
+def test_similar_texts(pairs):
+    a, b = ([" ".join(x[i]) for x in pairs] for i in (0, 1))
+    got = set(ngram_join.similar(pa.array([x.encode() for x in a]), pa.array([x.encode() for x in b]), 3, 80).tolist())
+    sets = [(brute.shingles(x, 3), brute.shingles(y, 3)) for x, y in zip(a, b, strict=True)]
+    assert got == {i for i, (x, y) in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_join_in_blocks(spark, monkeypatch, block):
+    """Many sets at one member, near each other, some linked: leaders, then cells."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"c{i}" for i in range(60)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(20, 60)] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    for rounds in (0, 3):
+        got = ngram_join.NgramJaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=3000, rounds=rounds).components().collect()
+        same(got, brute.components(rows))
+
+
 def test_bounds_lose_no_pair():
     """Linked sets share enough of their first members, and one that both keep."""
     rng = random.Random(5)
@@ -203,6 +230,19 @@ def test_substring_over_chunks(spark):
         assert len(gone) == r["n_removed"] and " ".join(x for i, x in enumerate(w) if i not in gone) == r["kept"]
 
 
+def test_substring_with_heavy_minimisers(spark, monkeypatch):
+    """Windows of heavy minimisers are dealt otherwise and give the same."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join([" ".join(rng.choice("abc") for _ in range(rng.randrange(40))), passage[rng.randrange(20) : rng.randrange(30, len(passage))], "z z z " * rng.randrange(9)])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "SEEN", 2)
+    heavy = substring_dedup.heavy_minimisers(df.select("text"), 13, 3, 1000, 2000)
+    assert len(heavy) > 10
+    monkeypatch.setattr(substring_dedup, "heavy_minimisers", lambda *a: heavy)
+    same(substring_dedup.remove_repeats(df, chunk_bytes=1500).select("document_id", "n_words", "n_removed", F.sha2("kept", 256)).collect(), brute.substring(rows))
+
+
 # --- packing ---
 
 

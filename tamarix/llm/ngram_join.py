@@ -326,7 +326,8 @@ class NgramJaccardJoin:
         if nth and not last:  # a pair for two components
             two = two.withColumn("lo", F.least("a.root", "b.root")).withColumn("hi", F.greatest("a.root", "b.root"))
             two = two.groupBy("lo", "hi").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a.key", "b.key", F.lit(nth))).alias("ab")).select("ab.*")
-        return two.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("root_a"), F.col("b.root").alias("root_b")).distinct()
+        two = two.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("root_a"), F.col("b.root").alias("root_b"))
+        return two if nth and not last else two.distinct()
 
 
 def place() -> Column:

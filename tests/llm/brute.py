@@ -68,3 +68,45 @@ def exact(rows):
         groups.setdefault(norm(t), []).append(d)
     low = {k: min((d for d in v if d is not None), default=None) for k, v in groups.items()}
     return [(d, low[norm(t)], len(groups[norm(t)])) for d, t in rows]
+
+
+def targets(sizes, weights=(1, 2, 3), most=3):
+    """{source: target}: shares by weight; what is above `most` times a source's
+    size goes to the others by weight, again and again."""
+    order = sorted(sizes, key=lambda x: (x is None, x))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if most * sizes[s] < weight[s] * level}
+        if not full:
+            return out | {s: weight[s] * level for s in open_}
+        for s in full:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def mixed(rows, seed="mix-1"):
+    """Words taken of each entry of the mix, as a list of (doc_id, text, words),
+    of rows (doc_id, text, source)."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    by = {}
+    for d, t, s in rows:
+        by.setdefault(s, []).append((md5("|".join([*([] if d is None else [str(d)]), md5(t or ""), seed]))[:16], len(words(t)), d, t))
+    sizes = {s: sum(x[1] for x in v) for s, v in by.items()}
+    target, entries = targets(sizes), []
+    for rank, s in enumerate(sorted(by, key=lambda x: (x is None, x))):
+        end = 0
+        for _ in range(3):
+            for _, n, d, t in sorted(by[s], key=lambda x: x[:2]):
+                end += n
+                if n:
+                    entries.append((end / target[s], rank, end, n, d, t))
+    left, out = sum(sizes.values()), []
+    for _, _, _, n, d, t in sorted(entries, key=lambda x: x[:3]):
+        if left > 0:
+            out.append((d, t, min(n, left)))
+            left -= n
+    return out

@@ -10,7 +10,6 @@ in Hangul syllables alone, which it takes apart.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -46,7 +45,18 @@ def _table() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _SEVERAL = _table()
 #: The usual ones of these are replaced at once.
 _USUAL = {c: _SEVERAL.pop(c) for c in "ß…"}
-_ANY_SEVERAL = "[" + "".join(map(re.escape, _SEVERAL)) + "]"
+
+
+def _plain() -> str:
+    """The long runs of characters of which none becomes several, for a regular
+    expression, the usual ones first."""
+    edges = [-1, *sorted(map(ord, _SEVERAL)), 0x110000]
+    runs = [(a + 1, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > (8 if b <= 0x2070 else 500)]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
+#: Rows with any other character are looked at one by one.
+_MAY_BE_SEVERAL = f"[^{_plain()}]"
 
 
 def text(c: Column | str) -> Column:
@@ -58,7 +68,7 @@ def folded(c: Column | str) -> Column:
     """Lower case without accents."""
     v = text(c)
     several = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")  # a constant once planned
-    plain = F.when(v.rlike(_ANY_SEVERAL), F.array_join(F.transform(F.split(v, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")).otherwise(v)
+    plain = F.when(v.rlike(_MAY_BE_SEVERAL), F.array_join(F.transform(F.split(v, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")).otherwise(v)
     for one, to in _USUAL.items():
         plain = F.replace(plain, F.lit(one), F.lit(to))
     return F.when(F.octet_length(v) == F.length(v), F.lower(v)).otherwise(F.lower(F.translate(plain, _FROM, _TO)))

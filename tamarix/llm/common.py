@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,9 +118,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 class Words:
     """The words of a chunk of texts: `array` (binary, words of all texts in
     order), `bounds` (text i has words bounds[i]:bounds[i + 1]). `solid`: the
-    bytes that words are made of, if not all but white space."""
+    bytes that words are made of, if not all but white space, or a function that
+    tells them."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, solid: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, lower: bool = False, solid: np.ndarray | Callable[[np.ndarray], np.ndarray] | None = None):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -129,7 +130,7 @@ class Words:
         data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
         at = off - lo
         self.data, self.at = data, at
-        solid = ~_WS[data] if solid is None else solid[data]
+        solid = ~_WS[data] if solid is None else solid(data) if callable(solid) else solid[data]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         begins = at[:-1][at[:-1] < len(data)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
+from . import exact_dedup, language_id, lexical_search, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, spelling, substring_dedup, toxicity, url_filter
 from .common import documents
 
 
@@ -216,6 +216,89 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    index = lexical_search.LexicalIndex(docs, wanted=items.select(F.explode(lexical_search.terms(F.col("text"))).alias("term")))
+    return index.search(items).select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+OP11_SQL = r"""
+WITH t AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL
+), l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id
+), a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM l
+), q AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), w AS (
+    SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term, docs
+), s AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN p USING (term) JOIN l USING (doc_id), a GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.Spelling(documents(spark, sf_dir).select("doc_id", "text")).variants()
+
+
+OP12_SQL = r"""
+WITH t8 AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) AS r(i))
+), p AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+), b AS (
+    SELECT doc_id, run, n, flatten(list_transform(string_split(concat(doc_id::VARCHAR, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)) AS bytes FROM p
+), h AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM b, t8
+), w AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+    GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2
+), d AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), e AS (
+    SELECT DISTINCT word, near, near_n FROM (
+        SELECT x.word, y.word AS near, y.n AS near_n FROM d AS x JOIN d AS y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+        UNION ALL SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.less
+        UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.less)
+), f AS (
+    SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+    FROM w LEFT JOIN (SELECT word, count(*) AS n_near, max(near_n) AS best_n, first(near ORDER BY near_n DESC, near) AS best FROM e GROUP BY word) USING (word)
+), c AS (
+    WITH RECURSIVE r(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+    SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL
+)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN c ON c.word = f.word
+"""
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")], "rule string, verdict string")
+    found = url_filter.UrlFilter(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules).judged()
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+OP13_SQL = r"""
+WITH r AS (
+    SELECT *, rh || rp AS rule FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS v(rh, rp, verdict)
+), u AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), f AS (
+    SELECT *, (SELECT arg_max(rule, length(rule)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule FROM p
+)
+SELECT page_id, host, path, f.rule, coalesce(r.verdict, 'allow') AS verdict FROM f LEFT JOIN r ON r.rule = f.rule
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -227,6 +310,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_url_filter": op13_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
@@ -235,4 +321,7 @@ ORACLES: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_url_filter": OP13_SQL,
 }

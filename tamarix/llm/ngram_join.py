@@ -1,9 +1,13 @@
 """N-gram Jaccard join (4): multiple-global-order filtering.
 
 Documents whose sets of word shingles have a Jaccard similarity of t or more
-are linked; the result is exact. A shingle travels as a 64-bit hash made from
-XXH3 hashes of its words; a set is known by the 128-bit digest of two such
-hashes of each of its shingles, so copies are one set from the start. Whether
+are linked. A shingle travels as 64 bits made from keyed hashes of its words, a
+set is known by the 128-bit digest of two such hashes of each of its shingles, so
+copies are one set from the start. The key is drawn once for a join, on the
+driver, so no text can be written whose shingles are taken for one another; the
+result doesn't depend on it, but for the chance that two of a corpus' shingles
+that matter meet in 64 bits. A set's size is exact: where the two hashes of its
+shingles don't tell as many apart, shingles are numbered by their words. Whether
 two sets are linked is decided on the words of a text of each.
 
 Order 1, ascending hash. With d = n - ceil(t n), two linked sets share at least
@@ -46,6 +50,7 @@ table gives no rows; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,13 +74,13 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
 
 
-def shingle_sets(texts: pa.Array, k: int) -> tuple[list[np.ndarray], list[bytes], common.Words]:
-    """The sorted distinct shingle hashes of each text, the sets' digests, and
-    the words."""
+def shingle_sets(texts: pa.Array, k: int, key: bytes) -> tuple[list[np.ndarray], list[int], list[bytes], common.Words]:
+    """The sorted distinct shingle hashes of each text, the sets' sizes and
+    digests, and the words."""
     words = common.Words(texts, lower=True)
-    own, other = common.word_hashes(words), common.word_hashes(words, 1)
+    own, other = common.keyed_hashes(words, key)
     of, check = common.rolled(own, k), common.rolled(other, k, salt=2)
-    sets, keys = [], []
+    sets, sizes, keys = [], [], []
     bounds = words.bounds.tolist()
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         n = hi - lo
@@ -83,9 +88,11 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[list[np.ndarray], list[bytes]
             h, c = of[lo : hi - k + 1], check[lo : hi - k + 1]
         else:
             h, c = (common.rolled(own[lo:hi], n, salt=1), common.rolled(other[lo:hi], n, salt=3)) if n else (own[:0], other[:0])
-        sets.append(distinct(h))
-        keys.append(xxhash.xxh3_128_digest(sets[-1].tobytes() + distinct(c).tobytes()))
-    return sets, keys, words
+        h, c = distinct(h), distinct(c)
+        sets.append(h)
+        sizes.append(len(h) if len(h) == len(c) else len(distinct(common.run_ranks(words.coded()[0][lo:hi], k))))
+        keys.append(xxhash.xxh3_128_digest(h.tobytes() + c.tobytes()))
+    return sets, sizes, keys, words
 
 
 def parities(members: np.ndarray) -> np.ndarray:
@@ -110,17 +117,18 @@ class NgramJaccardJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 3, chunk_bytes: int = 4_000_000):
         self.spark, self.k, self.percent, self.rounds, self.chunk_bytes = docs.sparkSession, k, percent, rounds, chunk_bytes
         common.ship(self.spark)
+        self.key = secrets.token_bytes(32)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sets(self) -> DataFrame:
         """id, n, key of every document."""
-        k, size = self.k, self.chunk_bytes
+        k, size, secret = self.k, self.chunk_bytes, self.key
         id_type = self.docs.schema["id"].dataType.simpleString()
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.chunks(batches, size):
-                found, keys, _ = shingle_sets(b.column(1), k)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(keys, pa.binary())], names=["id", "n", "key"])
+                _, sizes, keys, _ = shingle_sets(b.column(1), k, secret)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["id", "n", "key"])
 
         return common.landed(self.docs.mapInArrow(keyed, f"id {id_type}, n int, key binary"), "join-sets")
 
@@ -129,12 +137,12 @@ class NgramJaccardJoin:
         chunk, their counts, and the place of the only set that has one, or where
         in the chunk's list the sets of a member with several begin. part < 0:
         the chunk's keys, sizes and that list."""
-        k, size, percent = self.k, self.chunk_bytes, self.percent
+        k, size, percent, secret = self.k, self.chunk_bytes, self.percent, self.key
 
         def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk = TaskContext.get().partitionId() << 32
             for b in common.chunks(batches, size):
-                sets, keys, _ = shingle_sets(b.column(0), k)
+                sets, _, keys, _ = shingle_sets(b.column(0), k, secret)
                 found = {key: s for key, s in zip(keys, sets, strict=True) if len(s)}
                 sets = list(found.values())
                 n = np.array([len(s) for s in sets], np.int64)
@@ -214,11 +222,11 @@ class NgramJaccardJoin:
     def _full(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
         """key, the words of a text, the last members and the sketch of the
         wanted sets."""
-        k, size, percent = self.k, self.chunk_bytes, self.percent
+        k, size, percent, secret = self.k, self.chunk_bytes, self.percent, self.key
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.chunks(batches, size):
-                found, keys, words = shingle_sets(b.column(0), k)
+                found, _, keys, words = shingle_sets(b.column(0), k, secret)
                 sketch = np.stack([parities(s) for s in found])
                 texts = [squeezed(words, lo, hi) for lo, hi in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
                 ends = [s[len(s) - 1 - (len(s) - -(-len(s) * percent // 100)) :].view(np.int64) for s in found]

@@ -11,8 +11,9 @@ holds any number of them. A line in none is its own template. A template that an
 earlier document (smaller identifier) has is recurring: its lines are dropped
 from later documents.
 
-Lines with fewer than `least` words are too short for a template: they recur as
-they are (no fields: a number is no boilerplate, a word of it is).
+Lines with no more words than the tree has levels end in its inner nodes, with no
+word left to be a field: they recur as they are (a number alone is no boilerplate,
+a word of it is).
 
 Counts are combined in each task before they are sent, so a very common line
 is one row a task; only different lines of leaves with two or more are taken
@@ -46,8 +47,8 @@ _NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 5, share: float = 0.5, similar: float = 0.6):
-        self.depth, self.least, self.share, self.similar = depth, least, share, similar
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, share: float = 0.5, similar: float = 0.6):
+        self.depth, self.share, self.similar = depth, share, similar
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("id", F.lit(7)))
 
     def _lines(self, docs: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ class LineDedup:
         e = e.withColumn("general", once(F.when(uneven | F.col("line").rlike(_ODD), odd).otherwise(F.col("line"))))
         e = e.withColumn("words", once(F.octet_length("general") - F.octet_length(F.replace("general", F.lit(" "), F.lit(""))) + 1))
         head = F.substring_index("general", " ", self.depth)
-        few = F.col("words") < self.least
+        few = F.col("words") <= self.depth
         e = e.withColumn("general", once(F.when(few, even("line")).otherwise(F.col("general")))).filter("general <> ''")
         head = F.when(few, F.col("general")).otherwise(head)
         return e.select("id", "k1", "k2", "pos", F.xxhash64("words", head).alias("leaf"), F.xxhash64("general").alias("line"), "general")
@@ -110,9 +111,10 @@ class LineDedup:
 
     def documents(self) -> DataFrame:
         """id, text, kept (the text without its recurring lines), n_lines, n_dropped."""
+        mark = common.marked()
         lines = common.landed(self._lines(self.docs).drop("general"), "line-places")
         gone = lines.join(self._recurring(lines), ["leaf", "line"]).filter("first < id").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
-        rows = self.docs.join(common.landed(gone, "line-gone").hint("merge"), ["k1", "k2"], "left")
+        rows = self.docs.join(common.landed_alone(gone, "line-gone", mark).hint("merge"), ["k1", "k2"], "left")
         rows = rows.withColumn("split", F.split("text", "\n", -1))
         places = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")  # by a hash set: linear in the lines
         stays = F.array_join(F.transform(places, lambda i: F.col("split")[i]), "\n")

@@ -34,10 +34,10 @@ WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
     SELECT doc_id, pos, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS own,
         list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l
 ), k AS (
-    SELECT doc_id, pos, CASE WHEN len(ws) < 5 THEN concat_ws(' ', len(ws), array_to_string(own, ' ')) ELSE concat_ws(' ', len(ws), ws[1], ws[2], ws[3]) END AS leaf,
-        ws, array_to_string(CASE WHEN len(ws) < 5 THEN own ELSE ws END, ' ') AS general FROM g WHERE len(ws) > 0
+    SELECT doc_id, pos, CASE WHEN len(ws) <= 3 THEN concat_ws(' ', len(ws), array_to_string(own, ' ')) ELSE concat_ws(' ', len(ws), ws[1], ws[2], ws[3]) END AS leaf,
+        ws, array_to_string(CASE WHEN len(ws) <= 3 THEN own ELSE ws END, ' ') AS general FROM g WHERE len(ws) > 0
 ), seen AS (SELECT leaf, general, any_value(ws) AS ws, min(doc_id) AS low, max(doc_id) AS high FROM k GROUP BY leaf, general
-), {_level_sql(1, "SELECT leaf AS part, leaf, general, ws FROM seen WHERE len(ws) >= 5")
+), {_level_sql(1, "SELECT leaf AS part, leaf, general, ws FROM seen WHERE len(ws) > 3")
 }, r1 AS (SELECT leaf, general, ws FROM p1 ANTI JOIN m1 USING (leaf, general)
 ), {_level_sql(2, "SELECT leaf || ' ' || ws[4] AS part, * FROM r1")
 }, r2 AS (SELECT leaf, general, ws FROM p2 ANTI JOIN m2 USING (leaf, general)

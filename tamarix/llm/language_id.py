@@ -17,8 +17,8 @@ tried, so the selection is that of trying all sizes.
 A text's fit is the mean over its words of their log likelihood a trigram, in the
 best of the selected languages, above what the languages' own trigrams have, at
 the upper end of its uncertainty (`sure` deviations over the root of its words);
-so one long code or key among few words is one word; worst_fit() is the limit that the fits
-of texts with a known language set.
+so one long code or key among few words is one word; worst_fit() is the limit that
+the model and the fits of texts with a known language set.
 
 Chunks of text get smaller with the number of languages, so that a chunk's table
 of words by languages stays bounded; one text is never divided, and its table
@@ -190,16 +190,22 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
     return docs.mapInArrow(predicted, schema)
 
 
-def worst_fit(fits: DataFrame, fit_col: str, least: int = 100, reach: int = 8) -> float | None:
-    """The fit below which a text is in none of the languages: `reach` times as
-    far below the median of fits as their first percentile is, from counts by
-    50ths. None for fewer than `least` fits, which don't tell a percentile."""
+def worst_fit(fits: DataFrame, fit_col: str, model: LanguageModel, reach: int = 8, prior: int = 50) -> float:
+    """The fit below which a text is in none of the languages.
+
+    The n fits of `fits` say `reach` times as far below their median as their
+    first percentile is (counts by 50ths). The model alone says one standard
+    deviation of a single trigram below its languages' own likelihood, the widest
+    of them. The limit is the mean of both, (n * said + prior * alone) / (n + prior):
+    the model's for no fits, moving from the first one on, and theirs for many."""
+    alone = -float(model.spread.max()) if len(model.spread) else 0.0
     counts = fits.filter(F.col(fit_col).isNotNull()).groupBy(F.floor(F.col(fit_col) * 50).alias("v")).count().orderBy("v").collect()
     upto = np.cumsum([r["count"] for r in counts])
-    if not len(upto) or upto[-1] < least:
-        return None
+    if not len(upto):
+        return alone
     low, mid = (counts[int(np.searchsorted(upto, q * upto[-1]))]["v"] / 50 for q in (0.01, 0.5))
-    return mid - reach * max(mid - low, 0.02)
+    n = int(upto[-1])
+    return (n * (mid - reach * max(mid - low, 0.02)) + prior * alone) / (n + prior)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

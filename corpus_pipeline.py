@@ -7,7 +7,7 @@ Defined results: each stage's operator states how it treats nulls, empty and
 long texts, ties, repeated rows and empty tables. Language ID keeps the
 columns of its input, writes the predicted language into lang and drops documents
 without letters and those that fit the languages learned clearly worse than the
-documents with a lang do (where there are 100 of these); exact dedup keeps
+model, and the documents with a lang, let expect; exact dedup keeps
 one row of equal texts; of each group of near duplicates the document with the
 smallest doc_id stays (rows without doc_id are never dropped there); mixing
 repeats, drops or cuts documents to reach its targets; packing gives pieces.
@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(docs.filter(~language_id.held_out()))
     name, fit = common.fresh(docs, "lang_pred"), common.fresh(docs, "lang_fit")
     found = common.landed(language_id.predict(docs, model, fit_out=fit), "language-fits")
-    limit = language_id.worst_fit(found.filter("lang IS NOT NULL"), fit)
-    stays = (F.col(name) != "und") & (F.lit(True) if limit is None else F.col(fit) >= limit)
+    limit = language_id.worst_fit(found.filter("lang IS NOT NULL"), fit, model)
+    stays = (F.col(name) != "und") & (F.col(fit) >= limit)
     return found.filter(stays).select(*[(F.col(name) if c == "lang" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -4,12 +4,15 @@ written as folders of JSON lines (or Parquet), reports of one row as one file.""
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import if_any, text
+from . import json_array
 from .schemas import JOB
 
 _MARKET = "professions array<struct<id:string,label:string,sector:string,family:string,hcp_codes:array<string>,aliases:array<string>,diplomas:array<string>>>"
@@ -31,9 +34,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Announcements: a file with a JSON array, or a folder of JSON lines."""
+    """Announcements: a file with a JSON array, or a folder of JSON lines. An
+    array larger than a partition of Spark's readers is read by several tasks."""
     at, system = _file(spark, path)
-    return spark.read.schema(JOB).json(path, multiLine=not (system.exists(at) and system.getFileStatus(at).isDirectory()))
+    status = system.getFileStatus(at) if system.exists(at) else None
+    if status is not None and status.isFile() and status.getLen() > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return json_array.read_array(spark, path, JOB)
+    return spark.read.schema(JOB).json(path, multiLine=status is None or not status.isDirectory())
 
 
 def read_rules(spark: SparkSession, path: str) -> tuple[dict[str, Any], ...]:
@@ -62,6 +69,17 @@ def read_official(spark: SparkSession, path: str, first_ord: int = 1_000_000) ->
     )
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; a local session without it gets a
+    temporary folder, a cluster must name one that all its machines see."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
+        base = "file://" + tempfile.mkdtemp(prefix="tamarix-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -74,19 +92,3 @@ def write_report(spark: SparkSession, report: Any, path: str) -> None:
         out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2, default=str), "utf-8"))
     finally:
         out.close()
-
-
-def write_index(index: DataFrame, path: str, batch: int = -1) -> None:
-    """The search index by batch of the stream (-1: not from a stream), then by
-    publication day. A batch that comes again replaces itself."""
-    day = F.substring("publication_date", 1, 10)
-    index.withColumn("publication_day", day).write.mode("overwrite").partitionBy("publication_day").parquet(f"{path}/batch={batch}")
-
-
-def read_index(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """The index; with `since` (a day, as 2026-08-05) only the folders of that
-    publication day and later are read."""
-    index = spark.read.parquet(path)
-    if since is not None:
-        index = index.filter(F.col("publication_day") >= F.lit(since).cast(index.schema["publication_day"].dataType))
-    return index.drop("publication_day", "batch")

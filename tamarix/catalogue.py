@@ -13,6 +13,7 @@ from .functions import fixed_values as V
 from .operators import crawl_audit, extraction, matching, policy, quality, search, suggest
 from .operators import taxonomy as tax
 from .plans import index as index_plan
+from .sources import files, index_store
 from .sources import html as H
 from .sources.files import MARKET
 
@@ -268,9 +269,7 @@ def outcome_pages(spark, sf):
 @query(f"""{DETAIL_SQL} SELECT url, CASE WHEN k % 17 = 3 THEN 'failed' WHEN k % 19 = 5 THEN 'retired' WHEN error IS NULL THEN 'job' ELSE 'failed' END AS outcome,
     CASE WHEN k % 17 = 3 THEN 'TimeoutError: timed out' WHEN k % 19 = 5 THEN '{_SITE}/fr/concours-liste' ELSE coalesce(error, '') END AS detail FROM e""")
 def detail_outcomes(spark, sf):
-    jobs, failures, retired = extraction.outcomes(outcome_pages(spark, sf), _SITE)
-    rows = jobs.select("url", F.lit("job").alias("outcome"), F.lit("").alias("detail")).unionByName(failures.select("url", F.lit("failed").alias("outcome"), F.col("message").alias("detail")))
-    return rows.unionByName(retired.select("url", F.lit("retired").alias("outcome"), F.col("target").alias("detail")))
+    return extraction.classified_pages(outcome_pages(spark, sf), _SITE).select("url", "outcome", "detail")
 
 
 # --- crawl reconciliation -----------------------------------------------------
@@ -589,11 +588,23 @@ def result_titles(spark, sf):
     return i.select("uuid", F.col("m.profession_id").alias("profession_id"), *[c.alias(k) for k, c in search.result_titles(F.col("m")).items()])
 
 
-@query(f"WITH {D.INDEX_SQL} SELECT score, uuid, title, matched_profession_label, positions::BIGINT AS positions FROM (SELECT j.uuid, {RANK_SQL} AS score, {_SHOWN_SQL} AS title, f.label AS matched_profession_label, publication_date, positions FROM final f JOIN jobs j USING (uuid) WHERE f.pid = 'edu.prof_universitaire') ORDER BY score DESC, publication_date DESC, uuid LIMIT 20")
+TOPK_SQL = f"WITH {D.INDEX_SQL} SELECT score, uuid, title, matched_profession_label, positions::BIGINT AS positions FROM (SELECT j.uuid, {RANK_SQL} AS score, {_SHOWN_SQL} AS title, f.label AS matched_profession_label, publication_date, positions FROM final f JOIN jobs j USING (uuid) WHERE f.pid = 'edu.prof_universitaire') ORDER BY score DESC, publication_date DESC, uuid LIMIT 20"
+
+
+@query(TOPK_SQL)
 def search_topk(spark, sf):
     return search.search(classified(spark, sf), "edu.prof_universitaire", D.now()).select("score", "uuid", "title", "matched_profession_label", long("positions").alias("positions"))
 
 
+@query(TOPK_SQL)
+def search_written(spark, sf):
+    """The same search over an index that was published as files: it reads the
+    bucket of its profession."""
+    path = files.work_path(spark, "index")
+    index_store.publish(classified(spark, sf), path, source="tables", generated_at=D.NOW)
+    return index_store.SearchIndex(spark, path).search("edu.prof_universitaire", D.now()).select("score", "uuid", "title", "matched_profession_label", long("positions").alias("positions"))
+
+
 # --- quality ------------------------------------------------------------------
 
 _TEXT_SQL = lambda c: rf"trim(regexp_replace(replace({D.fold_sql(c)}, '’', ''''), '\s+', ' ', 'g'))"

@@ -38,9 +38,9 @@ def listing(raw: DataFrame, base_url: str = BASE_URL) -> DataFrame:
     return p.withColumn("urls", urls).withColumn("titles", F.map_from_entries(last)).drop("p", "found")
 
 
-def details(raw: DataFrame) -> DataFrame:
+def details(raw: DataFrame, *keep: str) -> DataFrame:
     """raw_detail (url, scope, title, html) as announcements, with `error`: the
-    first rule that a page breaks, null for a valid one."""
+    first rule that a page breaks, null for a valid one; and the columns `keep`."""
     d = raw.withColumn("p", H.detail(H.before("html", H.SIMILAR)))
     d = d.withColumns({c: F.col(f"p.{c}") for c in ("administration", "published", "until", "held")})
     d = with_french_datetimes(d, {"publication_at": ("published", False), "deadline_at": ("until", True), "contest_at": ("held", False)})
@@ -59,7 +59,7 @@ def details(raw: DataFrame) -> DataFrame:
     iso = lambda c: F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss")
     return d.select(
         "uuid", "url", "scope", text("title").alias("listing_title"), "administration", iso("publication_at").alias("publication_date"), iso("deadline_at").alias("deadline"),
-        iso("contest_at").alias("contest_date"), "job_name", "grade", "specialties", "positions", "recruitment_type", "application_type", "application_site", "contest_code", once(error).alias("error"),
+        iso("contest_at").alias("contest_date"), "job_name", "grade", "specialties", "positions", "recruitment_type", "application_type", "application_site", "contest_code", once(error).alias("error"), *keep,
     )
 
 
@@ -86,14 +86,25 @@ def first_scope(found: DataFrame, scopes: tuple[str, ...] = V.SCOPES) -> DataFra
     return found.groupBy("url").agg(F.min_by(row, F.struct(rank, "position")).alias("r")).select("r.*")
 
 
-def outcomes(raw: DataFrame, base_url: str = BASE_URL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs, failures, retired) of landed detail pages; pages that couldn't be
-    read (with an `error`) are failures."""
+def classified_pages(raw: DataFrame, base_url: str = BASE_URL) -> DataFrame:
+    """Landed detail pages, each parsed once: the columns of announcements with
+    `outcome` (job, failed, retired) and `detail` (why it failed, where it was
+    retired to; empty for a job). Pages that couldn't be read (with an `error`)
+    have failed; what was retired isn't parsed."""
     r = raw if "error" in raw.columns else raw.withColumn("error", F.lit(None).cast("string"))
-    r = r.withColumnRenamed("error", "unread").withColumn("target", retired_target(F.col("url"), F.col("hops"), F.col("final_url"), base_url))
-    d = details(r.filter("unread is null and target is null"))
-    failures = d.filter("error is not null").select("url", F.col("error").alias("message")).unionByName(r.filter("unread is not null").select("url", F.col("unread").alias("message")))
-    return d.filter("error is null").drop("error"), failures, r.filter("unread is null and target is not null").select("url", "target")
+    r = r.withColumnRenamed("error", "unread").withColumn("target", once(retired_target(F.col("url"), F.col("hops"), F.col("final_url"), base_url)))
+    r = r.withColumn("html", F.when(F.col("unread").isNull() & F.col("target").isNull(), F.col("html")))
+    d = details(r, "unread", "target")
+    outcome = F.when(F.col("unread").isNotNull(), "failed").when(F.col("target").isNotNull(), "retired").when(F.col("error").isNotNull(), "failed").otherwise("job")
+    return d.withColumn("outcome", outcome).withColumn("detail", F.coalesce("unread", "target", "error", F.lit(""))).drop("unread", "target", "error")
+
+
+def outcomes(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, failures, retired) of classified_pages(); land these before, else
+    each of the three parses the pages."""
+    of = lambda outcome, *cols: pages.filter(F.col("outcome") == outcome).select(*cols)
+    jobs = pages.filter("outcome = 'job'").drop("outcome", "detail")
+    return jobs, of("failed", "url", F.col("detail").alias("message")), of("retired", "url", F.col("detail").alias("target"))
 
 
 def newest_first(jobs: DataFrame) -> DataFrame:

@@ -34,10 +34,28 @@ def rank(match: Column, publication: Column | str, deadline: Column | str, now:
     return F.when(hidden, -1.0).otherwise(F.round(total, 2))
 
 
+#: What a result shows of an announcement.
+SHOWN = ["uuid", "listing_title", "job_name", "search_title", "specialties", "administration", "publication_date", "deadline", "positions", "url"]
+
+
 def search(index: DataFrame, profession_id: str, now: Column, limit: int = 20) -> DataFrame:
-    """The best `limit` announcements of a profession, best first."""
+    """The best `limit` announcements of a profession, best first; reads all of
+    the index."""
     own = F.try_element_at(F.filter("profession_matches", lambda m: m["profession_id"] == profession_id), F.lit(1))
     hit = index.filter(F.exists("profession_matches", lambda m: m["profession_id"] == profession_id)).withColumn("m", once(own))
+    return search_postings(hit, now, limit)
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """profession_id, m (the announcement's first match with it) and what a result
+    shows: a row a profession that an announcement has."""
+    ids = F.transform("profession_matches", lambda m: m["profession_id"])
+    first = F.filter("profession_matches", lambda m, i: F.array_position(ids, m["profession_id"]) == i + 1)
+    return index.select(F.explode(first).alias("m"), *SHOWN).select(F.col("m.profession_id").alias("profession_id"), "m", *SHOWN)
+
+
+def search_postings(hit: DataFrame, now: Column, limit: int = 20) -> DataFrame:
+    """The best `limit` of a profession's announcements, each with its match m."""
     hit = hit.withColumn("score", once(rank(F.col("m"), "publication_date", "deadline", now))).filter("score >= 0")
     titles = {f"shown_{k}": v for k, v in result_titles(F.col("m")).items()}
     rows = hit.withColumns(titles).select(

@@ -10,8 +10,6 @@ from ..functions.text import once
 from ..operators import policy, quality, search
 from ..sources.schemas import as_jobs
 
-POLICY = "exact_and_strong_only"
-
 
 def classified(jobs: DataFrame, professions: DataFrame, rules=V.CONTEXT_RULES) -> DataFrame:
     """jobs with search_title, profession_matches and profession_ids; one row a

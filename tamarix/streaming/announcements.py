@@ -1,7 +1,7 @@
 """New announcements as a stream: an extension of the batch plans.
 
 Announcements are deduplicated by uuid within the retention of 15 days, and each
-micro-batch is classified by the batch plan and written to the index under its
+micro-batch is classified by the batch plan and published in the index under its
 number, so that a batch that is run again after a failure replaces itself.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.dates import local_time
 from ..functions.fixed_values import MAXIMUM_AGE_DAYS
 from ..plans.index import build_index
-from ..sources.files import write_index
+from ..sources.index_store import publish
 
 
 def new_announcements(jobs: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def index_stream(jobs: DataFrame, professions: DataFrame, path: str, checkpoint:
     kinds = {} if rules is None else {"rules": rules}
 
     def add(batch: DataFrame, number: int) -> None:
-        write_index(build_index(batch.drop("published_at"), professions, **kinds), path, number)
+        publish(build_index(batch.drop("published_at"), professions, **kinds), path, number)
 
     writer = new_announcements(jobs).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

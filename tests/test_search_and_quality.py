@@ -1,12 +1,15 @@
 """Ranking, titles, coverage and gates."""
 
+import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tamarix import api
 from tamarix.operators import quality
-from tamarix.sources.files import read_index, write_index
+from tamarix.sources.index_store import SearchIndex, expire, publish
 from tamarix.sources.schemas import MATCH
 
 KIND = f"uuid string, url string, listing_title string, search_title string, administration string, job_name string, grade string, specialties array<string>, positions int, publication_date string, deadline string, profession_matches array<{MATCH}>, related_profession_matches array<{MATCH}>"
@@ -88,5 +91,59 @@ def test_semantic_failures(spark):
 
 def test_index_files(spark, tmp_path):
     i = index(spark, [row("1", [match()])])
-    write_index(i, str(tmp_path / "i"))
-    assert read_index(spark, str(tmp_path / "i")).select(i.columns).collect() == i.collect()
+    envelope = publish(i, str(tmp_path / "i"), source="here", generated_at="2026-08-20T12:00:00")
+    got = SearchIndex(spark, str(tmp_path / "i"))
+    assert got.jobs().select(i.columns).collect() == i.collect()
+    assert got.envelope == {k: v for k, v in envelope.items() if k != "parts"} == {"version": 2, "generated_at": "2026-08-20T12:00:00", "source": "here", "classification_policy": "exact_and_strong_only", "number": 0}
+
+
+def test_a_search_reads_its_bucket(spark, tmp_path):
+    rows = [row(str(n), [match(f"p.{n % 40}"), match("hot", score=95.0), match(f"p.{n % 40}", score=1.0)], published=f"2026-08-{1 + n % 20:02}T00:00:00") for n in range(300)]
+    i, path = index(spark, rows), str(tmp_path / "i")
+    publish(i, path)
+    stored = SearchIndex(spark, path)
+    for profession in ("p.0", "p.39", "hot", "none"):
+        want = api.search_by_profession(i, profession, 7, NOW)
+        found = stored.search(profession, api.local_now(NOW), 7)
+        assert api.rows_of(found) == want and (want or profession == "none")
+    plan = stored.postings("p.3")._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan)
+    assert "bucket" in filters[1] and "EqualTo(profession_id,p.3)" in filters[2]
+    assert stored.postings("p.3").select(F.input_file_name()).distinct().count() == 1
+
+
+def test_a_build_that_fails_leaves_the_index(spark, tmp_path):
+    path = str(tmp_path / "i")
+    publish(index(spark, [row("1", [match()])]), path, 0)
+    publish(index(spark, [row("2", [match()])]), path, 1, buckets=8)
+    before = SearchIndex(spark, path)
+    broken = index(spark, [row("3", [match()]), row("4")]).withColumn("uuid", F.when(F.col("uuid") == "4", F.raise_error(F.lit("broken"))).otherwise(F.col("uuid")))
+    with pytest.raises(Exception, match="broken"):
+        publish(broken, path, 1)
+    now = SearchIndex(spark, path)
+    uuids = lambda x: sorted(r["uuid"] for r in x.jobs().collect())
+    assert now.manifest == before.manifest and uuids(now) == ["1", "2"]
+    publish(index(spark, [row("5", [match()])]), path, 1)  # the batch again
+    after = SearchIndex(spark, path)
+    assert uuids(after) == ["1", "5"] and uuids(before) == ["1", "2"]
+    assert sorted(r["uuid"] for r in after.search("a.b", api.local_now(NOW)).collect()) == ["1", "5"]
+    assert expire(spark, path) == 2 and uuids(SearchIndex(spark, path)) == ["1", "5"] and expire(spark, path) == 0
+
+
+def test_two_builds_at_once(spark, tmp_path, monkeypatch):
+    """A build that finds its number taken is added to the other one."""
+    from tamarix.sources import index_store
+
+    path, calls = str(tmp_path / "i"), []
+    publish(index(spark, [row("1")]), path, 0)
+    write = index_store._Files.write_new
+
+    def late(self, name, text):
+        if not calls:
+            calls.append(name)
+            publish(index(spark, [row("2")]), path, 1)
+        return write(self, name, text)
+
+    monkeypatch.setattr(index_store._Files, "write_new", late)
+    assert publish(index(spark, [row("3")]), path, 2)["number"] == 2
+    assert sorted(r["uuid"] for r in SearchIndex(spark, path).jobs().collect()) == ["1", "2", "3"]

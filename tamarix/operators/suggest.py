@@ -1,9 +1,12 @@
 """Autocomplete and query resolution.
 
 A query meets the terms that an index gives for it. Whatever scores by the first
-rules has the query at the beginning of one of its words, so terms are found by
-the beginnings of what follows each word's start; a query of several of a term's
-words by one of its words. Only the rest is compared by similarity, in the Arrow
+rules has the query at the beginning of one of its words and what follows it, so
+such a suffix of the term lies in the range of suffixes that begin with the query.
+Suffixes are posted under their first letters, as many as each rung of a short
+ladder has, a query looks under the longest rung that it reaches, and the range is
+tested there: a few rows for each word of a term, however long it is. A query of
+several of a term's words is found by one of its words. Only the rest is compared by similarity, in the Arrow
 function, and of it only pairs that can reach the least ratio r: with L letters
 in both, at least r L / 2 are in common blocks, which at most L - r L others
 divide, so (3 r / 2 - 1) L - 1 pairs of neighbours are in both. Terms are found
@@ -48,11 +51,36 @@ def structured_score(q: Column, q_tokens: Column, t: Column, t_tokens: Column) -
     )
 
 
-def beginnings(norm_term: Column) -> Column:
-    """What a query may be that some word of the term begins with, or goes on to."""
+#: Numbers of first letters under which the suffixes of terms are posted.
+LADDER = (1, 2, 3, 5, 8, 12)
+
+
+def suffixes(norm_term: Column) -> Column:
+    """Each word of the term with all that follows it."""
     words = F.split(norm_term, " ")
-    tails = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.size(words)), " "))
-    return F.array_distinct(F.flatten(F.transform(tails, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substring(t, 1, n)))))
+    return F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.size(words)), " "))
+
+
+def rungs(norm_term: Column) -> Column:
+    """The first letters of a term's suffixes, by the rungs that they reach."""
+    tails = suffixes(norm_term)
+    return F.array_distinct(F.flatten(F.array(*[F.transform(F.filter(tails, _reaches(n)), _first(n)) for n in LADDER])))
+
+
+def _reaches(n: int):
+    return lambda t: F.length(t) >= n
+
+
+def _first(n: int):
+    return lambda t: F.substring(t, 1, n)
+
+
+def rung(q: Column) -> Column:
+    """The first letters of a query under which it is looked up."""
+    at = F.when(F.length(q) < LADDER[1], F.substring(q, 1, LADDER[0]))
+    for n, more in zip(LADDER[1:], [*LADDER[2:], None], strict=True):
+        at = at.when(F.length(q) < more, F.substring(q, 1, n)) if more else at.otherwise(F.substring(q, 1, n))
+    return at
 
 
 def neighbours(value: Column) -> Column:
@@ -94,10 +122,12 @@ def term_scores(queries: DataFrame, professions: DataFrame, fuzzy: bool = True)
     """query and the columns of terms with score, for all pairs that have one."""
     q, t = _asked(queries), terms(professions)
     ruled = structured_score(F.col("q"), F.col("q_tokens"), F.col("norm_term"), F.col("term_tokens"))
-    begun = q.join(t.withColumn("key", F.explode(beginnings(F.col("norm_term")))), F.col("q") == F.col("key")).drop("key").withColumn("score", ruled)
+    posted = t.withColumn("key", F.explode(rungs(F.col("norm_term"))))
+    begun = q.withColumn("key", rung(F.col("q"))).join(posted, "key").drop("key")
+    begun = begun.filter(F.exists(suffixes(F.col("norm_term")), lambda s: F.startswith(s, F.col("q")))).withColumn("score", ruled)
     worded = q.withColumn("key", F.array_min("q_tokens")).join(t.withColumn("key", F.explode("term_tokens")), "key").drop("key").withColumn("score", ruled)
     # what the first rules score is among those begun already
-    found = begun.filter("score >= 0").unionByName(worded.filter(F.col("score") < 800))
+    found = begun.filter("score >= 800").unionByName(worded.filter(F.col("score") < 800))
     return found.unionByName(_similar(q, t)) if fuzzy else found
 
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 
 from datetime import datetime
 from typing import Any
+from urllib import error
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import dates
 from .functions import fixed_values as V
+from .functions import text as words
 from .operators import crawl_audit, extraction, policy, quality, search, suggest
 from .operators import taxonomy as tax
+from .plans import audit as audit_plan
 from .plans import index as index_plan
 from .sources import crawl, files
 from .sources.schemas import JOB
@@ -95,6 +99,67 @@ class Taxonomy:
         return index_plan.build_index(jobs, self.professions, self.rules)
 
 
+def normalize(value: str | None) -> str:
+    """One string, as norm() has columns of them."""
+    return words.norm_text(value)
+
+
+def tokens(value: str | None) -> list[str]:
+    return words.token_list(value)
+
+
+def parse_french_datetime(spark: SparkSession, value: str, *, end_of_day_if_no_time: bool = False) -> datetime | None:
+    """The first date in a text, None without one; a ValueError for a day or a time
+    that the calendar doesn't have."""
+    at, wrong = spark.createDataFrame([(value,)], "v string").select(dates.french_datetime("v", end_of_day_if_no_time), dates.french_date_is_wrong("v")).first()
+    if wrong:
+        raise ValueError(f"no such date: {value}")
+    return at
+
+
+def robots_allows(base_url: str, agent: str = "*", **how) -> tuple[bool, str]:
+    """Whether the site lets its list and its details be read, and why."""
+    try:
+        return crawl.robots_allow(crawl.fetch(f"{base_url}/robots.txt", timeout=20, **how).text, base_url, agent)
+    except error.HTTPError as e:
+        return crawl.robots_allow(None, base_url, status=e.code) if e.code == 404 else (False, f"robots check failed: {e}")
+    except OSError as e:
+        return False, f"robots check failed: {e}"
+
+
+def crawl_scope(spark: SparkSession, base_url: str, scope: str, **options) -> dict[str, Any]:
+    """A scope's better scan: its state, with discovered_urls in order, titles and
+    errors (what failed, by page)."""
+    spark.dataSource.register(crawl.ListingSource)
+    options = {"base_url": base_url, "scopes": scope} | {k: str(v) for k, v in options.items()}
+    path = files.work_path(spark, "listing")
+    spark.read.format("listing_pages").options(**options).load().write.parquet(path)
+    pages = spark.read.parquet(path)
+    listings, states = crawl_audit.scanned(pages, base_url)
+    found = rows_of(extraction.numbered(listings).orderBy("position"))
+    state = states.first().asDict()
+    failed = pages.filter((F.col("attempt") == state["attempt"]) & F.col("error").isNotNull()).orderBy("page")
+    return state | {
+        "discovered_urls": [r["url"] for r in found], "titles": {r["url"]: r["title"] for r in found}, "listing_complete": state["complete"], "errors": [f"page={r['page']}: {r['error']}" for r in failed.collect()],
+    }
+
+
+def crawl_details(spark: SparkSession, scope_results: list[dict], base_url: str, parallel: int = 8, rest: float = 0.4, **how) -> dict[str, Any]:
+    """The details of scopes' urls, each read once, for the first scope that has
+    it: jobs, newest first, failures by url and retired_redirects by url. What
+    fails is read once more."""
+    tasks, seen = [], set()
+    for r in scope_results:
+        for url in r["discovered_urls"]:
+            if url not in seen:
+                seen.add(url)
+                tasks.append((url, r["scope"], r["titles"].get(url, "")))
+    path = files.work_path(spark, "details")
+    wanted = spark.createDataFrame(tasks, "url string, scope string, title string")
+    jobs, failures, retired = audit_plan.read_details(wanted, base_url, path, parallel, rest, **how)
+    return {"jobs": rows_of(extraction.newest_first(jobs)), "failures": {r["url"]: r["message"] for r in failures.collect()}, "retired_redirects": {r["url"]: r["target"] for r in retired.collect()}}
+
+
 def search_by_profession(index: DataFrame, profession_id: str, limit: int = 20, now: datetime | None = None) -> list[dict]:
     return rows_of(search.search(index, profession_id, local_now(now), limit))
 

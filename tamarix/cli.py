@@ -16,7 +16,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from urllib import error
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -27,7 +27,7 @@ from .functions import fixed_values as V
 from .operators import quality
 from .plans import audit as audit_plan
 from .plans import index as index_plan
-from .sources import crawl, files
+from .sources import files, index_store
 
 
 def show(x) -> None:
@@ -47,8 +47,12 @@ def parser() -> argparse.ArgumentParser:
     a = command("audit", "base-url", "output")
     a.add_argument("--scopes", default=",".join(V.SCOPES))
     a.add_argument("--pause", type=float, default=0.05)
+    a.add_argument("--rate", type=float, default=0.0, help="requests a second of all tasks together")
+    a.add_argument("--run", help="name of the run, to go on with it after a failure")
     a.add_argument("--no-gate", action="store_true")
-    command("build-index", "input", "taxonomy", "output").add_argument("--min-coverage", type=float, default=0.0)
+    b = command("build-index", "input", "taxonomy", "output")
+    b.add_argument("--min-coverage", type=float, default=0.0)
+    b.add_argument("--source")
     for name in ("search", "suggest", "diploma"):
         s = command(name, "taxonomy", *["index"] * (name == "search"))
         s.add_argument("query")
@@ -66,20 +70,14 @@ def parser() -> argparse.ArgumentParser:
 
 def audit(spark: SparkSession, args: argparse.Namespace) -> int:
     out = args.output
-    try:
-        got = crawl.fetch(f"{args.base_url}/robots.txt", timeout=20, pause=args.pause)
-        allowed, note = crawl.robots_allow(got.text, args.base_url)
-    except error.HTTPError as e:
-        allowed, note = crawl.robots_allow(None, args.base_url, status=e.code) if e.code == 404 else (False, f"robots check failed: {e}")
-    except OSError as e:
-        allowed, note = False, f"robots check failed: {e}"
+    allowed, note = api.robots_allows(args.base_url, pause=args.pause)
     if not allowed:
         report = {"robots_allowed": False, "robots_note": note, "gate": False, "reason": "robots_disallow_or_unavailable"}
         files.write_report(spark, report, f"{out}/audit.json")
         show(report)
         return 2
     now = api.local_now()
-    site = audit_plan.crawl_site(spark, args.base_url, f"{out}/landed", tuple(args.scopes.split(",")), pause=args.pause)
+    site = audit_plan.crawl_site(spark, args.base_url, f"{out}/landed", tuple(args.scopes.split(",")), rate=args.rate, run=args.run, pause=args.pause)
     found = audit_plan.verified(*site, now)
     for name, table in (("jobs", "accepted"), ("all_announcements", "jobs"), ("rejected", "rejected"), ("detail_failures", "failures"), ("retired_detail_redirects", "retired")):
         files.write_json(found[table], f"{out}/{name}")
@@ -91,9 +89,9 @@ def audit(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def build_index(spark: SparkSession, args: argparse.Namespace, taxonomy: api.Taxonomy) -> int:
     out = args.output
-    files.write_index(taxonomy.build_index(files.read_jobs(spark, args.input)), out)
-    index = files.read_index(spark, out)
-    report = index_plan.index_report(index, taxonomy.professions, args.min_coverage).first().asDict()
+    envelope = index_store.publish(taxonomy.build_index(files.read_jobs(spark, args.input)), out, source=args.source or args.input, generated_at=datetime.now(api.ZONE).isoformat())
+    index = index_store.SearchIndex(spark, out).jobs()
+    report = {k: envelope[k] for k in ("source", "generated_at", "classification_policy")} | index_plan.index_report(index, taxonomy.professions, args.min_coverage).first().asDict()
     reports = f"{out.rstrip('/')}-reports"
     files.write_report(spark, report, f"{reports}/taxonomy_audit.json")
     files.write_report(spark, taxonomy.autocomplete_payload(), f"{reports}/autocomplete.json")
@@ -116,7 +114,8 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     command = args.command
     if command == "audit":
         return audit(spark, args)
-    index = files.read_index(spark, args.index) if getattr(args, "index", None) else None
+    stored = index_store.SearchIndex(spark, args.index) if getattr(args, "index", None) else None
+    index = stored.jobs() if stored is not None else None
     taxonomy = api.Taxonomy(spark, args.taxonomy) if hasattr(args, "taxonomy") else None
     if command == "audit-index":
         found = {"coverage": quality.coverage(index, args.min_coverage).first().asDict(), "safety": api.audit_index(index)}
@@ -158,7 +157,9 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         if profession is None:
             show({"status": "selection_required", "suggestions": some})
             return 3
-        show({"profession_id": profession, "results": api.search_by_profession(index, profession, args.limit)})
+        found = api.rows_of(stored.search(profession, api.local_now(), args.limit))
+        named = taxonomy.profession(profession) or {}
+        show({"profession_id": profession, "profession": {"profession_id": profession} | {k: named.get(k) or ("" if k != "label" else profession) for k in ("label", "sector", "family")}, "count": len(found), "results": found})
     return 0
 
 

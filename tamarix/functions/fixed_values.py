@@ -97,6 +97,8 @@ SCOPES = ("service_etat", "etab_publics", "collec")
 DETAIL_PATH = r"^/fr/concours/details/([0-9a-fA-F-]{36})/?$"
 LIST_PATH = "/fr/concours-liste"
 ROBOTS_PATHS = (LIST_PATH, "/fr/concours/details/00000000-0000-0000-0000-000000000000")
+#: What every request says of itself, besides the agent.
+HEADERS = {"Accept-Language": "fr-MA,fr;q=0.9,en;q=0.6", "Accept": "text/html,application/xhtml+xml", "Connection": "keep-alive"}
 #: Parameters of a listing page, besides stat (the scope) and page.
 LISTING_PARAMS = {"corps": "0", "datePicker": "", "date_from": "", "date_to": "", "key_word": "", "procedure": "avis", "region": "0"}
 RESULTS = r"([\d.\s]+)\s+Résultats?"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def verified(listings: DataFrame, states: DataFrame, outcomes: tuple[DataFrame,
 def audit(raw_listing: DataFrame, raw_detail: DataFrame, now: Column, errors: DataFrame | None = None, robots_allowed: bool = True, base_url: str = extraction.BASE_URL) -> dict[str, DataFrame]:
     """verified() of pages that are landed already."""
     listings = extraction.listing(raw_listing, base_url)
-    return verified(listings, crawl_audit.scope_state(listings, errors), extraction.outcomes(raw_detail, base_url), now, robots_allowed)
+    return verified(listings, crawl_audit.scope_state(listings, errors), extraction.outcomes(extraction.classified_pages(raw_detail, base_url)), now, robots_allowed)
 
 
 def tasks(listings: DataFrame) -> DataFrame:
@@ -33,22 +35,33 @@ def tasks(listings: DataFrame) -> DataFrame:
     return extraction.first_scope(extraction.numbered(listings)).select("url", "scope", "title")
 
 
-def crawl_site(spark: SparkSession, base_url: str, path: str, scopes: tuple[str, ...] | None = None, parallel: int = 8, rest: float = 0.4, **how) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
-    """(listings, states, (jobs, failures, retired)) of the site, whose pages are
-    landed under `path`. Details are read by `parallel` tasks; those that fail
+def _land(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_details(wanted: DataFrame, base_url: str, path: str, parallel: int = 8, rest: float = 0.4, rate: float = 0.0, landing: str | None = None, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, failures, retired) of the pages `wanted` (url, scope, title), which
+    are landed under `path`. They are read by `parallel` tasks; those that fail
     are read once more, one after another."""
-    spark.dataSource.register(crawl.ListingSource)
-    options = {"base_url": base_url} | {k: str(v) for k, v in how.items()} | ({"scopes": ",".join(scopes)} if scopes else {})
+    first = _land(crawl.detail_pages(wanted, slots=parallel, rate=rate, landing=landing, **how), f"{path}/raw_detail")
+    jobs, failures, retired = extraction.outcomes(_land(extraction.classified_pages(first, base_url), f"{path}/details"))
+    later = crawl.detail_pages(wanted.join(failures.select("url"), "url", "left_semi"), rest, 1, rate, landing and f"{landing}-again", **how)
+    again = _land(extraction.classified_pages(_land(later, f"{path}/raw_detail_again"), base_url), f"{path}/details_again")
+    more, failures, gone = extraction.outcomes(again)
+    return jobs.unionByName(more), failures, retired.unionByName(gone)
 
-    def land(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    pages = land(spark.read.format("listing_pages").options(**options).load(), "raw_listing")
+def crawl_site(spark: SparkSession, base_url: str, path: str, scopes: tuple[str, ...] | None = None, parallel: int = 8, rest: float = 0.4, rate: float = 0.0, run: str | None = None, **how) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """(listings, states, (jobs, failures, retired)) of the site, whose pages are
+    landed under `path`. All tasks together ask `rate` times a second at the most
+    (0: each as often as `pause` lets it). Each page lies in a folder of this run
+    as soon as it is read: tasks that are run again don't ask for it, nor does a
+    crawl with the name of a run that didn't end."""
+    spark.dataSource.register(crawl.ListingSource)
+    landing = f"{path}/pages-{run or uuid.uuid4().hex}"
+    options = {"base_url": base_url, "rate": str(rate), "landing": landing} | {k: str(v) for k, v in how.items()} | ({"scopes": ",".join(scopes)} if scopes else {})
+    pages = _land(spark.read.format("listing_pages").options(**options).load(), f"{path}/raw_listing")
     listings, states = crawl_audit.scanned(pages, base_url)
-    wanted = land(tasks(listings).repartition(parallel, "url"), "detail_tasks")
-    first = land(crawl.detail_pages(wanted, **how), "raw_detail")
-    jobs, failures, retired = extraction.outcomes(first, base_url)
-    again = land(crawl.detail_pages(wanted.join(failures.select("url"), "url", "left_semi").coalesce(1), rest, **how), "raw_detail_again")
-    later, failures, more = extraction.outcomes(again, base_url)
-    return listings, states, (jobs.unionByName(later), failures, retired.unionByName(more))
+    wanted = _land(tasks(listings), f"{path}/detail_tasks")
+    return listings, states, read_details(wanted, base_url, path, parallel, rest, rate, landing, **how)

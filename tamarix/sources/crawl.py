@@ -9,12 +9,28 @@ A scope's listing is read in order, since each page tells whether to go on: page
 1 (snapshot `first`) gives the official count and with it the last page to ask
 for; reading stops when all links are seen or after pages in a row without a new
 one (a page that fails is one); page 1 is read again at the end (`final`). A scan
-that isn't complete is made once more. Scopes are read side by side. Detail pages
-are read by as many tasks as the table of urls has partitions.
+that isn't complete is made once more. Scopes are read side by side, detail pages
+by `slots` tasks.
+
+A worker keeps its connection to a host from page to page. All tasks of a stage
+share a rate: time is divided into slots of 1 / rate seconds, which are dealt to
+the tasks in turn, so that no two tasks ask in the same slot and nothing has to
+be said between them (their clocks must agree as far as the slots are long).
+
+With a folder for pages (`landing`, in any file system that Arrow opens) each page
+that was read is put there at once, under what asked for it; a task that is run
+again after a failure, or a crawl with the same folder, asks only for what isn't
+there.
 """
 
 from __future__ import annotations
 
+import hashlib
+import http.client
+import json
+import math
+import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,6 +38,8 @@ from email.utils import parsedate_to_datetime
 from urllib import error, parse, request, robotparser
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -66,13 +84,126 @@ class Fetched:
     hops: list[tuple[int, str]]
 
 
-class _Redirects(request.HTTPRedirectHandler):
-    def __init__(self) -> None:
-        self.hops: list[tuple[int, str]] = []
-
-    def redirect_request(self, req, fp, code, msg, headers, newurl):
-        self.hops.append((code, req.full_url))
-        return super().redirect_request(req, fp, code, msg, headers, newurl)
+class Session:
+    """Connections to hosts that are kept from one page to the next."""
+
+    def __init__(self, agent: str):
+        self.headers = V.HEADERS | {"User-Agent": agent}
+        self.open: dict[tuple[str, str], http.client.HTTPConnection] = {}
+
+    def _connection(self, url: parse.SplitResult, timeout: float) -> tuple[http.client.HTTPConnection, str]:
+        """A connection for a url, and what to ask it for."""
+        what = parse.urlunsplit(("", "", url.path or "/", url.query, ""))
+        proxy = None if request.proxy_bypass(url.hostname or "") else request.getproxies().get(url.scheme)
+        if (url.scheme, url.netloc) not in self.open:
+            kind = http.client.HTTPSConnection if url.scheme == "https" else http.client.HTTPConnection
+            at = parse.urlsplit(proxy).netloc if proxy else url.netloc
+            connection = kind(at, timeout=timeout)
+            if proxy and url.scheme == "https":
+                connection.set_tunnel(url.netloc)
+            self.open[url.scheme, url.netloc] = connection
+        connection = self.open[url.scheme, url.netloc]
+        connection.timeout = timeout
+        if connection.sock:
+            connection.sock.settimeout(timeout)
+        return connection, parse.urlunsplit(url._replace(fragment="")) if proxy and url.scheme == "http" else what
+
+    def _once(self, url: str, timeout: float) -> tuple[http.client.HTTPResponse, bytes]:
+        at = parse.urlsplit(url)
+        if at.scheme not in ("http", "https") or not at.hostname:
+            raise ValueError(f"no address of a page: {url}")
+        for first in (True, False):
+            connection, what = self._connection(at, timeout)
+            kept = connection.sock is not None
+            try:
+                connection.request("GET", what, headers=self.headers)
+                answer = connection.getresponse()
+                return answer, answer.read()
+            except (OSError, http.client.HTTPException) as e:
+                connection.close()
+                del self.open[at.scheme, at.netloc]
+                # a kept connection that the host has closed meanwhile says nothing
+                if not (first and kept and isinstance(e, (http.client.BadStatusLine, ConnectionError))):
+                    raise e if isinstance(e, TimeoutError) else error.URLError(e) from e
+        raise AssertionError
+
+    def get(self, url: str, timeout: float) -> Fetched:
+        hops: list[tuple[int, str]] = []
+        now = parse.urlunsplit(parse.urlsplit(url)._replace(fragment=""))
+        while True:
+            answer, body = self._once(now, timeout)
+            to = answer.headers.get("Location")
+            if answer.status in (301, 302, 303, 307, 308) and to:
+                hops.append((answer.status, now))
+                if len(hops) > 10:
+                    raise error.HTTPError(now, answer.status, "redirected too often", answer.headers, None)
+                now = parse.urljoin(now, to)
+            elif answer.status >= 400:
+                raise error.HTTPError(now, answer.status, answer.reason, answer.headers, None)
+            else:
+                return Fetched(answer.status, now, body.decode(answer.headers.get_content_charset() or "utf-8", "replace"), hops)
+
+
+_LOCAL = threading.local()
+
+
+def session(agent: str) -> Session:
+    """This worker's session."""
+    kept = _LOCAL.__dict__.setdefault("sessions", {})
+    return kept.setdefault(agent, Session(agent))
+
+
+class Slots:
+    """Task `index` of `tasks` that share `rate` requests a second (0: any)."""
+
+    def __init__(self, rate: float = 0.0, tasks: int = 1, index: int = 0):
+        self.rate, self.tasks, self.index, self.last = rate, tasks, index, -1
+
+    def next(self, now: float) -> float:
+        """The time of the task's next slot, which is taken then."""
+        round_ = max(self.last + 1, math.ceil((now * self.rate - self.index) / self.tasks))
+        self.last = round_
+        return (round_ * self.tasks + self.index) / self.rate
+
+    def wait(self) -> None:
+        if self.rate > 0:
+            now = time.time()
+            time.sleep(max(0.0, self.next(now) - now))
+
+
+class Landing:
+    """Pages by what asked for them, in a folder."""
+
+    def __init__(self, uri: str):
+        local = re.sub("^file:/*", "/", uri)
+        self.system, self.root = pafs.FileSystem.from_uri(f"file://{local}" if local.startswith("/") else uri)
+
+    def _at(self, key: str) -> str:
+        name = hashlib.sha256(key.encode()).hexdigest()
+        return f"{self.root}/{name[:2]}/{name}.json"
+
+    def get(self, key: str) -> Fetched | None:
+        at = self._at(key)
+        if self.system.get_file_info(at).type != pafs.FileType.File:
+            return None
+        with self.system.open_input_stream(at) as f:
+            page = json.loads(f.read())
+        return Fetched(page["status"], page["final_url"], page["text"], [tuple(h) for h in page["hops"]])
+
+    def put(self, key: str, page: Fetched) -> None:
+        at = self._at(key)
+        self.system.create_dir(at.rpartition("/")[0])
+        aside = f"{at}.{hashlib.sha256(f'{time.time_ns()}{threading.get_ident()}'.encode()).hexdigest()[:16]}"
+        with self.system.open_output_stream(aside) as f:
+            f.write(json.dumps(page.__dict__).encode())
+        self.system.move(aside, at)
+
+    def read(self, key: str, ask: Callable[[], Fetched]) -> Fetched:
+        page = self.get(key)
+        if page is None:
+            page = ask()
+            self.put(key, page)
+        return page
 
 
 def waiting(header: str | None, attempt: int, backoff: float) -> float:
@@ -90,22 +221,24 @@ def waiting(header: str | None, attempt: int, backoff: float) -> float:
     return backoff * 2**attempt
 
 
-def fetch(url: str, agent: str = "tamarix", timeout: float = 30, retries: int = 5, backoff: float = 0.8, pause: float = 0.05) -> Fetched:
+def fetch(url: str, agent: str = "tamarix", timeout: float = 30, retries: int = 5, backoff: float = 0.8, pause: float = 0.05, slots: Slots | None = None) -> Fetched:
     """A page, with its redirects; errors of the network and answers that ask for
-    it are tried again."""
+    it are tried again. Each try waits for a slot, if there are any, else for a
+    while of 1 to 3.6 times `pause`."""
     import random
 
     for attempt in range(retries + 1):
-        time.sleep(random.uniform(pause, 3.6 * pause))
-        redirects = _Redirects()
+        if slots is not None and slots.rate > 0:
+            slots.wait()
+        else:
+            time.sleep(random.uniform(pause, 3.6 * pause))
         try:
-            with request.build_opener(redirects).open(request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
-                return Fetched(r.status, r.url, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), redirects.hops)
+            return session(agent).get(url, timeout)
         except error.HTTPError as e:
             if e.code not in AGAIN or attempt == retries:
                 raise
             header = e.headers.get("Retry-After")
-        except (error.URLError, TimeoutError, ConnectionError):
+        except OSError:
             if attempt == retries:
                 raise
             header = None
@@ -143,8 +276,8 @@ def scan(read: Callable[[int], str], attempt: int) -> Iterator[tuple]:
 
 
 class _Scope(InputPartition):
-    def __init__(self, scope: str):
-        self.scope = scope
+    def __init__(self, scope: str, slot: int = 0, slots: int = 1):
+        self.scope, self.slot, self.slots = scope, slot, slots
 
 
 class ListingReader(DataSourceReader):
@@ -152,15 +285,22 @@ class ListingReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Scope(s) for s in self.options.get("scopes", ",".join(V.SCOPES)).split(",")]
+        scopes = self.options.get("scopes", ",".join(V.SCOPES)).split(",")
+        return [_Scope(s, i, len(scopes)) for i, s in enumerate(scopes)]
 
     def read(self, part: _Scope) -> Iterator[tuple]:
         how = {k: float(self.options[k]) for k in ("backoff", "pause", "timeout") if k in self.options}
-
-        def page(n: int) -> str:
-            return fetch(f"{self.options['base_url']}{V.LIST_PATH}?{parse.urlencode(listing_params(part.scope, n))}", **how).text
+        how["slots"] = Slots(float(self.options.get("rate", "0")), part.slots, part.slot)
+        landing = Landing(self.options["landing"]) if "landing" in self.options else None
 
         def rows(attempt: int):
+            firsts = iter(("first", "final"))  # page 1 is read twice
+
+            def page(n: int) -> str:
+                ask = lambda: fetch(f"{self.options['base_url']}{V.LIST_PATH}?{parse.urlencode(listing_params(part.scope, n))}", **how)
+                which = next(firsts) if n == 1 else "body"
+                return (landing.read(f"listing {part.scope} {attempt} {n} {which}", ask) if landing else ask()).text
+
             found = scan(page, attempt)
             while True:
                 try:
@@ -175,7 +315,8 @@ class ListingReader(DataSourceReader):
 
 class ListingSource(DataSource):
     """spark.read.format("listing_pages") with options base_url and, if need be,
-    scopes, pause, backoff, timeout, rest: a partition a scope."""
+    scopes, pause, backoff, timeout, rest, rate (requests a second of all scopes
+    together), landing: a partition a scope."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,21 +337,28 @@ _DETAIL_ARROW = pa.schema(
 )
 
 
-def detail_pages(tasks: DataFrame, rest: float = 0.0, **how) -> DataFrame:
+def detail_pages(tasks: DataFrame, rest: float = 0.0, slots: int | None = None, rate: float = 0.0, landing: str | None = None, **how) -> DataFrame:
     """tasks (url, scope, title) as raw_detail pages; what can't be read has an
-    error. Land the result before it is used twice."""
+    error. `slots` tasks (else as many as there are partitions) share `rate`
+    requests a second. Land the result before it is used twice."""
     ship(tasks.sparkSession)
+    if slots is None and rate > 0:
+        raise ValueError("a rate is dealt to a number of slots")
+    wanted = tasks.select("url", "scope", "title")
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Slots(rate, slots or 1, TaskContext.get().partitionId() % (slots or 1))
+        pages = Landing(landing) if landing else None
         for b in batches:
             for task in b.to_pylist():
                 time.sleep(rest)
                 row = dict.fromkeys(_DETAIL_ARROW.names) | task
+                ask = lambda url=task["url"]: fetch(url, slots=own, **how)
                 try:
-                    got = fetch(task["url"], **how)
+                    got = pages.read(f"detail {task['url']}", ask) if pages else ask()
                     row |= {"status": got.status, "hops": [{"status": s, "url": u} for s, u in got.hops], "final_url": got.final_url, "html": got.text}
                 except (OSError, ValueError) as e:
                     row |= {"hops": [], "error": told(e)}
                 yield pa.RecordBatch.from_pylist([row], schema=_DETAIL_ARROW)
 
-    return tasks.select("url", "scope", "title").mapInArrow(fetched, DETAIL_PAGES)
+    return (wanted.repartition(slots, "url") if slots else wanted).mapInArrow(fetched, DETAIL_PAGES)

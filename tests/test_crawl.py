@@ -12,7 +12,7 @@ from urllib import error, parse
 import pytest
 from pyspark.sql import functions as F
 
-from tamarix import cli
+from tamarix import api, cli
 from tamarix.functions import fixed_values as V
 from tamarix.operators import crawl_audit, extraction
 from tamarix.plans import audit as audit_plan
@@ -32,7 +32,7 @@ class Site:
 
     def __init__(self, sizes):
         self.sizes, self.asked, self.robots = sizes, Counter(), "User-agent: *\nDisallow: /private"
-        self.down = Counter()
+        self.connections, self.times, self.close = 0, [], False
 
     def page(self, scope, page):
         self.asked[scope, page] += 1
@@ -65,7 +65,15 @@ def site():
     state = Site({"service": 25, "flaky": 20, "moving": 10, "gap": 40, "empty": 0})
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            state.connections += 1
+            super().setup()
+
         def do_GET(self):
+            state.times.append(time.time())
+            self.close_connection = self.close_connection or state.close  # without a word
             url = parse.urlsplit(self.path)
             asked = dict(parse.parse_qsl(url.query))
             if url.path == "/robots.txt":
@@ -135,6 +143,53 @@ def test_retries(site):
     assert crawl.waiting("2.5", 0, 1) == 2.5 and crawl.waiting("soon", 2, 1) == 4 and crawl.waiting(None, 1, 0.5) == 1
 
 
+def test_connections_are_kept(site):
+    assert len(scans(site, "service")) == 4 and site.connections == 1
+    site.close = True  # the host closes after each page: a kept connection is made anew
+    assert len(scans(site, "service")) == 4 and site.connections == 4
+    site.close = False
+    got = crawl.fetch(f"{site.url}/fr/concours/details/{uuid('x', 3)}", **FAST)
+    assert got.final_url == f"{site.url}/fr/concours-liste" and [h[0] for h in got.hops] == [302]
+    with pytest.raises(ValueError, match="address"):
+        crawl.fetch("javascript:x", **FAST)
+
+
+def test_slots_of_tasks_differ():
+    for tasks in (1, 3, 8):
+        own = [crawl.Slots(10.0, tasks, i) for i in range(tasks)]
+        times = sorted(round(s.next(1000.03 + n / 7), 6) for s in own for n in range(20))
+        assert len(set(times)) == len(times) and times[0] >= 1000.03 and all(b - a > 0.0999 for a, b in zip(times, times[1:], strict=False))
+
+
+@pytest.mark.parametrize("slots", [1, 8])
+def test_a_rate_is_shared(spark, site, slots):
+    urls = [(f"{site.url}/fr/concours/details/{uuid('s', 100 + n)}", "s", "t") for n in range(40)]
+    pages = crawl.detail_pages(spark.createDataFrame(urls, "url string, scope string, title string"), slots=slots, rate=20.0, **FAST)
+    assert pages.filter("error is null").count() == 40
+    times = sorted(site.times)
+    assert max(sum(t <= x < t + 0.5 for x in times) for t in times) <= 12  # 10, and what is late by a moment
+    assert site.connections <= slots
+    with pytest.raises(ValueError, match="slots"):
+        crawl.detail_pages(pages, rate=1.0)
+
+
+def test_a_read_that_died_goes_on(spark, site, tmp_path):
+    """A second reader asks for no page that the first one got."""
+    landing = str(tmp_path / "pages")
+    reader = crawl.ListingReader({"base_url": site.url, "rest": "0", "scopes": "service", "landing": landing, "pause": "0"})
+    part = reader.partitions()[0]
+    rows = reader.read(part)
+    assert [next(rows)[1] for _ in range(2)] == [1, 2]
+    rows.close()  # dies with pages 1 and 2 read
+    assert len(list(reader.read(part))) == 4 and site.asked == Counter({("service", 1): 2, ("service", 2): 1, ("service", 3): 1})
+    assert len(list(reader.read(part))) == 4 and sum(site.asked.values()) == 4
+    urls = spark.createDataFrame([(f"{site.url}/fr/concours/details/{uuid('s', n)}", "s", "t") for n in (1, 2, 5)], "url string, scope string, title string")
+    for _ in range(2):
+        got = crawl.detail_pages(urls, slots=2, landing=landing, **FAST).collect()
+        assert sorted(bool(r["html"]) for r in got) == [False, True, True]
+    assert [site.asked[f"/fr/concours/details/{uuid('s', n)}"] for n in (1, 2, 5)] == [1, 1, 2]  # what failed is asked for again
+
+
 def test_a_whole_crawl(spark, site, tmp_path):
     listings, states, outcomes = audit_plan.crawl_site(spark, site.url, str(tmp_path), ("service", "flaky", "moving", "gap", "empty"), rest=0.0, **FAST)
     got = {r["scope"]: (r["attempt"], r["official_before"], r["official_after"], r["discovered"], r["complete"]) for r in states.collect()}
@@ -151,6 +206,20 @@ def test_a_whole_crawl(spark, site, tmp_path):
     assert not row["gate"] and row["missing_urls"] == len(lost) and row["accepted"] == len(urls - gone - lost)
 
 
+def test_scopes_and_details_one_by_one(spark, site):
+    how = {"pause": 0, "backoff": 0.01}
+    service = api.crawl_scope(spark, site.url, "service", **how)
+    assert service["listing_complete"] and len(service["discovered_urls"]) == 25 == service["official_after"] and service["titles"][service["discovered_urls"][1]] == "Tservice1"
+    assert not api.crawl_scope(spark, site.url, "gap", rest=0, **how)["listing_complete"]
+    again = service | {"scope": "other", "discovered_urls": service["discovered_urls"][:2] + [f"{site.url}/fr/concours/details/{uuid('x', 5)}"]}
+    got = api.crawl_details(spark, [service | {"scope": "service"}, again], site.url, parallel=3, rest=0.0, **FAST)
+    assert len(got["jobs"]) == 23 and {j["scope"] for j in got["jobs"]} == {"service"} and [j["uuid"] for j in got["jobs"]] == sorted((j["uuid"] for j in got["jobs"]), reverse=True)
+    assert len(got["retired_redirects"]) == 1 and sorted(m.split(":")[0] for m in got["failures"].values()) == ["HTTPError"] * 2
+    assert api.robots_allows(site.url, pause=0.0)[0]
+    site.robots = "User-agent: *\nDisallow: /fr/"
+    assert not api.robots_allows(site.url, pause=0.0)[0] and not api.robots_allows("http://127.0.0.1:9", pause=0.0, retries=0)[0]
+
+
 def test_links_that_only_the_last_reading_has(spark):
     pages = [("a", 1, "first", ["u1", "u2"], {"u1": "one", "u2": "two"}), ("a", 2, "body", ["u3", "u1"], {"u3": "three", "u1": "uno"}), ("a", 1, "final", ["u5", "u4", "u2"], {"u5": "five", "u4": "four", "u2": "deux"})]
     df = spark.createDataFrame(pages, "scope string, page int, snapshot string, urls array<string>, titles map<string,string>")

@@ -10,7 +10,8 @@ from professions import market_json, official_json
 
 from tamarix import catalogue, cli
 from tamarix.functions import fixed_values as V
-from tamarix.sources.files import read_index, read_jobs, write_index
+from tamarix.sources.files import read_jobs
+from tamarix.sources.index_store import SearchIndex, publish
 from tamarix.sources.schemas import JOB
 from tamarix.streaming.announcements import index_stream
 
@@ -99,8 +100,8 @@ def test_the_first_of_equal_rules_counts(spark):
 
 def test_days_prune(spark, tmp_path):
     rows = [("1", "2026-08-01T00:00:00"), ("2", "2026-08-05T00:00:00"), ("3", None)]
-    write_index(spark.createDataFrame(rows, "uuid string, publication_date string"), str(tmp_path / "i"))
-    recent = read_index(spark, str(tmp_path / "i"), since="2026-08-03")
+    publish(spark.createDataFrame(rows, "uuid string, publication_date string"), str(tmp_path / "i"))
+    recent = SearchIndex(spark, str(tmp_path / "i")).jobs(since="2026-08-03")
     assert [r["uuid"] for r in recent.collect()] == ["2"] and "PartitionFilters: [isnotnull(publication_day" in recent._jdf.queryExecution().executedPlan().toString()
 
 
@@ -118,5 +119,5 @@ def test_stream(spark, tmp_path):
     (tmp_path / "cp" / "commits" / "1").unlink()  # as if the last batch had failed at its end: it is run again
     (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
     go()
-    got = sorted((r["uuid"], tuple(r["profession_ids"])) for r in read_index(spark, str(tmp_path / "out")).collect())
+    got = sorted((r["uuid"], tuple(r["profession_ids"])) for r in SearchIndex(spark, str(tmp_path / "out")).jobs().collect())
     assert got == [("0", ("finance.comptable",)), ("1", ("health.infirmier",)), ("2", ()), ("new", ("finance.comptable",))]

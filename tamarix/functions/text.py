@@ -3,8 +3,8 @@
 Letters are folded by a translation table made from Unicode's decompositions and
 case folding, so this stays in generated code; plain ASCII is only put into
 lower case. Characters that become several go through a map, in the rows that
-have any. norm_exact() is the Arrow path by Unicode's own functions; it differs
-in Hangul syllables alone, which it takes apart.
+have any, Hangul syllables through arithmetic. norm_exact() is the Arrow path by
+Unicode's own functions, with the same results.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _table() -> tuple[str, str, dict[str, str]]:
     """(characters that become one other or none, what they become, characters
     that become several), from those that F.lower alone leaves wrong."""
     one, none, several = {}, [], {}
-    for c in map(chr, (*range(0x80, 0xAC00), *range(0xE000, 0x20000))):  # no Hangul syllables, no surrogates
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20))):  # no Hangul syllables, no surrogates
         to = _base(c).casefold()
         if to != c.lower():
             if len(to) == 1:
@@ -47,10 +47,26 @@ _FROM, _TO, _SEVERAL = _table()
 _USUAL = {c: _SEVERAL.pop(c) for c in "ß…"}
 
 
+#: Syllables are in order of their leading consonant, vowel and, of 28, none or
+#: a trailing consonant.
+HANGUL, HANGUL_END, VOWELS, TRAILING = 0xAC00, 0xD7A4, 21, 28
+_LEADS, _VOWELS, _TRAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, VOWELS), (0x11A8, TRAILING - 1)))
+
+
+def _jamo(x: Column) -> Column:
+    """A Hangul syllable's letters."""
+    n = F.ascii(x) - HANGUL
+    of = lambda letters, i: F.substr(F.lit(letters), i, F.lit(1))
+    last = F.pmod(n, F.lit(TRAILING))
+    whole = lambda a, b: F.floor(a / b).cast("int")
+    lead, vowel = whole(n, VOWELS * TRAILING), F.pmod(whole(n, TRAILING), F.lit(VOWELS))
+    return F.concat(of(_LEADS, lead + 1), of(_VOWELS, vowel + 1), F.when(last > 0, of(_TRAILS, last)).otherwise(""))
+
+
 def _plain() -> str:
     """The long runs of characters of which none becomes several, for a regular
     expression, the usual ones first."""
-    edges = [-1, *sorted(map(ord, _SEVERAL)), 0x110000]
+    edges = [-1, *sorted([*map(ord, _SEVERAL), *range(HANGUL, HANGUL_END)]), 0x110000]
     runs = [(a + 1, b - 1) for a, b in zip(edges, edges[1:], strict=False) if b - a > (8 if b <= 0x2070 else 500)]
     return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
 
@@ -68,7 +84,7 @@ def folded(c: Column | str) -> Column:
     """Lower case without accents."""
     v = text(c)
     several = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")  # a constant once planned
-    plain = F.when(v.rlike(_MAY_BE_SEVERAL), F.array_join(F.transform(F.split(v, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")).otherwise(v)
+    plain = F.when(v.rlike(_MAY_BE_SEVERAL), F.array_join(F.transform(F.split(v, ""), lambda x: F.when(F.ascii(x).between(HANGUL, HANGUL_END - 1), _jamo(x)).otherwise(F.coalesce(F.try_element_at(several, x), x))), "")).otherwise(v)
     for one, to in _USUAL.items():
         plain = F.replace(plain, F.lit(one), F.lit(to))
     return F.when(F.octet_length(v) == F.length(v), F.lower(v)).otherwise(F.lower(F.translate(plain, _FROM, _TO)))

@@ -4,8 +4,9 @@ A job's evidence is a few short strings. A term of the taxonomy is found by keys
 the whole normalised string, for equal ones, and its tokens but for the most
 frequent one, since every other score needs two shared tokens and so one of
 these. Both strings of a pair that meets are compared where it meets, at the
-first key that they share, so nothing is counted by a shuffle; the first shuffle
-is that of the matches by announcement. The taxonomy side is small; the session's
+first key that they share, so nothing is counted by a shuffle. Strings repeat from
+job to job, so different ones are compared, once each, and what was found is joined
+with the jobs by string. The taxonomy side is small; the session's
 broadcast threshold decides whether it is sent to all tasks or joined by shuffles.
 """
 
@@ -85,13 +86,38 @@ def confidence(score: Column) -> Column:
 _WHAT = ("label", "sector", "family", "hcp_codes", "source", "field", "value", "term")
 
 
+#: Rows of a value that one part of the join takes.
+OFTEN = 100_000
+
+
+def dictionary(values: DataFrame, term_rows: DataFrame, **scores: Column) -> DataFrame:
+    """values (value, ..) that have a term, with `found`: an array of norm_term and
+    the scores. Each value is normalised and compared once."""
+    hit = met(values.withColumn("norm_value", norm("value")), term_rows).withColumns(scores)
+    hit = hit.filter(F.greatest(*map(F.col, scores), F.lit(0.0)) > 0)
+    return hit.groupBy(*values.columns).agg(F.collect_list(F.struct("norm_term", *scores)).alias("found"))
+
+
+def scored(field_rows: DataFrame, term_rows: DataFrame, **scores: Column) -> DataFrame:
+    """uuid, field_ord, field, value, weight, norm_term and the scores of all pairs
+    that have one. Values repeat from announcement to announcement: they are
+    counted, each task sending one once, and only different ones are normalised
+    and compared. What is found goes back to the rows by value; a value of many
+    rows is dealt over parts, each with a copy of what was found."""
+    rows = field_rows.select("uuid", "field_ord", "field", "value", "weight")
+    values = rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / OFTEN).cast("int").alias("parts"))
+    found = dictionary(values, term_rows, **scores).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    often = values.filter("parts > 1")  # at most a row for each OFTEN rows
+    dealt = rows.join(often, "value", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("uuid"), F.col("parts")).cast("int"), F.lit(0)))
+    hit = dealt.drop("parts").join(found.drop("parts"), ["value", "part"]).drop("part")
+    return hit.withColumn("f", F.explode("found")).select(*rows.columns, "f.*")
+
+
 def best(field_rows: DataFrame, term_rows: DataFrame, **scores: Column) -> DataFrame:
     """uuid, profession_id and, for each score, a struct of the best match by it
     (null if there is none). Of equal best scores the first term's first field
     counts."""
-    hit = met(field_rows, term_rows).withColumns(scores)
-    some = F.greatest(*map(F.col, scores), F.lit(0.0)) > 0
-    hit = hit.filter(some).join(term_rows, "norm_term")
+    hit = scored(field_rows, term_rows, **scores).join(term_rows, "norm_term")
     found = []
     for name in scores:
         weighted = F.col(name) * F.col("weight")

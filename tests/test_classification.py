@@ -4,9 +4,13 @@ import json
 
 import pytest
 from professions import market_json, official_json
+from pyspark.sql import functions as F
 
 from tamarix.api import Taxonomy, run_golden_audit
 from tamarix.functions import fixed_values as V
+from tamarix.operators import matching
+from tamarix.operators import taxonomy as taxonomies
+from tamarix.sources.schemas import as_jobs
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +128,24 @@ def test_golden_audit(tax):
     assert (report["passed"], report["failed"]) == (1, 1)
     bad = next(c for c in report["cases"] if c["name"] == "bad")
     assert bad["forbidden"] == ["health.infirmier"] and bad["unexpected"] == ["health.infirmier"]
+
+
+def test_values_are_compared_once(spark, tax, monkeypatch):
+    """Equal to comparing every row; a value that a third of all rows have is dealt
+    over parts."""
+    monkeypatch.setattr(matching, "OFTEN", 40)
+    grades = ["Technicien 3ème grade", "Comptable", "INFIRMIER  polyvalent", "Génie civil technicien"]
+    rows = [(str(i), grades[0] if i % 3 == 0 else grades[1 + i % 3], "Infirmier" if i % 5 else f"Autre {i}") for i in range(300)]
+    jobs = as_jobs(spark.createDataFrame(rows, "uuid string, grade string, job_name string"))
+    terms = taxonomies.terms(tax.professions).persist()
+    evidence = matching.evidence(jobs).persist()
+    scores = {"strict": matching.strict_score(), "related": matching.related_score()}
+    cols = ["uuid", "field_ord", "field", "value", "weight", "norm_term", *scores]
+    every = matching.met(evidence, terms).withColumns(scores).filter(F.greatest(*scores) > 0)
+    got = matching.scored(evidence, terms, **scores)
+    want = sorted(map(str, every.select(cols).collect()))
+    assert sorted(map(str, got.select(cols).collect())) == want and len(want) > 300
+    values = evidence.select("value", "norm_value").distinct()
+    assert matching.met(values, terms).count() * 20 < matching.met(evidence, terms).count()
+    parts = matching.dictionary(evidence.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / 40).cast("int").alias("parts")), terms, **scores)
+    assert parts.agg(F.max("parts")).first()[0] > 2

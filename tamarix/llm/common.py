@@ -3,6 +3,7 @@ packed blobs that travel between a chunk of documents and its buckets."""
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
@@ -235,6 +236,24 @@ def run_ranks(codes: np.ndarray, k: int) -> np.ndarray:
     return of
 
 
+def release() -> None:
+    """Memory that a chunk needed goes back to the system: a worker that waits for
+    its next task, or runs beside another one, holds no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_TRIM = _trim()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of text each; a longer
     text is a slice of its own."""
@@ -249,7 +268,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
             base = total[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(total, base + most, side="right")))
             yield b.slice(lo, hi - lo)
-            pa.default_memory_pool().release_unused()
+            release()
             lo = hi
 
 

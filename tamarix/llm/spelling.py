@@ -43,9 +43,9 @@ from . import common
 #: a-z and U+00C0-00FF, which the UTF-8 bytes C3 80 - C3 BF are.
 LETTERS = 26 + 64
 #: Length of the grams; rows of a bucket; words of a piece of a key.
-Q, BUCKET_ROWS, PIECE = 3, 200_000, 20_000
+Q, BUCKET_ROWS, PIECE = 3, 100_000, 20_000
 #: Candidates looked at together.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: What a row of a key is: a word that is posted and looks for others as long, a
 #: word that looks for those one longer, one that only looks, one only posted.
 BOTH, LONGER, LOOKS, LISTED = range(4)

@@ -67,7 +67,7 @@ class LexicalIndex:
             some = wanted.select("term").distinct().unionByName(spark.createDataFrame([(None,)], "term string"))
             rows = rows.alias("r").join(common.landed(some, "search-wanted").alias("w"), F.col("r.term").eqNullSafe(F.col("w.term")), "left_semi")
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.withColumn("part", F.pmod("block", F.lit(SPREAD)).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("term", "part"), F.lit(buckets)).cast("int"))
+        rows = rows.withColumn("part", F.pmod("block", F.lit(SPREAD)).cast("int")).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("term", F.col("block").cast("string")), "part"), F.lit(buckets)).cast("int"))
         self.rows = common.landed(rows.repartition(buckets, "bucket").sortWithinPartitions("term"), "search-postings")
         self.blocks = self.rows.filter("term IS NULL").select("block", "ids", "ns")
         self.postings = self.rows.filter("term IS NOT NULL").select("bucket", "part", "term", "block", "places", "tfs")

@@ -80,7 +80,8 @@ class KdShards:
             keyed = common.landed(at.withColumn("key", self._keyed(dims)), "shard-keys")
             cuts = self._medians(keyed, n, stats)
             self.tree.append(list(zip(dims, cuts, strict=True)))
-            at = common.landed(keyed.withColumn("node", F.col("node") * 2 + (F.col("key") > by_node(cuts)).cast("int")).drop("key"), "shard-level")
+            before, at = at, common.landed(keyed.withColumn("node", F.col("node") * 2 + (F.col("key") > by_node(cuts)).cast("int")).drop("key"), "shard-level")
+            common.discard(keyed, before)
             n *= 2
         return at
 
@@ -109,8 +110,10 @@ class KdShards:
 
     def assigned(self) -> DataFrame:
         """id, size, crc32, shard, slot."""
-        placed = self.rows.join(self.build().select("point", F.col("node").alias("shard")), "point")
+        leaves = self.build()
+        placed = self.rows.join(leaves.select("point", F.col("node").alias("shard")), "point")
         placed = common.landed(placed.select("id", "size", "crc32", "shard", "place"), "shard-placed")
+        common.discard(leaves)
         ranges = placed.count() // (self.shards * ROWS_A_RANGE) + 1
         placed = placed.withColumn("range", F.pmod(F.xxhash64("id", "place"), F.lit(ranges)))
         sums = placed.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))

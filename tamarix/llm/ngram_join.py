@@ -62,7 +62,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOKENS_A_BUCKET = 1_000_000
+#: Members of a bucket; bytes of a word, for an estimate of these.
+TOKENS_A_BUCKET, BYTES_A_WORD = 1_000_000, 6
 FIRST = 8
 SKETCH = [f"s{i}" for i in range(16)]
 #: Sets of a member that one task takes at once.
@@ -95,6 +96,13 @@ def shingle_sets(texts: pa.Array, k: int, key: bytes) -> tuple[list[np.ndarray],
     return sets, sizes, keys, words
 
 
+def ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def parities(members: np.ndarray) -> np.ndarray:
     """The sketch, as 16 longs."""
     odd = np.bincount((members >> np.uint64(7)).astype(np.int64) & 1023, minlength=1024) & 1
@@ -120,29 +128,18 @@ class NgramJaccardJoin:
         self.key = secrets.token_bytes(32)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def sets(self) -> DataFrame:
-        """id, n, key of every document."""
-        k, size, secret = self.k, self.chunk_bytes, self.key
-        id_type = self.docs.schema["id"].dataType.simpleString()
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in common.chunks(batches, size):
-                _, sizes, keys, _ = shingle_sets(b.column(1), k, secret)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["id", "n", "key"])
-
-        return common.landed(self.docs.mapInArrow(keyed, f"id {id_type}, n int, key binary"), "join-sets")
-
     def _scattered(self, buckets: int) -> DataFrame:
-        """Rows (part, chunk, a, b, c). part >= 0: a bucket's members of the
+        """Rows (part, chunk, a, b, c, docs). part >= 0: a bucket's members of the
         chunk, their counts, and the place of the only set that has one, or where
         in the chunk's list the sets of a member with several begin. part < 0:
-        the chunk's keys, sizes and that list."""
+        the chunk's keys, sizes and that list, and its documents (id, n, key)."""
         k, size, percent, secret = self.k, self.chunk_bytes, self.percent, self.key
 
         def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk = TaskContext.get().partitionId() << 32
             for b in common.chunks(batches, size):
-                sets, _, keys, _ = shingle_sets(b.column(0), k, secret)
+                sets, sizes, keys, _ = shingle_sets(b.column(1), k, secret)
+                docs = ipc(pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["id", "n", "key"]))
                 found = {key: s for key, s in zip(keys, sets, strict=True) if len(s)}
                 sets = list(found.values())
                 n = np.array([len(s) for s in sets], np.int64)
@@ -159,22 +156,23 @@ class NgramJaccardJoin:
                 members, counts = members[new], counts.astype(np.uint32)
                 part = (members % np.uint64(buckets)).astype(np.int64)
                 cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
-                rows = [(-1 - chunk, chunk, b"".join(found), n.astype(np.uint32).tobytes(), held.tobytes())]
-                rows += [(int(part[lo]), chunk, members[lo:hi].tobytes(), counts[lo:hi].tobytes(), at[lo:hi].tobytes()) for lo, hi in zip(cut, [*cut[1:], len(part)], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "a", "b", "c"])
+                rows = [(-1 - chunk, chunk, b"".join(found), n.astype(np.uint32).tobytes(), held.tobytes(), docs)]
+                rows += [(int(part[lo]), chunk, members[lo:hi].tobytes(), counts[lo:hi].tobytes(), at[lo:hi].tobytes(), None) for lo, hi in zip(cut, [*cut[1:], len(part)], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "chunk", "a", "b", "c", "docs"])
                 chunk += 1
 
-        return self.docs.select("text").mapInArrow(scatter, "part long, chunk long, a binary, b binary, c binary")
+        return self.docs.mapInArrow(scatter, "part long, chunk long, a binary, b binary, c binary, docs binary")
 
-    def _survivors(self, buckets: int) -> DataFrame:
-        """key, n, members, grades: what a set must be compared by, for sets that
-        share enough members with others. A grade is 4 log2 of a frequency."""
+    def _sets(self, buckets: int) -> DataFrame:
+        """id, n, key of every document; and n, key, members, grades (no id; `doc`
+        is false): what a set must be compared by, for sets that share enough
+        members with others. A grade is 4 log2 of a frequency."""
         percent = self.percent
 
         def counted(t: pa.Table) -> pa.Table:
-            wire = ("chunk", "a", "b", "c", "d")
+            wire = ("chunk", "a", "b", "c", "d", "docs")
             if t.column("part")[0].as_py() < 0:
-                return pa.table([t.column("chunk"), t.column("a"), t.column("b"), t.column("c"), pa.nulls(t.num_rows, pa.binary())], names=wire)
+                return pa.table([t.column("chunk"), t.column("a"), t.column("b"), t.column("c"), pa.nulls(t.num_rows, pa.binary()), t.column("docs")], names=wire)
             a, b, c = (t.column(x).to_pylist() for x in "abc")
             members = np.concatenate([np.frombuffer(x, np.uint64) for x in a])
             by = np.argsort(members, kind="stable")
@@ -191,11 +189,13 @@ class NgramJaccardJoin:
                     out.append((chunk, members[s][shared].tobytes(), np.frombuffer(y, np.uint32)[shared].tobytes(), np.frombuffer(z, np.uint32)[shared].tobytes(), grade[s][shared].tobytes()))
                 at = s.stop
             cols = zip(*out, strict=True) if out else ([],) * 5
-            return pa.table([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=wire)
+            cols = [pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)]
+            return pa.table([*cols, pa.nulls(len(out), pa.binary())], names=wire)
 
         def chosen(t: pa.Table) -> pa.Table:
             rows = list(zip(*(t.column(c).to_pylist() for c in "abcd"), strict=True))
             keys, sizes, held = next(x[:3] for x in rows if x[3] is None)
+            docs = pa.ipc.open_stream(t.column("docs").drop_null()[0].as_py()).read_all()
             n, held = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(held, np.uint32)
             limit = Bounds(n, percent)
             rows = [x for x in rows if x[3] is not None]
@@ -214,10 +214,15 @@ class NgramJaccardJoin:
             picked = common.ragged(starts[rows_of], take[rows_of])
             cut = pa.array(np.append(0, np.cumsum(take[rows_of])), pa.int32())
             lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (members[picked].view(np.int64), grade[picked].astype(np.int32))]
-            return pa.table([pa.array([keys[16 * i : 16 * i + 16] for i in rows_of.tolist()], pa.binary()), pa.array(n[rows_of], pa.int32()), *lists], names=["key", "n", "members", "grades"])
+            m, d = len(rows_of), docs.num_rows
+            kinds = pa.schema([("doc", pa.bool_()), ("id", docs.schema.field("id").type), ("n", pa.int32()), ("key", pa.binary()), ("members", lists[0].type), ("grades", lists[1].type)])
+            found = [pa.array([False] * m), pa.nulls(m, kinds.field("id").type), pa.array(n[rows_of], pa.int32()), pa.array([keys[16 * i : 16 * i + 16] for i in rows_of.tolist()], pa.binary()), *lists]
+            every = [pa.array([True] * d), *docs.columns, *(pa.nulls(d, x.type) for x in lists)]
+            return pa.concat_tables([pa.table(every, schema=kinds), pa.table(found, schema=kinds)])
 
-        shared = self._scattered(buckets).groupBy("part").applyInArrow(counted, "chunk long, a binary, b binary, c binary, d binary")
-        return shared.groupBy("chunk").applyInArrow(chosen, "key binary, n int, members array<long>, grades array<int>")
+        kind = self.docs.schema["id"].dataType.simpleString()
+        shared = self._scattered(buckets).groupBy("part").applyInArrow(counted, "chunk long, a binary, b binary, c binary, d binary, docs binary")
+        return shared.groupBy("chunk").applyInArrow(chosen, f"doc boolean, id {kind}, n int, key binary, members array<long>, grades array<int>")
 
     def _full(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
         """key, the words of a text, the last members and the sketch of the
@@ -255,10 +260,11 @@ class NgramJaccardJoin:
 
     def components(self) -> DataFrame:
         """id, n, component: one row per document."""
-        sets = self.sets()
-        total = sets.filter("n > 0").agg(F.sum(F.col("n") * 2 * (100 - self.percent) / 100 + 1).alias("s")).first()["s"] or 0
-        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total) // TOKENS_A_BUCKET + 1)
-        survivors = common.landed(self._survivors(buckets).dropDuplicates(["key"]), "join-survivors")
+        members = common.text_bytes(self.docs) / BYTES_A_WORD * 2 * (100 - self.percent) / 100
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(members) // TOKENS_A_BUCKET + 1)
+        every = common.landed(self._sets(buckets), "join-sets")
+        sets = every.filter("doc").select("id", "n", "key")
+        survivors = common.landed(every.filter("NOT doc").select("key", "n", "members", "grades").dropDuplicates(["key"]), "join-survivors")
         met = self._posts(survivors)
         full = self._full(sets, met.select("key").distinct())
         first = met.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(place())), 1, FIRST).alias("first"))

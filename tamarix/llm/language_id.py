@@ -194,11 +194,11 @@ def worst_fit(fits: DataFrame, fit_col: str, model: LanguageModel, reach: int =
     """The fit below which a text is in none of the languages.
 
     The n fits of `fits` say `reach` times as far below their median as their
-    first percentile is (counts by 50ths). The model alone says one standard
-    deviation of a single trigram below its languages' own likelihood, the widest
-    of them. The limit is the mean of both, (n * said + prior * alone) / (n + prior):
-    the model's for no fits, moving from the first one on, and theirs for many."""
-    alone = -float(model.spread.max()) if len(model.spread) else 0.0
+    first percentile is (counts by 50ths). The model alone says the least fit that
+    any text can have, which drops nothing. The limit is the mean of both,
+    (n * said + prior * alone) / (n + prior): it moves from the first fit on, and
+    is theirs for many."""
+    alone = float(min(model.log_p.min(axis=1) - model.usual)) if model.languages else 0.0
     counts = fits.filter(F.col(fit_col).isNotNull()).groupBy(F.floor(F.col(fit_col) * 50).alias("v")).count().orderBy("v").collect()
     upto = np.cumsum([r["count"] for r in counts])
     if not len(upto):

@@ -504,6 +504,20 @@ def test_language(edge, empty, spark, data):
     assert {r["lang_pred_"] for r in language_id.predict(edge, nothing).collect()} == {"und"}
 
 
+def test_the_worst_fit_moves_smoothly(spark):
+    """From the least fit that there can be with no row, by less and less, and with
+    no jump at any number of rows; the model's formula, row by row."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    model = language_id.fit(docs)
+    limit = lambda n, low=0.2: language_id.worst_fit(spark.createDataFrame([(0.5 if i % 50 else low,) for i in range(n)], "f double"), "f", model)
+    floor = min(x.min() - u for x, u in zip(model.log_p, model.usual, strict=True))
+    assert limit(0) == pytest.approx(floor)
+    steps = [limit(n) for n in (0, 2, 10, 98, 99, 100, 101, 102, 2000)]
+    assert all(a < b for a, b in zip(steps, steps[1:], strict=False))
+    assert steps[5] - steps[4] < 0.1 and steps[4] == pytest.approx((99 * (0.5 - 8 * 0.3) + 50 * floor) / 149)
+    assert limit(2000) == pytest.approx(0.5 - 8 * 0.3, abs=0.4)
+
+
 def test_mixtures_are_found(spark):
     docs = common.documents(spark, "/root/testdata/sf0.01")
     model = language_id.fit(docs)

@@ -237,8 +237,8 @@ def run_ranks(codes: np.ndarray, k: int) -> np.ndarray:
 
 
 def release() -> None:
-    """Memory that a chunk needed goes back to the system: a worker that waits for
-    its next task, or runs beside another one, holds no more than it uses."""
+    """Memory that a task's chunks needed goes back to the system: a worker that
+    waits for its next task holds no more than it uses."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
@@ -268,8 +268,9 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
             base = total[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(total, base + most, side="right")))
             yield b.slice(lo, hi - lo)
-            release()
+            pa.default_memory_pool().release_unused()
             lo = hi
+    release()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

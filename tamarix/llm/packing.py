@@ -113,7 +113,7 @@ class WordIds:
     Where the tokenizer doesn't tell them apart, words are looked up without
     their case and without a mark at their end, so fewer are new."""
 
-    MOST = 400_000
+    MOST = 800_000
     PROBES = ("one two", " one\n\ntwo\tthree  4,five ", "a\r\nb\x0bc\x0cd", "x\n", "né — 12 345 z’y\n#tag", "")
 
     def __init__(self, model: str):

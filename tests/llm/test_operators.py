@@ -504,6 +504,13 @@ def test_language(edge, empty, spark, data):
     assert {r["lang_pred_"] for r in language_id.predict(edge, nothing).collect()} == {"und"}
 
 
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(la, f"some words {la}") for la in ("de", "en", "fr")], "lang string, text string")
+    assert language_id.fit(docs, most_languages=3).languages == ["de", "en", "fr"]
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs, most_languages=2)
+
+
 def test_the_worst_fit_moves_smoothly(spark):
     """From the least fit that there can be with no row, by less and less, and with
     no jump at any number of rows; the model's formula, row by row."""

@@ -150,8 +150,7 @@ _HREF = r"""regexp_replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&',
 
 @query(f"SELECT page_id, (i - 1)::BIGINT AS pos, {_HREF} AS href FROM (SELECT page_id, as_[i] AS a, i FROM (SELECT page_id, as_, unnest(range(1, len(as_) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*>') AS as_ FROM pages)))")
 def page_links(spark, sf):
-    p = D.table(spark, sf, "pages").select("page_id", H.page("html").alias("p"))
-    return p.select("page_id", F.posexplode("p.links").alias("pos", "link")).select("page_id", long("pos").alias("pos"), F.col("link.href").alias("href"))
+    return H.links(D.table(spark, sf, "pages"), "page_id").select("page_id", long("pos").alias("pos"), "href")
 
 
 @query("SELECT page_id, (length(html) - length(replace(html, '<li', '')))::BIGINT // 3 AS n_items, (length(html) - length(replace(html, '<p>', '')))::BIGINT // 3 AS n_paragraphs FROM pages")

@@ -3,14 +3,16 @@
 import unicodedata
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tamarix import api
+from tamarix import api, catalogue
 from tamarix.functions import dates, text
 from tamarix.operators import crawl_audit, extraction
 from tamarix.plans.audit import audit
 from tamarix.sources import crawl
+from tamarix.sources import html as H
 
 U1, U2, U3 = ("/fr/concours/details/" + c * 8 + "-1111-2222-3333-" + c * 12 for c in "abc")
 LISTING = f"""<div>42 Résultats</div><a href="{U1}"><b>Un</b> titre</a><a href="{U2}/?x=1">Deux</a><a href="https://x.example{U1}">Dernier</a><a href="/fr/autre">x</a>
@@ -37,6 +39,23 @@ def test_detail(spark):
     assert got["uuid"] == U1.rsplit("/", 1)[1]
 
 
+def test_a_page_is_parsed_once_for_its_links(spark, tmp_path):
+    """The rows flow through one Python step, which no filter repeats."""
+    odd = ["", None, "<p>no link</p>", "<a>x</a><a href>y</a><a href=''>z</a>", "<A HREF=a?x=1&amp;y=2 href=b />", "<script>'<a href=no>'</script><!-- <a href=no> --><a href='&eacute;'", "<a href=1><a href=2><a href=3>" * 3000, "<a href=é>\x00</a><p><a\nhref = 'q\nr'>"]
+    spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    found = catalogue.QUERIES["page_links"](spark, str(tmp_path))
+    steps = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Arrow" in x]
+    assert len(steps) == 1, steps
+    parsed = spark.read.parquet(str(tmp_path / "pages.parquet")).select("page_id", F.posexplode(H.page("html")["links"]).alias("pos", "link")).select("page_id", "pos", "link.href")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, parsed.collect())) and found.count() > 9000
+
+
+def test_a_task_holds_few_links_of_its_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["<a href=x>" * 1000] * 99 + [None])], names=["page_id", "html"])
+    sizes = [b.num_rows for b in H._linked(iter([batch]))]
+    assert sum(sizes) == 99_000 and max(sizes) < H.LINKS + 1000
+
+
 def test_similar_announcements_do_not_leak(spark):
     page = DETAIL.replace("<h2>Administration qui recrute</h2>", "").replace("<h4>Date du concours 4 octobre 2026</h4>", "") + "<h2>Concours similaires</h2><h4>Date du concours 1 mai 2027</h4>"
     assert api.parse_detail(spark, page, extraction.BASE_URL + U1, "collec")["contest_date"] is None

@@ -33,11 +33,15 @@ last ones; only what passes this is joined with the texts and compared.
 A first round compares every set of a member with two leaders of it and merges
 what is linked; later ones compare representatives of a member's components, one
 pair for two components a round; at last all sets of a member that are still in
-different components are compared, in blocks. A member with many sets is dealt over tasks in all these
-joins, by the order of its document frequency. So a group of thousands of near
-copies needs few comparisons a set, and no link between components is lost. A
+different components are compared, in blocks. A
 pair that meets at many members goes out at the first of them only (as far as
-eight of each set's members tell). Components come from alternating large-star
+eight of each set's members tell), so at the others the sets that come first at
+the same member needn't meet: of these classes and the components, the largest
+one of a member meets only what is outside of it. A member with many sets is dealt over tasks in all these
+joins, by the order of its document frequency. So a group of thousands of near
+copies needs few comparisons a set, and no link between components is lost. For
+sets of a group that aren't linked, the last comparison grows with the square of
+their number. Components come from alternating large-star
 and small-star steps over the links between the components known so far.
 
 Defined results: null texts and texts without words have the empty set and are
@@ -310,15 +314,20 @@ class NgramJaccardJoin:
         there = {c: f"{c}_2" for c in ("key", "n", "root", "first", *SKETCH)}
         upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         if last:
-            # no pair has both sets in the member's least component: all sets meet those outside of it, in cells
-            sizes = of.groupBy("member", "root").agg(F.count(F.lit(1)).alias("of_root"), F.max("blocks").alias("blocks"))
-            sizes = sizes.groupBy("member").agg(F.min("root").alias("lo"), F.max("blocks").alias("blocks"), F.sum("of_root").alias("sets"), F.min_by("of_root", "root").alias("of_lo")).filter("sets > of_lo")
-            sizes = sizes.select("member", "lo", F.ceil(F.col("sets") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("sets") - F.col("of_lo")) / BLOCK).cast("int").alias("cols"), upto("blocks").alias("block"))
-            open_ = of.join(sizes, ["member", "block"])
+            # classes of a member's sets within which no pair goes out here: a component, and the sets whose first place is the same
+            # and not here. No pair has both sets in the largest one: all sets meet those outside of it, in cells
+            early = F.element_at("first", 1)
+            own, same = F.struct("root", F.lit(None).cast("long").alias("place")), F.struct(F.lit(None).cast("binary").alias("root"), early.alias("place"))
+            classes = of.select("member", "blocks", F.explode(F.when(early < place(), F.array(own, same)).otherwise(F.array(own))).alias("of"))
+            sizes = classes.groupBy("member", "of").agg(F.count(F.lit(1)).alias("in_class"), F.max("blocks").alias("blocks"))
+            sizes = sizes.groupBy("member").agg(F.max(F.struct("in_class", "of")).alias("most"), F.max("blocks").alias("blocks"), F.sum(F.when(F.col("of.place").isNull(), F.col("in_class"))).alias("sets")).filter("sets > most.in_class")
+            outside = F.col("sets") - F.col("most.in_class")
+            sizes = sizes.select("member", "most.of", F.ceil(F.col("sets") / BLOCK).cast("int").alias("rows"), F.ceil(outside / BLOCK).cast("int").alias("cols"), upto("blocks").alias("block"))
+            open_ = of.join(sizes, ["member", "block"]).withColumn("inside", F.coalesce(F.col("of.root") == F.col("root"), F.col("of.place") == early))
             dealt = lambda c: F.pmod(F.xxhash64("key", F.lit(3)), F.col(c)).cast("int")
-            left = open_.withColumn("row", dealt("rows")).withColumn("col", upto("cols")).select("member", "row", "col", "lo", "key", "n", "root", "first", *SKETCH)
-            right = open_.filter("root <> lo").withColumn("col", dealt("cols")).withColumn("row", upto("rows")).select("member", "row", "col", *there).withColumnsRenamed(there)
-            met, apart = left.join(right, ["member", "row", "col"]), (F.col("root") == F.col("lo")) | (F.col("key") < F.col("key_2"))
+            left = open_.withColumn("row", dealt("rows")).withColumn("col", upto("cols")).select("member", "row", "col", "inside", "key", "n", "root", "first", *SKETCH)
+            right = open_.filter("NOT inside").withColumn("col", dealt("cols")).withColumn("row", upto("rows")).select("member", "row", "col", *there).withColumnsRenamed(there)
+            met, apart = left.join(right, ["member", "row", "col"]), F.col("inside") | (F.col("key") < F.col("key_2"))
         else:
             # each member has leaders of its own, later among its components' representatives
             by = F.xxhash64("member", "key", F.lit(nth)) if nth else F.col("key")

@@ -787,3 +787,29 @@ def test_chain_feeds_earlier_categories(spark):
     assert chain.models[1].weights[-1] > 0.2 and len(chain.models[0].weights) == len(chain.models[0].words)
 
 
+
+
+def generated(plan) -> list[int]:
+    """Rows that each Generate of an executed plan made."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return generated(plan.executedPlan())
+    below = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if kind == "GenerateExec" else []
+    return own + [n for x in below for n in generated(x)]
+
+
+def test_sets_with_the_same_members_are_dealt_at_one_of_them(spark, monkeypatch):
+    """200 sets at 8 members: a component, whose root isn't the least, and sets of their own."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    key = F.unhex(F.lpad(F.hex("id"), 32, "0"))
+    sets = spark.range(200).select(key.alias("key"), F.lit(50).alias("n"), *[F.lit(0).cast("long").alias(c) for c in ngram_join.SKETCH])
+    posts = sets.crossJoin(spark.range(8).select(F.col("id").alias("member"))).withColumns({"blocks": F.lit(1), "block": F.lit(0)})
+    posts = posts.join(posts.groupBy("key").agg(F.sort_array(F.collect_list(ngram_join.place())).alias("first")), "key")
+    roots = spark.range(200).select(key.alias("key"), F.when(F.col("id") >= 100, F.unhex(F.lit("f" * 32))).otherwise(key).alias("root"))
+    pairs = ngram_join.NgramJaccardJoin(spark.createDataFrame([], "doc_id long, text string"))._pairs(posts, roots, 3, True)
+    found = {(bytes(r.a), bytes(r.b)) for r in pairs.collect()}
+    ids = [i.to_bytes(16, "big") for i in range(200)]
+    assert found == {(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and i < 100}
+    made = generated(pairs._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= 2 * 8 * 200, made
